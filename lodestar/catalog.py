@@ -1,0 +1,11 @@
+"""Registered queries of the search engine and their SQL."""
+
+FLAGSHIP = "search_ranked_topk"
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
