@@ -7,6 +7,8 @@ import importlib
 #: Query name -> module of this subpackage; each has query(spark, sf_dir) and may have ORACLE_SQL.
 MODULES = {
     "op1_token_counts": "tokencount",
+    "op2_decontamination": "decontaminate",
+    "op5_warc": "warc",
 }
 
 
