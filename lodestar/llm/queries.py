@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_token_counts": "tokencount",
     "op2_decontamination": "decontaminate",
+    "op3_near_duplicates": "neardup",
     "op5_warc": "warc",
 }
 
