@@ -9,6 +9,7 @@ MODULES = {
     "op1_token_counts": "tokencount",
     "op2_decontamination": "decontaminate",
     "op3_near_duplicates": "neardup",
+    "op4_language_id": "langid",
     "op5_warc": "warc",
 }
 
