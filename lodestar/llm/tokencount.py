@@ -88,6 +88,15 @@ class Pieces:
         return total, len(parts) - 1
 
 
+def _pack(parts: list[np.ndarray]) -> bytes:
+    """Small integers by byte planes: the high bytes are nearly all zero and pack well."""
+    return np.concatenate(parts).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _blocks(path: str):
     fields = pa.schema([("block", pa.int64()), ("vocab", pa.list_(pa.string())), ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("ones", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("freqs", pa.binary())])
 
@@ -97,7 +106,7 @@ def _blocks(path: str):
         number = TaskContext.get().partitionId() << 32
 
         def out(vocab, docs, ids, freqs):
-            cols = [[number], [list(vocab)], *([list(c)] for c in zip(*docs)), [b"".join(ids)], [b"".join(freqs)]]
+            cols = [[number], [list(vocab)], *([list(c)] for c in zip(*docs)), [_pack(ids)], [_pack(freqs)]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields)], schema=fields)
 
         vocab, docs, ids, freqs, held = {}, [], [], [], 0
@@ -115,8 +124,8 @@ def _blocks(path: str):
                         rest.append(n)
                 at, n = np.array(local, np.int32), np.array(rest, np.int32)
                 order = np.argsort(at)
-                ids.append(np.diff(at[order], prepend=np.int32(0)).tobytes())
-                freqs.append(n[order].tobytes())
+                ids.append(np.diff(at[order], prepend=np.int32(0)))
+                freqs.append(n[order])
                 docs.append((doc_id, n_bytes, ones, len(local)))
                 held += n_bytes
                 if held >= BLOCK_BYTES:
@@ -153,7 +162,7 @@ def _add_up(limit: int):
         for block in blocks.to_pylist():
             pieces = np.zeros(block["size"] + 1, np.int64)
             pieces[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
-            ids, freqs, start = np.frombuffer(block["ids"], np.int32), np.frombuffer(block["freqs"], np.int32), 0
+            ids, freqs, start = _unpack(block["ids"]), _unpack(block["freqs"]), 0
             for doc_id, n_bytes, ones, size in zip(block["doc_id"], block["n_bytes"], block["ones"], block["sizes"]):
                 at = np.cumsum(ids[start : start + size])
                 total = int(pieces[at] @ freqs[start : start + size]) + ones
