@@ -11,6 +11,7 @@ MODULES = {
     "op3_near_duplicates": "neardup",
     "op4_language_id": "langid",
     "op5_warc": "warc",
+    "op7_personal_data": "pii",
     "op8_quality_rules": "quality",
     "op10_quality_classifier": "ordinal",
 }
