@@ -1,18 +1,22 @@
 """Operator 5: WARC archives with revisit resolution.
 
-``write_archives`` writes gzip-compressed WARC files (a member per record)
-through Spark's own writer, so that failed tasks leave nothing behind and any
-store that Spark reaches will do. ``resolve`` reads the headers of archives,
-shuffles them by payload digest, and writes deduplicated archives with fresh
-headers: of equal payloads the record with the smallest id stays a response,
-the others become revisits that refer to it. ``read_archives`` reads archives
-back; ``originals`` joins revisits to their responses.
+Archives are gzip-compressed WARC files (a member per record), written through
+Spark's own writer, so that failed tasks leave nothing behind and any store that
+Spark reaches will do. A file holds at most ``RECORDS_PER_FILE`` records.
+
+- ``write_archives`` writes a response per page.
+- ``write_deduplicated`` writes a record per page too, but first shuffles the
+  pages' headers by payload digest: of equal payloads the page with the smallest
+  id is a response, the others are revisits that refer to it.
+- ``resolve`` does the same to archives that exist already: it shuffles the
+  records' headers and writes deduplicated archives with fresh headers.
+- ``read_archives`` reads archives back; ``originals`` joins revisits to the
+  responses that they refer to.
 
 Null payloads are empty and null urls are written without a target. Null ids
-come after all others; of rows with equal ids and payloads the first read is
-the response. Payloads below ``min_bytes`` stay responses. Only the files'
-headers and decisions are shuffled, never payloads; a file holds at most
-``RECORDS_PER_FILE`` records.
+come after all others. Payloads below ``min_bytes`` stay responses. Pages with
+equal ids and payloads all stay responses, of one record id; among archived
+records with equal page ids and payloads the first read is the response.
 """
 
 from __future__ import annotations
@@ -67,9 +71,17 @@ def _new_id() -> str:
     return f"<urn:uuid:{uuid.uuid4()}>"
 
 
+def page_record_id(page: int | None, said: str) -> str:
+    """The same for each try of a task, and known to revisits without a look at the response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}:{said}')}>"
+
+
+def _fields(page: int | None, url: str | None, said: str, record_id: str) -> dict[str, object]:
+    return {"WARC-Record-ID": record_id, "WARC-Target-URI": quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else None, "WARC-Payload-Digest": f"sha1:{said}", "X-Page-Id": page}
+
+
 def response(page: int | None, url: str | None, payload: bytes, record_id: str) -> bytes:
-    fields = {"WARC-Record-ID": record_id, "WARC-Target-URI": quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else None, "WARC-Payload-Digest": f"sha1:{digest(payload)}", "X-Page-Id": page}
-    return record("response", fields, _http(len(payload)) + payload, "application/http; msgtype=response")
+    return record("response", _fields(page, url, digest(payload), record_id), _http(len(payload)) + payload, "application/http; msgtype=response")
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -102,6 +114,30 @@ def write_archives(pages: DataFrame, path: str) -> str:
     return _write(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_responses, "record binary"), path)
 
 
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for page, url, html, first, whole in zip(*(c.to_pylist() for c in batch.columns)):
+            payload = (html or "").encode()
+            if whole:
+                out.append(_member(response(page, url, payload, page_record_id(page, digest(payload)))))
+                continue
+            said = digest(payload)
+            fields = _fields(page, url, said, _new_id()) | {"WARC-Refers-To": page_record_id(first, said), "WARC-Profile": PROFILE}
+            out.append(_member(record("revisit", fields, _http(len(payload)), "application/http; msgtype=response")))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+
+
+def write_deduplicated(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
+    """A record for each row of ``pages`` (page_id, url, html): responses, and revisits of payloads that a smaller id has."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n"))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
+    firsts = rows.groupBy("sha", "n").agg(F.min(order)["page_id"].alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    whole = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")) | (F.col("n") < min_bytes)
+    return _write(rows.join(firsts, ["sha", "n"], "left").select("page_id", "url", "html", "first", whole.alias("whole")).mapInArrow(_resolved, "record binary"), path)
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -167,14 +203,13 @@ def resolve(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -
 
 def originals(records: DataFrame) -> DataFrame:
     """Records of ``read_archives``, revisits with the page and payload size of the response they refer to."""
-    first = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("__bytes"))
+    first = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("__bytes"))
     return records.join(first, "refers_to_id", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "__bytes")).drop("__bytes")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = write_archives(load(spark, sf_dir, "pages"), new_path(spark, "warc"))
-    whole = resolve(spark, raw, new_path(spark, "warc-deduplicated"))
-    return originals(read_archives(spark, whole)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    path = write_deduplicated(load(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return originals(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _HEX = "sha1(coalesce(html, ''))"
