@@ -11,8 +11,10 @@ MODULES = {
     "op3_near_duplicates": "neardup",
     "op4_language_id": "langid",
     "op5_warc": "warc",
+    "op6_sentencepiece": "pieces",
     "op7_personal_data": "pii",
     "op8_quality_rules": "quality",
+    "op9_substring_dedup": "substrings",
     "op10_quality_classifier": "ordinal",
 }
 
