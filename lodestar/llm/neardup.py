@@ -134,7 +134,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: S
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept (its id is the component's), and ``print``, the fingerprint of its set."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept (its id is the component's), and two columns for joins: print, the fingerprint of its set, and root, its component's class (null without words)."""
     scratch = Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = scratch.write(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, print binary, bands array<long>, sign binary"))
@@ -181,9 +181,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = classes.join(roots, "node", "left").select("print", "least_id", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = placed.join(ids, "root").select("print", "component_id")
+    known = placed.join(ids, "root").select("print", "component_id", "root")
     out = sets.join(known, "print", "left").withColumn("component_id", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "print")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "print", "root")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that stay: one row of each component, and all rows without words."""
+    scratch = Scratch(docs.sparkSession, "kept")
+    found = scratch.write(near_duplicates(docs).select("doc_id", "print", "root"))
+    best = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("b"))
+    kept = scratch.write(best.select("b.doc_id", "b.print").union(found.where("root is null").select("doc_id", "print").distinct()))
+    marked = docs.withColumn("__print", F.arrow_udf(_print, "binary")(F.col("text").cast("string")))
+    same = lambda t: marked["doc_id"].cast("long").eqNullSafe(t["doc_id"]) & marked["__print"].eqNullSafe(t["print"])
+    # Rows that repeat a kept id and set: only one of them stays. They are few, and only they are shuffled once more.
+    repeats = scratch.write(found.where("print is not null").groupBy("doc_id", "print").count().where("count > 1").select("doc_id", "print"))
+    if repeats.isEmpty():
+        return marked.join(kept, same(kept), "left_semi").drop("__print")
+    twice = kept["doc_id"].eqNullSafe(repeats["doc_id"]) & kept["print"].eqNullSafe(repeats["print"])
+    once, more = scratch.write(kept.join(repeats, twice, "left_anti")), scratch.write(kept.join(repeats, twice, "left_semi"))
+    return marked.join(once, same(once), "left_semi").union(marked.join(more, same(more), "left_semi").dropDuplicates(["doc_id", "__print"])).drop("__print")
+
+
+def _print(texts: pa.Array) -> pa.Array:
+    found = (shingles(t) for t in texts.to_pylist())
+    return pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found], pa.binary())
 
 
 def _same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +215,7 @@ def _same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load(spark, sf_dir, "documents")).drop("print")
+    return near_duplicates(load(spark, sf_dir, "documents")).drop("print", "root")
 
 
 ORACLE_SQL = f"""
