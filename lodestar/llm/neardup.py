@@ -13,9 +13,10 @@ has fewer). Documents are linked from a Jaccard similarity of ``SIMILARITY`` on.
    all with all. A pair passes if its signatures agree often enough, and is then
    confirmed on the full sets.
 4. Links are closed to components by alternating large-star and small-star.
-5. A bucket whose members still lie in different components is gone through
-   again with further pivots (their number grows by the round) until every
-   pair of it is compared or connected. No bucket is cut off.
+5. Members of buckets that still hold several components may be similar to
+   others than the pivot. Which of them can be is found exactly, by prefix and
+   position filters over their shingles, rare ones first; these pairs are
+   verified in the same way. No bucket is cut off.
 
 Null ids: such rows take part; a component's id is its smallest non-null id.
 Null and wordless texts have no shingles and are linked with nothing; their
@@ -44,8 +45,6 @@ BANDS, ROWS = 64, 6
 SIGNATURE = 256
 #: A pair whose signatures agree less is dropped unconfirmed: 6 standard deviations below the threshold.
 AGREE = 0.58
-#: Pivots of a bucket in each round.
-PIVOTS = (1, 32, 256, 2048)
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -133,6 +132,43 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: S
     return scratch.write(whole.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
 
 
+def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the members of buckets that hold more than one component."""
+    placed = live.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return placed.join(keys, "key").select("node", "root").distinct()
+
+
+def _closing_pairs(apart: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar, exactly, by prefix and position filters.
+
+    With its shingles in one common order, rare ones first, two similar sets
+    share a shingle within their first quarters, and behind the first shared one
+    enough must be left on either side. The largest component of a shingle is
+    never paired with itself.
+    """
+    num, den = SIMILARITY.numerator, SIMILARITY.denominator
+    sets = texts.join(apart, "node").select("node", "root", "text").mapInArrow(_shingle_lists, "node long, root long, n int, shingles array<long>")
+    rows = scratch.write(sets.dropDuplicates(["node"]).select("node", "root", "n", F.explode("shingles").alias("s")))
+    times = rows.groupBy("s").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "s")) - 1
+    first = rows.join(times, "s").withColumn("p", place).where(f"p <= n - (({num} * n + {den - 1}) div {den}) and times > 1")
+    first = scratch.write(first.drop("times"))
+    of_root = first.groupBy("s", "root").agg(F.count("*").alias("k"))
+    mixed = of_root.groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    here = first.join(mixed, "s")
+    minor = here.where("root <> major").select("s", *[F.col(c).alias(f"{c}_2") for c in ("node", "root", "n", "p")])
+    least = f"(({num} * (n + n_2) + {num + den - 1}) div {num + den})"
+    near = here.join(minor, "s").where(f"root <> root_2 and least(n - p, n_2 - p_2) >= {least}")
+    return near.select(F.greatest("node", "node_2").alias("a"), F.least("node", "node_2").alias("b")).distinct()
+
+
+def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array([len(x) for x in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["node", "root", "n", "shingles"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept (its id is the component's), and two columns for joins: print, the fingerprint of its set, and root, its component's class (null without words)."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -161,23 +197,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = live.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = _verified(pairs, classes, texts, scratch)
     roots = components(links, scratch)
-    live, turn = live.where("node <> pivot").select("key", "node"), 1
-    while True:
-        placed = live.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        live = scratch.write(placed.join(apart, "key"))
-        if live.isEmpty():
-            break
-        n_pivots = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        pivots = scratch.write(live.select("key", "node", "root", rank.alias("rank")).where(f"rank <= {n_pivots}").drop("rank"))
-        pairs = (
-            live.join(pivots.toDF("key", "pivot", "pivot_root"), "key").where("node > pivot and root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        )
-        more = _verified(pairs, classes, texts, scratch)
-        links = links.union(more)
+    apart = _unsettled(live, roots)
+    if not apart.isEmpty():
+        apart = scratch.write(apart)
+        links = links.union(_verified(_closing_pairs(apart, texts, scratch), classes, texts, scratch))
         roots = components(links, scratch)
-        live, turn = live.select("key", "node").join(pivots.select("key", "node"), ["key", "node"], "left_anti"), turn + 1
 
     placed = classes.join(roots, "node", "left").select("print", "least_id", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
