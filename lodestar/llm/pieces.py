@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from .scratch import load
 
 SPACE = "▁"
-REMEMBERED = 300_000
+#: Words, and pairs of pieces, that a worker remembers: up to twice as many, as the older half is dropped at once.
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 400_000, 250_000
 
+_NEVER = float("-inf")
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _loaded: dict[str, "Model"] = {}
 
@@ -60,8 +62,10 @@ class Model:
         #: What an id decodes to.
         self.out = [b"" if sp.is_control(i) else bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else text[i].replace(SPACE, " ").encode() for i in range(n)]
         self.spaces_close = not any(b == SPACE != a for piece in self.ids for a, b in zip(piece, piece[1:]))
-        self.remembered: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: All ends of pieces: what isn't one can't be made longer into a piece.
+        self.tails = {piece[k:] for piece in self.ids for k in range(len(piece))}
+        self.words, self.old_words = {}, {}
+        self.pairs, self.old_pairs = {}, {}
 
     @classmethod
     def of(cls, path: str) -> "Model":
@@ -72,59 +76,68 @@ class Model:
     def merged(self, text: str) -> list[str]:
         """A short text merged pair by pair, best score first, then from the left."""
         parts, score = list(text), self.score.get
-        while True:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                s = score(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return parts
+        gains = [score(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) > _NEVER:
+            at = gains.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at:
+                gains[at - 1] = score(parts[at - 1] + parts[at], _NEVER)
+            if at < len(gains):
+                gains[at] = score(parts[at] + parts[at + 1], _NEVER)
+        return parts
 
     def compatible(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
+        """Whether the merges of two pieces' joined text leave them as they are; the empty piece before the text's beginning asks that of ``b`` alone."""
+        pair = (a, b)
+        known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) >= 4 * REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            known = self.old_pairs.get(pair)
+            if known is None:
+                known = self.merged(a + b) == ([a, b] if a else [b])
+            if len(self.pairs) >= REMEMBERED_PAIRS:
+                self.pairs, self.old_pairs = {}, self.pairs
+            self.pairs[pair] = known
         return known
 
     def piece_ids(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
         return [found] if found is not None else [self.bytes[b] for b in piece.encode()]
 
+    def _last_piece(self, text: str, end: int, last: list[str], before: str) -> str:
+        """The one piece that can end at ``end``, longest first; empty if no path ends there. ``last`` and ``before`` are as in ``stream``."""
+        ids, tails, found, size = self.ids, self.tails, [text[end - 1]], 2
+        while size <= end:
+            piece = text[end - size : end]
+            if piece not in tails:
+                break
+            if piece in ids:
+                found.append(piece)
+            size += 1
+        while found:
+            piece = found.pop()
+            at = end - len(piece)
+            if at == 0:
+                if self.compatible(before, piece):
+                    return piece
+            elif last[at - 1] and self.compatible(last[at - 1], piece):
+                return piece
+        return ""
+
     def stream(self, chunks: Iterator[str]) -> Iterator[str]:
         """Pieces of a text that comes in chunks, each as soon as it is certain."""
-        text, start = "", 0  # the text from position `start` on, which is the last committed boundary
-        last: list[str] = []  # last[k]: the last piece of the best path to position start + k + 1
+        text = ""  # what follows the last committed boundary
+        last: list[str] = []  # last[k]: the last piece of the best path to position k + 1 of it
         before = ""  # the last committed piece
         for chunk in chunks:
-            for c in chunk:
-                text += c
-                end = len(text)
-                for size in range(min(self.longest, end), 0, -1):
-                    piece = text[end - size :]
-                    if size > 1 and piece not in self.ids:
-                        continue
-                    at = end - size
-                    previous = last[at - 1] if at else before
-                    if previous == "" if at else not previous:
-                        if at == 0 and self.merged(piece) == [piece]:
-                            break
-                        continue
-                    if self.compatible(previous, piece):
-                        break
-                else:
-                    piece = ""  # no path ends inside this run
-                last.append(piece)
-                if end >= 2 * self.longest:
-                    done = self._converged(last)
-                    if done:
-                        path = self._path(last, done)
-                        yield from path
-                        text, last, before = text[done:], last[done:], path[-1]
-                        start += done
+            for start in range(0, len(chunk), self.longest):
+                text += chunk[start : start + self.longest]
+                while len(last) < len(text):
+                    last.append(self._last_piece(text, len(last) + 1, last, before))
+                if len(text) > self.longest and (done := self._converged(last)):
+                    path = self._path(last, done)
+                    yield from path
+                    text, last, before = text[done:], last[done:], path[-1]
         yield from self._path(last, len(last))
 
     def _converged(self, last: list[str]) -> int:
@@ -149,15 +162,18 @@ class Model:
         if not text:
             return b""
         text = SPACE + text.replace(" ", SPACE)
-        known, out = self.remembered, []
+        out, new, old = [], self.words, self.old_words
         for word in _WORDS.findall(text) if self.spaces_close else [text]:
-            ids = known.get(word)
+            ids = new.get(word)
             if ids is None:
-                ids = array("i", [i for piece in self.stream(iter([word])) for i in self.piece_ids(piece)]).tobytes()
+                ids = old.get(word)
+                if ids is None:
+                    ids = array("i", [i for piece in self.stream(iter([word])) for i in self.piece_ids(piece)]).tobytes()
                 if len(word) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
+                    if len(new) >= REMEMBERED_WORDS:
+                        new, old = {}, new
+                        self.words, self.old_words = new, old
+                    new[word] = ids
             out.append(ids)
         return b"".join(out)
 
