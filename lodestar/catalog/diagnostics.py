@@ -94,3 +94,30 @@ def documents_per_table(spark, sf_dir):
     from .registry import CUSTOMER, SUPPLIER
 
     return documents_of(spark, sf_dir, PART, CUSTOMER, SUPPLIER).groupBy("source_table").agg(F.count("*").alias("n"))
+
+
+@query(
+    "validation_sample",
+    f"WITH s AS (SELECT p_partkey FROM (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 40) a UNION SELECT p_partkey FROM (SELECT p_partkey FROM part ORDER BY p_partkey DESC LIMIT 40) b) SELECT '{_K} AS document_id, CASE WHEN p_partkey % 70 = 3 OR p_partkey % 50 = 0 THEN 'FAIL' ELSE 'OK' END AS level, CASE WHEN p_partkey % 70 = 3 THEN 'MISSING' WHEN p_partkey % 50 = 0 THEN 'STALE' ELSE 'CURRENT' END AS verdict FROM s",
+)
+def validation_sample(spark, sf_dir):
+    """The lowest and the highest records, built again and compared with the index."""
+    from ..operators import maintain
+    from ..operators.documents import build_documents
+
+    _, indexed = expected_and_indexed(spark, sf_dir)
+    sample = maintain.edges(load(spark, sf_dir, "part"), "p_partkey", 80)
+    return D.sample_check(build_documents(sample, PART), indexed)
+
+
+@query("validation_orphans", f"SELECT '{_K} || CASE WHEN x = 1 THEN 'x' ELSE '' END AS document_id, CASE WHEN x = 1 THEN 'FAIL' ELSE 'OK' END AS level FROM part, (SELECT unnest([0, 1]) AS x) q WHERE p_partkey % 70 <> 3 AND (x = 0 OR p_partkey % 90 = 1)")
+def validation_orphans(spark, sf_dir):
+    expected, indexed = expected_and_indexed(spark, sf_dir)
+    kept = indexed.withColumn("record_id", F.regexp_extract("document_id", ":(.*)$", 1))
+    return D.orphan_check(kept, expected)
+
+
+@query("latest_per_kind", "SELECT event_type, event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rk FROM events) x WHERE rk = 1")
+def latest_per_kind(spark, sf_dir):
+    found = D.latest(load(spark, sf_dir, "events").select("event_type", "event_id", "ts"), ["event_type"], ["ts", "event_id"])
+    return found.select("event_type", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MAX_GRAM, MIN_GRAM, col
+from .text import MAX_GRAM, MIN_GRAM, WORD, col
 
 OPEN, CLOSE = "\ue000", "\ue001"
 FRAGMENT = 160
-_WORD = re.compile(r"\w+")
+_WORD = regex.compile(WORD)
 
 RANGES = "array<struct<start:int,end:int>>"
 _ARROW_RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -70,6 +71,19 @@ def highlight_ranges(text: Column | str, tokens: list[str]) -> Column:
     return F.arrow_udf(run, RANGES)(col(text))
 
 
+def token_offsets(text: Column | str, cut: int = 10_000) -> Column:
+    """Words of the first ``cut`` code points with their position and offsets, as array<struct<position, token, start, end>>."""
+
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for t in column.to_pylist():
+            found = [(m.group().lower(), *m.span()) for m in _WORD.finditer((t or "")[:cut])]
+            out.append([{"position": i, "token": w, "start": a, "end": b} for i, (w, a, b) in enumerate(found)])
+        return pa.array(out, pa.list_(pa.struct([("position", pa.int32()), ("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+
+    return F.arrow_udf(run, "array<struct<position:int,token:string,start:int,end:int>>")(col(text))
+
+
 def highlight_snippet(text: Column | str, tokens: list[str], before: str = "<em>", after: str = "</em>") -> Column:
     """A fragment with its hits marked; null where none is."""
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .query import tokenize
+from ..plans.config import TableConfig
+from .query import explain_contributions, matched_clauses, order, plan, score, tokenize
 
 LEVELS = ("OK", "WARN", "FAIL")
 
@@ -60,6 +61,44 @@ def verdicts(chosen: DataFrame, expected: DataFrame, indexed: DataFrame) -> Data
     return found.select("document_id", verdict.alias("verdict"))
 
 
+def sample_check(expected: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Findings over sampled records: each whose document is missing or differs is a failure."""
+    bad = verdicts(expected.select("document_id"), expected, indexed)
+    return bad.select("document_id", F.when(F.col("verdict") == "CURRENT", "OK").otherwise("FAIL").alias("level"), F.col("verdict"))
+
+
+def orphan_check(sampled: DataFrame, source_ids: DataFrame) -> DataFrame:
+    """Findings over sampled documents: one without a record is a failure."""
+    there = source_ids.select("source_table", "record_id").distinct().withColumn("__there", F.lit(True))
+    found = sampled.join(there, ["source_table", "record_id"], "left")
+    return found.select("document_id", F.when(F.col("__there"), "OK").otherwise("FAIL").alias("level"))
+
+
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The newest row of each key, as one aggregate."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*keys, *[F.col(f"__row.{c}") for c in rest])
+
+
+def split_names(text: str | None) -> list[str]:
+    """Names separated by commas or blanks, each once."""
+    return list(dict.fromkeys(n for n in (text or "").replace(",", " ").split() if n))
+
+
+def playground(documents: DataFrame, tables: list[TableConfig], term: str, readable: DataFrame | None = None, most: int = 20) -> dict[str, DataFrame]:
+    """Everything about one term: its hits with their clauses, contributions, counts per table, and why other documents don't match."""
+    hits = score(documents, plan(term, tables), tables)
+    shown = hits if readable is None else hits.join(readable.select("source_table", "record_id"), ["source_table", "record_id"], "left_semi").select(hits.columns)
+    top = shown.orderBy(*order()).limit(most)
+    return {
+        "hits": top,
+        "clauses": matched_clauses(top),
+        "contributions": explain_contributions(top),
+        "counts": shown.groupBy("source_table").agg(F.count("*").alias("n")),
+        "gates": match_gates(documents.where(F.col("source_table").isin(*[t.name for t in tables])), term),
+    }
+
+
 def match_gates(documents: DataFrame, term: str) -> DataFrame:
     """Per document the first reason why a term doesn't match its text; null if it matches."""
     tokens = tokenize(term)

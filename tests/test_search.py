@@ -172,3 +172,17 @@ def test_plan_has_no_python_and_prunes_columns(spark, tmp_path, docs):
     table = TableConfig("event", "id", (FieldConfig("title", weight=2),))
     plan = Q.score(spark.read.parquet(f"{tmp_path}/docs"), Q.plan("widget", [table]), [table])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "display_values" not in plan and "CartesianProduct" not in plan
+
+
+def test_playground(spark, docs):
+    readable = docs.where("document_id <> 'product:1'").select("source_table", "record_id")
+    found = diagnose.playground(docs, list(CONFIG.tables), "widget", readable)
+    assert {r.document_id for r in found["hits"].collect()} == {"product:2", "product:3", "event:2"}
+    assert {(r.source_table, r.n) for r in found["counts"].collect()} == {("product", 2), ("event", 1)}
+    assert all("text" in r.clauses for r in found["clauses"].collect())
+    assert found["gates"].where("reason is null").count() == 4
+    assert found["contributions"].where("clause = 'boost:name'").count() == 1
+
+
+def test_names_are_split_once():
+    assert diagnose.split_names(" part, customer\n part\torders,,") == ["part", "customer", "orders"] and diagnose.split_names(None) == []

@@ -85,3 +85,10 @@ def test_highlight(spark):
     piece, ranges = highlight.fragment(long, ["needle"])
     assert len(piece) <= 160 and [piece[a:b] for a, b in ranges] == ["needle"]
     assert [(r.start, r.end) for r in one(spark, highlight.highlight_ranges(F.lit(text), ["blue"]))] == [(8, 12), (20, 28)]
+
+
+def test_token_offsets(spark):
+    text = "Élan, 3.14 don't"
+    found = one(spark, highlight.token_offsets(F.lit(text)))
+    assert [(t.position, t.token, text[t.start : t.end].lower()) for t in found] == [(i, w, w) for i, w in enumerate(["élan", "3", "14", "don", "t"])]
+    assert one(spark, highlight.token_offsets(F.lit("abc def"), 3))[-1].token == "abc"
