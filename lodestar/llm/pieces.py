@@ -62,8 +62,15 @@ class Model:
         #: What an id decodes to.
         self.out = [b"" if sp.is_control(i) else bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else text[i].replace(SPACE, " ").encode() for i in range(n)]
         self.spaces_close = not any(b == SPACE != a for piece in self.ids for a, b in zip(piece, piece[1:]))
-        #: All ends of pieces: what isn't one can't be made longer into a piece.
-        self.tails = {piece[k:] for piece in self.ids for k in range(len(piece))}
+        #: Pieces by their characters from the last to the first; a whole piece is under "".
+        self.backwards: dict = {}
+        for piece in self.ids:
+            node = self.backwards
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = piece
+        #: Neighbours within some piece. Between others no path can cross.
+        self.joined = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
         self.words, self.old_words = {}, {}
         self.pairs, self.old_pairs = {}, {}
 
@@ -104,25 +111,31 @@ class Model:
         found = self.ids.get(piece)
         return [found] if found is not None else [self.bytes[b] for b in piece.encode()]
 
-    def _last_piece(self, text: str, end: int, last: list[str], before: str) -> str:
-        """The one piece that can end at ``end``, longest first; empty if no path ends there. ``last`` and ``before`` are as in ``stream``."""
-        ids, tails, found, size = self.ids, self.tails, [text[end - 1]], 2
-        while size <= end:
-            piece = text[end - size : end]
-            if piece not in tails:
-                break
-            if piece in ids:
-                found.append(piece)
-            size += 1
-        while found:
-            piece = found.pop()
-            at = end - len(piece)
-            if at == 0:
-                if self.compatible(before, piece):
-                    return piece
-            elif last[at - 1] and self.compatible(last[at - 1], piece):
-                return piece
-        return ""
+    def _extend(self, text: str, last: list[str], before: str) -> None:
+        """Goes on with ``last`` to the end of ``text``: to each position the one piece that can end there, longest first; empty if no path does."""
+        backwards, known, compatible = self.backwards, self.pairs, self.compatible
+        for end in range(len(last) + 1, len(text) + 1):
+            node, k, found = backwards, end, []
+            while k:
+                k -= 1
+                node = node.get(text[k])
+                if node is None:
+                    break
+                if "" in node:
+                    found.append(node[""])
+            if not found or len(found[0]) > 1:
+                found.insert(0, text[end - 1])
+            while found:
+                piece = found.pop()
+                at = end - len(piece)
+                previous = last[at - 1] if at else before
+                if previous or not at:
+                    fits = known.get((previous, piece))
+                    if compatible(previous, piece) if fits is None else fits:
+                        last.append(piece)
+                        break
+            else:
+                last.append("")
 
     def stream(self, chunks: Iterator[str]) -> Iterator[str]:
         """Pieces of a text that comes in chunks, each as soon as it is certain."""
@@ -132,8 +145,7 @@ class Model:
         for chunk in chunks:
             for start in range(0, len(chunk), self.longest):
                 text += chunk[start : start + self.longest]
-                while len(last) < len(text):
-                    last.append(self._last_piece(text, len(last) + 1, last, before))
+                self._extend(text, last, before)
                 if len(text) > self.longest and (done := self._converged(last)):
                     path = self._path(last, done)
                     yield from path
@@ -157,25 +169,34 @@ class Model:
             end -= len(out[-1])
         return out[::-1]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, from its stretches between boundaries that no piece crosses."""
+        cuts = [0, *(k + 1 for k in range(len(word) - 1) if word[k : k + 2] not in self.joined), len(word)]
+        if len(cuts) == 2:
+            if len(word) > self.longest:
+                path = self.stream(iter([word]))
+            else:  # all of it is within the window
+                self._extend(word, last := [], "")
+                path = self._path(last, len(word))
+            return array("i", [i for piece in path for i in self.piece_ids(piece)]).tobytes()
+        return b"".join(map(self._remembered, map(word.__getitem__, map(slice, cuts, cuts[1:]))))
+
+    def _remembered(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.old_words.get(word) or self._word(word)
+            if len(word) <= 64:
+                if len(self.words) >= REMEMBERED_WORDS:
+                    self.words, self.old_words = {}, self.words
+                self.words[word] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, 4 bytes each."""
         if not text:
             return b""
         text = SPACE + text.replace(" ", SPACE)
-        out, new, old = [], self.words, self.old_words
-        for word in _WORDS.findall(text) if self.spaces_close else [text]:
-            ids = new.get(word)
-            if ids is None:
-                ids = old.get(word)
-                if ids is None:
-                    ids = array("i", [i for piece in self.stream(iter([word])) for i in self.piece_ids(piece)]).tobytes()
-                if len(word) <= 64:
-                    if len(new) >= REMEMBERED_WORDS:
-                        new, old = {}, new
-                        self.words, self.old_words = new, old
-                    new[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self._remembered, _WORDS.findall(text) if self.spaces_close else [text]))
 
     def decode(self, ids: bytes) -> str:
         found = array("i")
