@@ -34,7 +34,7 @@ from .scratch import load
 
 SPACE = "▁"
 #: Words, and pairs of pieces, that a worker remembers: up to twice as many, as the older half is dropped at once.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 400_000, 250_000
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 250_000, 125_000
 
 _NEVER = float("-inf")
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
