@@ -24,7 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, for as long as the driver lives."""
+    path = f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)  # takes effect for paths that exist
+    return path
 
 
 class Scratch:

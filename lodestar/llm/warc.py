@@ -208,7 +208,7 @@ def originals(records: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_deduplicated(load(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    path = write_deduplicated(load(spark, sf_dir, "pages"), f"{new_path(spark, 'warc')}/archives")
     return originals(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
