@@ -258,7 +258,7 @@ def stream_upsert(spark, sf_dir):
     import uuid
 
     base = f"{spark.conf.get('spark.checkpoint.dir', 'lodestar-state')}/stream-{uuid.uuid4().hex}"
-    changes = load(spark, sf_dir, "events").where("event_id < 200").select(
+    changes = load(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.lit("supplier").alias("table_name"), F.col("user_id").cast("string").alias("record_id"), F.when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE").alias("action")
     )
     changes.write.parquet(f"{base}/changes")
@@ -268,6 +268,6 @@ def stream_upsert(spark, sf_dir):
     return index.documents().select("document_id", "record_label", "searchable_text")
 
 
-@query("stream_upsert_oracle", "SELECT CAST(count(*) AS BIGINT) AS n FROM supplier WHERE s_suppkey IN (SELECT user_id FROM events WHERE event_id < 200)")
+@query("stream_upsert_oracle", "SELECT CAST(count(*) AS BIGINT) AS n FROM supplier WHERE s_suppkey IN (SELECT user_id FROM events)")
 def stream_upsert_oracle(spark, sf_dir):
     return stream_upsert(spark, sf_dir).agg(F.count("*").alias("n"))
