@@ -138,13 +138,14 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     # Copies need no windows of their own: each of theirs is in the first copy too.
     listed = summary.join(copies, ["d", "h"], "left_anti").select("d", "h", F.explode("anchors").alias("anchor"))
-    again = listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written before it is joined back: Spark can then split a hot anchor's rows, and the count's shuffle files are gone.
+    again = scratch.write(listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     repeated = listed.join(again, "anchor").groupBy("d", "h").agg(F.collect_set("anchor").alias("repeated"))
     reference = scratch.write(docs.join(repeated, ["d", "h"]).select("d", "h", "text", "repeated"))
 
     windows = reference.mapInArrow(_indexed, "key long, check int, d long, h long, at int")
     place = F.struct("d", "at")
-    index = windows.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    index = scratch.write(windows.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
     earlier = windows.join(index, ["key", "check"]).where(F.col("first") < place)
     found = earlier.groupBy("d", "h").agg(F.collect_list(F.struct("at", F.col("first.d").alias("first_d"), F.col("first.at").alias("first_at"))).alias("found"))
     found = scratch.write(found)
