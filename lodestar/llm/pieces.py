@@ -246,7 +246,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 ends.append(ends[-1] + len(ids) // 4)
                 digests.append(hashlib.sha256(ids).hexdigest())
                 same.append(model.decode(ids) == (text or "").replace(SPACE, " "))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))]))
+            data = pa.py_buffer(b"".join(packed))
+            del packed
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, data]))
             yield pa.StructArray.from_arrays([ids, pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["ids", "sha", "same"])
 
     run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
