@@ -150,12 +150,12 @@ def _closing_pairs(apart: DataFrame, texts: DataFrame, scratch: Scratch) -> Data
     num, den = SIMILARITY.numerator, SIMILARITY.denominator
     sets = texts.join(apart, "node").select("node", "root", "text").mapInArrow(_shingle_lists, "node long, root long, n int, shingles array<long>")
     rows = scratch.write(sets.dropDuplicates(["node"]).select("node", "root", "n", F.explode("shingles").alias("s")))
-    times = rows.groupBy("s").agg(F.count("*").alias("times"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "s")) - 1
-    first = rows.join(times, "s").withColumn("p", place).where(f"p <= n - (({num} * n + {den - 1}) div {den}) and times > 1")
+    times = scratch.write(rows.groupBy("s").agg(F.count("*").alias("times")).where("times > 1"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("times").asc_nulls_first(), "s")) - 1
+    first = rows.join(times, "s", "left").withColumn("p", place).where(f"p <= n - (({num} * n + {den - 1}) div {den}) and times is not null")
     first = scratch.write(first.drop("times"))
     of_root = first.groupBy("s", "root").agg(F.count("*").alias("k"))
-    mixed = of_root.groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    mixed = scratch.write(of_root.groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").drop("roots"))
     here = first.join(mixed, "s")
     minor = here.where("root <> major").select("s", *[F.col(c).alias(f"{c}_2") for c in ("node", "root", "n", "p")])
     least = f"(({num} * (n + n_2) + {num + den - 1}) div {num + den})"
@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("node", F.monotonically_increasing_id())
     )
     buckets = classes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").drop("n")
+    # Written before it is joined back: Spark can then split a hot bucket's rows, and the count's shuffle files are gone.
+    shared = scratch.write(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").drop("n"))
     live = scratch.write(buckets.join(shared, "key"))
 
     # The texts of classes that share a bucket; a repeated id may stand for another text, so the fingerprint decides.
