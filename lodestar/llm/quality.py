@@ -162,12 +162,13 @@ def outliers(counted: DataFrame, scratch: Scratch) -> DataFrame:
     )
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("size"))
     name = F.when(F.col("size") >= MIN_GROUP, F.to_json(F.struct("lang", "source"))).otherwise(F.lit(""))
-    named = sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), name.alias("group"))
+    # Tables of a row per group are written, so that Spark knows their size and broadcasts them where they are small.
+    named = scratch.write(sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), name.alias("group")))
     rows = scratch.write(rows.join(named, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).drop("g_lang", "g_source"))
     # Texts of small groups are compared with all texts.
     pool = rows if rows.where("group = ''").isEmpty() else rows.union(rows.where("group <> ''").withColumn("group", F.lit("")))
 
-    median = pool.groupBy("group").agg(*[F.percentile_approx(s, 0.5, 1000).alias(f"m{i}") for i, s in enumerate(STATS)])
+    median = scratch.write(pool.groupBy("group").agg(*[F.percentile_approx(s, 0.5, 1000).alias(f"m{i}") for i, s in enumerate(STATS)]))
     off = pool.join(median, "group")
     spread = off.groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, s in enumerate(STATS)])
     start = median.join(spread, "group").select(
