@@ -386,6 +386,26 @@ def test_candidates_above_their_threshold_are_added():
     assert pii.redacted("ab 12 cd", [("ip", 3, 5), ("card", 4, 5)]) == "ab [IP] cd"
 
 
+def test_a_span_of_each_kind_is_added_that_base_detectors_miss(spark, docs):
+    from lodestar.llm import pii
+
+    model = pii.fit(docs)
+    cases = [
+        ("so write jane (at) host (dot) org now", "email", "jane (at) host (dot) org"),
+        ("we had 555-123-4567 there", "phone", "555-123-4567"),
+        ("and (020) 7946 0018 is", "phone", "(020) 7946 0018"),
+        ("from 10,0,0,1 came", "ip", "10,0,0,1"),
+        ("paid 4111.1111.1111.1111 and", "card", "4111.1111.1111.1111"),
+        ('a token = "' + "0a1b" * 10 + '" b', "secret", "0a1b" * 10),
+    ]
+    for text, kind, span in cases:
+        assert pii.base_spans(text) == []
+        (found,) = pii._added(model, [text], [[]])
+        assert [(k, text[a:b]) for k, a, b in found] == [(kind, span)]
+    plain = ["me @ home. Then we", "sum 1,2,3,4 and", "paid 4111.1111.1111.1112 and", "on 2024-01-15 10 it", "x 1234 5678 y", 'a number "' + "0a1b" * 10 + '" b']
+    assert pii._added(model, plain, [[] for _ in plain]) == [[] for _ in plain]
+
+
 # 8
 
 
