@@ -440,6 +440,21 @@ def test_outliers_are_far_from_a_robust_estimate(spark):
     assert np.mean([found[1000 + i].d2 for i in range(60)]) > 5 * np.mean([found[i].d2 for i in range(400)])
 
 
+def test_planted_outliers_are_not_kept(spark):
+    from lodestar.llm import quality
+
+    rng = random.Random(6)
+    rows = [(i, messy.prose(rng, rng.randint(40, 200)), "en", "a") for i in range(400)]
+    rows += [(1000 + i, " ".join(w + rng.choice(["###", "***", "$$$"]) for w in messy.prose(rng, 100).split()), "en", "a") for i in range(60)]
+    long = [messy.prose(rng, 100).split() for _ in range(20)]
+    rows += [(2000 + i, " ".join(a + b for a, b in zip(w[::2], w[1::2])), "en", "a") for i, w in enumerate(long)]
+    rows += [(3000 + i, " ".join(w + w[:18]), "en", "a") for i, w in enumerate(long[:10])]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert np.mean([found[i].kept for i in range(400)]) > 0.99
+    assert not any(r.kept for i, r in found.items() if i >= 1000 and not r.base_failed)
+    assert not any(found[i].base_failed for i in range(1000, 1060))
+
+
 # 9
 
 
