@@ -4,7 +4,9 @@ Texts become vectors of hashed byte n-grams (1 to 3 bytes of the lower-cased
 text, what isn't a letter as one space) with TF-IDF weights and length 1. Each
 language gets several centroids by spherical k-means; a text takes the language
 of the centroid of largest cosine. It is rejected (``rejected``) if that cosine
-is below the language's own threshold, which is far below any training text's.
+is below the language's threshold for texts of its length: ``REJECT`` times the
+``QUANTILE`` of the cosines of training texts of at least ``LEAST_LETTERS`` letters
+in the same band of lengths, each compared with centroids that leave it out.
 
 The model is fitted on a bounded sample: for each language the ``PER_LANGUAGE``
 texts with the smallest hash of id and text (a repeated row counts once), at
@@ -17,6 +19,7 @@ language or text teach nothing. Only the text is an input of a prediction.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +37,12 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 1000
 MAX_LANGUAGES = 256
 CENTROIDS = 4
-#: A text is rejected below this share of the lowest cosine of its language's training texts.
-REJECT = 0.3
+#: A text is rejected below this share of this quantile of its language's training texts of like length.
+REJECT = 0.5
+QUANTILE = 0.02
+#: Bands of lengths: the first begins at LEAST_LETTERS letters, each next one at twice as many. A band of fewer texts takes in shorter ones, then longer ones.
+BANDS = 5
+LEAST_BAND = 20
 #: Texts of fewer letters are too short to be judged far from everything; only a text without a letter is then rejected.
 LEAST_LETTERS = 20
 UNKNOWN = "und"
@@ -64,6 +71,16 @@ def grams(text: str) -> np.ndarray:
     return out
 
 
+def band(letters: int) -> int:
+    """Number of the band of lengths, -1 for texts too short to be judged."""
+    return -1 if letters < LEAST_LETTERS else min((letters // LEAST_LETTERS).bit_length(), BANDS) - 1
+
+
+def _letters(text: str) -> int:
+    """Letters of a text, counted no further than where the last band begins."""
+    return sum(1 for _ in itertools.islice(LETTER.finditer(text), LEAST_LETTERS << (BANDS - 1)))
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF rows of length 1."""
     x = np.log1p(counts).astype(np.float32) * idf
@@ -74,7 +91,7 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    thresholds: np.ndarray  # of each centroid
+    thresholds: np.ndarray  # of each centroid and band
     idf: np.ndarray
 
 
@@ -83,8 +100,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [grams(text) for text in batch.column(1).to_pylist()]
         at = [np.flatnonzero(v).astype("<i2") for v in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([np.minimum(v[a], 1 << 30).astype("<i4").tobytes() for v, a in zip(found, at)], pa.binary())],
-            names=["lang", "at", "n"],
+            [batch.column(0), pa.array([band(_letters(t)) for t in batch.column(1).to_pylist()], pa.int32()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([np.minimum(v[a], 1 << 30).astype("<i4").tobytes() for v, a in zip(found, at)], pa.binary())],
+            names=["lang", "band", "at", "n"],
         )
 
 
@@ -95,6 +112,27 @@ def _dense(at: pd.Series, n: pd.Series) -> np.ndarray:
     return out
 
 
+def _left_out(x: np.ndarray, centres: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Largest cosine of each text, its own cluster's centroid taken without it."""
+    cosine = x @ centres.T
+    sums = np.array([x[best == c].sum(axis=0) for c in range(len(centres))])
+    own = sums[best] - x
+    cosine[np.arange(len(x)), best] = (own * x).sum(axis=1) / np.maximum(np.linalg.norm(own, axis=1), 1e-9)
+    return cosine.max(axis=1)
+
+
+def _thresholds(cosine: np.ndarray, bands: np.ndarray) -> list[float]:
+    """A threshold for each band; 0 if no text is long enough to tell."""
+    out = []
+    for b in range(BANDS):
+        low, high = b, b
+        while ((bands >= low) & (bands <= high)).sum() < LEAST_BAND and (low > 0 or high < BANDS - 1):
+            low, high = (low - 1, high) if low > 0 else (low, high + 1)
+        of = cosine[(bands >= low) & (bands <= high)]
+        out.append(REJECT * float(np.quantile(of, QUANTILE)) if len(of) else 0.0)
+    return out
+
+
 def _cluster(idf: np.ndarray, k: int):
     """Spherical k-means over the vectors of one language (at most PER_LANGUAGE rows)."""
 
@@ -108,8 +146,9 @@ def _cluster(idf: np.ndarray, k: int):
             best = (x @ centres.T).argmax(axis=1)
             sums = np.array([x[best == c].sum(axis=0) if (best == c).any() else centres[c] for c in range(len(centres))])
             centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-        low = float((x @ centres.T).max(axis=1).min())
-        return pd.DataFrame({"lang": [key[0]] * len(centres), "centre": [c.astype("<f4").tobytes() for c in centres], "low": low})
+        best = (x @ centres.T).argmax(axis=1)
+        low = _thresholds(_left_out(x, centres, best), rows["band"].to_numpy())
+        return pd.DataFrame({"lang": [key[0]] * len(centres), "centre": [c.astype("<f4").tobytes() for c in centres], "low": [low] * len(centres)})
 
     return run
 
@@ -129,14 +168,14 @@ def fit(labelled: DataFrame) -> Model | None:
         raise ValueError(f"{n_languages} languages; the model is meant for {MAX_LANGUAGES} at most")
     # At most MAX_LANGUAGES * PER_LANGUAGE keys, so they may be broadcast.
     sample = keyed.join(F.broadcast(chosen), ["lang", "__key"], "left_semi").dropDuplicates(["lang", "__key"])
-    rows = scratch.write(sample.select("lang", "text").mapInArrow(_vectors, "lang string, at binary, n binary"))
+    rows = scratch.write(sample.select("lang", "text").mapInArrow(_vectors, "lang string, band int, at binary, n binary"))
     present = rows.select(F.explode(F.arrow_udf(_indices, "array<int>")("at")).alias("i")).groupBy("i").count()
     frequency = np.zeros(DIMENSIONS)
     for row in present.collect():
         frequency[row.i] = row["count"]
     idf = (np.log((1 + rows.count()) / (1 + frequency)) + 0.1).astype(np.float32)
-    found = rows.groupBy("lang").applyInPandas(_cluster(idf, CENTROIDS), "lang string, centre binary, low double").orderBy("lang", "centre").collect()
-    return Model([r.lang for r in found], np.array([np.frombuffer(r.centre, "<f4") for r in found]), np.array([REJECT * r.low for r in found]), idf)
+    found = rows.groupBy("lang").applyInPandas(_cluster(idf, CENTROIDS), "lang string, centre binary, low array<double>").orderBy("lang", "centre").collect()
+    return Model([r.lang for r in found], np.array([np.frombuffer(r.centre, "<f4") for r in found]), np.array([r.low for r in found]), idf)
 
 
 def _indices(at: pa.Array) -> pa.Array:
@@ -165,7 +204,11 @@ def predictor(spark: SparkSession, model: Model | None):
                 cosine = x @ m.centroids.T
                 best = cosine.argmax(axis=1)
                 for t, b, c in zip(part, best, cosine[np.arange(len(part)), best]):
-                    out.append((m.languages[b], float(min(max(c, 0.0), 1.0)), bool(c < m.thresholds[b] and len(LETTER.findall(t, 0, 4 * LEAST_LETTERS)) >= LEAST_LETTERS)) if t is not None else (UNKNOWN, 0.0, True))
+                    if t is None:
+                        out.append((UNKNOWN, 0.0, True))
+                        continue
+                    size = band(_letters(t))
+                    out.append((m.languages[b], float(min(max(c, 0.0), 1.0)), bool(size >= 0 and c < m.thresholds[b, size])))
             yield pa.array([dict(zip(("lang", "score", "rejected"), v)) for v in out], _ARROW)
 
     run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}

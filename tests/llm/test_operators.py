@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from . import messy
 
@@ -222,6 +223,23 @@ def test_far_texts_are_rejected(spark, sf_dir):
     assert all(r.v.rejected for r in alien.select(predict("text").alias("v")).collect())
 
 
+def test_unlearned_latin_texts_are_rejected(spark, sf_dir):
+    from lodestar.llm import langid
+
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    predict = langid.predictor(spark, langid.fit(docs.where(~langid.in_fold())))
+    rng = random.Random(4)
+    alien = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for n in (60, 200, 600, 2000)]
+    alien += [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    ]
+    found = spark.createDataFrame([(t,) for t in alien], "text string").select("text", predict("text").alias("v")).collect()
+    assert [(len(r.text), r.v.score) for r in found if not r.v.rejected] == []
+    clean = docs.where(langid.in_fold() & (F.length("text") > 40)).select(predict("text").alias("v")).collect()
+    assert np.mean([r.v.rejected for r in clean]) < 0.01
+
+
 # 5
 
 
