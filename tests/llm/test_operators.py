@@ -424,6 +424,17 @@ def test_a_span_of_each_kind_is_added_that_base_detectors_miss(spark, docs):
     assert pii._added(model, plain, [[] for _ in plain]) == [[] for _ in plain]
 
 
+def test_a_rare_secret_is_redacted_to_its_end(spark):
+    from lodestar.llm import pii
+
+    key = "0a1b" * 300
+    docs = spark.createDataFrame([(1, f'a token = "{key}" b'), (2, "nothing here")], "doc_id long, text string")
+    model = pii.fit(docs)
+    assert set(model.thresholds) == set(pii.KINDS)
+    (found,) = pii._added(model, [f'a token = "{key}" b'], [[]])
+    assert found == [("secret", 11, 11 + len(key))]
+
+
 # 8
 
 
