@@ -15,10 +15,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a folder in the warehouse, which a cluster shares; on a local master a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="lodestar-")
+        if spark.sparkContext.master.startswith("local"):
+            found = tempfile.mkdtemp(prefix="lodestar-")
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestar-scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
