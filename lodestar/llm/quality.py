@@ -7,27 +7,30 @@ judged by the Mahalanobis distance of their transformed statistics (``STATS``)
 from a minimum-covariance-determinant estimate of their group, language and
 source:
 
-- the start is each group's medians and median absolute deviations;
-- concentration steps follow until the estimates stop changing (``MOST_STEPS`` at
-  most): the ``CORE`` share of the group with the smallest distances gives the next
-  mean and covariance, whose determinant can only fall;
+- three deterministic starts from each group's medians and median absolute deviations:
+  these alone, the covariance of the texts' spatial signs, and that of the hyperbolic
+  tangents of their standardised statistics;
+- a concentration step takes the ``CORE`` share of the group with the smallest distances
+  for the next mean and covariance. After ``FIRST_STEPS`` steps of every start each group
+  goes on with that of the smallest determinant, until no estimate changes
+  (``MOST_STEPS`` at most);
+- an estimate is shrunk toward that of its language, and a language's toward that of all
+  texts, as if ``PRIOR`` texts of the parent had been seen beside the group's own. So a
+  small group mostly has its parent's estimate and a large one its own, without a switch;
 - a variance, given the statistics before it, is ``FLOOR`` at least, the size of what
   can be measured, since some statistics are constant in the core; distances are
-  scaled so that their median is at most that of the chi-squared distribution.
+  scaled so that their median (shrunk alike) is at most that of the chi-squared distribution.
 
 A text is kept if its scaled squared distance is at most ``CUT``, the chi-squared
 quantile of 0.9999.
 
-Group statistics are sums, so the hot group is combined before any shuffle.
-Groups of fewer than ``MIN_GROUP`` texts share one estimate over all texts.
-Null language or source is a group value of its own. Null and wordless texts
+Group statistics are sums and quantile summaries, so the hot group is combined before any
+shuffle. Null language or source is a group value of its own. Null and wordless texts
 have no words, fail the base rules and are not kept. Every row gives a row.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +41,10 @@ MAX_REPEAT = 20
 REPEAT_WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
-MIN_GROUP = 50
+#: Texts of the parent that stand beside a group's own.
+PRIOR = 50
 CORE = 0.75
-MOST_STEPS = 60
+FIRST_STEPS, MOST_STEPS = 2, 60
 #: Estimates that differ by less, in standard deviations, are the same.
 SAME = 1e-6
 #: Smallest variances of the transformed statistics: 10 % in the number of words, 10 % in their mean
@@ -48,8 +52,7 @@ SAME = 1e-6
 FLOOR = (0.01, 0.01, 0.0025, 0.0009)
 #: Median of the chi-squared distribution with as many degrees of freedom as statistics.
 CHI_MEDIAN = 3.357
-#: Texts beyond this squared distance are rejected (chi-squared with 4 degrees of freedom: far below 1e-9).
-#: Quantile 0.9999 of that distribution.
+#: Quantile 0.9999 of that distribution; texts beyond it are rejected.
 CUT = 23.513
 
 STATS = ("log_words", "word_length", "symbol_share", "repeat_share")
@@ -115,90 +118,143 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), _let(text, measured).alias("c")).select("doc_id", "lang", "source", "c.*")
 
 
-def _sum(values) -> Column:
-    return reduce(lambda a, b: a + b, values)
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+MEAN = [f"m{i}" for i in range(P)]
+COV = [f"c{i}{j}" for i, j in PAIRS]
+LOW = [f"l{i}{j}" for i, j in PAIRS]
+
+
+#: Squared Mahalanobis distance by forward substitution, each z made of those before it.
+_Z = [f"({s} - m{i}{''.join(f' - l{i}{k} * z{k}' for k in range(i))}) / l{i}{i} AS z{i}" for i, s in enumerate(STATS)]
+_D2 = " + ".join(f"z{i} * z{i}" for i in range(P))
+
+
+def _shrunk(child: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
+    """``child`` (a size, mean and covariance for each key) as if PRIOR texts of ``parent`` stood beside its own: the moments of that mixture."""
+    both = child.join(parent.selectExpr(*on, *[f"{c} AS p_{c}" for c in MEAN + COV]), on)
+    mixed = lambda c: f"p_{c} + w * ({c} - p_{c})"
+    return both.withColumn("w", F.expr(f"size / (size + {PRIOR})")).selectExpr(
+        *[c for c in child.columns if c not in MEAN + COV],
+        *[f"{mixed(m)} AS {m}" for m in MEAN],
+        *[f"{mixed(f'c{i}{j}')} + w * (1 - w) * (m{i} - p_m{i}) * (m{j} - p_m{j}) AS c{i}{j}" for i, j in PAIRS],
+    )
 
 
-def _cholesky(cov) -> list[list[Column]]:
-    """Lower triangle of the Cholesky factor of a covariance given as columns."""
-    low: list[list[Column]] = []
-    for i in range(P):
-        row: list[Column] = []
-        for j in range(i + 1):
-            rest = cov(i, j) - _sum([F.lit(0.0), *(row[k] * low[j][k] for k in range(j))]) if j < i else cov(i, i) - _sum([F.lit(0.0), *(row[k] * row[k] for k in range(i))])
-            row.append(F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / low[j][j])
-        low.append(row)
-    return low
+def _rolled_up(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Estimates of groups put together to those of ``by``. There is a row per group, so the sums of squares about zero are few and small."""
+    names = MEAN + [f"q{i}{j}" for i, j in PAIRS]
+    squares = parts.selectExpr(*by, "size", *MEAN, *[f"c{i}{j} + m{i} * m{j} AS q{i}{j}" for i, j in PAIRS])
+    sums = squares.groupBy(*by).agg(F.sum("size").alias("size"), *[F.expr(f"sum(size * {c}) / sum(size) AS {c}") for c in names])
+    return sums.selectExpr(*by, "size", *MEAN, *[f"q{i}{j} - m{i} * m{j} AS c{i}{j}" for i, j in PAIRS])
 
 
-def _distance(stat, mean, low) -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    z: list[Column] = []
-    for i in range(P):
-        z.append((stat(i) - mean(i) - _sum([F.lit(0.0), *(low(i, k) * z[k] for k in range(i))])) / low(i, i))
-    return _sum([x * x for x in z])
+def _factored(sums: DataFrame) -> DataFrame:
+    """The Cholesky factor in place of the covariance, with floored variances, and ``log_det``."""
+    low = []
+    for i, j in PAIRS:
+        rest = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        low.append(f"sqrt(greatest({rest}, {FLOOR[i]}D)) AS l{i}{i}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return sums.selectExpr(*[c for c in sums.columns if c not in COV], *low, " + ".join(f"2 * ln(l{i}{i})" for i in range(P)) + " AS log_det")
+
+
+def _hierarchical(parts: DataFrame) -> DataFrame:
+    """Estimates (start, group, lang, size, mean, covariance) shrunk toward their language's, and those toward that of all."""
+    all_texts = _rolled_up(parts, ["start"])
+    languages = _shrunk(_rolled_up(parts, ["start", "lang"]), all_texts, ["start"])
+    return _factored(_shrunk(parts, languages, ["start", "lang"])).drop("size")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of each group, with floored variances."""
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    sums = rows.groupBy("group").agg(*[F.avg(F.col(s)).alias(f"m{i}") for i, s in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i, j in pairs])
-    for i in range(P):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") - _sum([F.lit(0.0), *(F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j))])
-            sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i]))) if i == j else rest / F.col(f"l{j}{j}"))
-    return sums.select("group", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in pairs])
+    return rows.groupBy("start", "group", "lang").agg(
+        F.count("*").cast("double").alias("size"), *[F.avg(s).alias(m) for s, m in zip(STATS, MEAN)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i, j in PAIRS]
+    )
 
 
 def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    return rows.join(estimate, "group").select(*rows.columns, _distance(lambda i: F.col(STATS[i]), lambda i: F.col(f"m{i}"), lambda i, j: F.col(f"l{i}{j}")).alias("d2"))
+    """``rows`` with their squared distance; those of several starts are given once for each of them."""
+    return rows.join(estimate.drop("lang", "log_det"), "group").selectExpr("*", *_Z).selectExpr(*rows.columns, "start", f"{_D2} AS d2")
+
+
+def _concentrated(rows: DataFrame, estimate: DataFrame, scratch: Scratch) -> DataFrame:
+    """The next estimates, from the core of each group and start."""
+    near = _measured(rows, estimate)
+    limit = scratch.write(near.groupBy("start", "group").agg(F.percentile_approx("d2", CORE, 1000).alias("limit")))
+    return scratch.write(_hierarchical(scratch.write(_moments(near.join(limit, ["start", "group"]).where("d2 <= limit")))))
+
+
+def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """First estimates of each group: medians and deviations (0), spatial signs (1), hyperbolic tangents (2)."""
+    median = scratch.write(rows.groupBy("group").agg(*[F.percentile_approx(s, 0.5, 1000).alias(m) for s, m in zip(STATS, MEAN)]))
+    off = rows.join(median, "group")
+    spread = scratch.write(
+        off.groupBy("group", "lang").agg(F.count("*").cast("double").alias("size"), *[F.percentile_approx(F.abs(F.col(s) - F.col(m)), 0.5, 1000).alias(f"s{i}") for i, (s, m) in enumerate(zip(STATS, MEAN))]).join(median, "group")
+    )
+    sigma = [f"sqrt(greatest(pow(1.4826D * s{i}, 2), {FLOOR[i]}D)) AS g{i}" for i in range(P)]
+    kept = ["group", "lang", "size", *MEAN, *[f"g{i}" for i in range(P)]]
+    ahead = rows.join(spread.drop("lang"), "group").selectExpr("*", *sigma, *[f"({s} - m{i}) / g{i} AS z{i}" for i, s in enumerate(STATS)], f"greatest(sqrt({_D2}), 1e-9D) AS length")
+    forms = ("z{} / length", "tanh(z{})")
+    joint = ahead.groupBy(*kept).agg(*[F.expr(f"covar_pop({f.format(i)}, {f.format(j)}) AS v{k}_{i}{j}") for k, f in enumerate(forms) for i, j in PAIRS])
+    # Correlations of the transformed statistics, with the deviations as scales. A constant statistic has none.
+    norm = "greatest(sqrt(greatest(v{0}_{1}{1} * v{0}_{2}{2}, 0D)), 1e-12D)"
+    shaped = scratch.write(joint.selectExpr(*kept, *[f"v{k}_{i}{j} / {norm.format(k, i, j)} AS r{k}_{i}{j}" for k in range(len(forms)) for i, j in PAIRS if i != j]))
+    found = None
+    for start in range(3):
+        share = lambda i, j: "1D" if i == j else "0D" if start == 0 else f"r{start - 1}_{i}{j}"  # noqa: B023, E731
+        one = shaped.selectExpr(f"{start} AS start", "group", "lang", "size", *MEAN, *[f"g{i} * g{j} * {share(i, j)} AS c{i}{j}" for i, j in PAIRS])
+        found = one if found is None else found.union(one)
+    return scratch.write(_hierarchical(found))
 
 
 def _changed(last: DataFrame, now: DataFrame) -> DataFrame:
     """Groups whose mean or factor moved."""
-    both = last.alias("a").join(now.alias("b"), "group")
-    moved = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > SAME * F.col(f"b.l{i}{i}") for i in range(P) for c in (f"m{i}", *(f"l{i}{j}" for j in range(i + 1)))]
-    return both.where(reduce(lambda x, y: x | y, moved)).select("group")
+    both = last.alias("a").join(now.alias("b"), ["start", "group"])
+    moved = [f"abs(a.{c} - b.{c}) > {SAME} * b.l{i}{i}" for i in range(P) for c in (f"m{i}", *(f"l{i}{j}" for j in range(i + 1)))]
+    return both.where(" OR ".join(moved)).select("group")
+
+
+def _scales(rows: DataFrame, estimate: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per group the factor that brings its median distance down to that of the chi-squared distribution, shrunk like the estimates."""
+    far = _measured(rows, estimate)
+    median, n = F.percentile_approx("d2", 0.5, 1000), F.count("*")
+    own = scratch.write(far.groupBy("group", "lang").agg(median.alias("own"), n.alias("n")))
+    lang = scratch.write(far.groupBy("lang").agg(median.alias("of_lang"), n.alias("n_lang")))
+    whole = scratch.write(far.agg(median.alias("of_all")))
+    shrunk = lambda value, size, parent: (F.col(size) * F.col(value) + PRIOR * parent) / (F.col(size) + PRIOR)
+    middle = shrunk("own", "n", shrunk("of_lang", "n_lang", F.col("of_all")))
+    # One row beside a row per group.
+    joined = own.withColumn("one", F.lit(1)).join(whole.withColumn("one", F.lit(1)), "one").join(lang, own["lang"].eqNullSafe(lang["lang"]))
+    return scratch.write(joined.select("group", F.greatest(middle / CHI_MEDIAN, F.lit(1.0)).alias("scale")))
+
+
+def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per group of ``rows`` (group, lang, STATS): mean and Cholesky factor, log_det, scale."""
+    estimate = _starts(rows, scratch)
+    for _ in range(FIRST_STEPS):
+        estimate = _concentrated(rows, estimate, scratch)
+    columns = [c for c in estimate.columns if c not in ("group", "lang")]
+    best = estimate.groupBy("group", "lang").agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("b"))
+    # From here on there is one start.
+    estimate = scratch.write(best.select("group", "lang", F.lit(0).alias("start"), *[f"b.{c}" for c in columns if c != "start"]))
+    for _ in range(MOST_STEPS):
+        last, estimate = estimate, _concentrated(rows, estimate, scratch)
+        if _changed(last, estimate).isEmpty():
+            break
+    return scratch.write(estimate.join(_scales(rows, estimate, scratch), "group").drop("start", "lang"))
 
 
 def outliers(counted: DataFrame, scratch: Scratch) -> DataFrame:
     """``counted`` (of texts with words) with d2, the scaled squared distance from its group's robust estimate."""
     n = F.col("n_words")
-    rows = counted.withColumns(
-        {
-            "log_words": F.log1p(n.cast("double")),
-            "word_length": F.log(F.col("word_chars") / n),
-            "symbol_share": F.sqrt(F.col("n_symbols") / F.col("word_chars")),
-            "repeat_share": F.col("n_repeat_words") / n,
-        }
-    )
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("size"))
-    name = F.when(F.col("size") >= MIN_GROUP, F.to_json(F.struct("lang", "source"))).otherwise(F.lit(""))
-    # Tables of a row per group are written, so that Spark knows their size and broadcasts them where they are small.
-    named = scratch.write(sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), name.alias("group")))
-    rows = scratch.write(rows.join(named, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).drop("g_lang", "g_source"))
-    # Texts of small groups are compared with all texts.
-    pool = rows if rows.where("group = ''").isEmpty() else rows.union(rows.where("group <> ''").withColumn("group", F.lit("")))
-
-    median = scratch.write(pool.groupBy("group").agg(*[F.percentile_approx(s, 0.5, 1000).alias(f"m{i}") for i, s in enumerate(STATS)]))
-    off = pool.join(median, "group")
-    spread = off.groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, s in enumerate(STATS)])
-    start = median.join(spread, "group").select(
-        "group",
-        *[f"m{i}" for i in range(P)],
-        *[(F.sqrt(F.greatest(F.pow(1.4826 * F.col(f"s{i}"), 2), F.lit(FLOOR[i]))) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)],
-    )
-    estimate = scratch.write(start)
-    for _ in range(MOST_STEPS):
-        near = _measured(pool, estimate)
-        limit = scratch.write(near.groupBy("group").agg(F.percentile_approx("d2", CORE, 1000).alias("limit")))
-        last, estimate = estimate, scratch.write(_moments(near.join(limit, "group").where("d2 <= limit")))
-        if _changed(last, estimate).isEmpty():
-            break
-    middle = _measured(pool, estimate).groupBy("group").agg(F.percentile_approx("d2", 0.5, 1000).alias("middle"))
-    scaled = estimate.join(middle, "group").withColumn("scale", F.greatest(F.col("middle") / CHI_MEDIAN, F.lit(1.0))).drop("middle")
-    found = rows.join(scratch.write(scaled), "group")
-    return found.select(*counted.columns, (_distance(lambda i: F.col(STATS[i]), lambda i: F.col(f"m{i}"), lambda i, j: F.col(f"l{i}{j}")) / F.col("scale")).alias("d2"))
+    stats = {
+        "log_words": F.log1p(n.cast("double")),
+        "word_length": F.log(F.col("word_chars") / n),
+        "symbol_share": F.sqrt(F.col("n_symbols") / F.col("word_chars")),
+        "repeat_share": F.col("n_repeat_words") / n,
+    }
+    # Values of a language or source as JSON, which tells null from any text.
+    rows = scratch.write(counted.withColumns({**stats, "group": F.to_json(F.struct("lang", "source")), "__lang": F.to_json(F.struct("lang"))}))
+    found = estimates(rows.select("group", F.col("__lang").alias("lang"), *STATS), scratch)
+    return rows.join(found, "group").selectExpr("*", *_Z).selectExpr(*counted.columns, f"({_D2}) / scale AS d2")
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -513,6 +513,64 @@ def test_planted_outliers_are_not_kept(spark):
     assert not any(found[i].base_failed for i in range(1000, 1060))
 
 
+def brute_mcd(x, floor, tries=150):
+    """Mean and Cholesky factor of smallest determinant, from random subsets, in numpy."""
+    rng, h, best = np.random.default_rng(1), -(-3 * len(x) // 4), None
+
+    def factor(rows):
+        cov, low = np.cov(rows.T, bias=True), np.zeros((x.shape[1],) * 2)
+        for i in range(len(cov)):
+            for j in range(i + 1):
+                rest = cov[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(rest, floor[i])) if i == j else rest / low[j, j]
+        return rows.mean(axis=0), low
+
+    for _ in range(tries):
+        mean, low = factor(x[rng.choice(len(x), 10, replace=False)])
+        for _ in range(50):
+            d2 = (np.linalg.solve(low, (x - mean).T) ** 2).sum(axis=0)
+            mean, low = factor(x[np.argsort(d2, kind="stable")[:h]])
+        det = 2 * np.log(np.diag(low)).sum()
+        if best is None or det < best[0] - 1e-9:
+            best = det, mean, low
+    return best
+
+
+def test_estimate_has_the_smallest_determinant(spark):
+    from lodestar.llm import quality
+    from lodestar.llm.scratch import Scratch
+
+    rng = np.random.default_rng(5)
+    good = rng.multivariate_normal([5, 1.6, 0.2, 0.1], np.array([[0.6, 0.05, 0.02, 0.0], [0.05, 0.2, 0.01, 0.0], [0.02, 0.01, 0.1, 0.01], [0.0, 0.0, 0.01, 0.05]]), 260)
+    x = np.vstack([good, rng.normal([8, 3, 2, 1], 0.2, (60, 4))])
+    frame = spark.createDataFrame([("g", "en", *map(float, r)) for r in x], "group string, lang string, log_words double, word_length double, symbol_share double, repeat_share double")
+    (found,) = quality.estimates(frame, Scratch(spark, "mcd")).collect()
+    det, mean, low = brute_mcd(x, quality.FLOOR)
+    assert found.log_det <= det + 1e-3
+    assert np.allclose([found[f"m{i}"] for i in range(4)], mean, atol=0.02)
+    ours = np.array([[found[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+    d2 = lambda m, f: (np.linalg.solve(f, (x - m).T) ** 2).sum(axis=0)
+    centre = np.array([found[f"m{i}"] for i in range(4)])
+    assert np.allclose(d2(centre, ours), d2(mean, low), rtol=0.1, atol=0.1)
+    core = x[np.argsort(d2(centre, ours), kind="stable")[:240]]  # a further step changes nothing
+    assert np.allclose(core.mean(axis=0), centre, atol=1e-6) and np.allclose(ours @ ours.T, np.cov(core.T, bias=True), atol=1e-6)
+    assert (d2(mean, low)[260:] / found.scale > quality.CUT).all()
+
+
+def test_small_groups_lean_on_their_language(spark):
+    from lodestar.llm import quality
+    from lodestar.llm.scratch import Scratch
+
+    rng = np.random.default_rng(6)
+    rows = [(f"{lang}{g}", lang, *map(float, rng.normal([mid + 0.1 * g, 1.5, 0.1, 0.1], 0.2))) for lang, mid in (("en", 5), ("fr", 7)) for g, n in ((0, 500), (1, 40), (2, 1)) for _ in range(n)]
+    rows.append((None, None, 6.0, 1.5, 0.1, 0.1))
+    frame = spark.createDataFrame(rows, "group string, lang string, log_words double, word_length double, symbol_share double, repeat_share double").fillna({"group": "none", "lang": "null"})
+    found = {r.group: r for r in quality.estimates(frame, Scratch(spark, "mcd")).collect()}
+    assert len(found) == 7 and len({round(r.m0, 6) for r in found.values()}) == 7
+    assert abs(found["en2"].m0 - found["en0"].m0) < 0.3 < 1 < found["fr2"].m0 - found["en2"].m0
+    assert abs(found["en0"].m0 - 5) < 0.05 and abs(found["none"].m0 - 6) < 0.5
+
+
 # 9
 
 
