@@ -1,27 +1,33 @@
 """Operator 9: substring dedup by relative Lempel-Ziv parsing.
 
-Each document is parsed against all text before it (documents of smaller id,
-and its own earlier words): a factor is a longest run of words copied from one
-place of that reference, found greedily from left to right. Factors of at least
-``WINDOW`` words are duplicate spans; their words are removed. The reference is
-indexed in blocks, the hash partitions of Spark's shuffle, and every document
-meets every block that can hold a factor of it:
-
-1. A document is summarised by anchors: of each window of ``WINDOW`` words, the
+The reference is all text; what is before a document in it are the documents of
+smaller id and its own earlier words. It is cut into blocks of ``BLOCK`` words
+(and the ``WINDOW - 1`` words after them, so that each window lies within one), and
+every document is parsed against every block that can give it a factor:
+
+1. Anchors sort out what can't repeat: of each window of ``WINDOW`` words, the
    ``ANCHOR``-word run of smallest hash. Equal windows have equal anchors, so
-   only windows whose anchor occurs twice can occur twice. This cuts the index
-   to the repeated part of the corpus. Whole copies of a document are found by
-   its fingerprint and are one factor each.
-2. The windows with repeated anchors are indexed by a 96-bit hash of their
-   words; the index holds the first place of each. A hot window is combined
-   before the shuffle.
-3. Per document, windows that occurred earlier are joined up to factors as long
-   as both sides go on side by side; a factor ends where its next word would
-   differ from the source's.
+   only windows whose anchor occurs twice can occur twice. Whole copies of a
+   document are found by its fingerprint and are one factor each.
+2. The index has the first place of each window with a repeated anchor that
+   occurs twice, by a 96-bit hash of its words. A hot window is combined before the
+   shuffle. A document meets the blocks in which its windows have their first
+   places: a pair of document and block is sent once, however many windows they share.
+3. Each document is factored greedily from left to right against the words of
+   the blocks it meets: at a position where a window of a block begins that is before
+   it, the longest run of equal words over all these places is the factor (of equally
+   long ones the earliest place), and the parse goes on at its end. There the boundary
+   is checked: windows across it, which begin in the factor's last ``WINDOW - 1`` words, are
+   looked up as well, so a factor may overlap the one before.
+
+Factors have ``WINDOW`` words at least; they are the duplicate spans, whose words are
+removed. As each window that occurs earlier has its first place in a block that
+was met, no such window is missed.
 
 The order is (doc_id, position); null ids come last. Null and short texts have
 no window and lose nothing. Rows with equal ids are separate documents, neither
-of which is before the other at the same position.
+of which is before the other at the same position; rows that repeat id and text
+are parsed once.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ from .scratch import Scratch, load
 
 WINDOW = 20
 ANCHOR = 8
+#: Words of a reference block, by where its windows begin.
+BLOCK = 128
 _LAST = (1 << 63) - 1
 #: A second multiplier, for the check hash of a window.
 _CHECK = 0xC2B2AE3D27D4EB4F
@@ -93,23 +101,56 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check), pa.array(np.full(len(at), d, np.int64)), pa.array(np.full(len(at), h, np.int64)), pa.array(at)], names=["key", "check", "d", "h", "at"])
 
 
-def factors(at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, words, source document, source start) from the windows that occurred earlier, by position."""
-    if not len(at):
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The reference's documents in blocks of words."""
+    for batch in batches:
+        for d, h, text in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text"))):
+            w = words(text)
+            parts = [b" ".join(w[i : i + BLOCK + WINDOW - 1]) for i in range(0, len(w) - WINDOW + 1, BLOCK)]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=["source", "source_h", "block", "words"])
+
+
+def factors(own: np.ndarray, d: int, blocks: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, source document, source start) of the document ``d``, given its words' hashes and the blocks it meets (source, start, words' hashes)."""
+    blocks = sorted(blocks, key=lambda b: b[:2])
+    keys = [hashing.windows(b[2], WINDOW) for b in blocks]
+    if not any(len(k) for k in keys):
         return []
-    goes_on = (np.diff(at) == 1) & (np.diff(source) == 0) & (np.diff(source_at) == 1)
-    begins = np.concatenate([[0], np.flatnonzero(~goes_on) + 1])
-    ends = np.concatenate([begins[1:], [len(at)]])
-    return [(int(at[b]), int(e - b) + WINDOW - 1, int(source[b]), int(source_at[b])) for b, e in zip(begins, ends)]
+    of_block = np.repeat(np.arange(len(blocks)), [len(k) for k in keys])
+    offset = np.concatenate([np.arange(len(k)) for k in keys])
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")  # places of a window stay in their order
+    flat, mine = flat[order], hashing.windows(own, WINDOW)
+    low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+    known = np.flatnonzero(low < high)
+    out, k = [], 0
+    while k < len(known):
+        at, best = int(known[k]), None
+        for place in order[low[at] : high[at]]:
+            source, start, theirs = blocks[of_block[place]]
+            o = int(offset[place])
+            if (source, start + o) >= (d, at):
+                break
+            a = own[at : at + len(theirs) - o]
+            apart = np.flatnonzero(a != theirs[o : o + len(a)])
+            n = int(apart[0]) if len(apart) else len(a)
+            if n >= WINDOW and (best is None or n > best[1]):
+                best = at, n, source, start + o
+        if best is None:
+            k += 1
+            continue
+        out.append(best)
+        k = int(np.searchsorted(known, at + best[1] - WINDOW + 1))
+    return out
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for d, h, text, found in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text", "found"))):
-            rows = np.array(sorted((f["at"], f["first_d"], f["first_at"]) for f in found), np.int64).reshape(-1, 3)
-            parse = factors(*rows.T)
+        for d, h, text, met in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text", "met"))):
             w = words(text)
+            parse = factors(hashing.word_hashes(w), d, [(m["source"], m["block"] * BLOCK, hashing.word_hashes(m["words"].split())) for m in met])
             keep = np.ones(len(w), bool)
             for start, size, _, _ in parse:
                 keep[start : start + size] = False
@@ -141,15 +182,15 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # Written before it is joined back: Spark can then split a hot anchor's rows, and the count's shuffle files are gone.
     again = scratch.write(listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     repeated = listed.join(again, "anchor").groupBy("d", "h").agg(F.collect_set("anchor").alias("repeated"))
-    reference = scratch.write(docs.join(repeated, ["d", "h"]).select("d", "h", "text", "repeated"))
+    reference = scratch.write(docs.join(repeated, ["d", "h"]).select("d", "h", "text", "repeated").dropDuplicates(["d", "h"]))
 
     windows = reference.mapInArrow(_indexed, "key long, check int, d long, h long, at int")
-    place = F.struct("d", "at")
-    index = scratch.write(windows.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
-    earlier = windows.join(index, ["key", "check"]).where(F.col("first") < place)
-    found = earlier.groupBy("d", "h").agg(F.collect_list(F.struct("at", F.col("first.d").alias("first_d"), F.col("first.at").alias("first_at"))).alias("found"))
-    found = scratch.write(found)
-    parsed = reference.select("d", "h", "text").join(found, ["d", "h"]).mapInArrow(_parsed, f"d long, h long, removed long, kept_print string, factors {FACTORS}").dropDuplicates(["d", "h"])
+    index = scratch.write(windows.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(F.struct("d", "at", "h")).alias("first")).where("n > 1").drop("n"))
+    earlier = windows.join(index, ["key", "check"]).where("first.d < d OR (first.d = d AND first.at < at)")
+    pairs = scratch.write(earlier.select("d", "h", F.col("first.d").alias("source"), F.col("first.h").alias("source_h"), F.expr(f"first.at div {BLOCK}").cast("int").alias("block")).distinct())
+    blocks = reference.select("d", "h", "text").mapInArrow(_blocks, "source long, source_h long, block int, words binary")
+    met = pairs.join(blocks, ["source", "source_h", "block"]).groupBy("d", "h").agg(F.collect_list(F.struct("source", "block", "words")).alias("met"))
+    parsed = scratch.write(reference.select("d", "h", "text").join(met, ["d", "h"]).mapInArrow(_parsed, f"d long, h long, removed long, kept_print string, factors {FACTORS}"))
 
     whole = F.col("d") > F.col("first_copy")
     one = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("words"), F.col("first_copy").alias("source"), F.lit(0).alias("source_start")))

@@ -601,6 +601,66 @@ def test_substrings(spark, docs):
     assert substrings.parse(messy.empty(spark)).count() == 0
 
 
+def brute_factors(rows):
+    """Greedy parse, word by word, of documents in the order of their (distinct) ids against the blocks that hold first places of their windows."""
+    from lodestar.llm.substrings import BLOCK
+
+    lists = {d: BLANK.findall(t or "") for d, t in rows}
+    first, out = {}, {}
+    for d in sorted(lists):
+        for i in range(len(lists[d]) - 19):
+            first.setdefault(tuple(lists[d][i : i + 20]), (d, i))
+    for d, w in lists.items():
+        places = [first[tuple(w[i : i + 20])] for i in range(len(w) - 19)]
+        met = sorted({(s, at // BLOCK) for i, (s, at) in enumerate(places) if (s, at) < (d, i)})
+        begins = [(s, at) for s, b in met for at in range(b * BLOCK, min((b + 1) * BLOCK, len(lists[s]) - 19))]
+        out[d], i = [], 0
+        while i <= len(w) - 20:
+            best = None
+            for s, at in begins:
+                end = min((at // BLOCK + 1) * BLOCK + 19, len(lists[s]))
+                n = 0
+                while at + n < end and i + n < len(w) and lists[s][at + n] == w[i + n]:
+                    n += 1
+                if n >= 20 and (s, at) < (d, i) and (best is None or n > best[1]):
+                    best = (i, n, s, at)
+            if best:
+                out[d].append(best)
+            i = best[0] + best[1] - 19 if best else i + 1
+    return out
+
+
+def test_factors_are_those_of_a_greedy_parse(spark):
+    from lodestar.llm import substrings
+
+    rng = random.Random(12)
+    passages = [messy.prose(rng, n).split() for n in (25, 60, 200, 400)]
+    rows = []
+    for i in range(25):
+        w = messy.prose(rng, rng.randint(0, 40)).split()
+        for _ in range(rng.randint(0, 4)):
+            of = rng.choice(passages)
+            a = rng.randrange(len(of))
+            w += of[a : a + rng.randint(15, 300)] + messy.prose(rng, rng.choice([0, 0, 3, 30])).split()
+        rows.append((i * 3, " ".join(w)))
+    rows += [(200, " ".join(passages[1] * 4)), (201, "so it goes " * 300), (202, "and so it goes " + "so it goes " * 150)]
+    brute = brute_factors(rows)
+    found = {r.doc_id: [tuple(f) for f in r.factors] for r in substrings.parse(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(map(len, brute.values())) > 50
+    assert found == brute
+
+
+def test_factors_are_the_longest_and_boundaries_are_checked():
+    from lodestar.llm import hashing, substrings
+
+    w = [f"w{i}" for i in range(100)]
+    of = lambda a: hashing.word_hashes([x.encode() for x in a])
+    # Words 0-59 from one place, then words 45-79 from another: the boundary is looked at from word 41 on.
+    assert substrings.factors(of(w), 9, [(1, 0, of(w[:60])), (2, 0, of(["x"] * 5 + w[45:80]))]) == [(0, 60, 1, 0), (45, 35, 2, 5)]
+    assert substrings.factors(of(w), 9, [(1, 0, of(w[:30])), (2, 0, of(w[:50]))]) == [(0, 50, 2, 0)]
+    assert substrings.factors(of(w), 1, [(1, 0, of(w))]) == [] == substrings.factors(of(w), 9, [])
+
+
 def test_factors_point_at_equal_words(spark):
     from lodestar.llm import substrings
 
