@@ -10,21 +10,25 @@ has fewer). Documents are linked from a Jaccard similarity of ``SIMILARITY`` on.
    ``ROWS`` minima is a bucket key. A pair at the threshold shares no bucket
    with probability (1 - 0.75 ** 6) ** 64 = 4e-6.
 3. In each bucket, members are compared with a pivot, the smallest member, never
-   all with all. A pair passes if its signatures agree often enough, and is then
-   confirmed on the full sets.
+   all with all. A pair goes on if its signatures agree in ``AGREE`` of the bytes (6
+   standard deviations below the threshold), and is then confirmed on the full sets.
 4. Links are closed to components by alternating large-star and small-star.
 5. Members of buckets that still hold several components may be similar to
-   others than the pivot. Which of them can be is found exactly, by prefix and
-   position filters over their shingles, rare ones first; these pairs are
-   verified in the same way. No bucket is cut off.
+   others than the pivot. These pairs are found exactly, without signatures, by
+   prefix, size and position filters over their shingles, rare ones first
+   (``_closing_pairs``), and confirmed in the same way. No bucket is cut off. So of
+   documents that share a bucket no link is lost but for step 3's, which step 5
+   finds again where it matters.
 
 Null ids: such rows take part; a component's id is its smallest non-null id.
 Null and wordless texts have no shingles and are linked with nothing; their
-component is their own id. Rows with equal ids are separate documents.
+component is their own id. Rows with equal ids are separate documents; a row is
+known by its id and a 128-bit hash of its text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -45,6 +49,8 @@ BANDS, ROWS = 64, 6
 SIGNATURE = 256
 #: A pair whose signatures agree less is dropped unconfirmed: 6 standard deviations below the threshold.
 AGREE = 0.58
+#: Ratio of the sizes at the ends of a size class.
+SIZE_STEP = 1.02
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -83,10 +89,10 @@ def _bands(least: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: id, size of its set, fingerprint of it, bucket keys, signature."""
+    """Per document: id, text hashes, size of its set, fingerprint of it, bucket keys, signature."""
     for batch in batches:
         sizes, prints, bands, signs = [], [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(3).to_pylist():
             found = shingles(text)
             sizes.append(len(found))
             least = minima(found) if len(found) else None
@@ -94,11 +100,17 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(_bands(least) if len(found) else None)
             signs.append(least[:SIGNATURE].astype(np.uint8).tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
-            names=["doc_id", "n_shingles", "print", "bands", "sign"],
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
+            names=["doc_id", "h1", "h2", "n_shingles", "print", "bands", "sign"],
         )
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, two hashes of the text, the text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
+
+
 def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
     """Share of equal signature bytes."""
     if not len(a):
@@ -122,12 +134,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links among ``pairs`` (member a, pivot b)."""
+def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     signs = classes.select("node", "sign")
-    near = scratch.write(
-        pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b").where(F.arrow_udf(agreement, "double")("sign_a", "sign_b") >= AGREE).select("a", "b")
-    )
+    return pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b").where(F.arrow_udf(agreement, "double")("sign_a", "sign_b") >= AGREE).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links among ``pairs`` (member a, pivot b), confirmed on full sets."""
+    near = scratch.write(pairs)
     whole = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return scratch.write(whole.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
 
@@ -139,27 +153,41 @@ def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(keys, "key").select("node", "root").distinct()
 
 
-def _closing_pairs(apart: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of different components that may be similar, exactly, by prefix and position filters.
+def _size_class(n: str) -> str:
+    return f"cast(floor(ln({n}) / {math.log(SIZE_STEP)!r}D) AS int)"
+
 
-    With its shingles in one common order, rare ones first, two similar sets
-    share a shingle within their first quarters, and behind the first shared one
-    enough must be left on either side. The largest component of a shingle is
-    never paired with itself.
+def _closing_pairs(apart: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar, exactly, by prefix, size and position filters.
+
+    With the shingles of all sets in one common order, rare ones first, two similar sets
+    of n <= m shingles share at least ``o = 3/7 (n + m)`` of them, and the first one shared lies
+    at positions p and q with ``min(n - p, m - q) >= o``. So the smaller set can be met
+    only in its first seventh, the larger one in its first quarter, and a shingle at position p of a
+    set of n can only meet sets of at most ``7/3 (n - p) - n`` shingles. The size is part
+    of the join's key, in classes (``SIZE_STEP``): a smaller set's shingle stands once for each class of
+    sizes that it can meet, ten to fifteen at most. Pages of one template with too much of
+    their own to be similar begin with their own shingles and form no pair at all.
+    The largest component of a shingle is never paired with itself.
     """
     num, den = SIMILARITY.numerator, SIMILARITY.denominator
     sets = texts.join(apart, "node").select("node", "root", "text").mapInArrow(_shingle_lists, "node long, root long, n int, shingles array<long>")
-    rows = scratch.write(sets.dropDuplicates(["node"]).select("node", "root", "n", F.explode("shingles").alias("s")))
+    rows = scratch.write(sets.select("node", "root", "n", F.explode("shingles").alias("s")))
     times = scratch.write(rows.groupBy("s").agg(F.count("*").alias("times")).where("times > 1"))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("times").asc_nulls_first(), "s")) - 1
     first = rows.join(times, "s", "left").withColumn("p", place).where(f"p <= n - (({num} * n + {den - 1}) div {den}) and times is not null")
-    first = scratch.write(first.drop("times"))
+    # The most shingles of a set that can be met at this position.
+    first = scratch.write(first.drop("times").withColumn("most", F.expr(f"({num + den} * (n - p)) div {num} - n")))
     of_root = first.groupBy("s", "root").agg(F.count("*").alias("k"))
     mixed = scratch.write(of_root.groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").drop("roots"))
-    here = first.join(mixed, "s")
-    minor = here.where("root <> major").select("s", *[F.col(c).alias(f"{c}_2") for c in ("node", "root", "n", "p")])
+    here = scratch.write(first.join(mixed, "s").withColumn("minor", F.expr("root <> major")).drop("major"))
+    smaller = here.where("most >= n").withColumn("size_class", F.expr(f"explode(sequence({_size_class('n')}, {_size_class('most')}))"))
+    larger = here.withColumn("size_class", F.expr(_size_class("n"))).select("s", "size_class", *[F.col(c).alias(f"{c}_2") for c in ("node", "root", "n", "p", "most", "minor")])
     least = f"(({num} * (n + n_2) + {num + den - 1}) div {num + den})"
-    near = here.join(minor, "s").where(f"root <> root_2 and least(n - p, n_2 - p_2) >= {least}")
+    in_order = "(n < n_2 or n = n_2 and node < node_2)"
+    fits = f"{in_order} and n_2 <= most and n <= most_2 and root <> root_2 and least(n - p, n_2 - p_2) >= {least}"
+    # At least one side of a pair isn't in the shingle's largest component.
+    near = smaller.where("minor").join(larger, ["s", "size_class"]).where(fits).union(smaller.where("not minor").join(larger.where("minor_2"), ["s", "size_class"]).where(fits))
     return near.select(F.greatest("node", "node_2").alias("a"), F.least("node", "node_2").alias("b")).distinct()
 
 
@@ -169,18 +197,29 @@ def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array([len(x) for x in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["node", "root", "n", "shingles"])
 
 
+def _same_row(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h1"] == b["h1"]) & (a["h2"] == b["h2"])
+
+
+def _repeats(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Ids and text hashes that several rows have."""
+    found = scratch.write(rows.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    return None if found.isEmpty() else found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept (its id is the component's), and two columns for joins: print, the fingerprint of its set, and root, its component's class (null without words)."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept (its id is the component's), and four columns for joins: h1 and h2, hashes of its text, print, the fingerprint of its set, and root, its component's class (null without words)."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = scratch.write(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, print binary, bands array<long>, sign binary"))
-    sets = sketches.select("doc_id", "n_shingles", "print")
+    docs = _keyed(docs, id_col, text_col)
+    sketches = scratch.write(docs.mapInArrow(_sketches, "doc_id long, h1 long, h2 long, n_shingles long, print binary, bands array<long>, sign binary"))
+    sets = sketches.select("doc_id", "h1", "h2", "n_shingles", "print")
 
     # One class per set. The sketches of a class are equal, so any one of them will do.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     classes = scratch.write(
         sketches.where("print is not null")
         .groupBy("print")
-        .agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sign").alias("sign"))
+        .agg(F.min(row).alias("row"), F.first("bands").alias("bands"), F.first("sign").alias("sign"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     buckets = classes.select("node", F.explode("bands").alias("key"))
@@ -188,59 +227,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.write(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").drop("n"))
     live = scratch.write(buckets.join(shared, "key"))
 
-    # The texts of classes that share a bucket; a repeated id may stand for another text, so the fingerprint decides.
-    wanted = live.select("node").distinct().join(classes.select("node", "least_id", "print"), "node")
-    texts = scratch.write(
-        docs.join(wanted.withColumnRenamed("least_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-        .select("node", "text", "print")
-        .mapInArrow(_same_set, "node long, text string")
-    )
+    # The texts of classes that share a bucket, found by id and text hashes. Of rows that repeat both, one is enough.
+    wanted = live.select("node").distinct().join(classes.select("node", "row.doc_id", "row.h1", "row.h2"), "node")
+    found = lambda t: docs.join(t, _same_row(docs, t)).select("node", "text")
+    repeats = _repeats(sets, scratch)
+    if repeats is None:
+        texts = scratch.write(found(wanted))
+    else:
+        once, more = (scratch.write(wanted.join(repeats, _same_row(wanted, repeats), how)) for how in ("left_anti", "left_semi"))
+        texts = scratch.write(found(once).union(found(more).dropDuplicates(["node"])))
     pairs = live.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = _verified(pairs, classes, texts, scratch)
+    links = _verified(_agreeing(pairs, classes), texts, scratch)
     roots = components(links, scratch)
     apart = _unsettled(live, roots)
     if not apart.isEmpty():
         apart = scratch.write(apart)
-        links = links.union(_verified(_closing_pairs(apart, texts, scratch), classes, texts, scratch))
+        links = links.union(_verified(_closing_pairs(apart, texts, scratch), texts, scratch))
         roots = components(links, scratch)
 
-    placed = classes.join(roots, "node", "left").select("print", "least_id", F.coalesce("root", "node").alias("root"))
+    placed = classes.join(roots, "node", "left").select("print", F.col("row.doc_id").alias("least_id"), F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known = placed.join(ids, "root").select("print", "component_id", "root")
     out = sets.join(known, "print", "left").withColumn("component_id", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "print", "root")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h1", "h2", "print", "root")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) that stay: one row of each component, and all rows without words."""
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.write(near_duplicates(docs).select("doc_id", "print", "root"))
-    best = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("b"))
-    kept = scratch.write(best.select("b.doc_id", "b.print").union(found.where("root is null").select("doc_id", "print").distinct()))
-    marked = docs.withColumn("__print", F.arrow_udf(_print, "binary")(F.col("text").cast("string")))
-    same = lambda t: marked["doc_id"].cast("long").eqNullSafe(t["doc_id"]) & marked["__print"].eqNullSafe(t["print"])
-    # Rows that repeat a kept id and set: only one of them stays. They are few, and only they are shuffled once more.
-    repeats = scratch.write(found.where("print is not null").groupBy("doc_id", "print").count().where("count > 1").select("doc_id", "print"))
-    if repeats.isEmpty():
-        return marked.join(kept, same(kept), "left_semi").drop("__print")
-    twice = kept["doc_id"].eqNullSafe(repeats["doc_id"]) & kept["print"].eqNullSafe(repeats["print"])
-    once, more = scratch.write(kept.join(repeats, twice, "left_anti")), scratch.write(kept.join(repeats, twice, "left_semi"))
-    return marked.join(once, same(once), "left_semi").union(marked.join(more, same(more), "left_semi").dropDuplicates(["doc_id", "__print"])).drop("__print")
-
-
-def _print(texts: pa.Array) -> pa.Array:
-    found = (shingles(t) for t in texts.to_pylist())
-    return pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found], pa.binary())
-
-
-def _same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        right = [xxhash.xxh3_128_digest(shingles(text).tobytes()) == mark for text, mark in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield batch.select(["node", "text"]).filter(pa.array(right, pa.bool_()))
+    found = scratch.write(near_duplicates(docs).select("doc_id", "h1", "h2", "root"))
+    best = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("b"))
+    kept = scratch.write(best.select("b.doc_id", "b.h1", "b.h2").union(found.where("root is null").select("doc_id", "h1", "h2").distinct()))
+    text = F.col("text").cast("string")
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__h1": F.xxhash64(text), "__h2": F.xxhash64(text, F.lit(1))})
+    same = lambda t: marked["__id"].eqNullSafe(t["doc_id"]) & (marked["__h1"] == t["h1"]) & (marked["__h2"] == t["h2"])
+    # Rows that repeat a kept id and text: only one of them stays. They are few, and only they are shuffled once more.
+    repeats = _repeats(found.where("root is not null"), scratch)
+    if repeats is None:
+        return marked.join(kept, same(kept), "left_semi").select(*docs.columns)
+    once, more = (scratch.write(kept.join(repeats, _same_row(kept, repeats), how)) for how in ("left_anti", "left_semi"))
+    return marked.join(once, same(once), "left_semi").union(marked.join(more, same(more), "left_semi").dropDuplicates(["__id", "__h1", "__h2"])).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load(spark, sf_dir, "documents")).drop("print", "root")
+    return near_duplicates(load(spark, sf_dir, "documents")).drop("h1", "h2", "print", "root")
 
 
 ORACLE_SQL = f"""

@@ -147,7 +147,7 @@ def test_near_duplicates(spark, docs):
     from lodestar.llm import neardup
 
     expected = [(d, n, c if n else d, d == (c if n else d)) for d, n, c in brute_components(texts())]
-    same_rows(neardup.near_duplicates(docs).drop("print", "root"), expected)
+    same_rows(neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept"), expected)
     assert neardup.near_duplicates(messy.empty(spark)).count() == 0
 
 
@@ -177,6 +177,63 @@ def test_deduplicate_keeps_one_of_each_group(spark, docs):
     assert sum(bool(shingle_set(r.text)) for r in rows) == len(brute_groups(texts()))
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs with a similarity of 0.75 to 0.80: at least nine of ten are found (all are, in fact), and none below."""
+    from lodestar.llm import neardup
+
+    rng = random.Random(21)
+    rows, similar = [], {}
+    for i in range(300):
+        w = messy.prose(rng, rng.randint(60, 300)).split()
+        copy, n = list(w), len(w)
+        for at in rng.sample(range(n), max(1, round(n * rng.uniform(0.018, 0.04)))):
+            copy[at] = f"new{at}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
+        a, b = shingle_set(rows[-1][1]), shingle_set(rows[-2][1])
+        similar[i] = len(a & b) / len(a | b)
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    near = [i for i, x in similar.items() if 0.75 <= x < 0.80]
+    assert len(near) > 40 and np.mean([found[2 * i + 1] == 2 * i for i in near]) >= 0.9
+    assert all((found[2 * i + 1] == 2 * i) == (x >= 0.75) for i, x in similar.items() if x < 0.75 or x > 0.8)
+
+
+def template_pages(rng, n, common=100, own=20):
+    page = messy.prose(rng, common)
+    return [(i, f"{page} " + " ".join(f"own{i}x{j}" for j in range(own))) for i in range(n)]
+
+
+def test_pages_of_a_template_form_no_pairs(spark):
+    """Pages below the threshold share buckets, but no pair of them is made; the similar ones among them are found."""
+    from lodestar.llm import neardup
+    from lodestar.llm.scratch import Scratch
+
+    rng = random.Random(22)
+    rows = template_pages(rng, 400)
+    texts = spark.createDataFrame(rows, "node long, text string")
+    apart = spark.createDataFrame([(i, i) for i, _ in rows], "node long, root long")
+    assert neardup._closing_pairs(apart, texts, Scratch(spark, "t")).count() == 0
+    own = [f"{rows[0][1].rsplit(' own', 20)[0]} " + " ".join(f"own{500 + i // 2}x{j + 5 * (i % 2)}" for j in range(20)) for i in range(20)]
+    rows += [(500 + i, t) for i, t in enumerate(own)]
+    rows += [(600 + i, " ".join(rows[i][1].split()[: 100 + i])) for i in range(20)]  # shorter ones, some of them similar to each other
+    rng.shuffle(rows)
+    same_rows(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id"), brute_components(rows))
+
+
+def test_many_rows_of_one_id(spark):
+    from lodestar.llm import neardup
+
+    rng = random.Random(23)
+    rows = [(None, messy.prose(rng, 30)) for _ in range(1500)] + [(7, messy.prose(rng, 30)) for _ in range(500)]
+    rows += [(None, rows[0][1])] * 3000 + [(7, rows[1600][1])] * 3000 + [(None, rows[3][1] + " end")]
+    began = time.monotonic()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = neardup.near_duplicates(frame).collect()
+    assert len(found) == len(rows) and sum(r.component_id is None for r in found) == 4501
+    kept = collections.Counter((r.doc_id, r.text) for r in neardup.deduplicate(frame).collect())
+    assert len(kept) == 2000 and max(kept.values()) == 1
+    assert time.monotonic() - began < 240
+
+
 def test_components_of_odd_edges(spark):
     from lodestar.llm.components import components
     from lodestar.llm.scratch import Scratch
