@@ -2,21 +2,21 @@
 
 Archives are gzip-compressed WARC files (a member per record), written through
 Spark's own writer, so that failed tasks leave nothing behind and any store that
-Spark reaches will do. A file holds at most ``RECORDS_PER_FILE`` records.
+Spark reaches will do. A file holds ``FILE_BYTES`` of records, or one longer record.
 
 - ``write_archives`` writes a response per page.
-- ``write_deduplicated`` writes a record per page too, but first shuffles the
-  pages' headers by payload digest: of equal payloads the page with the smallest
-  id is a response, the others are revisits that refer to it.
-- ``resolve`` does the same to archives that exist already: it shuffles the
-  records' headers and writes deduplicated archives with fresh headers.
-- ``read_archives`` reads archives back; ``originals`` joins revisits to the
+- ``read_archives`` reads the headers of archives' records, payload digests checked.
+- ``resolve`` writes deduplicated archives with fresh headers: only the records' headers
+  are shuffled, by payload digest. Of equal payloads the response with the smallest page id
+  stays (among equal ids the first read), the others become revisits that refer to
+  it. Revisits that the archives hold already refer to the response of their digest
+  that stays; where there is none they, like records of other types, are written as they are.
+- ``write_deduplicated`` is both for pages; ``originals`` joins revisits to the
   responses that they refer to.
 
-Null payloads are empty and null urls are written without a target. Null ids
-come after all others. Payloads below ``min_bytes`` stay responses. Pages with
-equal ids and payloads all stay responses, of one record id; among archived
-records with equal page ids and payloads the first read is the response.
+Null payloads are empty and null urls are written without a target. Null page ids
+come after all others. Payloads below ``min_bytes`` stay responses. Records without a payload
+digest or page id are kept.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import load, new_path
+from .scratch import Scratch, load, new_path
 
-RECORDS_PER_FILE = 5000
+FILE_BYTES = 256 << 20
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
@@ -71,11 +71,6 @@ def _new_id() -> str:
     return f"<urn:uuid:{uuid.uuid4()}>"
 
 
-def page_record_id(page: int | None, said: str) -> str:
-    """The same for each try of a task, and known to revisits without a look at the response."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}:{said}')}>"
-
-
 def _fields(page: int | None, url: str | None, said: str, record_id: str) -> dict[str, object]:
     return {"WARC-Record-ID": record_id, "WARC-Target-URI": quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else None, "WARC-Payload-Digest": f"sha1:{said}", "X-Page-Id": page}
 
@@ -97,45 +92,58 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield head, stream.read(int(head["Content-Length"]))
 
 
+#: Parts of a task that are written side by side, without a sort.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def _write(records: DataFrame, path: str) -> str:
-    out = records.select(F.col("record").cast("string").alias("value")).write
-    out.option("lineSep", _MEMBER_END).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Records (record, part) as files, one for each part of a task."""
+    spark = records.sparkSession
+    before = spark.conf.get(_WRITERS, "0")
+    spark.conf.set(_WRITERS, "1024")
+    try:
+        out = records.select(F.col("record").cast("string").alias("value"), "part").write.partitionBy("part")
+        out.option("lineSep", _MEMBER_END).option("encoding", "ISO-8859-1").text(path)
+    finally:
+        spark.conf.set(_WRITERS, before)
     return path
 
 
+RECORD = "record binary, part int"
+
+
+def _parts(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Packed records in batches, with the number of the file of this task that they belong to."""
+    out, waiting, total = [], 0, 0
+    for data in records:
+        packed = _member(data)
+        out.append((packed, total // FILE_BYTES))
+        total, waiting = total + len(data), waiting + len(packed)
+        if waiting > 8 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int32()))], names=["record", "part"])
+            out, waiting = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int32()))], names=["record", "part"])
+
+
 def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(c.to_pylist() for c in batch.columns))
-        yield pa.RecordBatch.from_arrays([pa.array([_member(response(page, url, (html or "").encode(), _new_id())) for page, url, html in rows], pa.binary())], names=["record"])
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    yield from _parts(response(page, url, (html or "").encode(), _new_id()) for page, url, html in rows)
 
 
 def write_archives(pages: DataFrame, path: str) -> str:
     """A response record for each row of ``pages`` (page_id, url, html), in files below ``path``."""
-    return _write(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_responses, "record binary"), path)
-
-
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for page, url, html, first, whole in zip(*(c.to_pylist() for c in batch.columns)):
-            payload = (html or "").encode()
-            if whole:
-                out.append(_member(response(page, url, payload, page_record_id(page, digest(payload)))))
-                continue
-            said = digest(payload)
-            fields = _fields(page, url, said, _new_id()) | {"WARC-Refers-To": page_record_id(first, said), "WARC-Profile": PROFILE}
-            out.append(_member(record("revisit", fields, _http(len(payload)), "application/http; msgtype=response")))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+    return _write(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_responses, RECORD), path)
 
 
 def write_deduplicated(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
     """A record for each row of ``pages`` (page_id, url, html): responses, and revisits of payloads that a smaller id has."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n"))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
-    firsts = rows.groupBy("sha", "n").agg(F.min(order)["page_id"].alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    whole = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")) | (F.col("n") < min_bytes)
-    return _write(rows.join(firsts, ["sha", "n"], "left").select("page_id", "url", "html", "first", whole.alias("whole")).mapInArrow(_resolved, "record binary"), path)
+    spark = pages.sparkSession
+    raw = write_archives(pages, f"{new_path(spark, 'warc')}/raw")
+    resolve(spark, raw, path, min_bytes)
+    at = spark._jvm.org.apache.hadoop.fs.Path(raw)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return path
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -151,54 +159,56 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             rows = []
             for seq, (head, block) in enumerate(parse(content.as_buffer())):
-                if head["WARC-Type"] == "warcinfo":
+                kind = head["WARC-Type"]
+                if kind == "warcinfo":
                     continue
-                payload = block.partition(END)[2]
-                said, found = head["WARC-Payload-Digest"].removeprefix("sha1:"), digest(payload)
-                whole = head["WARC-Type"] == "response"
-                if whole and said != found:
-                    raise ValueError(f"{path}: record {seq} says payload digest {said}, its payload has {found}")
-                page = head.get("X-Page-Id")
-                rows.append((path, seq, head["WARC-Record-ID"], None if page is None else int(page), head["WARC-Type"], len(payload) if whole else None, said, head.get("WARC-Refers-To")))
+                said, size, page = head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, None, head.get("X-Page-Id")
+                if kind == "response":
+                    payload = block.partition(END)[2]
+                    found, size = digest(payload), len(payload)
+                    if said not in (None, found):
+                        raise ValueError(f"{path}: record {seq} says payload digest {said}, its payload has {found}")
+                    said = found
+                rows.append((path, seq, head.get("WARC-Record-ID"), None if page is None else int(page), kind, size, said, head.get("WARC-Refers-To")))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=[c.split()[0] for c in HEADERS.split(", ")])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record below ``path``, payload digests of responses checked: {HEADERS}."""
+    """A row for each record below ``path`` but warcinfo, payload digests of responses checked."""
     return _files(spark, path).mapInArrow(_headers, HEADERS)
 
 
+_KEPT = ("WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Profile", "WARC-Concurrent-To", "WARC-IP-Address", "X-Page-Id")
+
+
+def _rewritten(content: pa.Buffer, changed: dict[int, str]) -> Iterator[bytes]:
+    """The records of an archive with fresh headers; those that ``changed`` names are revisits of the record it gives."""
+    yield record("warcinfo", {"WARC-Record-ID": _new_id()}, b"software: lodestar\r\nformat: WARC File Format 1.1\r\n", "application/warc-fields")
+    for seq, (head, block) in enumerate(parse(content)):
+        if head["WARC-Type"] == "warcinfo":
+            continue
+        fields, kind = {k: head[k] for k in _KEPT if k in head}, head["WARC-Type"]
+        if seq in changed:
+            said = head.get("WARC-Payload-Digest") or f"sha1:{digest(block.partition(END)[2])}"
+            fields |= {"WARC-Payload-Digest": said, "WARC-Refers-To": changed[seq], "WARC-Profile": PROFILE}
+            kind, block = "revisit", block.partition(END)[0] + END
+        yield record(kind, fields, block, head.get("Content-Type", "application/octet-stream"))
+
+
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content, decided in zip(batch.column(0), batch.column(1).to_pylist()):
-            to = {d["seq"]: d for d in decided}
-            out = [_member(record("warcinfo", {"WARC-Record-ID": _new_id()}, b"software: lodestar\r\nformat: WARC File Format 1.1\r\n", "application/warc-fields"))]
-            for seq, (head, block) in enumerate(parse(content.as_buffer())):
-                if (d := to.get(seq)) is None:
-                    continue
-                http, _, payload = block.partition(END)
-                fields = {"WARC-Record-ID": head["WARC-Record-ID"], "WARC-Target-URI": head.get("WARC-Target-URI"), "WARC-Payload-Digest": head["WARC-Payload-Digest"], "X-Page-Id": head.get("X-Page-Id")}
-                if d["first_id"] == head["WARC-Record-ID"]:
-                    out.append(_member(record("response", fields, block, "application/http; msgtype=response")))
-                else:
-                    fields |= {"WARC-Refers-To": d["first_id"], "WARC-Profile": PROFILE}
-                    out.append(_member(record("revisit", fields, http + END, "application/http; msgtype=response")))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+    archives = ((content.as_buffer(), changed) for batch in batches for content, changed in zip(batch.column(0), batch.column(1).to_pylist()))
+    yield from _parts(data for content, changed in archives for data in _rewritten(content, {c["seq"]: c["to"] for c in changed or []}))
 
 
 def resolve(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> str:
     """Deduplicated archives of those below ``source``, written below ``target``."""
-    heads = read_archives(spark, source)
-    order = F.struct(F.col("page_id").isNull(), "page_id", "path", "seq", "record_id")
-    alone = F.when(F.col("payload_bytes") < min_bytes, F.col("record_id"))
-    heads = heads.withColumn("alone", F.coalesce(alone, F.lit("")))
-    firsts = heads.groupBy("payload_digest", "payload_bytes", "alone").agg(F.min(order).alias("first"))
-    decided = (
-        heads.join(firsts, ["payload_digest", "payload_bytes", "alone"])
-        .groupBy("path")
-        .agg(F.collect_list(F.struct("seq", F.col("first.record_id").alias("first_id"))).alias("decided"))
-    )
-    return _write(_files(spark, source).join(decided, "path").select("content", "decided").mapInArrow(_rewrite, "record binary"), target)
+    heads = Scratch(spark, "heads").write(read_archives(spark, source))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "seq", "record_id")
+    firsts = heads.where("record_type = 'response'").groupBy("payload_digest").agg(F.min(order).alias("first"))
+    repeated = heads.where(f"record_type = 'revisit' OR record_type = 'response' AND payload_bytes >= {int(min_bytes)}").join(firsts, "payload_digest")
+    # Only records that change are gathered, those of an archive in one list.
+    changed = repeated.where("NOT (path = first.path AND seq = first.seq)").groupBy("path").agg(F.collect_list(F.struct("seq", F.col("first.record_id").alias("to"))).alias("changed"))
+    return _write(_files(spark, source).join(changed, "path", "left").select("content", "changed").mapInArrow(_rewrite, RECORD), target)
 
 
 def originals(records: DataFrame) -> DataFrame:
@@ -209,7 +219,8 @@ def originals(records: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_deduplicated(load(spark, sf_dir, "pages"), f"{new_path(spark, 'warc')}/archives")
-    return originals(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = Scratch(spark, "records").write(read_archives(spark, path))
+    return originals(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _HEX = "sha1(coalesce(html, ''))"

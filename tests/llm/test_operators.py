@@ -334,7 +334,7 @@ def test_warc_round_trip(spark, tmp_path):
     whole = warc.resolve(spark, raw, str(tmp_path / "resolved"))
     same_rows(warc.originals(warc.read_archives(spark, whole)).select(*columns), expected_records(rows))
     payloads = collections.Counter()
-    for file in (tmp_path / "resolved").glob("part*"):
+    for file in (tmp_path / "resolved").rglob("part-*"):
         content = file.read_bytes()
         assert gzip.decompress(content).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
         for head, block in warc.parse(content):
@@ -343,6 +343,43 @@ def test_warc_round_trip(spark, tmp_path):
     assert payloads == collections.Counter({(h or "").encode(): 1 for _, _, h in rows})
 
 
+def test_resolve_keeps_revisits_and_other_records(spark, tmp_path, monkeypatch):
+    """Archives of another maker: revisits known and unknown, records without digest or page."""
+    from lodestar.llm import warc
+
+    said = warc.digest(b"same")
+    records = [
+        warc.record("warcinfo", {"WARC-Record-ID": "<i>"}, b"x", "application/warc-fields"),
+        warc.record("request", {"WARC-Record-ID": "<q>"}, b"GET / HTTP/1.1\r\n\r\n", "application/http; msgtype=request"),
+        warc.response(4, "http://a", b"same", "<r4>"),
+        warc.record("revisit", {"WARC-Record-ID": "<v5>", "WARC-Payload-Digest": f"sha1:{said}", "WARC-Refers-To": "<r4>", "X-Page-Id": 5}, b"HTTP/1.1 200 OK\r\n\r\n", "application/http; msgtype=response"),
+        warc.response(2, "http://b", b"same", "<r2>"),
+        warc.record("revisit", {"WARC-Record-ID": "<v6>", "WARC-Payload-Digest": "sha1:ELSEWHERE", "WARC-Refers-To": "<r99>", "X-Page-Id": 6}, b"HTTP/1.1 200 OK\r\n\r\n", "application/http; msgtype=response"),
+        warc.record("dns", {"WARC-Record-ID": "<d>"}, b"20250101\n", "text/dns"),
+        warc.response(None, None, b"other", "<n>"),
+    ]
+    (tmp_path / "raw").mkdir()
+    for k in (0, 1):
+        (tmp_path / "raw" / f"{k}.warc.gz").write_bytes(b"".join(gzip.compress(r + warc.END) for r in records[4 * k : 4 * k + 4]))
+    (tmp_path / "raw" / "2.warc.gz").write_bytes(gzip.compress(records[3] + warc.END))  # nothing but a revisit
+    out = warc.resolve(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
+    found = {(r.record_id, r.record_type, r.page_id, r.refers_to_id) for r in warc.read_archives(spark, out).collect()}
+    assert found == {
+        ("<q>", "request", None, None),
+        ("<r4>", "revisit", 4, "<r2>"),
+        ("<v5>", "revisit", 5, "<r2>"),
+        ("<r2>", "response", 2, None),
+        ("<v6>", "revisit", 6, "<r99>"),
+        ("<d>", "dns", None, None),
+        ("<n>", "response", None, None),
+    }
+    assert warc.read_archives(spark, out).count() == 8
+    # Files are bounded by bytes.
+    monkeypatch.setattr(warc, "FILE_BYTES", 300)
+    batches = list(warc._parts(iter([b"x" * 200] * 5)))
+    assert [n for b in batches for n in b.column(1).to_pylist()] == [0, 0, 1, 2, 2]
+
+
 def test_warc_min_bytes_and_empty(spark, tmp_path):
     from lodestar.llm import warc
 
