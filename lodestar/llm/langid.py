@@ -1,26 +1,24 @@
 """Operator 4: language identification by nearest centroid.
 
 Texts become vectors of hashed byte n-grams (1 to 3 bytes of the lower-cased
-text, what isn't a letter as one space) with TF-IDF weights and length 1. Each
+text, ASCII characters that aren't letters as one space) with TF-IDF weights and length 1. Each
 language gets several centroids by spherical k-means; a text takes the language
 of the centroid of largest cosine. It is rejected (``rejected``) if that cosine
 is below the language's threshold for texts of its length: ``REJECT`` times the
-``QUANTILE`` of the cosines of training texts of at least ``LEAST_LETTERS`` letters
-in the same band of lengths, each compared with centroids that leave it out.
+``QUANTILE`` of the cosines of training texts in the same band of lengths, each compared
+with centroids that leave it out. Bands with few training texts take in their neighbours.
 
-The model is fitted on a bounded sample: for each language the ``PER_LANGUAGE``
-texts with the smallest hash of id and text (a repeated row counts once), at
-most ``MAX_LANGUAGES`` languages; of each the whole text is used. Prediction reads every whole text.
+The model is fitted on a bounded sample: for each of the ``MAX_LANGUAGES`` languages with
+the most labelled texts the ``PER_LANGUAGE`` texts with the smallest hash of id and text (a repeated
+row counts once); of each the whole text is used. Prediction reads every whole text.
 
-Texts that are null or have no letter get ``und`` with score 0 and are
+Texts that are null or have no letter (a character of a Unicode category L) get ``und`` with score 0 and are
 rejected; so does everything if there is nothing to learn from. Rows with null
 language or text teach nothing. Only the text is an input of a prediction.
 """
 
 from __future__ import annotations
 
-import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,19 +33,20 @@ from .scratch import Scratch, load
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 1000
-MAX_LANGUAGES = 256
+MAX_LANGUAGES = 1024
 CENTROIDS = 4
 #: A text is rejected below this share of this quantile of its language's training texts of like length.
 REJECT = 0.5
 QUANTILE = 0.02
-#: Bands of lengths: the first begins at LEAST_LETTERS letters, each next one at twice as many. A band of fewer texts takes in shorter ones, then longer ones.
-BANDS = 5
+#: Bands of lengths: the first has fewer than SHORT letters, each next one ends at twice as many, the last has no end.
+BANDS = 6
+SHORT = 20
+#: A band of fewer training texts takes in shorter ones, then longer ones.
 LEAST_BAND = 20
-#: Texts of fewer letters are too short to be judged far from everything; only a text without a letter is then rejected.
-LEAST_LETTERS = 20
 UNKNOWN = "und"
+#: Parts in which the sample of a language is ranked first.
+_PARTS = 64
 
-LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _CHUNK = 1 << 20
 
@@ -72,13 +71,19 @@ def grams(text: str) -> np.ndarray:
 
 
 def band(letters: int) -> int:
-    """Number of the band of lengths, -1 for texts too short to be judged."""
-    return -1 if letters < LEAST_LETTERS else min((letters // LEAST_LETTERS).bit_length(), BANDS) - 1
+    """Number of the band of lengths."""
+    return min((letters // SHORT).bit_length(), BANDS - 1)
 
 
-def _letters(text: str) -> int:
+def letters(text: str) -> int:
     """Letters of a text, counted no further than where the last band begins."""
-    return sum(1 for _ in itertools.islice(LETTER.finditer(text), LEAST_LETTERS << (BANDS - 1)))
+    n, most = 0, SHORT << (BANDS - 2)
+    for c in text:
+        if c.isalpha():
+            n += 1
+            if n == most:
+                break
+    return n
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -100,7 +105,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [grams(text) for text in batch.column(1).to_pylist()]
         at = [np.flatnonzero(v).astype("<i2") for v in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([band(_letters(t)) for t in batch.column(1).to_pylist()], pa.int32()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([np.minimum(v[a], 1 << 30).astype("<i4").tobytes() for v, a in zip(found, at)], pa.binary())],
+            [batch.column(0), pa.array([band(letters(t)) for t in batch.column(1).to_pylist()], pa.int32()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([np.minimum(v[a], 1 << 30).astype("<i4").tobytes() for v, a in zip(found, at)], pa.binary())],
             names=["lang", "band", "at", "n"],
         )
 
@@ -157,17 +162,16 @@ def fit(labelled: DataFrame) -> Model | None:
     """A model from ``labelled`` (doc_id, text, lang); None if it has no usable row."""
     usable = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     scratch = Scratch(labelled.sparkSession, "langid")
-    # The sample is chosen by hashes alone; each task keeps PER_LANGUAGE of a language before the shuffle.
-    keyed = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("__key"))
-    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("__key"))
-    chosen = scratch.write(keyed.select("lang", "__key").withColumn("rank", rank).where(f"rank <= {PER_LANGUAGE}").drop("rank").distinct())
-    n_languages = chosen.select("lang").distinct().count()
-    if not n_languages:
+    counted = scratch.write(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    if counted.isEmpty():
         return None
-    if n_languages > MAX_LANGUAGES:
-        raise ValueError(f"{n_languages} languages; the model is meant for {MAX_LANGUAGES} at most")
-    # At most MAX_LANGUAGES * PER_LANGUAGE keys, so they may be broadcast.
-    sample = keyed.join(F.broadcast(chosen), ["lang", "__key"], "left_semi").dropDuplicates(["lang", "__key"])
+    learned = scratch.write(counted.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang"))
+    # The sample is chosen by hashes alone: within parts of a language first, so that no task sees all of a hot one.
+    keyed = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("__key"))
+    least = lambda rows, *by: rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("lang", *by).orderBy("__key"))).where(f"rank <= {PER_LANGUAGE}").drop("rank")
+    parts = keyed.select("lang", "__key").join(learned, "lang").withColumn("part", F.expr(f"pmod(__key, {_PARTS})"))
+    chosen = scratch.write(least(scratch.write(least(parts, "part").distinct())).select("lang", "__key"))
+    sample = keyed.join(chosen, ["lang", "__key"], "left_semi").dropDuplicates(["lang", "__key"])
     rows = scratch.write(sample.select("lang", "text").mapInArrow(_vectors, "lang string, band int, at binary, n binary"))
     present = rows.select(F.explode(F.arrow_udf(_indices, "array<int>")("at")).alias("i")).groupBy("i").count()
     frequency = np.zeros(DIMENSIONS)
@@ -187,7 +191,7 @@ _ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected",
 
 
 def predictor(spark: SparkSession, model: Model | None):
-    """A column function: text to (lang, score, rejected). The model has at most MAX_LANGUAGES * CENTROIDS * DIMENSIONS floats (16 MB)."""
+    """A column function: text to (lang, score, rejected). The model has at most MAX_LANGUAGES * CENTROIDS * DIMENSIONS floats (64 MB)."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -196,7 +200,8 @@ def predictor(spark: SparkSession, model: Model | None):
             out = []
             texts = column.to_pylist()
             for start in range(0, len(texts), 256):
-                part = [t if t is not None and LETTER.search(t) else None for t in texts[start : start + 256]]
+                sizes = [letters(t) if t is not None else 0 for t in texts[start : start + 256]]
+                part = [t if n else None for t, n in zip(texts[start : start + 256], sizes)]
                 if m is None:
                     out += [(UNKNOWN, 0.0, True)] * len(part)
                     continue
@@ -207,7 +212,7 @@ def predictor(spark: SparkSession, model: Model | None):
                     if t is None:
                         out.append((UNKNOWN, 0.0, True))
                         continue
-                    size = band(_letters(t))
+                    size = band(letters(t))
                     out.append((m.languages[b], float(min(max(c, 0.0), 1.0)), bool(size >= 0 and c < m.thresholds[b, size])))
             yield pa.array([dict(zip(("lang", "score", "rejected"), v)) for v in out], _ARROW)
 

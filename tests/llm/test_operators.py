@@ -272,6 +272,68 @@ def test_language_of_messy_rows(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).where("doc_id = 300")).collect()} == {"und"}
 
 
+def test_number_characters_are_no_letters_and_languages_are_many(spark):
+    from lodestar.llm import langid
+
+    rng = random.Random(3)
+    rows = [(i, messy.prose(rng, 12) + f" lang{i % 300} marker{i % 300}", f"l{i % 300}") for i in range(1500)] + [(5000, "² ½ ① 12", "en"), (5001, "٣٤", None), (5002, "ª", None)]
+    found = messy.by_id(langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert [(found[i].lang_pred, found[i].score) for i in (5000, 5001)] == [("und", 0.0)] * 2
+    assert found[5002].lang_pred != "und" and len({r.lang_pred for r in found.values()}) > 200
+
+
+def brute_grams(text):
+    """Numbers of hashed n-grams, one by one."""
+    words, out = "".join(chr(b) if b >= 128 or 97 <= b <= 122 else " " for b in text.lower().encode()).split(" "), collections.Counter()
+    data = [ord(c) for c in " " + " ".join(w for w in words if w) + " "]
+    for order in (1, 2, 3):
+        for i in range(len(data) - order + 1):
+            code = order * 0x9E3779B1 & 0xFFFFFFFF
+            for b in data[i : i + order]:
+                code = (code ^ b) * 0x85EBCA6B & 0xFFFFFFFF
+                code ^= code >> 15
+            out[code % 4096] += 1
+    return out
+
+
+def test_language_equals_brute_force_centroids(spark, sf_dir):
+    """k-means, weights and cosines anew in plain numpy over all learned texts."""
+    import zlib
+
+    from lodestar.llm import langid
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    teach = [r for r in rows if r.lang and r.text and any(c.isalpha() for c in r.text) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    def raw(t):
+        v, n = np.zeros(4096), brute_grams(t)
+        v[list(n)] = list(n.values())
+        return v
+
+    x = np.array([raw(r.text) for r in teach])
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.1
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-9)
+    centres, names = [], []
+    for lang in sorted({r.lang for r in teach}):
+        mine = [i for i, r in enumerate(teach) if r.lang == lang]
+        key = lambda i: (np.flatnonzero(x[i]).astype("<i2").tobytes(), x[i][x[i] > 0].astype("<i4").tobytes())  # noqa: B023, E731
+        y = unit(np.log1p(x[sorted(mine, key=key)]) * idf)
+        c = [y[0]]
+        while len(c) < min(4, len(y)):
+            c.append(y[np.argmin([max(v @ k for k in c) for v in y])])
+        for _ in range(12):
+            best = [int(np.argmax([v @ k for k in c])) for v in y]
+            c = [unit(y[[b == k for b in best]].sum(axis=0)) if k in best else c[k] for k in range(len(c))]
+        centres += c
+        names += [lang] * len(c)
+    found = messy.by_id(langid.identify(docs))
+    for r in rows:
+        if r.text and any(ch.isalpha() for ch in r.text):
+            cosine = np.array(centres) @ unit(np.log1p(raw(r.text)) * idf)
+            assert found[r.doc_id].lang_pred == names[int(cosine.argmax())]
+            assert abs(found[r.doc_id].score - cosine.max()) < 1e-3
+
+
 def test_far_texts_are_rejected(spark, sf_dir):
     from lodestar.llm import langid
 
