@@ -7,8 +7,8 @@ numbers; each document is scanned once, and the words that windows cover are
 mapped back to offsets (code points) of the original text.
 
 The windows are sent to the executors only up to ``SHARD_BYTES`` (measured
-first). A larger benchmark is split by window into shards of that size, each
-with its own automaton and its own pass over the documents; the passes' spans
+first). A larger benchmark is split by window and item into shards of that size, each
+with its own automaton and its own pass over the documents; the passes' hits
 are merged.
 
 Null or wordless texts have no words and hit nothing. Items without id are
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -131,16 +132,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes:
     )
     total = windows.agg(F.sum(F.octet_length("window") + F.octet_length("item") + 16)).first()[0] or 0
     n = -(-total // shard_bytes) or 1
-    passes, kept = [], docs.columns
+
+    def scanned(part: DataFrame):
+        """The column of hits of one shard."""
+        grouped = part.groupBy("window").agg(F.collect_set("item").alias("items")).collect()
+        return _scanner(spark.sparkContext.broadcast([(bytes(r.window), r["items"]) for r in grouped]))(F.col(text_col).cast("string"))
+
+    if n == 1:
+        return docs.withColumn(into, scanned(windows))
+    # A shard after another over the documents as they are; only hits are carried on. The items of a window are dealt
+    # to the shards too, so that a window of very many items doesn't make one larger.
+    rows = scratch.write(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = []
     for k in range(n):
-        part = windows.where(F.expr(f"pmod(xxhash64(window), {n}) = {k}")) if n > 1 else windows
-        rows = part.groupBy("window").agg(F.collect_set("item").alias("items")).collect()
-        shared = spark.sparkContext.broadcast([(bytes(r.window), r["items"]) for r in rows])
-        passes.append(into if n == 1 else f"{into}_{k}")
-        docs = docs.withColumn(passes[-1], _scanner(shared)(F.col(text_col).cast("string")))
-        if n > 1:
-            docs = scratch.write(docs)
-    return docs if n == 1 else docs.select(*kept, F.arrow_udf(_merged, HITS)(F.array(*passes)).alias(into))
+        hits = rows.select("__row", scanned(windows.where(F.expr(f"pmod(xxhash64(window, item), {n}) = {k}"))).alias("__found"))
+        found.append(scratch.write(hits if k == 0 else hits.where("size(__found.items) > 0")))
+    merged = reduce(DataFrame.union, found).groupBy("__row").agg(F.collect_list("__found").alias("__passes"))
+    return rows.join(merged.select("__row", F.arrow_udf(_merged, HITS)("__passes").alias(into)), "__row").select(*docs.columns, into)
 
 
 def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -849,6 +849,37 @@ def test_grades_on_held_out_ratings(spark, sf_dir):
     assert tail.sum(axis=1)[grade[half:] == 2].mean() > 1.8 > tail.sum(axis=1)[grade[half:] == 0].mean() + 0.8
 
 
+def test_fit_equals_an_independent_one():
+    """The penalised likelihood, written out anew, at the operator's fit: no slope by differences, and no lower after a plain descent."""
+    from lodestar.llm import ordinal
+
+    rng = np.random.default_rng(4)
+    x = rng.random((400, 12)) < 0.4
+    score = x @ rng.normal(0, 1.5, 12)
+    grade = np.digitize(score + rng.logistic(size=400), [-0.5, 1.0])
+    model = ordinal.train([np.flatnonzero(r).astype(np.int32) for r in x], grade)
+
+    def loss(p):
+        w, cuts = p[:12], np.concatenate([[-np.inf], p[12:], [np.inf]])
+        below = lambda c: 1 / (1 + np.exp(-(c - x @ w)))
+        with np.errstate(over="ignore"):
+            return -np.log(below(cuts[grade + 1]) - below(cuts[grade])).mean() + ordinal.DECAY / 2 * (w**2).sum()
+
+    def slope(p, e=1e-5):
+        return np.array([(loss(p + e * d) - loss(p - e * d)) / (2 * e) for d in np.eye(len(p))])
+
+    fitted = np.concatenate([model.weights[:12], model.thresholds]).astype(float)
+    assert not model.weights[12:].any() and np.abs(slope(fitted)).max() < 2e-3
+    p = np.concatenate([np.zeros(12), [-1.0, 1.0]])
+    for _ in range(3000):
+        p -= 2.0 * slope(p)
+    assert loss(fitted) < loss(p) + 1e-4
+    assert np.abs(fitted - p).max() < 0.05
+    (tail,) = {tuple(np.round(ordinal.tails(model, np.flatnonzero(x[0])), 9))}
+    want = 1 / (1 + np.exp(fitted[12:] - x[0] @ fitted[:12]))
+    assert np.allclose(tail, want, atol=1e-5)
+
+
 def test_grades_of_messy_rows(spark, docs):
     from lodestar.llm import ordinal
 
