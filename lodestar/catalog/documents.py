@@ -142,11 +142,11 @@ def estimated_bytes(spark, sf_dir):
     return D.estimated_bytes(documents_of(spark, sf_dir, PART))
 
 
-@query("analyze_positions", f"SELECT doc_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS position, unnest(w) AS token FROM (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 10000)), '{WORD_SQL}') AS w FROM documents) x")
+@query("analyze_positions", f"SELECT doc_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS position, unnest(w) AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents) x")
 def analyze_positions(spark, sf_dir):
     """What the analysis tool shows of each document, offsets aside."""
     rows = load(spark, sf_dir, "documents")
-    return rows.select("doc_id", F.posexplode(T.words(F.substring("text", 1, 10_000))).alias("position", "token"))
+    return rows.select("doc_id", F.posexplode(T.words("text")).alias("position", "token"))
 
 
 @query("analyze_offsets", f"SELECT n_nationkey, unnest(regexp_extract_all(n_name, '{WORD_SQL}')) AS token FROM nation")

@@ -39,7 +39,9 @@ CUSTOMER = TableConfig(
 SUPPLIER = TableConfig("supplier", "s_suppkey", (FieldConfig("s_name", weight=3, role=Role.TITLE), FieldConfig("s_nationkey", label="Nation")))
 TEXTS = TableConfig("documents", "doc_id", (FieldConfig("text"), FieldConfig("source"), FieldConfig("lang", weight=5, role=Role.EXACT)))
 TABLES = (PART, CUSTOMER, SUPPLIER, TEXTS)
-CONFIG = EngineConfig(tables=TABLES)
+#: Whole texts are searched; the cut of long values is shown by ``field_truncate``.
+WHOLE = 2**31 - 1
+CONFIG = EngineConfig(tables=TABLES, max_field_length=WHOLE)
 
 #: Times in the catalogue are literals, so that both engines mean the same.
 NOW = "2024-01-20 00:00:00"
@@ -61,14 +63,20 @@ def documents_of(spark: SparkSession, sf_dir: str, *tables: TableConfig) -> Data
 
 # SQL for the same documents, written out independently.
 
-WORD_SQL = r"[\p{L}\p{M}\p{N}_]+"
+# Words of letters ({l}) and digits; an apostrophe, stop or the like stands inside a word between two of a kind.
+_LETTER_SQL = r"[^\p{Nd}\p{No}\p{P}\p{S}\p{Z}\p{C}\p{Han}\p{Hiragana}]"
+_RUN_SQL = (
+    r"(?:{l}+(?:[:.\x27\x{B7}\x{387}\x{55F}\x{5F4}\x{2018}\x{2019}\x{2024}\x{2027}\x{FE13}\x{FE52}\x{FE55}\x{FF07}\x{FF0E}\x{FF1A}]{l}+)*"
+    r"|\p{Nd}+(?:[,;.\x27\x{37E}\x{589}\x{60C}\x{60D}\x{66C}\x{7F8}\x{2018}\x{2019}\x{2024}\x{2044}\x{FE10}\x{FE14}\x{FE50}\x{FE52}\x{FE54}\x{FF07}\x{FF0C}\x{FF0E}\x{FF1B}]\p{Nd}+)*)"
+).replace("{l}", _LETTER_SQL)
+WORD_SQL = rf"_*{_RUN_SQL}(?:_*{_RUN_SQL})*_*|[\p{{Han}}\p{{Hiragana}}]\p{{M}}*"
 
 
 def normal_sql(value: str) -> str:
     return f"regexp_replace(regexp_replace(coalesce({value}, ''), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
 
 
-_SHOWN = "CASE WHEN trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) <> '' THEN substr({0}, 1, 10000) END"
+_SHOWN = "CASE WHEN trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) <> '' THEN {0} END"
 
 VALUES_SQL = {
     "part": """

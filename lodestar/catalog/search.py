@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.highlight import highlight_ranges, highlight_snippet
 from ..operators import diagnose, postings, search
 from ..operators import query as Q
 from ..plans.config import Analyzer, EngineConfig, FieldConfig, Role, TableConfig
-from .registry import CONFIG, CUSTOMER, CUSTOMER_CLAUSES, PART, PART_CLAUSES, SUPPLIER, SUPPLIER_CLAUSES, TEXT, TEXTS, TEXTS_CLAUSES, documents_of, load, query, ranked_sql
+from .registry import CONFIG, CUSTOMER, CUSTOMER_CLAUSES, PART, PART_CLAUSES, SUPPLIER, SUPPLIER_CLAUSES, TEXT, TEXTS, TEXTS_CLAUSES, WORD_SQL, documents_of, load, query, ranked_sql
 
 ALL = [PART, CUSTOMER, SUPPLIER]
 ALL_CLAUSES = TEXT + PART_CLAUSES + CUSTOMER_CLAUSES + SUPPLIER_CLAUSES
@@ -198,6 +200,33 @@ def provider_search(spark, sf_dir):
     return provider.search("nation_1", ["customer", "supplier", "orders"], 6, locks(spark, sf_dir)).select("source_table", "record_id", "score", "rank")
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, every tenth with a name that has words of several pieces."""
+    from ..operators.documents import build_documents
+
+    name = F.when(F.col("p_partkey") % 10 == 0, F.concat("p_name", F.lit(" O'Neil\u2019s v3.5 don't 1,000 A.B.C."))).otherwise(F.concat("p_name", F.lit(" o neil 3 5 don")))
+    return build_documents(load(spark, sf_dir, "part").withColumn("p_name", name), PART, config=CONFIG)
+
+
+_TENTH = "SELECT CAST(p_partkey AS VARCHAR) AS record_id FROM part WHERE p_partkey % 10 = 0"
+
+
+@query("search_apostrophe", f"SELECT *, unnest(['o''neil', 'don''t', 'o''n', 'a.b']) AS term FROM ({_TENTH}) x")
+def search_apostrophe(spark, sf_dir):
+    """A word goes on behind an apostrophe, on both sides of the search."""
+    docs = _named(spark, sf_dir)
+    parts = [Q.score(docs, Q.plan(t, [PART]), [PART]).select("record_id", F.lit(t.lower()).alias("term")) for t in ("O'Neil", "don't", "o'n", "A.B")]
+    return reduce(DataFrame.union, parts)
+
+
+@query("search_decimal", f"SELECT *, unnest(['1,000', '1,0']) AS term FROM ({_TENTH}) x UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'neil' FROM part WHERE p_partkey % 10 <> 0")
+def search_decimal(spark, sf_dir):
+    """Digits hold together over a comma; a piece of a word is no word."""
+    docs = _named(spark, sf_dir)
+    parts = [Q.score(docs, Q.plan(t, [PART]), [PART]).select("record_id", F.lit(t).alias("term")) for t in ("1,000", "1,0", "neil")]
+    return reduce(DataFrame.union, parts)
+
+
 @query("search_english")
 def search_english(spark, sf_dir):
     """Stems: 'licensing' finds 'licensed'. Tests compare with published stems."""
@@ -205,7 +234,7 @@ def search_english(spark, sf_dir):
     return shown(hits(spark, sf_dir, "licensing", [table]))
 
 
-@query("search_english_oracle", "SELECT CAST(count(*) AS BIGINT) AS n FROM documents WHERE regexp_matches(lower(substr(text, 1, 10000)), '(^|[^\\p{L}\\p{M}\\p{N}_])licens(e|es|ed|ing|er|ers)?($|[^\\p{L}\\p{M}\\p{N}_])')")
+@query("search_english_oracle", f"SELECT CAST(count(*) AS BIGINT) AS n FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '{WORD_SQL}'), w -> regexp_full_match(w, 'licens(e|es|ed|ing|er|ers)?'))) > 0")
 def search_english_oracle(spark, sf_dir):
     """How many documents the stemmed search finds, against the word's forms written out."""
     return search_english(spark, sf_dir).agg(F.count("*").alias("n"))
@@ -237,7 +266,7 @@ def redacted_response(spark, sf_dir):
     return diagnose.readable_hits(found, readable)
 
 
-@query("query_token_check", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{M}\\p{N}_])thin') THEN 'found' ELSE 'no word with this prefix' END AS thin, 'too short' AS t, 'too long' AS long FROM documents")
+@query("query_token_check", f"SELECT doc_id, CASE WHEN len(list_filter(regexp_extract_all(lower(text), '{WORD_SQL}'), w -> starts_with(w, 'thin'))) > 0 THEN 'found' ELSE 'no word with this prefix' END AS thin, 'too short' AS t, 'too long' AS long FROM documents")
 def query_token_check(spark, sf_dir):
     words = T.words("text")
     return load(spark, sf_dir, "documents").select("doc_id", T.token_check(words, "thin").alias("thin"), T.token_check(words, "t").alias("t"), T.token_check(words, "x" * 21).alias("long"))

@@ -9,11 +9,11 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MAX_GRAM, MIN_GRAM, WORD, col
+from .text import MAX_GRAM, MIN_GRAM, WORD_REGEX, col
 
 OPEN, CLOSE = "\ue000", "\ue001"
 FRAGMENT = 160
-_WORD = regex.compile(WORD)
+_WORD = regex.compile(WORD_REGEX, regex.V1)
 
 RANGES = "array<struct<start:int,end:int>>"
 _ARROW_RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -11,8 +11,24 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A word is a run of letters, marks, digits and underscores.
-WORD = r"[\p{L}\p{M}\p{N}_]+"
+# Words follow the word boundaries of Unicode (UAX 29) for letters, digits and what may stand between them.
+# Characters of the properties MidLetter, MidNum and MidNumLet with the single quote.
+MID_LETTER = r":\u00B7\u0387\u055F\u05F4\u2027\uFE13\uFE55\uFF1A"
+MID_NUM = r",;\u037E\u0589\u060C\u060D\u066C\u07F8\u2044\uFE10\uFE14\uFE50\uFE54\uFF0C\uFF1B"
+MID_NUM_LET = r".\u2018\u2019\u2024\uFE52\uFF07\uFF0E\x27"
+
+
+def word_pattern(letter: str) -> str:
+    """A word: letters that may have one of MID_LETTER or MID_NUM_LET between each other, digits that may have one of
+    MID_NUM or MID_NUM_LET, in any row, and underscores among and around them; or one ideograph or Hiragana sign.
+    No repeat of a group gives back what it took, so long words need no deep stack."""
+    part = rf"(?:{letter}+(?:[{MID_LETTER}{MID_NUM_LET}]{letter}+)*+|\p{{Nd}}+(?:[{MID_NUM}{MID_NUM_LET}]\p{{Nd}}+)*+)"
+    return rf"_*+{part}(?:_*+{part})*+_*+|[\p{{IsHan}}\p{{IsHiragana}}]\p{{M}}*+"
+
+
+WORD = word_pattern(r"[a-z[\p{L}\p{M}\p{Nl}&&[^\p{IsHan}\p{IsHiragana}]]]")
+#: The same for Python's module regex (version 1 of its syntax).
+WORD_REGEX = word_pattern(r"[a-z[[\p{L}\p{M}\p{Nl}]--[\p{IsHan}\p{IsHiragana}]]]")
 BLANK = r"[ \t\n\x0B\f\r]+"
 #: Prefix lengths that the index side of the prefix analyzer holds.
 MIN_GRAM, MAX_GRAM = 2, 20

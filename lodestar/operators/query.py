@@ -15,7 +15,6 @@ join as a single row.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -30,7 +29,7 @@ from .documents import MAPS, allowed_snippet
 
 K1, B = 1.2, 0.75
 SCALE = 6
-_WORD = regex.compile(T.WORD)
+_WORD = regex.compile(T.WORD_REGEX, regex.V1)
 _BLANKS = regex.compile(r"[ \t\n\x0b\f\r]+")
 _EDGE = regex.compile(r"^[\x00-\x20]+|[\x00-\x20]+$")
 
@@ -203,7 +202,3 @@ def matched_clauses(hits: DataFrame) -> DataFrame:
 def explain_contributions(hits: DataFrame) -> DataFrame:
     """A row for each clause that a hit satisfied, with what it adds to the score."""
     return hits.select("document_id", F.explode("contributions").alias("c")).select("document_id", "c.clause", F.round("c.score", SCALE).alias("score"))
-
-
-def idf(n: int, df: int) -> float:
-    return math.log(1 + (n - df + 0.5) / (df + 0.5))

@@ -41,6 +41,13 @@ def test_one_letter_tokens_match_nothing(docs):
     assert found(docs, "blue w")[0] == [] and found(docs, "w")[0] == []
 
 
+def test_words_of_several_pieces(spark):
+    rows = spark.createDataFrame([(1, "Pat O'Neil", "costs 3.5", None, None), (2, "O Neil", "3 5", None, None), (3, "x", "we don't", None, "it isn't")], "id int, name string, description string, sku string, notes string")
+    docs = build_documents(rows, PRODUCT)
+    for term, ids in (("O'Neil", {"1"}), ("o'neil 3.5", {"1"}), ("3.5", {"1"}), ("don't", {"3"}), ("don", {"3"}), ("neil", {"2"})):
+        assert {i for _, i in found(docs, term, ("product",))[0]} == ids, term
+
+
 def test_exact_and_english_fields(docs):
     assert found(docs, "4711")[0] == [("product", "1")] and found(docs, "471")[0] == []
     assert {i for _, i in found(docs, "runs")[0]} == {"1", "3"}

@@ -18,13 +18,41 @@ def test_normalize(spark, raw, expected):
 
 
 def test_words_and_grams(spark):
-    assert one(spark, T.words(F.lit("Don't STOP, Élan_9 3.14"))) == ["don", "t", "stop", "élan_9", "3", "14"]
+    assert one(spark, T.words(F.lit("Don't STOP, Élan_9 3.14"))) == ["don't", "stop", "élan_9", "3.14"]
     assert one(spark, T.words(F.lit(None))) == []
     assert one(spark, T.grams(T.words(F.lit("a abc")))) == ["ab", "abc"]
     assert len(one(spark, T.grams(T.words(F.lit("x" * 60))))) == 19
     assert len(one(spark, T.words(F.lit("xy1" * 20000)))) == 1
 
 
+WORDS = {
+    "O'Neil\u2019s 'quoted' rock'n'roll": ["o'neil\u2019s", "quoted", "rock'n'roll"],
+    "3.5 1,000.25 2026-04 v1.2 1.a a.1": ["3.5", "1,000.25", "2026", "04", "v1.2", "1", "a", "a", "1"],
+    "end. a.b.c. x:y u,v 1;2 1:2": ["end", "a.b.c", "x:y", "u", "v", "1;2", "1", "2"],
+    "_a_ __ a__b _1 ² ½ Ⅷ": ["_a_", "a__b", "_1", "ⅷ"],
+    "漢字 ひら カタ abc漢 e\u0301t\u00e9": ["漢", "字", "ひ", "ら", "カタ", "abc", "漢", "e\u0301t\u00e9"],
+    "..'' , ;": [],
+}
+
+
+@pytest.mark.parametrize("text, expected", WORDS.items())
+def test_words_by_unicode_boundaries(spark, text, expected):
+    """Spark, Python and the SQL of the oracles cut alike."""
+    import duckdb
+
+    from lodestar.catalog.registry import WORD_SQL
+    from lodestar.operators.query import _WORD
+
+    assert one(spark, T.words(F.lit(text))) == expected
+    assert _WORD.findall(text.lower()) == expected
+    assert duckdb.connect().execute(f"SELECT regexp_extract_all(lower(?), '{WORD_SQL}')", [text]).fetchone()[0] == expected
+
+
+def test_very_long_words(spark):
+    for text in ("a.b" * 30000, "a1" * 30000, "x_" * 30000, "1,2." * 20000):
+        assert len(one(spark, T.words(F.lit(text)))) >= 1
+
+
 def test_token_check(spark):
     words = T.words(F.lit("blue widget"))
     assert [one(spark, T.token_check(words, t)) for t in ("wid", "w", "x" * 21, "red")] == ["found", "too short", "too long", "no word with this prefix"]
@@ -90,5 +118,5 @@ def test_highlight(spark):
 def test_token_offsets(spark):
     text = "Élan, 3.14 don't"
     found = one(spark, highlight.token_offsets(F.lit(text)))
-    assert [(t.position, t.token, text[t.start : t.end].lower()) for t in found] == [(i, w, w) for i, w in enumerate(["élan", "3", "14", "don", "t"])]
+    assert [(t.position, t.token, text[t.start : t.end].lower()) for t in found] == [(i, w, w) for i, w in enumerate(["élan", "3.14", "don't"])]
     assert one(spark, highlight.token_offsets(F.lit("abc def"), 3))[-1].token == "abc"
