@@ -31,7 +31,9 @@ FIELDS = """SELECT table_name, field_name, label, type, ordinal, is_label_field,
  ) AS t(table_name, field_name, label, type, ordinal, is_label_field, is_key, is_hidden, is_sensitive, is_personal, is_locked)"""
 META_TABLES = """SELECT table_name, label, is_hidden, is_internal, has_variants, can_query, can_read FROM (VALUES ('part', 'Part', false, false, false, true, true), ('customer', 'customer', false, false, false, true, true), ('account', 'Account', NULL, false, false, true, false),
  ('orders', 'Orders', false, false, false, true, true), ('blobs', 'Blobs', false, false, false, true, true), ('search_index', 'Index', false, false, false, true, true), ('api_keys_secret', 'Keys', false, false, false, true, true), ('audit', 'Audit', true, false, false, true, true),
- ('log', 'Log', false, true, false, true, true), ('variants', 'Variants', false, false, true, true, true), ('unread', 'Unread', false, false, false, false, true)) AS t(table_name, label, is_hidden, is_internal, has_variants, can_query, can_read)"""
+ ('user_session', 'Sessions', false, false, false, true, true), ('oauth_client', 'Clients', false, false, false, true, true), ('PRIVATEKEY', 'Keys', false, false, false, true, true), ('etc_passwd', 'Users', false, false, false, true, true),
+ ('my_apikey', 'Keys', false, false, false, true, true), ('saved_view', 'Views', false, false, false, true, true), ('Script_Log_Line', 'Lines', false, false, false, true, true), ('tableTrigger', 'Triggers', false, false, false, true, true), ('audition', 'Auditions', false, false, false, true, true),
+ ('host_jobs', 'Jobs', false, false, false, true, true), ('log', 'Log', false, true, false, true, true), ('variants', 'Variants', false, false, true, true, true), ('unread', 'Unread', false, false, false, false, true)) AS t(table_name, label, is_hidden, is_internal, has_variants, can_query, can_read)"""
 
 V, S = {"s": "VARCHAR"}, {"s": "STRING"}
 _REASON = """CASE WHEN coalesce(is_hidden, false) THEN 'hidden' WHEN is_personal OR is_locked THEN 'classified' WHEN is_sensitive THEN 'sensitive' WHEN type IS NULL THEN 'no type' WHEN type = 'PASSWORD' THEN 'masked type' WHEN type IN ('BOOLEAN', 'BLOB') THEN 'type not searchable' END"""
@@ -70,19 +72,20 @@ def default_timestamps(spark, sf_dir):
     return R.default_timestamps(sql(spark, FIELDS))
 
 
-_ELIGIBLE = f"""WITH {_OK}, e AS (SELECT t.table_name, label, coalesce(can_read, false) AS can_read, CASE WHEN is_internal THEN 'internal' WHEN table_name = 'search_index' THEN 'part of the search engine' WHEN regexp_matches(table_name, 'secret|password') THEN 'may hold secrets'
+_ELIGIBLE = f"""WITH {_OK}, e AS (SELECT t.table_name, label, coalesce(can_read, false) AS can_read, CASE WHEN is_internal THEN 'internal' WHEN table_name = 'search_index' THEN 'part of the search engine'
+ WHEN table_name IN ('audit', 'saved_view', 'Script_Log_Line', 'tableTrigger', 'host_jobs') THEN 'system table' WHEN table_name IN ('api_keys_secret', 'user_session', 'oauth_client', 'PRIVATEKEY', 'etc_passwd', 'my_apikey') THEN 'may hold secrets'
  WHEN coalesce(is_hidden, false) THEN 'hidden' WHEN has_variants THEN 'has variants' WHEN NOT can_query THEN 'can''t be queried' WHEN table_name NOT IN (SELECT table_name FROM u) THEN 'no indexable field' END AS reason FROM ({META_TABLES}) t)"""
 
 
 @query("table_eligibility", _ELIGIBLE + " SELECT table_name, reason FROM e")
 def table_eligibility(spark, sf_dir):
-    return R.eligibility(sql(spark, META_TABLES), sql(spark, FIELDS)).select("table_name", "reason")
+    return R.eligibility(sql(spark, META_TABLES), sql(spark, FIELDS), ["HostJobs"]).select("table_name", "reason")
 
 
 @query("eligible_tables", _ELIGIBLE + " SELECT table_name, label FROM e WHERE reason IS NULL AND can_read AND table_name <> 'customer'")
 def eligible_tables(spark, sf_dir):
     indexed = spark.createDataFrame([("customer",)], "table_name string")
-    return R.eligible_tables(sql(spark, META_TABLES), sql(spark, FIELDS), indexed)
+    return R.eligible_tables(sql(spark, META_TABLES), sql(spark, FIELDS), indexed, ["HostJobs"])
 
 
 _DIFFERS = "(c.interval_minutes IS DISTINCT FROM r.interval_minutes OR c.timestamp_field IS DISTINCT FROM r.timestamp_field)"

@@ -234,7 +234,7 @@ def search_english(spark, sf_dir):
     return shown(hits(spark, sf_dir, "licensing", [table]))
 
 
-@query("search_english_oracle", f"SELECT CAST(count(*) AS BIGINT) AS n FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '{WORD_SQL}'), w -> regexp_full_match(w, 'licens(e|es|ed|ing|er|ers)?'))) > 0")
+@query("search_english_oracle", f"SELECT CAST(count(*) AS BIGINT) AS n FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '{WORD_SQL}'), lambda w: regexp_full_match(w, 'licens(e|es|ed|ing|er|ers)?'))) > 0")
 def search_english_oracle(spark, sf_dir):
     """How many documents the stemmed search finds, against the word's forms written out."""
     return search_english(spark, sf_dir).agg(F.count("*").alias("n"))
@@ -266,7 +266,7 @@ def redacted_response(spark, sf_dir):
     return diagnose.readable_hits(found, readable)
 
 
-@query("query_token_check", f"SELECT doc_id, CASE WHEN len(list_filter(regexp_extract_all(lower(text), '{WORD_SQL}'), w -> starts_with(w, 'thin'))) > 0 THEN 'found' ELSE 'no word with this prefix' END AS thin, 'too short' AS t, 'too long' AS long FROM documents")
+@query("query_token_check", f"SELECT doc_id, CASE WHEN len(list_filter(regexp_extract_all(lower(text), '{WORD_SQL}'), lambda w: starts_with(w, 'thin'))) > 0 THEN 'found' ELSE 'no word with this prefix' END AS thin, 'too short' AS t, 'too long' AS long FROM documents")
 def query_token_check(spark, sf_dir):
     words = T.words("text")
     return load(spark, sf_dir, "documents").select("doc_id", T.token_check(words, "thin").alias("thin"), T.token_check(words, "t").alias("t"), T.token_check(words, "x" * 21).alias("long"))

@@ -8,15 +8,23 @@ can_query, can_read. Missing flags count as false.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Field types by treatment, tables of the engine itself, names that smell of secrets.
+# Field types by treatment, tables of the engine itself, of a host's own workings (lower-case, without
+# underscores), and names that smell of secrets.
 STRING_TYPES = ("STRING", "TEXT", "HTML")
 MASKED_TYPES = ("PASSWORD",)
 UNSEARCHABLE_TYPES = ("BOOLEAN", "BLOB")
-SECRET_NAMES = r"(?i)(secret|password|credential|token|apikey|api_key)"
-SYSTEM_TABLES = ("search_index", "search_index_field", "search_index_run", "search_failed_event", "search_settings", "search_tombstone", "search_event", "search_validation")
+ENGINE_TABLES = ("search_index", "search_index_field", "search_index_run", "search_failed_event", "search_settings", "search_tombstone", "search_event", "search_validation")
+SYSTEM_TABLES = (
+    "audit", "auditdetail", "audittable", "audituser", "savedview", "savedreport", "sharedsavedview", "sharedsavedreport",
+    "scheduledjob", "scheduledjobparameter", "script", "scriptrevision", "scriptrevisionfile", "scriptlog", "scriptlogline",
+    "scripttype", "scripttypefilemode", "tabletrigger", "processtrace", "cachedrecord",
+)
+SECRET_NAMES = r"(?i)(secret|credential|password|passwd|token|api_?key|session|oauth|private_?key)"
 
 DEFAULT_FIELDS = 20
 LABEL_WEIGHT = 3
@@ -69,12 +77,15 @@ def default_timestamps(fields: DataFrame) -> DataFrame:
     return usable.groupBy("table_name").agg(F.min_by("field_name", F.struct(~exact, "ordinal")).alias("timestamp_field"))
 
 
-def why_not_eligible(with_fields: Column) -> Column:
-    """The first rule that keeps a table from being indexed; ``with_fields`` says if it has an indexable field."""
+def why_not_eligible(with_fields: Column, host_tables: Sequence[str] = ()) -> Column:
+    """The first rule that keeps a table from being indexed; ``with_fields`` says if it has an indexable field. ``host_tables`` are further system tables of a host."""
+    plain = F.lower(F.replace("table_name", F.lit("_"), F.lit("")))
+    hosts = [t.replace("_", "").lower() for t in host_tables]
     return (
         F.when(F.col("table_name").isNull(), "unknown table")
         .when(_flag("is_internal"), "internal")
-        .when(F.col("table_name").isin(*SYSTEM_TABLES), "part of the search engine")
+        .when(F.col("table_name").isin(*ENGINE_TABLES), "part of the search engine")
+        .when(plain.isin(*SYSTEM_TABLES, *hosts), "system table")
         .when(F.col("table_name").rlike(SECRET_NAMES), "may hold secrets")
         .when(_flag("is_hidden"), "hidden")
         .when(_flag("has_variants"), "has variants")
@@ -83,14 +94,14 @@ def why_not_eligible(with_fields: Column) -> Column:
     )
 
 
-def eligibility(tables: DataFrame, fields: DataFrame) -> DataFrame:
+def eligibility(tables: DataFrame, fields: DataFrame, host_tables: Sequence[str] = ()) -> DataFrame:
     """Per table: table_name, label, can_read, reason (null if it may be indexed)."""
     usable = indexable_fields(fields).select(F.col("table_name").alias("__t")).distinct()
     joined = tables.join(usable, F.col("table_name") == F.col("__t"), "left")
-    return joined.select("table_name", "label", _flag("can_read").alias("can_read"), why_not_eligible(F.col("__t").isNotNull()).alias("reason"))
+    return joined.select("table_name", "label", _flag("can_read").alias("can_read"), why_not_eligible(F.col("__t").isNotNull(), host_tables).alias("reason"))
 
 
-def eligible_tables(tables: DataFrame, fields: DataFrame, indexed: DataFrame) -> DataFrame:
+def eligible_tables(tables: DataFrame, fields: DataFrame, indexed: DataFrame, host_tables: Sequence[str] = ()) -> DataFrame:
     """Tables that may be indexed, may be read and aren't indexed yet, by label whatever its case."""
-    found = eligibility(tables, fields).where("reason is null and can_read").join(indexed.select("table_name"), "table_name", "left_anti")
+    found = eligibility(tables, fields, host_tables).where("reason is null and can_read").join(indexed.select("table_name"), "table_name", "left_anti")
     return found.select("table_name", "label").orderBy(F.lower("label"), "table_name")
