@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.documents import Label, build_documents, union_documents
 from ..plans.config import EngineConfig, FieldConfig, Role, TableConfig
+from ..sources.index import Index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +63,24 @@ def documents_of(spark: SparkSession, sf_dir: str, *tables: TableConfig) -> Data
     return union_documents(parts)
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str, config: EngineConfig) -> Index:
+    """The index of a folder's tables, built once in a session below the shared folder, and deleted when the driver ends."""
+    key = (spark.sparkContext.applicationId, sf_dir, config.tables)
+    if key not in _INDEXES:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/lodestar-index-{uuid.uuid4().hex}")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        index = Index(spark, path.toString(), config)
+        index.rebuild({t.name: documents_of(spark, sf_dir, t) for t in config.tables})
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 # SQL for the same documents, written out independently.
 
 # Words of letters ({l}) and digits; an apostrophe, stop or the like stands inside a word between two of a kind.

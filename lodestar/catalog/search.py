@@ -11,10 +11,12 @@ from ..functions import text as T
 from ..functions.highlight import highlight_ranges, highlight_snippet
 from ..operators import diagnose, postings, search
 from ..operators import query as Q
+from ..functions.stemming import STOP_WORDS
 from ..plans.config import Analyzer, EngineConfig, FieldConfig, Role, TableConfig
-from .registry import CONFIG, CUSTOMER, CUSTOMER_CLAUSES, PART, PART_CLAUSES, SUPPLIER, SUPPLIER_CLAUSES, TEXT, TEXTS, TEXTS_CLAUSES, WORD_SQL, documents_of, load, query, ranked_sql
+from .registry import CONFIG, CUSTOMER, CUSTOMER_CLAUSES, PART, PART_CLAUSES, SUPPLIER, SUPPLIER_CLAUSES, TEXT, TEXTS, TEXTS_CLAUSES, WHOLE, WORD_SQL, documents_of, load, query, ranked_sql, stored_index
 
 ALL = [PART, CUSTOMER, SUPPLIER]
+ENGLISH_TEXTS = TableConfig("documents", "doc_id", (FieldConfig("text", analyzer=Analyzer.ENGLISH, in_snippet=False), FieldConfig("source")))
 ALL_CLAUSES = TEXT + PART_CLAUSES + CUSTOMER_CLAUSES + SUPPLIER_CLAUSES
 NAMES = ["part", "customer", "supplier"]
 
@@ -175,9 +177,15 @@ def locked_total(spark, sf_dir):
     return search.accessible(hits(spark, sf_dir, "nation_1", ALL), locks(spark, sf_dir)).agg(F.count("*").alias("total"))
 
 
-@query("locked_page_flags")
+_FREE = f"free AS (SELECT * FROM hits WHERE st <> 'customer' OR {_LOCK})"
+
+
+@query(
+    "locked_page_flags",
+    ranked_sql("nation_1", NAMES, ALL_CLAUSES) + f", {_FREE} SELECT st AS source_table, rid AS record_id, score, (SELECT CAST(count(*) AS BIGINT) FROM free) AS total, (SELECT count(*) FROM hits) > 10000 AS lower_bound, (SELECT count(*) FROM free) > 15 AS has_more FROM free{_BEST} LIMIT 10 OFFSET 5",
+)
 def locked_page_flags(spark, sf_dir):
-    """Flags of a locked page depend on the sequence of batches; tests check them against the rules."""
+    """A page of readable hits with its total and flags."""
     found = search.execute(documents_of(spark, sf_dir, *ALL), search.Request("nation_1", limit=10, offset=5), EngineConfig(tables=tuple(ALL)), locks=locks(spark, sf_dir))
     return shown(found.rows).withColumns({"total": F.lit(found.total).cast("long"), "lower_bound": F.lit(found.lower_bound), "has_more": F.lit(found.has_more)})
 
@@ -227,22 +235,56 @@ def search_decimal(spark, sf_dir):
     return reduce(DataFrame.union, parts)
 
 
-@query("search_english")
+_FORMS = "licens(e|es|ed|ing|er|ers)?"
+_ENGLISH = f"""
+WITH e AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{WORD_SQL}'), lambda w: w NOT IN ({", ".join(repr(w) for w in sorted(STOP_WORDS))})) AS w FROM documents WHERE trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) <> ''),
+m AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: regexp_full_match(x, '{_FORMS}'))) AS tf FROM e WHERE len(w) > 0),
+st AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (WHERE tf > 0) AS df FROM m)
+SELECT 'documents' AS source_table, CAST(doc_id AS VARCHAR) AS record_id, round(2 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / a)), 6) AS score FROM m, st WHERE tf > 0"""
+
+
+@query("search_english", _ENGLISH)
 def search_english(spark, sf_dir):
-    """Stems: 'licensing' finds 'licensed'. Tests compare with published stems."""
-    table = TableConfig("documents", "doc_id", (FieldConfig("text", analyzer=Analyzer.ENGLISH, in_snippet=False), FieldConfig("source")))
-    return shown(hits(spark, sf_dir, "licensing", [table]))
+    """Stems: 'licensing' finds 'licensed'. The oracle writes the word's forms out."""
+    return shown(hits(spark, sf_dir, "licensing", [ENGLISH_TEXTS]))
 
 
-@query("search_english_oracle", f"SELECT CAST(count(*) AS BIGINT) AS n FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '{WORD_SQL}'), lambda w: regexp_full_match(w, 'licens(e|es|ed|ing|er|ers)?'))) > 0")
+@query("search_english_oracle", f"SELECT CAST(count(*) AS BIGINT) AS n FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '{WORD_SQL}'), lambda w: regexp_full_match(w, '{_FORMS}'))) > 0")
 def search_english_oracle(spark, sf_dir):
     """How many documents the stemmed search finds, against the word's forms written out."""
     return search_english(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
-@query("highlight_snippet")
+def _stored(spark: SparkSession, sf_dir: str, table: TableConfig):
+    return stored_index(spark, sf_dir, EngineConfig(tables=(table,), max_field_length=WHOLE))
+
+
+@query("index_search_prefix", ranked_sql("thin the", ["documents"], TEXT + TEXTS_CLAUSES) + _SHOWN + _BEST + " LIMIT 100")
+def index_search_prefix(spark, sf_dir):
+    """As search_text_prefix, from the stored index of the session (built by the first question)."""
+    index = _stored(spark, sf_dir, TEXTS)
+    return shown(search.execute(index, search.Request("thin the", limit=100), index.config).rows)
+
+
+@query("index_search_english", _ENGLISH)
+def index_search_english(spark, sf_dir):
+    """As search_english, from stored stems."""
+    index = _stored(spark, sf_dir, ENGLISH_TEXTS)
+    return shown(index.search("licensing"))
+
+
+@query("index_locked_page", ranked_sql("thin", ["documents"], TEXT + TEXTS_CLAUSES) + _SHOWN + " WHERE CAST(rid AS BIGINT) % 3 = 0" + _BEST + " LIMIT 20 OFFSET 10")
+def index_locked_page(spark, sf_dir):
+    """A page of readable hits from the stored index."""
+    index = _stored(spark, sf_dir, TEXTS)
+    readable = load(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("record_id"))
+    return shown(search.execute(index, search.Request("thin", limit=20, offset=10), index.config, locks={"documents": readable}).rows)
+
+
+# Names and types of parts are shorter than a fragment, so the whole text is shown.
+@query("highlight_snippet", "SELECT 'part:' || CAST(p_partkey AS VARCHAR) AS document_id, regexp_replace(p_name || ' ' || p_type, '\\b(wid[a-z0-9]*)', '<em>\\1</em>', 'gi') AS snippet FROM part WHERE contains(p_name || ' ' || p_type, 'widget')")
 def highlight_snippets(spark, sf_dir):
-    """Marked fragments; tests check them against a plain search."""
+    """Marked fragments."""
     docs = documents_of(spark, sf_dir, PART).where(F.col("searchable_text").contains("widget"))
     return docs.select("document_id", highlight_snippet("searchable_text", ["wid"]).alias("snippet"))
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -115,7 +115,14 @@ def build_documents(rows: DataFrame, table: TableConfig, labels: Mapping[str, La
 
 
 def union_documents(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """All rows; a column that an older layout lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def empty_documents(spark: SparkSession) -> DataFrame:
+    """No document, with the layout that documents have."""
+    rows = spark.createDataFrame([], "id string, at timestamp")
+    return build_documents(rows, TableConfig("none", "id", (FieldConfig("id"),), timestamp="at"))
 
 
 def record_id_of(document_id: Column | str) -> Column:

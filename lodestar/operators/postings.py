@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stemming import english_words
 from ..plans.config import Analyzer, TableConfig
-from .query import HIT, SCALE, Path, Plan, _path_score, with_allowed_text
+from .query import HIT, Path, Plan, clauses_scored, statistics, with_allowed_text
 
 SCHEMA = "path string, word string, document_id string, source_table string, record_id string, record_label string, tf int, dl int"
 
@@ -47,10 +47,22 @@ def build_postings(documents: DataFrame, tables: list[TableConfig]) -> DataFrame
     paths = paths_of(tables)
     lists = F.array(*[F.struct(F.lit(path_name(p)).alias("path"), _words(p).alias("words")) for p in paths])
     each = with_allowed_text(documents, tables).select(*HIT, F.explode(lists).alias("p")).where(F.size("p.words") > 0)
-    rows = each.select("p.path", F.size("p.words").alias("dl"), *HIT, F.explode("p.words").alias("word"))
-    # A document's words are in one task, so this count needs no shuffle of its own beyond the one by word.
-    counted = rows.groupBy("path", "word", *HIT, "dl").agg(F.count("*").cast("int").alias("tf"))
-    return counted.select("path", "word", *HIT, "tf", "dl").repartitionByRange("path", "word").sortWithinPartitions("path", "word", "document_id")
+    # Counted within each document's sorted words, so the only shuffle is the one by range. The document is part of the
+    # range, so that the commonest word is split over tasks and files too.
+    rows = each.select("p.path", F.size("p.words").alias("dl"), *HIT, F.explode(_counted(F.sort_array("p.words"))).alias("w"))
+    found = rows.select("path", "w.word", *HIT, "w.tf", "dl")
+    return found.repartitionByRange("path", "word", "document_id").sortWithinPartitions("path", "word", "document_id")
+
+
+def _counted(sorted_words: Column) -> Column:
+    """Distinct words with their number, as array<struct<word, tf>>."""
+
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - 1)
+        begins = F.filter(at, lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: F.struct(F.get(w, i).alias("word"), (F.coalesce(F.get(b, k + 1), F.size(w)) - i).alias("tf"))))[0]
+
+    return F.transform(F.array(sorted_words), of)[0]
 
 
 def path_statistics(documents: DataFrame, tables: list[TableConfig]) -> DataFrame:
@@ -70,9 +82,12 @@ def _range(path: Path, token: str) -> Column:
     return at & (F.col("word") >= token) & F.col("word").startswith(token)
 
 
-def score_postings(postings: DataFrame, stats: DataFrame, query: Plan) -> DataFrame:
-    """The hits of ``query.score``, from stored postings and statistics."""
-    spark: SparkSession = postings.sparkSession
+def score_postings(postings: DataFrame, stats: DataFrame, query: Plan, tables: list[TableConfig] = (), changed: DataFrame | None = None, touched: DataFrame | None = None) -> DataFrame:
+    """The hits of ``query.score``, from stored postings and statistics.
+
+    ``changed`` are documents that aren't in the postings and are scanned; ``touched`` (document_id) names the documents
+    whose postings no longer count. Both are small beside the postings. Statistics are of postings and changed documents.
+    """
     empty = "array<struct<clause:string,score:double>>"
     if not query.clauses:
         return postings.where(F.lit(False)).select(*HIT, F.lit(0.0).alias("score"), F.array().cast(empty).alias("contributions"))
@@ -80,24 +95,29 @@ def score_postings(postings: DataFrame, stats: DataFrame, query: Plan) -> DataFr
     tokens = {p: [query.term.lower()] if p.analyzer is Analyzer.EXACT else p.tokens(query.term) for p in paths}
     ranges = [_range(p, t) for p in paths for t in tokens[p]]
     read = postings.where(reduce(lambda a, b: a | b, ranges, F.lit(False)))
-    tf = [F.coalesce(F.sum(F.when(_range(p, t), F.col("tf"))), F.lit(0)).alias(f"tf{i}_{j}") for i, p in enumerate(paths) for j, t in enumerate(tokens[p])]
+    tf = [F.coalesce(F.sum(F.when(_range(p, t), F.col("tf"))), F.lit(0)).cast("int").alias(f"tf{i}_{j}") for i, p in enumerate(paths) for j, t in enumerate(tokens[p])]
     dl = [F.coalesce(F.max(F.when(F.col("path") == path_name(p), F.col("dl"))), F.lit(0)).alias(f"dl{i}") for i, p in enumerate(paths)]
     found = read.groupBy(*HIT).agg(*tf, *dl)
-    shaped = found.select(*HIT, *[F.struct(F.array(*[F.col(f"tf{i}_{j}") for j in range(len(tokens[p]))]).alias("tf"), F.col(f"dl{i}").alias("dl")).alias(f"p{i}") for i, p in enumerate(paths)])
+    numbers = [[F.col(f"tf{i}_{j}") for j in range(len(tokens[p]))] for i, p in enumerate(paths)]
+    shaped = found.select(*HIT, *[F.struct(F.array(*numbers[i]).cast("array<int>").alias("tf"), F.col(f"dl{i}").alias("dl")).alias(f"p{i}") for i in range(len(paths))])
     # Small numbers, a row for each path of the configuration.
     known = {r.path: r for r in stats.where(F.col("path").isin(*map(path_name, paths))).collect()}
-    frequencies = shaped.agg(*[F.count_if(F.col(f"p{i}.tf")[j] > 0).alias(f"df{i}_{j}") for i, p in enumerate(paths) for j in range(len(tokens[p]))])
-    constants = {f"n{i}": F.lit(known[path_name(p)].n if path_name(p) in known else 0) for i, p in enumerate(paths)}
-    constants |= {f"avg{i}": F.lit(float(known[path_name(p)].average) if path_name(p) in known else 1.0) for i, p in enumerate(paths)}
-    scored = shaped.where(F.col("source_table").isin(*query.tables)).crossJoin(F.broadcast(frequencies)).withColumns(constants)  # one row
-    at = {p: _path_score(i, p, query.term) for i, p in enumerate(paths)}
-    required, parts = [], []
-    for clause in query.clauses:
-        holds, value = at[clause.path]
-        if clause.tables is not None:
-            holds = holds & F.col("source_table").isin(*clause.tables)
-        if clause.required:
-            required.append(holds)
-        parts.append(F.when(holds, F.struct(F.lit(clause.name).alias("clause"), (value * clause.weight).alias("score"))))
-    hits = scored.where(reduce(lambda a, b: a | b, required)).withColumn("contributions", F.array_compact(F.array(*parts)))
-    return hits.select(*HIT, F.round(F.aggregate("contributions", F.lit(0.0), lambda t, c: t + c["score"]), SCALE).alias("score"), "contributions")
+    n = [known[path_name(p)].n if path_name(p) in known else 0 for p in paths]
+    mean = [float(known[path_name(p)].average) if path_name(p) in known else 0.0 for p in paths]
+    live = shaped if touched is None else shaped.join(touched, "document_id", "left_anti").select(shaped.columns)
+    total = statistics(shaped, paths, query.term)
+    if changed is None:
+        constants = {f"n{i}": F.lit(n[i]) for i in range(len(paths))} | {f"avg{i}": F.lit(mean[i] or 1.0) for i in range(len(paths))}
+        total = total.withColumns(constants)
+    else:
+        more = with_allowed_text(changed, list(tables)).select(*HIT, *[p.measured(query.term).alias(f"p{i}") for i, p in enumerate(paths)])
+        live = live.unionByName(more)
+        extra = statistics(more, paths, query.term)
+        both = total.select([F.col(c).alias(f"a_{c}") for c in total.columns]).crossJoin(extra)  # one row each
+        of = lambda i: F.greatest(F.lit(n[i]) + F.col(f"n{i}"), F.lit(1))
+        total = both.select(
+            *[(F.lit(n[i]) + F.col(f"n{i}")).alias(f"n{i}") for i in range(len(paths))],
+            *[((F.lit(n[i] * mean[i]) + F.coalesce(F.col(f"n{i}") * F.col(f"avg{i}"), F.lit(0.0))) / of(i)).alias(f"avg{i}") for i in range(len(paths))],
+            *[(F.col(f"a_{c}") + F.col(c)).alias(c) for c in extra.columns if c.startswith("df")],
+        )
+    return clauses_scored(live.where(F.col("source_table").isin(*query.tables)).crossJoin(F.broadcast(total)), query, HIT)  # one row

@@ -164,6 +164,18 @@ def _path_score(i: int, path: Path, term: str) -> tuple[Column, Column]:
     return holds, reduce(lambda a, b: a + b, parts)
 
 
+def _may_match(query: Plan) -> Column:
+    """A cheap condition that all matches fulfil: a required path's text holds every token as a part."""
+
+    def of(path: Path) -> Column:
+        if path.analyzer in (Analyzer.ENGLISH, Analyzer.EXACT):
+            return path.value().isNotNull()
+        text = F.lower(path.value())
+        return reduce(lambda a, b: a & b, [F.contains(text, F.lit(t)) for t in path.tokens(query.term)])
+
+    return reduce(lambda a, b: a | b, [F.coalesce(of(p), F.lit(False)) for p in dict.fromkeys(c.path for c in query.clauses if c.required)])
+
+
 def score(documents: DataFrame, query: Plan, tables: list[TableConfig], keep: tuple[str, ...] = ()) -> DataFrame:
     """Matching documents: document_id, source_table, record_id, record_label, score, contributions (clause, score), and ``keep``.
 
@@ -174,9 +186,17 @@ def score(documents: DataFrame, query: Plan, tables: list[TableConfig], keep: tu
     if not query.clauses:
         return documents.where(F.lit(False)).select(*columns, F.lit(0.0).alias("score"), F.array().cast(empty).alias("contributions"))
     paths = query.paths
-    measured = with_allowed_text(documents, tables).select(*columns, *[p.measured(query.term).alias(f"p{i}") for i, p in enumerate(paths)])
-    scored = measured.where(F.col("source_table").isin(*query.tables)).crossJoin(F.broadcast(statistics(measured, paths, query.term)))  # one row
-    at = {p: _path_score(i, p, query.term) for i, p in enumerate(paths)}
+    whole = with_allowed_text(documents, tables)
+    counts = [p.measured(query.term).alias(f"p{i}") for i, p in enumerate(paths)]
+    # Only documents that can match are cut into words again.
+    maybe = whole.where(F.col("source_table").isin(*query.tables)).where(_may_match(query)).select(*columns, *counts)
+    scored = maybe.crossJoin(F.broadcast(statistics(whole.select(*counts), paths, query.term)))  # one row
+    return clauses_scored(scored, query, tuple(columns))
+
+
+def clauses_scored(scored: DataFrame, query: Plan, columns: tuple[str, ...]) -> DataFrame:
+    """Matches among rows with the counts of each path and the statistics: ``columns``, score, contributions."""
+    at = {p: _path_score(i, p, query.term) for i, p in enumerate(query.paths)}
     required, parts = [], []
     for clause in query.clauses:
         holds, value = at[clause.path]

@@ -1,8 +1,8 @@
 """Search orchestration: pages, per-table results, record locks, suggestions, the search provider.
 
-Hits come ranked from one plan. Locks are semi-joins with the readable rows.
-Only what paging flags need is brought to the driver: one boolean per candidate,
-at most ``window`` of them (10,000) per table.
+Hits come ranked from one plan, over documents or a stored index. Locks are semi-joins
+with the readable rows. Totals and flags are exact within the best ``window`` hits
+(10,000; a part of it for each of several locked tables), beyond which a total is a lower bound.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import EngineConfig, TableConfig
-from .query import normalize_term, order, plan, score
+from .query import Plan, normalize_term, order, plan, score
 
 SUGGEST_GROUPS, MAX_SUGGEST_GROUPS = 8, 20
 SUGGEST_ITEMS, MAX_SUGGEST_ITEMS = 5, 10
@@ -93,66 +93,29 @@ def bounded_total(hits: DataFrame, config: EngineConfig) -> tuple[int, bool]:
     return min(n, config.window), n > config.window
 
 
-@dataclass(frozen=True)
-class Budget:
-    hits: int
-    trips: int
-
-
-def table_budget(n_tables: int, per_table: int, config: EngineConfig, single_pass: bool = False) -> Budget:
+def table_window(n_tables: int, per_table: int, config: EngineConfig, single_pass: bool = False) -> int:
+    """How many of a locked table's hits are looked at: its part of the window, two pages at least; just these in a single pass."""
     least = min(config.window, 2 * per_table)
-    if single_pass:
-        return Budget(least, 1)
-    return Budget(max(config.window // n_tables, least), max(2, config.trips // n_tables))
+    return least if single_pass else max(config.window // n_tables, least)
 
 
-@dataclass(frozen=True)
-class Scan:
-    """What scanning ranked candidates in growing batches finds."""
+def locked_page(hits: DataFrame, locks: Mapping[str, DataFrame], limit: int, offset: int, config: EngineConfig) -> Page:
+    """A page of the accessible ones of the best ``window`` hits."""
+    seen = hits.limit(config.window + 1).count()
+    free = accessible(hits.orderBy(*order()).limit(config.window), locks)
+    total, floor = free.count(), seen > config.window
+    return Page(page(free, limit, offset), total, floor, total > offset + limit or floor)
 
-    scanned: int
-    accessible: int
-    has_more: bool
-    lower_bound: bool
+
+def search_hits(source, query: Plan, tables: list[TableConfig]) -> DataFrame:
+    """Ranked hits of documents or of a stored index."""
+    return score(source, query, tables) if isinstance(source, DataFrame) else source.hits(query, tables)
 
 
-def scan(flags: list[bool], limit: int, offset: int, config: EngineConfig, budget: Budget | None = None, total_is_floor: bool = False) -> Scan:
-    """The batches that a locked search reads: how far it gets, and what it may say about the rest."""
-    budget = budget or Budget(config.window, config.trips)
-    target, total = offset + limit, len(flags)
-    at = have = previous = trips = 0
-    exhausted = False
-    while have <= target and not exhausted and at < config.window and trips < budget.trips and at < budget.hits:
-        ceiling = min(config.batch, config.window - at, budget.hits - at)
-        last = trips == budget.trips - 1
-        size = ceiling if last else min(ceiling, max(2 * (target - have), 2 * previous, 1))
-        batch = flags[at : at + size]
-        have += sum(batch)
-        at += len(batch)
-        previous, trips = size, trips + 1
-        exhausted = len(batch) < size or at >= total
-    left = at < config.window and trips < budget.trips and at < budget.hits
-    return Scan(at, have, have > target or (not exhausted and left), not exhausted or total_is_floor)
-
-
-def locked_page(hits: DataFrame, locks: Mapping[str, DataFrame], limit: int, offset: int, config: EngineConfig, budget: Budget | None = None) -> Page:
-    """A page of accessible hits with the flags of a bounded scan."""
-    spark = hits.sparkSession
-    candidates = hits.orderBy(*order()).limit(config.window + 1)
-    ranked = candidates.withColumn("position", F.row_number().over(Window.orderBy(*order())))  # at most window + 1 rows
-    free = accessible(ranked.select("source_table", "record_id", "position"), locks).select("position", F.lit(True).alias("free"))
-    flagged = ranked.join(free, "position", "left").withColumn("free", F.coalesce("free", F.lit(False)))
-    flags = [r.free for r in flagged.orderBy("position").select("free").collect()]
-    found = scan(flags[: config.window], limit, offset, config, budget, len(flags) > config.window)
-    wanted = [i + 1 for i, f in enumerate(flags[: found.scanned]) if f][offset : offset + limit]
-    places = spark.createDataFrame([(i,) for i in wanted], "position int")
-    return Page(ranked.join(F.broadcast(places), "position", "left_semi").drop("position"), found.accessible, found.lower_bound, found.has_more)
-
-
-def execute(documents: DataFrame, request: Request, config: EngineConfig, readable: set[str] | None = None, locks: Mapping[str, DataFrame] | None = None) -> Page:
-    """One search over the whole index."""
+def execute(source, request: Request, config: EngineConfig, readable: set[str] | None = None, locks: Mapping[str, DataFrame] | None = None) -> Page:
+    """One search over all of ``source``: a DataFrame of documents, or a stored index, which answers from its postings."""
     bounds, tables, locks = check(request, config), allowed_tables(request, config, readable), locks or {}
-    hits = score(documents, plan("" if bounds.empty else bounds.term, tables), tables)
+    hits = search_hits(source, plan("" if bounds.empty else bounds.term, tables), tables)
     if bounds.empty or not tables:
         return Page(hits.limit(0), 0, False, False)
     if bounds.per_table is not None:
@@ -163,21 +126,27 @@ def execute(documents: DataFrame, request: Request, config: EngineConfig, readab
     return Page(page(hits, bounds.limit, bounds.offset), total, floor, bounds.offset + bounds.limit < total)
 
 
+def _cases(values: Mapping[str, int]):
+    """The number that ``values`` gives for a row's table."""
+    return reduce(lambda c, kv: c.when(F.col("source_table") == kv[0], kv[1]), values.items(), F.when(F.lit(False), 0))
+
+
 def _per_table(hits: DataFrame, bounds: Bounds, tables: list[TableConfig], locks, config: EngineConfig, single_pass: bool) -> Page:
-    """A page of each table, in the tables' order; totals add up, flags are or-ed."""
-    budget = table_budget(len(tables), bounds.per_table, config, single_pass)
-    pages = []
-    for table in tables:
-        own = hits.where(F.col("source_table") == table.name)
-        if table.name in locks:
-            pages.append(locked_page(own, {table.name: locks[table.name]}, bounds.per_table, bounds.offset, config, budget))
-        else:
-            total, floor = bounded_total(own, config)
-            pages.append(Page(page(own, bounds.per_table, bounds.offset), total, floor, bounds.offset + bounds.per_table < total))
+    """A page of each table, in the tables' order and from one plan; totals add up, flags are or-ed."""
+    part = table_window(len(tables), bounds.per_table, config, single_pass)
+    windows = {t.name: part if t.name in locks else config.window for t in tables}
+    ranked = ranked_per_table(hits, config.window + 1).withColumn("window", _cases(windows))
+    mine = {k: v for k, v in locks.items() if k in windows}
+    free = accessible(ranked.where("rank <= window").drop("window"), mine)
+    # A row for each table.
+    counts = {r.source_table: r for r in ranked.groupBy("source_table").agg(F.bool_or(F.col("rank") > F.col("window")).alias("floor")).join(free.groupBy("source_table").agg(F.count("*").alias("n")), "source_table", "left").collect()}
+    totals = {name: (r.n or 0) for name, r in counts.items()}
+    floors = {name: r.floor for name, r in counts.items()}
+    more = any(n > bounds.offset + bounds.per_table or floors[name] and name in mine for name, n in totals.items())
     place = {t.name: i for i, t in enumerate(tables)}
-    spot = reduce(lambda c, kv: c.when(F.col("source_table") == kv[0], kv[1]), place.items(), F.when(F.lit(False), 0))
-    rows = reduce(DataFrame.unionByName, [p.rows for p in pages]).withColumn("__spot", spot).orderBy("__spot", F.col("score").desc(), "record_id").drop("__spot")
-    return Page(rows, sum(p.total for p in pages), any(p.lower_bound for p in pages), any(p.has_more for p in pages))
+    shown = ranked_per_table(free.drop("rank"), bounds.per_table, bounds.offset).drop("rank")
+    rows = shown.withColumn("__spot", _cases(place)).orderBy("__spot", F.col("score").desc(), "record_id").drop("__spot")
+    return Page(rows, sum(totals.values()), any(floors.values()), more)
 
 
 def results(hits: DataFrame, tables: list[TableConfig], labels: Mapping[str, str] | None = None) -> DataFrame:

@@ -142,8 +142,6 @@ class EngineConfig:
     min_term: int = 2
     max_term: int = 100
     window: int = 10_000
-    batch: int = 1000
-    trips: int = 32
     overlap_seconds: int = 300
     stale_minutes: int = 30
     retention_days: int = 30

@@ -1,32 +1,36 @@
-"""The stored index: immutable generations behind a small manifest.
-
-A generation is a folder of documents (partitioned by source table), postings
-and statistics. Writers prepare a new generation beside the live one and then
-swap the manifest, which is replaced in one rename of the file system that
-Spark uses; readers keep the generation they began with. Between rebuilds,
-batches are resolved against the live documents and become the next generation
-of the tables they touch; the other tables' folders are referred to, not copied.
-
-One writer at a time, as with any alias swap; a manifest that another writer
-has moved on is noticed and refused.
+"""The stored index: immutable generations and segments behind numbered manifests.
+
+A table has a base, a folder of documents, and segments: each applied batch adds one
+small folder of writes and one of deletes and touches nothing else. Readers resolve
+them (the last delete and the newest version of a document count) for the documents
+that segments name; the base's other documents pass through without a shuffle.
+``compact`` writes a new base. Postings belong to the bases; a search reads them and scans the
+segments' documents only. Its statistics are those of bases and segments together, in which a
+replaced document counts until the next compaction, as in any segmented index.
+
+A manifest is a file of the next number that is created only if it isn't there, so of two
+writers one fails with ``Moved``. Readers keep the manifest they began with: what a newer one
+no longer names is deleted only ``RETAIN_SECONDS`` later.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.documents import union_documents
-from ..operators.maintain import upsert
+from ..operators.documents import empty_documents, union_documents
+from ..operators.maintain import resolve_versions
 from ..operators.postings import build_postings, path_statistics, score_postings
-from ..operators.query import plan, score
-from ..plans.config import EngineConfig
+from ..operators.query import Plan, plan, score
+from ..plans.config import EngineConfig, TableConfig
 
-MAPPING_VERSION = 1
+MAPPING_VERSION = 2
+RETAIN_SECONDS = 3600.0
 
 
 class Moved(RuntimeError):
@@ -34,44 +38,74 @@ class Moved(RuntimeError):
 
 
 class Index:
-    def __init__(self, spark: SparkSession, path: str, config: EngineConfig):
-        self.spark, self.path, self.config = spark, path.rstrip("/"), config
+    def __init__(self, spark: SparkSession, path: str, config: EngineConfig, retain: float = RETAIN_SECONDS):
+        self.spark, self.path, self.config, self.retain = spark, path.rstrip("/"), config, retain
         self._jvm = spark._jvm
         self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)
 
-    # Manifest.
+    # Manifests.
+
+    def _numbers(self) -> list[int]:
+        at = self._at(f"{self.path}/manifests")
+        return sorted(int(f.getPath().getName().split(".")[0]) for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
     def manifest(self) -> dict:
-        """The live manifest; an empty one before the first swap."""
-        file = self._at(f"{self.path}/manifest.json")
-        if not self._fs.exists(file):
-            return {"version": 0, "mapping": MAPPING_VERSION, "tables": {}, "postings": None, "created_at": None}
-        # Read through the file system itself: the manifest's text may change between two reads, which a cached listing would miss.
-        stream = self._fs.open(file)
+        """The live manifest, that of the largest number; an empty one before the first."""
+        numbers = self._numbers()
+        if not numbers:
+            return {"version": 0, "mapping": MAPPING_VERSION, "tables": {}, "postings": None, "created_at": None, "retired": []}
+        stream = self._fs.open(self._at(self._file(numbers[-1])))
         try:
             return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
 
+    def _file(self, version: int) -> str:
+        return f"{self.path}/manifests/{version:010}.json"
+
     def swap(self, new: dict, expected: int) -> dict:
-        """Makes ``new`` the live manifest if ``expected`` is still the live version."""
-        if self.manifest()["version"] != expected:
+        """Makes ``new`` the live manifest if ``expected`` is still the live version; what it no longer names is retired."""
+        before = self.manifest()
+        if before["version"] != expected:
             raise Moved(f"the manifest is no longer at version {expected}")
-        new = {**new, "version": expected + 1, "mapping": MAPPING_VERSION}
-        draft, file = self._at(f"{self.path}/manifest-{uuid.uuid4().hex}.json"), self._at(f"{self.path}/manifest.json")
-        self._fs.mkdirs(self._at(self.path))
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(new).encode()))
-        out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(file.toUri() if file.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(draft, file, overwrite)
+        now = time.time()
+        gone = sorted(self._paths(before) - self._paths(new))
+        due = [r["path"] for r in before["retired"] if r["at"] <= now - self.retain]
+        retired = [*before["retired"], *({"path": p, "at": now} for p in gone)]
+        new = {**new, "version": expected + 1, "mapping": MAPPING_VERSION, "retired": [r for r in retired if r["path"] not in due]}
+        self._create(self._file(expected + 1), json.dumps(new).encode())
+        for path in due:  # a failure leaves files, not a broken index
+            self._fs.delete(self._at(path), True)
+        for number in self._numbers()[:-2]:
+            self._fs.delete(self._at(self._file(number)), False)
         return new
 
+    def _create(self, path: str, data: bytes) -> None:
+        """A file with all its content, or an error if there is one already."""
+        draft, file = self._at(f"{self.path}/drafts/{uuid.uuid4().hex}"), self._at(path)
+        out = self._fs.create(draft, False)
+        out.write(bytearray(data))
+        out.close()
+        self._fs.mkdirs(file.getParent())
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(draft, file, none)  # refuses a target that exists
+        except Exception as error:
+            self._fs.delete(draft, False)
+            if self._fs.exists(file):
+                raise Moved(f"another writer has made {path}") from error
+            raise
+
+    @staticmethod
+    def _paths(manifest: dict) -> set[str]:
+        tables = manifest["tables"].values()
+        segments = [p for t in tables for s in t["segments"] for p in (s["writes"], s["deletes"])]
+        return {p for p in (*(t["base"] for t in tables), *segments, manifest["postings"]) if p}
+
     def needs_rebuild(self) -> bool:
         """Whether the live index was written by an older layout."""
         return self.manifest()["mapping"] < MAPPING_VERSION
@@ -81,10 +115,47 @@ class Index:
 
     # Reading.
 
+    def _segments(self, entry: dict) -> tuple[DataFrame | None, DataFrame | None]:
+        """All writes of a table's segments with their place (segment, seq), and per deleted document the last segment that deleted it."""
+        numbered = [(i, s) for i, s in enumerate(entry["segments"])]
+        writes = [self.spark.read.parquet(s["writes"]).withColumn("__segment", F.lit(i)) for i, s in numbered if s["writes"]]
+        deletes = [self.spark.read.parquet(s["deletes"]).withColumn("__segment", F.lit(i)) for i, s in numbered if s["deletes"]]
+        gone = union_documents(deletes).groupBy("document_id").agg(F.max("__segment").alias("__gone")) if deletes else None
+        return (union_documents(writes) if writes else None), gone
+
+    def _touched(self, entry: dict) -> DataFrame | None:
+        """Ids that the segments of a table name."""
+        writes, gone = self._segments(entry)
+        parts = [f.select("document_id") for f in (writes, gone) if f is not None]
+        return reduce(DataFrame.union, parts).distinct() if parts else None
+
+    def _changed(self, entry: dict) -> DataFrame | None:
+        """The live documents among those that the segments of a table name; versions are compared with the base's."""
+        writes, gone = self._segments(entry)
+        if writes is None:
+            return None
+        rows = writes
+        if entry["base"]:
+            base = self.spark.read.parquet(entry["base"]).join(self._touched(entry), "document_id", "left_semi")
+            rows = base.withColumns({"seq": F.lit(-1).cast("long"), "__segment": F.lit(-1)}).unionByName(writes, allowMissingColumns=True)
+        if gone is not None:
+            rows = rows.join(gone, "document_id", "left").where("__gone is null or __segment > __gone").drop("__gone")
+        # One order over all segments: a batch's own order within it.
+        placed = rows.withColumn("seq", F.struct("__segment", "seq")).drop("__segment")
+        return resolve_versions(placed).drop("seq")
+
+    def _live(self, entry: dict) -> DataFrame:
+        changed, touched = self._changed(entry), self._touched(entry)
+        if not entry["base"]:
+            return changed
+        base = self.spark.read.parquet(entry["base"])
+        kept = base if touched is None else base.join(touched, "document_id", "left_anti")
+        return kept if changed is None else kept.unionByName(changed, allowMissingColumns=True)
+
     def documents(self, manifest: dict | None = None) -> DataFrame | None:
         """The live documents; None for an empty index."""
         found = (manifest or self.manifest())["tables"]
-        return union_documents([self.spark.read.parquet(p) for _, p in sorted(found.items())]) if found else None
+        return union_documents([self._live(entry) for _, entry in sorted(found.items())]) if found else None
 
     def get(self, ids: DataFrame) -> DataFrame:
         """Documents of the ids (document_id) given."""
@@ -93,15 +164,21 @@ class Index:
     def count(self) -> DataFrame:
         return self.documents().groupBy("source_table").count()
 
-    def search(self, term: str, tables: list[str] | None = None) -> DataFrame:
-        """Ranked hits: from postings if they are current, else by a scan."""
+    def hits(self, query: Plan, tables: list[TableConfig]) -> DataFrame:
+        """Ranked hits of a plan: from the bases' postings and a scan of the segments, or by a scan of all where there are no postings."""
         manifest = self.manifest()
+        if not manifest["postings"]:
+            return score(self.documents(manifest), query, tables)
+        entries = manifest["tables"].values()
+        changed = [c for c in map(self._changed, entries) if c is not None]
+        touched = [t for t in map(self._touched, entries) if t is not None]
+        words, statistics = (self.spark.read.parquet(f"{manifest['postings']}/{part}") for part in ("words", "statistics"))
+        return score_postings(words, statistics, query, tables, union_documents(changed) if changed else None, reduce(DataFrame.union, touched) if touched else None)
+
+    def search(self, term: str, tables: list[str] | None = None) -> DataFrame:
+        """Ranked hits of a term."""
         chosen = [t for t in self.config.tables if (tables is None or t.name in tables) and t.enabled]
-        query = plan(term, chosen)
-        if manifest["postings"]:
-            base = manifest["postings"]
-            return score_postings(self.spark.read.parquet(f"{base}/words"), self.spark.read.parquet(f"{base}/statistics"), query)
-        return score(self.documents(manifest), query, chosen)
+        return self.hits(plan(term, chosen), chosen)
 
     # Writing.
 
@@ -110,7 +187,7 @@ class Index:
         documents.write.parquet(path)
         return path
 
-    def _postings(self, tables: dict[str, str]) -> str:
+    def _postings(self, tables: dict[str, dict]) -> str:
         base = f"{self.path}/postings/{uuid.uuid4().hex}"
         documents = self.documents({"tables": tables})
         build_postings(documents, list(self.config.tables)).write.parquet(f"{base}/words")
@@ -118,38 +195,49 @@ class Index:
         return base
 
     def rebuild(self, built: dict[str, DataFrame], created_at: str | None = None) -> dict:
-        """A new generation of all tables, swapped in when it is complete; the old one's files go last."""
+        """A new generation of all tables, swapped in when it is complete."""
         before = self.manifest()
-        tables = {name: self._write(documents, name) for name, documents in built.items()}
-        now = self.swap({"tables": tables, "postings": self._postings(tables), "created_at": created_at}, before["version"])
-        self._forget(before, now)
-        return now
+        tables = {name: {"base": self._write(documents, name), "segments": []} for name, documents in built.items()}
+        return self.swap({"tables": tables, "postings": self._postings(tables), "created_at": created_at}, before["version"])
 
-    def apply(self, table: str, writes: DataFrame | None = None, deleted: DataFrame | None = None, postings: bool = False) -> dict:
-        """A batch of one table: versioned writes (with ``seq``), then deletes (document_id). Postings are dropped unless built anew."""
+    def apply(self, table: str, writes: DataFrame | None = None, deleted: DataFrame | None = None) -> dict:
+        """A batch of one table as a new segment: versioned writes (with ``seq``), then deletes (document_id)."""
         before = self.manifest()
-        stored = self.spark.read.parquet(before["tables"][table]) if table in before["tables"] else None
-        new = stored
-        if writes is not None:
-            new = upsert(stored if stored is not None else writes.drop("seq").limit(0), writes)
-        if new is not None and deleted is not None:
-            new = new.join(deleted.select("document_id"), "document_id", "left_anti")
-        if new is None:
+        if writes is None and deleted is None:
+            return before
+        segment = {
+            "writes": None if writes is None else self._write(writes, f"{table}/writes"),
+            "deletes": None if deleted is None else self._write(deleted.select("document_id").distinct(), f"{table}/deletes"),
+        }
+        entry = before["tables"].get(table, {"base": None, "segments": []})
+        if not entry["base"] and not entry["segments"] and writes is None:
             return before
-        tables = {**before["tables"], table: self._write(new, table)}
-        now = self.swap({**before, "tables": tables, "postings": self._postings(tables) if postings else None}, before["version"])
-        self._forget(before, now)
-        return now
+        tables = {**before["tables"], table: {**entry, "segments": [*entry["segments"], segment]}}
+        return self.swap({**before, "tables": tables}, before["version"])
+
+    def segments(self) -> dict[str, int]:
+        """How many segments each table has; many of them make reading slow and compaction due."""
+        return {name: len(entry["segments"]) for name, entry in self.manifest()["tables"].items()}
+
+    def compact(self) -> dict:
+        """New bases without segments, and postings that are exact again. Segments that are added meanwhile make it fail, not vanish."""
+        before = self.manifest()
+        tables = {name: {"base": self._write(self._live(entry), name), "segments": []} if entry["segments"] else entry for name, entry in before["tables"].items()}
+        return self.swap({**before, "tables": tables, "postings": self._postings(tables) if tables else None}, before["version"])
 
     def drop_table(self, table: str) -> dict:
+        """Without a table. Searches scan until the next compaction."""
         before = self.manifest()
         tables = {k: v for k, v in before["tables"].items() if k != table}
-        now = self.swap({**before, "tables": tables, "postings": None}, before["version"])
-        self._forget(before, now)
-        return now
-
-    def _forget(self, before: dict, now: dict) -> None:
-        """Deletes what the new manifest no longer refers to; a failure leaves files, not a broken index."""
-        old = {*before["tables"].values(), before["postings"]} - {*now["tables"].values(), now["postings"], None}
-        for path in old - {None}:
-            self._fs.delete(self._at(path), True)
+        return self.swap({**before, "tables": tables, "postings": None}, before["version"])
+
+    def schema_differences(self) -> dict[str, list[str]]:
+        """Per stored table what of its stored layout isn't that of documents built now: columns that are missing, added or of another type."""
+        expected = {f.name: f.dataType.simpleString() for f in empty_documents(self.spark).schema}
+        out = {}
+        for name, entry in self.manifest()["tables"].items():
+            stored = {f.name: f.dataType.simpleString() for f in self._live(entry).schema}
+            wrong = [f"{c}: {stored.get(c, 'missing')} for {expected.get(c, 'nothing')}" for c in sorted({*stored, *expected}) if stored.get(c) != expected.get(c)]
+            if wrong:
+                out[name] = wrong
+        return out

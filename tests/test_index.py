@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import admin, maintain
+from lodestar.operators import query as Q
 from lodestar.operators.documents import build_documents
 from lodestar.plans.config import DocumentsChoice, EngineConfig, FieldConfig, TableConfig
 from lodestar.sources.index import Index, Moved
@@ -43,7 +44,7 @@ def test_rebuild_and_search(spark, index, tmp_path):
     before = index.manifest()
     index.rebuild({"people": docs(spark, [(1, "Ada", "Bern", 10)])})
     assert names(index) == {"people:1": "Ada"} and index.search("stone").count() == 0
-    assert not os.path.exists(before["tables"]["people"]) and index.manifest()["version"] == before["version"] + 1
+    assert os.path.exists(before["tables"]["people"]["base"]) and index.manifest()["version"] == before["version"] + 1
     assert not Index(spark, str(tmp_path / "none"), CONFIG).exists() and not index.needs_rebuild()
 
 
@@ -53,11 +54,71 @@ def test_older_writes_are_skipped(spark, index):
     index.apply("people", older)
     assert names(index)["people:1"] == "New"
     same = docs(spark, [(1, "Same", "x", 20)]).withColumn("seq", F.lit(3).cast("long"))
-    index.apply("people", same, deleted=spark.createDataFrame([("people:2",)], "document_id string"), postings=True)
+    index.apply("people", same, deleted=spark.createDataFrame([("people:2",)], "document_id string"))
     assert names(index) == {"people:1": "Same", "places:1": "Stone house"}
     assert {r.document_id for r in index.search("same").collect()} == {"people:1"}
 
 
+def test_a_batch_writes_one_small_segment(spark, index):
+    """Neither the base nor the postings are written again, and a search sees the batch."""
+    before = index.manifest()
+    index.apply("people", docs(spark, [(3, "Stonewall", "Ulm", 1)]).withColumn("seq", F.lit(1).cast("long")))
+    now = index.manifest()
+    assert now["postings"] == before["postings"] and now["tables"]["people"]["base"] == before["tables"]["people"]["base"]
+    (segment,) = now["tables"]["people"]["segments"]
+    assert sum(f.endswith(".parquet") for f in os.listdir(segment["writes"])) <= 4 and segment["deletes"] is None
+    assert {r.document_id for r in index.search("stone").collect()} == {"people:2", "people:3", "places:1"}
+    index.apply("people", docs(spark, [(2, "Ston", "Ulm", 99)]).withColumn("seq", F.lit(1).cast("long")), spark.createDataFrame([("people:3",), ("people:77",)], "document_id string"))
+    index.apply("places", deleted=spark.createDataFrame([("places:1",)], "document_id string"))
+    assert {r.document_id for r in index.search("stone").collect()} == set() and {r.document_id for r in index.search("ulm").collect()} == {"people:2"}
+    assert index.segments() == {"people": 2, "places": 1}
+    # What a scan of the live documents gives is what a compacted index gives, scores too.
+    query, tables = Q.plan("ston", list(CONFIG.tables)), list(CONFIG.tables)
+    scanned = {(r.document_id, r.score) for r in Q.score(index.documents(), query, tables).collect()}
+    assert {r.document_id for r in index.hits(query, tables).collect()} == {d for d, _ in scanned}
+    index.compact()
+    assert index.segments() == {"people": 0, "places": 0} and {(r.document_id, r.score) for r in index.hits(query, tables).collect()} == scanned
+
+
+def test_deleted_documents_come_back_with_any_version(spark, index):
+    one = lambda name, v: docs(spark, [(1, name, "x", v)]).withColumn("seq", F.lit(0).cast("long"))
+    index.apply("people", one("Old", 1))
+    assert names(index)["people:1"] == "Stella"
+    index.apply("people", deleted=spark.createDataFrame([("people:1",)], "document_id string"))
+    assert "people:1" not in names(index)
+    index.apply("people", one("Old", 1))
+    assert names(index)["people:1"] == "Old"
+    stored = index.compact()
+    assert names(index)["people:1"] == "Old" and stored["tables"]["places"]["segments"] == []
+
+
+def test_files_outlive_their_manifest_for_a_while(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "index"), CONFIG, retain=0.0)
+    first = index.rebuild({"people": docs(spark, [(1, "Ada", "Bern", 10)])})
+    reader = index.documents()
+    index.rebuild({"people": docs(spark, [(1, "Eva", "Bern", 10)])})
+    assert [r.field_values["name"] for r in reader.collect()] == ["Ada"]
+    index.rebuild({"people": docs(spark, [(1, "Ida", "Bern", 10)])})
+    assert not os.path.exists(first["tables"]["people"]["base"]) and names(index) == {"people:1": "Ida"}
+
+
+def test_two_writers_of_one_version(spark, index):
+    """The second to create a manifest fails, even if it has checked before the first was there."""
+    other = Index(spark, index.path, CONFIG)
+    stale = other.manifest()
+    index.drop_table("places")
+    other.manifest = lambda: stale
+    with pytest.raises(Moved):
+        other.swap(stale, stale["version"])
+
+
+def test_schema_of_a_stored_index(spark, index):
+    assert index.schema_differences() == {}
+    index.rebuild({"people": docs(spark, [(1, "Ada", "Bern", 10)]).drop("subtitle").withColumn("version", F.lit("x"))})
+    (wrong,) = index.schema_differences().values()
+    assert wrong == ["subtitle: missing for string", "version: string for bigint"]
+
+
 def test_a_moved_manifest_is_refused(index):
     stale = index.manifest()
     index.drop_table("places")

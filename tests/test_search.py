@@ -108,21 +108,16 @@ def test_locked_records_are_left_out(spark, docs):
     assert search.accessible(docs, {}) is docs
 
 
-def test_two_locked_tables_stop_at_half_of_the_window():
-    budget = search.table_budget(2, 5, CONFIG)
-    assert budget.hits == 5000
-    result = search.scan([False] * 50_000, 5, 0, CONFIG, budget)
-    assert (result.scanned, result.accessible, result.has_more, result.lower_bound) == (5000, 0, False, True)
-
-
-def test_scans_grow_and_stop():
-    free = search.scan([True] * 30, 10, 0, CONFIG)
-    assert free.has_more and free.scanned == 20
-    assert search.scan([True] * 10, 10, 0, CONFIG).has_more is False
-    late = search.scan([False] * 900 + [True], 1, 0, CONFIG)
-    assert late.accessible == 1 and not late.has_more and not late.lower_bound
-    single = search.table_budget(3, 5, CONFIG, single_pass=True)
-    assert (single.hits, single.trips) == (10, 1) and search.scan([False] * 100, 5, 0, CONFIG, single).scanned == 10
+def test_windows_of_locked_tables(spark, docs):
+    assert search.table_window(2, 5, CONFIG) == 5000 and search.table_window(3, 5, CONFIG, single_pass=True) == 10
+    assert search.table_window(5000, 50, CONFIG) == 100
+    tight = EngineConfig(tables=CONFIG.tables, window=2)
+    locks = {"product": spark.createDataFrame([("2",), ("3",)], "record_id string")}
+    page = search.execute(docs, search.Request("widget"), tight, locks=locks)
+    assert page.total < 4 and page.lower_bound and page.has_more
+    page = search.execute(docs, search.Request("widget", per_table=5), CONFIG, locks=locks)
+    assert (page.total, page.lower_bound, page.has_more) == (3, False, False)
+    assert [r.record_id for r in page.rows.where("source_table = 'product'").collect()] in (["2", "3"], ["3", "2"])
 
 
 def test_suggestions(docs):
