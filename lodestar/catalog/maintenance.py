@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators import maintain as M
 from ..operators.documents import build_documents
 from ..plans.config import EngineConfig, FieldConfig, TableConfig
-from .registry import NOW, load, query
+from ..sources.index import Index
+from .registry import NOW, load, query, scratch_folder
 
 # Literal tables, the same text for both engines.
 INDEX_ROWS = f"""SELECT table_name, enabled, interval_minutes, CAST(last_pull AS TIMESTAMP) AS last_pull, CAST(last_build AS TIMESTAMP) AS last_build, status, document_count, last_run FROM (VALUES
@@ -248,16 +252,98 @@ def reindex_chosen(spark, sf_dir):
     return M.reindex_chosen(chosen, customers.select(key), customers.where("c_nationkey < 10").select(key))
 
 
-@query("stream_upsert")
+# Processes over a stored index.
+
+
+def _process(spark, *tables):
+    """An empty index and a ledger in the shared folder."""
+    from ..operators.processes import Ledger
+
+    base = scratch_folder(spark)
+    return Index(spark, f"{base}/index", EngineConfig(tables=tables)), Ledger(spark, f"{base}/runs")
+
+
+def _at(minute: int = 0) -> datetime:
+    return datetime.fromisoformat(NOW).replace(tzinfo=timezone.utc) + timedelta(minutes=minute)
+
+
+SUPPLIERS = TableConfig("supplier", "s_suppkey", (FieldConfig("s_name"),))
+NATIONS = TableConfig("nation", "n_nationkey", (FieldConfig("n_name"),))
+
+
+@query(
+    "pull_all_outcomes",
+    f"SELECT table_name, status, CAST(n AS BIGINT) AS processed, CAST(n AS BIGINT) AS indexed, CAST(e AS BIGINT) AS errors, CAST(epoch_ms(p) AS BIGINT) AS last_pull FROM (SELECT 'broken' AS table_name, 'FAILED' AS status, 0 AS n, 1 AS e, TIMESTAMP '2024-01-19 00:00:00' AS p UNION ALL SELECT 'events', 'COMPLETED', (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 300 SECOND), 0, TIMESTAMP '{NOW}' UNION ALL SELECT 'nation', 'COMPLETED', (SELECT count(*) FROM nation), 0, TIMESTAMP '{NOW}') x",
+)
+def pull_all_outcomes(spark, sf_dir):
+    """A first pull, one of what has changed, and one whose source fails and keeps its watermark."""
+    from ..operators.processes import Source, pull_all
+
+    table = TableConfig("events", "event_id", (FieldConfig("event_type"),), timestamp="ts")
+    index, ledger = _process(spark, table, NATIONS)
+    sources = {
+        "events": Source(table, lambda: load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))),
+        "nation": Source(NATIONS, lambda: load(spark, sf_dir, "nation")),
+        "broken": Source(NATIONS, lambda: load(spark, sf_dir, "no_such_table")),
+    }
+    due = spark.sql("SELECT * FROM VALUES ('events', 'ts', timestamp'2024-01-10 00:00:00'), ('nation', null, null), ('broken', 'ts', timestamp'2024-01-19 00:00:00') AS t(table_name, timestamp_field, last_pull)")
+    return pull_all(index, due, sources, ledger, _at()).select("table_name", "status", "processed", "indexed", "errors", F.unix_millis("last_pull").alias("last_pull"))
+
+
+@query(
+    "rebuild_runs",
+    "SELECT * FROM (SELECT 'COMPLETED' AS status, (SELECT CAST(count(*) AS BIGINT) FROM supplier) + (SELECT CAST(count(*) AS BIGINT) FROM nation) AS processed, (SELECT CAST(count(*) AS BIGINT) FROM supplier) + (SELECT CAST(count(*) AS BIGINT) FROM nation) AS indexed, CAST(0 AS BIGINT) AS errors UNION ALL SELECT 'FAILED', 0, 0, 1 UNION ALL SELECT 'RUNNING', 0, 0, 0 UNION ALL SELECT 'CANCELLED', (SELECT CAST(count(*) AS BIGINT) FROM nation), 0, 0) x",
+)
+def rebuild_runs(spark, sf_dir):
+    """A rebuild that a dead rival doesn't stop, one that is cancelled after its first table, and one that fails."""
+    from ..operators.processes import Cancelled, Source, rebuild
+
+    index, ledger = _process(spark, SUPPLIERS, NATIONS)
+    none = spark.createDataFrame([], "event_id long, table_name string, record_id string, status string")
+    sources = {"supplier": Source(SUPPLIERS, lambda: load(spark, sf_dir, "supplier")), "nation": Source(NATIONS, lambda: load(spark, sf_dir, "nation"))}
+    ledger.start("*", "FULL", _at(-60))  # died an hour ago
+    rebuild(index, sources, ledger, _at, lambda: none)
+
+    def stopping():
+        mine = ledger.runs().where("status = 'RUNNING' and heartbeat is null").orderBy(F.desc("start_time")).first()
+        ledger.cancel(mine.run_id, _at())
+        return load(spark, sf_dir, "nation")
+
+    for broken in ({**sources, "nation": Source(NATIONS, stopping)}, {"nation": Source(NATIONS, lambda: load(spark, sf_dir, "no_such_table"))}):
+        try:
+            rebuild(index, broken, ledger, _at, lambda: none)
+        except (Cancelled, AnalysisException):
+            pass
+    return ledger.runs().select("status", "processed", "indexed", "errors")
+
+
+@query(
+    "delete_drain",
+    f"SELECT 'documents' AS what, CAST(count(*) AS BIGINT) AS n FROM customer UNION ALL SELECT 'events', CAST(count(*) AS BIGINT) FROM ({EVENTS_SQL}) e WHERE status <> 'AWAITING_REINDEX' OR event_id > 5000",
+)
+def delete_drain(spark, sf_dir):
+    """Customers rebuilt with documents of others left over, and the deletes captured meanwhile drained up to an event."""
+    from ..operators.processes import drain_deletes
+
+    table = TableConfig("customer", "c_custkey", (FieldConfig("c_name"),))
+    index, _ = _process(spark, table)
+    rows = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    ids = rows.select(F.col("c_custkey").cast("string").alias("record_id"))
+    captured = events(spark, sf_dir).where("status <> 'AWAITING_REINDEX' or event_id <= 5000")
+    later = events(spark, sf_dir).where("status = 'AWAITING_REINDEX' and event_id > 5000")
+    stale = captured.where("status = 'AWAITING_REINDEX'").select(F.col("record_id").cast("long").cast(rows.schema["c_custkey"].dataType).alias("c_custkey"), F.lit("gone").alias("c_name")).distinct()
+    index.rebuild({"customer": build_documents(rows.union(stale.join(rows, "c_custkey", "left_anti")), table)})
+    left = drain_deletes(index, captured, {"customer": ids})
+    return index.documents().agg(F.lit("documents").alias("what"), F.count("*").alias("n")).union(left.union(later).agg(F.lit("events").alias("what"), F.count("*").alias("n")))
+
+
+@query("stream_upsert", "SELECT 'supplier:' || CAST(s_suppkey AS VARCHAR) AS document_id, s_name AS record_label, s_name || ' ' || n_name AS searchable_text FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey IN (SELECT user_id FROM events)")
 def stream_upsert(spark, sf_dir):
     """Changes of suppliers followed as a stream into a stored index: one document per changed supplier that exists."""
-    from ..plans.config import EngineConfig
-    from ..sources.index import Index
     from ..streaming.changes import ChangeHandler, IndexPublisher, Source, follow
     from .registry import SUPPLIER, labels
-    import uuid
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', 'lodestar-state')}/stream-{uuid.uuid4().hex}"
+    base = scratch_folder(spark)
     changes = load(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.lit("supplier").alias("table_name"), F.col("user_id").cast("string").alias("record_id"), F.when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE").alias("action")
     )

@@ -63,19 +63,24 @@ def documents_of(spark: SparkSession, sf_dir: str, *tables: TableConfig) -> Data
     return union_documents(parts)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared folder, deleted when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/lodestar-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return path.toString()
+
+
 _INDEXES: dict[tuple, Index] = {}
 
 
 def stored_index(spark: SparkSession, sf_dir: str, config: EngineConfig) -> Index:
-    """The index of a folder's tables, built once in a session below the shared folder, and deleted when the driver ends."""
+    """The index of a folder's tables, built once in a session."""
     key = (spark.sparkContext.applicationId, sf_dir, config.tables)
     if key not in _INDEXES:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/lodestar-index-{uuid.uuid4().hex}")
-        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        store.mkdirs(path)
-        store.deleteOnExit(path)
-        index = Index(spark, path.toString(), config)
+        index = Index(spark, scratch_folder(spark), config)
         index.rebuild({t.name: documents_of(spark, sf_dir, t) for t in config.tables})
         _INDEXES[key] = index
     return _INDEXES[key]

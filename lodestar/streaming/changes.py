@@ -12,21 +12,21 @@ not stop the stream.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.documents import Label, build_documents
+from ..operators.documents import build_documents, record_id_of
 from ..operators.maintain import first_wins
-from ..plans.config import TableConfig
+from ..operators.processes import Source
 from ..sources.index import Index
 
 
 class Publisher(Protocol):
-    def publish(self, table: str, writes: DataFrame, deleted: DataFrame) -> None: ...
+    def publish(self, table: str, writes: DataFrame | None, deleted: DataFrame | None) -> None: ...
 
     def close(self) -> None: ...
 
@@ -37,22 +37,16 @@ class IndexPublisher:
 
     index: Index
 
-    def publish(self, table: str, writes: DataFrame, deleted: DataFrame) -> None:
-        self.index.apply(table, writes, deleted)
+    def publish(self, table: str, writes: DataFrame | None, deleted: DataFrame | None) -> None:
+        if writes is not None and not writes.isEmpty():
+            self.index.apply(table, writes)
+        if deleted is not None and not deleted.isEmpty():
+            self.index.apply(table, deleted=deleted)
 
     def close(self) -> None:
         pass
 
 
-@dataclass
-class Source:
-    """Where the current rows of a table come from."""
-
-    config: TableConfig
-    rows: Callable[[], DataFrame]
-    labels: dict[str, Label] = field(default_factory=dict)
-
-
 def last_changes(changes: DataFrame) -> DataFrame:
     """The last change of each record."""
     return first_wins(changes.where("record_id is not null"), ["table_name", "record_id"], [F.col("seq").desc()])
@@ -93,18 +87,28 @@ class ChangeHandler:
                 if mine.isEmpty():
                     continue
                 try:
-                    self.publisher.publish(name, *split(mine, source))
-                except Exception:
-                    self.record_failures(self._events(mine, "PENDING"))
+                    writes, deleted = split(mine, source)
+                except Exception as error:
+                    self.record_failures(self._events(mine, "PENDING", error))
+                    continue
+                # Each half for itself: a failure of one doesn't undo or repeat the other.
+                for half, ids in (("writes", writes.select("document_id")), ("deleted", deleted)):
+                    try:
+                        self.publisher.publish(name, **{"writes": None, "deleted": None, half: writes if half == "writes" else deleted})
+                    except Exception as error:
+                        theirs = mine.join(ids.select(record_id_of("document_id").alias("record_id")), "record_id", "left_semi")
+                        self.record_failures(self._events(theirs, "PENDING", error))
                 if name in rebuilding:
                     self.record_failures(self._events(mine.where("action = 'DELETE'"), "AWAITING_REINDEX"))
         finally:
             changes.unpersist()
 
     @staticmethod
-    def _events(changes: DataFrame, status: str) -> DataFrame:
+    def _events(changes: DataFrame, status: str, error: Exception | None = None) -> DataFrame:
+        """Events to replay, with the cause."""
+        cause = f"{type(error).__name__}: {error}".splitlines()[0][:4000] if error else None
         action = F.when(F.col("action") == "DELETE", "DELETE").otherwise("INDEX")
-        return last_changes(changes).select("table_name", "record_id", action.alias("action"), F.lit(0).alias("attempts"), F.lit(status).alias("status"))
+        return last_changes(changes).select("table_name", "record_id", action.alias("action"), F.lit(0).alias("attempts"), F.lit(status).alias("status"), F.lit(cause).cast("string").alias("error"))
 
 
 def follow(changes: DataFrame, handler: ChangeHandler, checkpoint: str, available_now: bool = False) -> StreamingQuery:

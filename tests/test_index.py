@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import admin, maintain
+from lodestar.operators import admin, maintain, processes
 from lodestar.operators import query as Q
 from lodestar.operators.documents import build_documents
 from lodestar.plans.config import DocumentsChoice, EngineConfig, FieldConfig, TableConfig
@@ -145,12 +145,65 @@ def test_change_stream(spark, index, tmp_path):
     assert failed == {("broken", "9", "INDEX", "PENDING"), ("people", "1", "DELETE", "AWAITING_REINDEX"), ("people", "2", "DELETE", "AWAITING_REINDEX")}
 
 
+def test_halves_of_a_batch_fail_alone(spark, index):
+    class Half(IndexPublisher):
+        def publish(self, table, writes, deleted):
+            if writes is not None:
+                raise OSError("disk full")
+            super().publish(table, writes, deleted)
+
+    rows = people(spark, [(1, "New", "x", 99)])
+    changes = spark.createDataFrame([(1, "people", "1", "UPDATE"), (2, "people", "2", "DELETE")], "seq long, table_name string, record_id string, action string")
+    seen = []
+    ChangeHandler({"people": Source(PEOPLE, lambda: rows)}, Half(index), lambda f: seen.extend(f.collect()))(changes, 0)
+    assert [(r.record_id, r.action, r.status, r.error) for r in seen] == [("1", "INDEX", "PENDING", "OSError: disk full")]
+    assert names(index) == {"people:1": "Stella", "places:1": "Stone house"}
+
+
+def test_pull_all_isolates_tables(spark, index, tmp_path):
+    ledger, now = processes.Ledger(spark, str(tmp_path / "runs")), datetime.datetime(2024, 2, 1)
+
+    def broken():
+        raise OSError("no source")
+
+    sources = {"people": Source(PEOPLE, lambda: people(spark, [(1, "Old", "x", 5), (3, "Nova", "y", 900)])), "places": Source(PLACES, broken)}
+    last = datetime.datetime(2024, 1, 1, 0, 10)
+    due = spark.createDataFrame([("people", "changed", None), ("places", None, last), ("unknown", None, last)], "table_name string, timestamp_field string, last_pull timestamp")
+    found = {r.table_name: r for r in processes.pull_all(index, due, sources, ledger, now).collect()}
+    assert [found["people"][c] for c in ("status", "processed", "indexed", "skipped", "last_pull")] == ["COMPLETED", 2, 1, 1, now]
+    assert (found["places"].status, found["places"].last_pull, found["places"].first_error) == ("FAILED", last, "OSError: no source")
+    assert found["unknown"].errors == 1 and names(index)["people:1"] == "Stella" and names(index)["people:3"] == "Nova"
+    assert {(r.table_name, r.status, r.errors) for r in ledger.runs().collect()} == {("people", "COMPLETED", 0), ("places", "FAILED", 1), ("unknown", "FAILED", 1)}
+
+
+def test_rebuild_of_all(spark, index, tmp_path):
+    ledger, clock = processes.Ledger(spark, str(tmp_path / "runs")), [datetime.datetime(2024, 2, 1)]
+    events = spark.createDataFrame([(1, "people", "9", "AWAITING_REINDEX"), (2, "people", "1", "AWAITING_REINDEX"), (3, "people", "7", "PENDING")], "event_id long, table_name string, record_id string, status string")
+    sources = {"people": Source(PEOPLE, lambda: people(spark, [(1, "Eva", "x", 1)]))}
+    run, left = processes.rebuild(index, sources, ledger, lambda: clock[0], lambda: events)
+    assert names(index) == {"people:1": "Eva"} and [r.event_id for r in left.collect()] == [3]
+    row = run.first()
+    assert (row.status, row.processed, row.indexed, row.skipped) == ("COMPLETED", 1, 1, 0) and row.heartbeat is not None
+    rival = ledger.start("people", "FULL", clock[0])
+    with pytest.raises(processes.Rival):
+        processes.rebuild(index, sources, ledger, lambda: clock[0], lambda: events)
+    clock[0] += datetime.timedelta(hours=1)  # the rival is dead by now
+
+    def cancelling():
+        ledger.cancel(ledger.runs().where(f"status = 'RUNNING' and run_id <> '{rival}'").first().run_id, clock[0])
+        return people(spark, [(5, "Ida", "x", 1)])
+
+    with pytest.raises(processes.Cancelled):
+        processes.rebuild(index, {"people": Source(PEOPLE, cancelling)}, ledger, lambda: clock[0], lambda: events)
+    assert names(index) == {"people:1": "Eva"} and ledger.runs().where("status = 'CANCELLED' and cancel_requested").count() == 1
+
+
 def test_paused_changes_are_deferred(spark, index, tmp_path):
     changes = spark.createDataFrame([(1, "people", "1", "UPDATE")], "seq long, table_name string, record_id string, action string")
     seen = []
     ChangeHandler({"people": Source(PEOPLE, lambda: people(spark, []))}, IndexPublisher(index), lambda f: seen.extend(f.collect()), paused=lambda: True)(changes, 0)
     assert [(r.record_id, r.status) for r in seen] == [("1", "DEFERRED")] and len(names(index)) == 3
-    released = maintain.release_deferred(spark.createDataFrame(seen)).collect()
+    released = maintain.release_deferred(spark.createDataFrame(seen, "table_name string, record_id string, action string, attempts int, status string, error string")).collect()
     assert released[0].status == "PENDING"
 
 
