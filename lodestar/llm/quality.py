@@ -179,6 +179,7 @@ def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 def _concentrated(rows: DataFrame, estimate: DataFrame, scratch: Scratch) -> DataFrame:
     """The next estimates, from the core of each group and start."""
+    scratch.settle()
     near = _measured(rows, estimate)
     limit = scratch.write(near.groupBy("start", "group").agg(F.percentile_approx("d2", CORE, ACCURACY).alias("limit")))
     return scratch.write(_hierarchical(_moments(near.join(limit, ["start", "group"]).where("d2 <= limit"))))
@@ -225,6 +226,7 @@ def _scales(rows: DataFrame, estimate: DataFrame, scratch: Scratch) -> DataFrame
 
 def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Per group of ``rows`` (group, lang, STATS): mean and Cholesky factor, log_det, scale."""
+    scratch.settle()
     estimate = _starts(rows, scratch)
     for _ in range(FIRST_STEPS):
         estimate = _concentrated(rows, estimate, scratch)
@@ -236,6 +238,7 @@ def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
         last, estimate = estimate, _concentrated(rows, estimate, scratch)
         if _falling(last, estimate).isEmpty():
             break
+    scratch.settle()
     return scratch.write(estimate.join(_scales(rows, estimate, scratch), "group").drop("start", "lang"))
 
 

@@ -56,6 +56,10 @@ class Scratch:
         back._lodestar_path = path
         return back
 
+    def settle(self) -> None:
+        """Lets Spark drop the broadcasts and shuffles of steps that are over: it does when their handles are collected as garbage, which a driver of many small jobs may not do for long."""
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._lodestar_path)
