@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import admin as A
 from ..operators import maintain as M
 from ..plans import rules as R
-from .registry import query
+from .registry import NOW, load, query
 
 CODE_TABLES = """SELECT * FROM (VALUES ('part', true, 5, CAST(NULL AS {s})), ('customer', true, 10, 'modify_date'), ('supplier', false, 5, NULL), ('orders', true, 5, 'o_orderdate'), ('secret_tokens', true, 5, NULL))
  AS t(table_name, enabled, interval_minutes, timestamp_field)"""
@@ -183,3 +183,59 @@ def stop_and_start(spark, sf_dir):
 @query("queue_tables", f"SELECT table_name, CASE WHEN table_name IN ('part', 'documents') THEN 'PENDING_BUILD' ELSE status END AS status FROM ({CONFIG_ROWS.format(**V)}) r")
 def queue_tables(spark, sf_dir):
     return A.queue(sql(spark, CONFIG_ROWS), ["part", "documents"]).select("table_name", "status")
+
+
+_REPORT = f"""{_FIELD_STEP}, t AS (SELECT c.table_name, coalesce(m.label, c.table_name) AS label, {_STEP} AS step FROM ({CODE_TABLES.format(**V)}) c LEFT JOIN ({CONFIG_ROWS.format(**V)}) r ON r.table_name = c.table_name LEFT JOIN ({META_TABLES}) m ON m.table_name = c.table_name),
+ b AS (SELECT coalesce(m.label, r.table_name) AS label FROM ({CONFIG_ROWS.format(**V)}) r LEFT JOIN ({META_TABLES}) m ON m.table_name = r.table_name WHERE enabled AND status NOT IN ('PENDING_BUILD', 'BUILDING', 'REBUILDING') AND r.table_name IN (SELECT table_name FROM p WHERE step <> 'keep')),
+ n AS (SELECT (SELECT count(*) FROM t WHERE step = 'insert') AS new_tables, (SELECT count(*) FROM p WHERE step = 'insert') AS new_fields, (SELECT count(*) FROM p WHERE step = 'update') AS updated_fields, (SELECT count(*) FROM t WHERE step = 'update') AS updated_tables, (SELECT count(*) FROM b) AS rebuilds,
+  (SELECT count(*) FROM t WHERE step = 'skip') + (SELECT count(*) FROM ({CODE_FIELDS}) c WHERE table_name = 'part' AND field_name = 'p_brand') AS skipped)
+SELECT *, true AS has_changes, 'New: ' || new_tables || ' table added and building (' || (SELECT string_agg(label, ', ' ORDER BY label) FROM t WHERE step = 'insert') || '); ' || new_fields || ' field' || CASE WHEN new_fields = 1 THEN '' ELSE 's' END || ' added, ' || updated_fields || ' updated from code defaults; rebuilding '
+ || (SELECT string_agg(label, ', ' ORDER BY label) FROM b) || '; ' || updated_tables || ' index setting' || CASE WHEN updated_tables = 1 THEN '' ELSE 's' END || ' updated from code defaults.' AS summary FROM n"""
+
+
+@query("priming_report", _REPORT)
+def priming_report(spark, sf_dir):
+    tables = A.prime_tables(sql(spark, CODE_TABLES), sql(spark, CONFIG_ROWS), sql(spark, TOMBSTONES))
+    fields = primed(spark)
+    rebuilds = A.rebuilds_after_priming(sql(spark, CONFIG_ROWS), fields)
+    return A.priming_report(sql(spark, CODE_FIELDS), sql(spark, TOMBSTONES), tables, fields, rebuilds, sql(spark, META_TABLES).select("table_name", "label"))
+
+
+SETTINGS = "paused boolean, paused_at timestamp, paused_by string, pause_reason string, last_primed_at timestamp, last_priming_summary string, last_priming_new_tables long"
+
+
+@query("settings_primed", f"SELECT true AS paused, 'disk full' AS pause_reason, TIMESTAMP '{NOW}' AS last_primed_at, summary AS last_priming_summary, new_tables AS last_priming_new_tables FROM ({_REPORT}) r")
+def settings_primed(spark, sf_dir):
+    settings = spark.createDataFrame([(True, None, "ann", "disk full", None, "before", 7)], SETTINGS)
+    told = A.settings_after_priming(settings, priming_report(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    return told.select("paused", "pause_reason", "last_primed_at", "last_priming_summary", "last_priming_new_tables")
+
+
+INDEX_EDITS = "SELECT * FROM (VALUES ('part', true, -1, 'p_name'), ('customer', true, 5, 'modified'), ('orders', true, 5, ' '), ('documents', true, 5, ''), ('supplier', true, 5, NULL), ('unknown', true, 5, NULL)) AS t(table_name, enabled, interval_minutes, timestamp_field)"
+_EDITED = CONFIG_ROWS.replace("('part'", "('supplier', false, 5, NULL, false, 'ACTIVE'), ('part'", 1).replace("NULL, false, 'ACTIVE'), ('part', true, 15, CAST(NULL AS {s})", "CAST(NULL AS {s}), false, 'ACTIVE'), ('part', true, 15, NULL", 1)
+
+
+@query(
+    "index_row_edits",
+    """SELECT * FROM (VALUES ('part', 'the timestamp must be a date-time field of the table; the interval must not be negative', false, 'ACTIVE'), ('customer', NULL, true, 'ACTIVE'), ('orders', NULL, true, 'ACTIVE'),
+ ('documents', NULL, false, 'PENDING_BUILD'), ('supplier', NULL, true, 'PENDING_BUILD')) AS t(table_name, reason, owner_edited, status)""",
+)
+def index_row_edits(spark, sf_dir):
+    times = sql(spark, FIELDS).where("type = 'DATE_TIME'").select("table_name", "field_name")
+    return A.check_index_edits(sql(spark, INDEX_EDITS), sql(spark, _EDITED), times)
+
+
+@query("index_rows_ensured", f"SELECT table_name, interval_minutes, status FROM ({CONFIG_ROWS.format(**V)}) r UNION ALL SELECT table_name, interval_minutes, 'ACTIVE' FROM ({CODE_TABLES.format(**V)}) c WHERE table_name NOT IN (SELECT table_name FROM ({CONFIG_ROWS.format(**V)}) r)")
+def index_rows_ensured(spark, sf_dir):
+    return A.ensure_index_rows(sql(spark, CONFIG_ROWS), sql(spark, CODE_TABLES)).select("table_name", "interval_minutes", "status")
+
+
+_FAILED = "SELECT CASE user_id % 3 WHEN 0 THEN 'part' WHEN 1 THEN 'customer' ELSE 'unknown' END AS table_name FROM events"
+
+
+@query("error_counts", f"SELECT table_name, CASE WHEN table_name = 'part' THEN 4 ELSE 0 END + (SELECT count(*) FROM ({_FAILED}) f WHERE f.table_name = r.table_name) AS real_time_errors FROM ({CONFIG_ROWS.format(**V)}) r")
+def error_counts(spark, sf_dir):
+    """Failed events of all of ``events``, counted on the index rows of their tables."""
+    rows = sql(spark, CONFIG_ROWS).withColumn("real_time_errors", F.when(F.col("table_name") == "part", F.lit(4)).cast("long"))
+    failed = load(spark, sf_dir, "events").select(F.when(F.col("user_id") % 3 == 0, "part").when(F.col("user_id") % 3 == 1, "customer").otherwise("unknown").alias("table_name"))
+    return A.count_errors(rows, failed).select("table_name", "real_time_errors")

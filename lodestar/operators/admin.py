@@ -6,7 +6,9 @@ that rules read the same for one table or for many thousands.
 Tables: ``code_tables`` (table_name, enabled, interval_minutes,
 timestamp_field), ``code_fields`` (table_name, field_name, weight,
 include_label, position), ``index_rows`` (table_name, enabled,
-interval_minutes, timestamp_field, owner_edited, status), ``field_rows``
+interval_minutes, timestamp_field, owner_edited, status, real_time_errors),
+``settings`` (paused, paused_at, paused_by, pause_reason, last_primed_at,
+last_priming_summary, last_priming_new_tables; one row or none), ``field_rows``
 (table_name, field_name, weight, role, analyzer, in_snippet, include_label,
 sort_order, owner_edited), ``tombstones`` (table_name, field_name; a null
 field stands for the whole table).
@@ -55,6 +57,71 @@ def rebuilds_after_priming(index_rows: DataFrame, primed: DataFrame) -> DataFram
     return index_rows.join(changed, "table_name", "left_semi").where(F.col("enabled") & ~F.col("status").isin(*BUILDING_STATES)).select("table_name")
 
 
+def priming_report(code_fields: DataFrame, tombstones: DataFrame, tables: DataFrame, fields: DataFrame, rebuilds: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row that sums up a priming: what ``prime_tables``, ``prime_fields`` and ``rebuilds_after_priming`` gave, and the
+    code fields that a tombstone holds back. Tables appear by their label (else name), sorted."""
+    gone = tombstones.where("field_name is null").select("table_name")
+    buried = code_fields.join(gone, "table_name", "left_anti").join(tombstones.select("table_name", "field_name"), ["table_name", "field_name"], "left_semi")
+    marks = (
+        tables.select("table_name", F.concat(F.lit("table "), "step").alias("mark"))
+        .union(fields.select("table_name", F.concat(F.lit("field "), "step")))
+        .union(buried.select("table_name", F.lit("field skip")))
+        .union(rebuilds.select("table_name", F.lit("rebuild")))
+    )
+    named = marks.join(labels.select("table_name", "label").dropDuplicates(["table_name"]), "table_name", "left").withColumn("label", F.coalesce("label", "table_name"))
+    is_ = lambda mark: F.col("mark") == mark
+    sums = named.agg(
+        F.array_sort(F.collect_list(F.when(is_("table insert"), F.col("label")))).alias("new"),
+        F.count_if(is_("field insert")).alias("new_fields"),
+        F.count_if(is_("field update")).alias("updated_fields"),
+        F.count_if(is_("table update")).alias("updated_tables"),
+        F.array_sort(F.collect_list(F.when(is_("rebuild"), F.col("label")))).alias("again"),
+        F.count_if(F.col("mark").isin("table skip", "field skip")).alias("skipped"),
+    )
+    plural = lambda n, word: F.concat(n.cast("string"), F.lit(" " + word), F.when(n == 1, "").otherwise("s"))
+    n_new, n_fields, n_updated, n_tables = F.size("new").cast("long"), F.col("new_fields"), F.col("updated_fields"), F.col("updated_tables")
+    parts = F.concat_ws(
+        "; ",
+        F.when(n_new > 0, F.concat(F.lit("New: "), plural(n_new, "table"), F.lit(" added and building ("), F.array_join("new", ", "), F.lit(")"))),
+        F.when((n_fields > 0) | (n_updated > 0), F.concat(plural(n_fields, "field"), F.lit(" added, "), n_updated.cast("string"), F.lit(" updated from code defaults"))),
+        F.when(F.size("again") > 0, F.concat(F.lit("rebuilding "), F.array_join("again", ", "))),
+        F.when(n_tables > 0, F.concat(plural(n_tables, "index setting"), F.lit(" updated from code defaults"))),
+    )
+    summary = F.when(parts == "", "No changes: the records match the code defaults.").otherwise(F.concat(parts, F.lit(".")))
+    return sums.select(n_new.alias("new_tables"), "new_fields", "updated_fields", "updated_tables", F.size("again").cast("long").alias("rebuilds"), "skipped", (parts != "").alias("has_changes"), summary.alias("summary"))
+
+
+def settings_after_priming(settings: DataFrame, report: DataFrame, at: Column) -> DataFrame:
+    """The row of settings after a priming: always its time, its summary only if something changed or the row is new."""
+    told = report.select(F.col("has_changes").alias("__changed"), F.col("summary").alias("__summary"), F.col("new_tables").alias("__new"))
+    found = told.join(settings.limit(1).withColumn("__known", F.lit(True)), F.lit(True), "left")  # one row beside one row
+    tell = F.col("__changed") | F.col("__known").isNull()
+    new = {
+        "paused": F.coalesce("paused", F.lit(False)),
+        "last_primed_at": at,
+        "last_priming_summary": F.when(tell, F.col("__summary")).otherwise(F.col("last_priming_summary")),
+        "last_priming_new_tables": F.when(tell, F.col("__new")).otherwise(F.col("last_priming_new_tables")),
+    }
+    return found.withColumns(new).select(*settings.columns)
+
+
+def ensure_index_rows(index_rows: DataFrame, code_tables: DataFrame, configured: bool = False) -> DataFrame:
+    """Index rows with one for each code table that lacks it. Hosts whose configuration is in tables (``configured``) get theirs
+    by priming only, so that a removed table isn't made again."""
+    if configured:
+        return index_rows
+    missing = code_tables.dropDuplicates(["table_name"]).join(index_rows, "table_name", "left_anti")
+    rows = missing.select("table_name", "enabled", "interval_minutes", "timestamp_field", F.lit("ACTIVE").alias("status"), F.lit(0).cast("long").alias("real_time_errors"))
+    return index_rows.unionByName(rows, allowMissingColumns=True)
+
+
+def count_errors(index_rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """Index rows with their tables' failed events (a row each, table_name) added to ``real_time_errors``; others' events count nowhere."""
+    new = failed.groupBy("table_name").agg(F.count("*").alias("__n"))
+    total = F.coalesce("real_time_errors", F.lit(0)).cast("long") + F.coalesce("__n", F.lit(0))
+    return index_rows.join(new, "table_name", "left").withColumn("real_time_errors", total).select(*index_rows.columns)
+
+
 def effective_fields(field_rows: DataFrame, indexable: DataFrame) -> DataFrame:
     """The fields that are in force, in order: rows the rules refuse are dropped, of a repeated field the first counts, missing weights are 1."""
     usable = field_rows.join(indexable.select("table_name", "field_name"), ["table_name", "field_name"], "left_semi")
@@ -84,6 +151,31 @@ def check_edits(edits: DataFrame, field_rows: DataFrame, system: bool = False) -
     return found.select(*edits.columns, reason.alias("reason"), F.lit(not system).alias("owner_edited"))
 
 
+def check_index_edits(edits: DataFrame, index_rows: DataFrame, timestamps: DataFrame, system: bool = False) -> DataFrame:
+    """Each edited index row (table_name, enabled, interval_minutes, timestamp_field) with the reason it is refused, if any, and
+    what becomes of its mark and status.
+
+    ``timestamps`` are the date-time fields (table_name, field_name). An edit that changes nothing, or comes from the system,
+    isn't checked and marks nothing; blank and null are the same; a null ``enabled`` means enabled. Switching on queues a build
+    unless one runs. Edits of unknown tables give no row.
+    """
+    blank = lambda c: F.when(F.trim(c) != "", c)
+    old = index_rows.select("table_name", *[F.col(c).alias("__" + c) for c in ("enabled", "interval_minutes", "timestamp_field", "owner_edited", "status")])
+    times = timestamps.select("table_name", F.col("field_name").alias("timestamp_field"), F.lit(True).alias("__time")).distinct()
+    found = edits.join(old, "table_name").join(times, ["table_name", "timestamp_field"], "left")
+    same = F.col("enabled").eqNullSafe(F.col("__enabled")) & F.col("interval_minutes").eqNullSafe(F.col("__interval_minutes"))
+    changed = ~(same & blank(F.col("timestamp_field")).eqNullSafe(blank(F.col("__timestamp_field")))) & F.lit(not system)
+    wrong = F.concat_ws(
+        "; ",
+        F.when(blank(F.col("timestamp_field")).isNotNull() & F.col("__time").isNull(), "the timestamp must be a date-time field of the table"),
+        F.when(F.col("interval_minutes") < 0, "the interval must not be negative"),
+    )
+    reason = F.when(changed & (wrong != ""), wrong)
+    taken = changed & reason.isNull()
+    on = F.coalesce("enabled", F.lit(True)) & ~F.coalesce("__enabled", F.lit(True)) & ~F.coalesce(F.col("__status").isin("BUILDING", "REBUILDING"), F.lit(False))
+    return found.select("table_name", reason.alias("reason"), (F.coalesce("__owner_edited", F.lit(False)) | taken).alias("owner_edited"), F.when(taken & on, "PENDING_BUILD").otherwise(F.col("__status")).alias("status"))
+
+
 def next_sort_order(field_rows: DataFrame) -> DataFrame:
     return field_rows.groupBy("table_name").agg((F.coalesce(F.max("sort_order"), F.lit(0)) + 10).alias("sort_order"))
 
@@ -130,6 +222,15 @@ def set_enabled(index_rows: DataFrame, names: list[str], enabled: bool) -> DataF
     return index_rows.withColumns({"status": status, "owner_edited": F.col("owner_edited") | changed, "enabled": F.when(changed, F.lit(enabled)).otherwise(F.col("enabled"))})
 
 
+def set_paused(settings: DataFrame, paused: bool, at: Column, user: str | None = None, reason: str | None = None) -> DataFrame:
+    """Settings paused, with when, by whom and why, or resumed and without stamps (then ``maintain.release_deferred`` is due);
+    settings in that state already keep their stamps."""
+    change = F.coalesce("paused", F.lit(False)) != paused
+    stamps = {"paused_at": at, "paused_by": F.lit(user), "pause_reason": F.lit(reason)}
+    new = {c: F.when(change, v if paused else F.lit(None)).otherwise(F.col(c)) for c, v in stamps.items()}
+    return settings.withColumns({**new, "paused": F.lit(paused)})
+
+
 def remove_table(name: str, index_rows: DataFrame, field_rows: DataFrame, events: DataFrame, tombstones: DataFrame, documents: DataFrame, choice: DocumentsChoice = DocumentsChoice.DELETE):
     """Everything of a table goes, and a tombstone keeps code from bringing it back; its documents go or stay."""
     other = F.col("table_name") != name

@@ -272,3 +272,47 @@ def test_enabling_queues_a_build(spark):
 def test_cancel(spark):
     runs = spark.createDataFrame([(1, "RUNNING", False), (2, "COMPLETE", False), (3, "RUNNING", False)], "run_id int, status string, cancel_requested boolean")
     assert {r.run_id for r in admin.cancel_runs(runs, [1, 2]).where("cancel_requested").collect()} == {1}
+
+
+SETTINGS = "paused boolean, paused_at timestamp, paused_by string, pause_reason string, last_primed_at timestamp, last_priming_summary string, last_priming_new_tables long"
+
+
+def test_pause_stamps(spark):
+    at = datetime.datetime(2024, 1, 1)
+    plain = spark.createDataFrame([(False, None, None, None, None, None, None)], SETTINGS)
+    paused = admin.set_paused(plain, True, F.lit(at), "ann", "disk full")
+    assert tuple(paused.first())[:4] == (True, at, "ann", "disk full")
+    again = admin.set_paused(paused, True, F.lit(at + datetime.timedelta(1)), "bob", "other")
+    assert tuple(again.first())[:4] == (True, at, "ann", "disk full")
+    assert tuple(admin.set_paused(again, False, F.lit(at)).first())[:4] == (False, None, None, None)
+
+
+def test_settings_tell_changes_only(spark):
+    at = datetime.datetime(2024, 1, 2)
+    rows = lambda schema: spark.createDataFrame([], schema)
+    pair = "table_name string, field_name string"
+    step = "table_name string, step string"
+    nothing = admin.priming_report(rows(pair), rows(pair), rows(step), rows(step), rows("table_name string"), rows("table_name string, label string"))
+    told = nothing.first()
+    assert (told.new_tables, told.skipped, told.has_changes, told.summary) == (0, 0, False, "No changes: the records match the code defaults.")
+    known = spark.createDataFrame([(True, None, None, "x", None, "before", 7)], SETTINGS)
+    assert tuple(admin.settings_after_priming(known, nothing, F.lit(at)).first()) == (True, None, None, "x", at, "before", 7)
+    assert tuple(admin.settings_after_priming(rows(SETTINGS), nothing, F.lit(at)).first()) == (False, None, None, None, at, told.summary, 0)
+
+
+def test_edits_of_the_system_mark_nothing(spark):
+    row, edit = "table_name string, enabled boolean, interval_minutes int, timestamp_field string", ("a", True, -5, "nowhere")
+    rows = spark.createDataFrame([("a", False, 5, None, None, "BUILDING")], row + ", owner_edited boolean, status string")
+    times = spark.createDataFrame([], "table_name string, field_name string")
+    edits = spark.createDataFrame([edit], row)
+    assert tuple(admin.check_index_edits(edits, rows, times, system=True).first()) == ("a", None, False, "BUILDING")
+    assert admin.check_index_edits(edits, rows, times).first().owner_edited is False
+    fine = spark.createDataFrame([("a", True, 5, None)], row)
+    assert tuple(admin.check_index_edits(fine, rows, times).first()) == ("a", None, True, "BUILDING")
+
+
+def test_index_rows_come_from_priming_where_it_is_configured(spark):
+    rows = spark.createDataFrame([("a", True, 1)], "table_name string, enabled boolean, other int")
+    code = spark.createDataFrame([("a", True, 5, None), ("b", None, None, None), ("b", None, None, None)], "table_name string, enabled boolean, interval_minutes int, timestamp_field string")
+    assert sorted((r.table_name, r.other, r.status) for r in admin.ensure_index_rows(rows, code).collect()) == [("a", 1, None), ("b", None, "ACTIVE")]
+    assert admin.ensure_index_rows(rows, code, configured=True).count() == 1
