@@ -16,6 +16,7 @@ MODULES = {
     "op8_quality_rules": "quality",
     "op9_substring_dedup": "substrings",
     "op10_quality_classifier": "ordinal",
+    "op11_nearest_neighbours": "neighbours",
     "op12_token_alignment": "alignment",
     "op13_fill_in_middle": "fim",
 }
