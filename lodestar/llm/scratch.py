@@ -42,16 +42,19 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, new_path(spark, name), 0
 
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        """The rows of ``df``, written once; shuffle files of the writing job are freed when it ends."""
+    def write(self, df: DataFrame, codec: str = "zstd", conf: dict[str, str] | None = None) -> DataFrame:
+        """The rows of ``df``, written once, planned with the settings ``conf``; shuffle files of the writing job are freed when it ends."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        now = {CLEANUP: "true", **(conf or {})}
+        before = {k: self.spark.conf.get(k, None) for k in now}
+        for key, value in now.items():
+            self.spark.conf.set(key, value)
         try:
             df.write.option("compression", codec).parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._lodestar_path = path
         return back

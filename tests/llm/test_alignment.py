@@ -75,13 +75,23 @@ def test_rows_equal_the_plain_version(spark, paths, monkeypatch):
 
 def test_units_are_encoded_as_their_texts_are(paths):
     """The tokens of a text's units, put end to end, are those of the text."""
-    both = alignment.Tokenizers.of(*paths)
+    import sentencepiece
+
+    both, whole = alignment.Tokenizers.of(*paths), sentencepiece.SentencePieceProcessor(model_file=paths[1])
     rng = random.Random(5)
-    for _ in range(3000):
-        text = "".join(rng.choice(["a", "the", " ", " ", "  ", "\n", "\t", "'s", "1", ".", "é", "日", "🎉", " ", "\x1c", "\u0085", "<s>", "Ab"]) for _ in range(rng.randint(1, 14)))
-        found = alignment.units(text)
-        assert "".join(" " + u for u in found) == " " + text
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "the", " ", " ", "  ", "\n", "\t", "'s", "1", ".", "...", "é", "日", "🎉", "\xa0", "\x1c", "\u0085", "<s>", "Ab", "((", "_", "\u0301", "԰"]) for _ in range(rng.randint(1, 14)))
+        found = [u for w in alignment.words(text) for u in both.units(w)]
+        assert "".join(found) == " " + text
         a, b, same = both.encode(found)
         assert all(same)
         assert sum(a, []) == both.a.encode(" " + text, add_special_tokens=False).ids, repr(text)
-        assert sum(b, []) == both.b.encode(text), repr(text)
+        assert sum(b, []) == whole.encode(text), repr(text)
+
+
+def test_links_of_long_units_are_not_paired(spark):
+    """Tokens that never end together form one group; its links are as many as its ends."""
+    n = 3000
+    tokens = spark.createDataFrame([(7, [1] * n, [2] * n, [2] * n, [3] + [2] * (n - 2) + [1])], "u long, a array<int>, b array<int>, a_size array<int>, b_size array<int>")
+    row = alignment.aligned_units(tokens).collect()[0]
+    assert (row.n_groups, len(row.links)) == (1, 2 * n - 1)
