@@ -47,7 +47,9 @@ from .pieces import SPACE, model_path
 from .scratch import Scratch, load
 from .tokencount import PRETOKEN, UNSURE, _pack, _unpack
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: Units whose links are written out as text at once.
+_AT_ONCE = 10_000
 
 _BLANK_BEFORE_SPACE = re.compile(r"[^\S ] ")
 _BEGINNING = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
@@ -109,9 +111,10 @@ class Tokenizers:
     def units(self, word: str) -> list[str]:
         """The units of space + ``word``."""
         text = " " + word
-        if word.isalpha() and word.isascii():
+        unsure = UNSURE.search(word)
+        if word.isalpha() and not unsure:
             return [text]
-        ends = [b for _, (_, b) in self.a.pre_tokenizer.pre_tokenize_str(text)] if UNSURE.search(text) else [m.end() for m in self.find(text)]
+        ends = [b for _, (_, b) in self.a.pre_tokenizer.pre_tokenize_str(text)] if unsure else [m.end() for m in self.find(text)]
         out, start = [], 0
         for end in ends[:-1]:
             if not text[end - 1].isspace() and text[end - 1 : end + 1] not in self.joined:
@@ -270,12 +273,12 @@ def _documents(keep_groups: bool):
         column = found.column("links").combine_chunks()
         values = column.flatten().to_numpy()
         pairs, which = np.unique(values >> _PAIR_BITS, return_inverse=True)
-        of_unit = Lists(which, np.diff(column.offsets.to_numpy()))
-        numbers = Lists(np.arange(len(values)), of_unit.lengths)
+        of_unit = Lists(which.astype(np.int32), np.diff(column.offsets.to_numpy()))
+        numbers = Lists(np.arange(len(values), dtype=np.int32), of_unit.lengths)
         bad = of_doc.sums(of_word.sums((~found.column("same").to_numpy()).astype(np.int64))) > 0
         per_unit = {"n_a": numbers.sums(values >> 1 & 1), "n_b": numbers.sums(values & 1), "n_links": of_unit.lengths, "n_groups": found.column("n_groups").to_numpy().astype(np.int64)}
         counts = {c: np.where(bad, 0, of_doc.sums(of_word.sums(per_unit[c]))) for c in _COUNTS}
-        texts = [_text(x) for x in column.to_pylist()]
+        texts = [_text(x) for i in range(0, len(column), _AT_ONCE) for x in column.slice(i, _AT_ONCE).to_pylist()]
         texts = [";".join(map(texts.__getitem__, of_word.values[a:b].tolist())) for a, b in zip(of_word.starts, of_word.ends)]
         n_docs = np.zeros(len(pairs), np.int32)
         shas, groups = [], []
