@@ -9,17 +9,29 @@ segments' documents only. Its statistics are those of bases and segments togethe
 replaced document counts until the next compaction, as in any segmented index.
 
 A manifest is a file of the next number that is created only if it isn't there, so of two
-writers one fails with ``Moved``. Readers keep the manifest they began with: what a newer one
-no longer names is deleted only ``RETAIN_SECONDS`` later.
+writers one is told that it has moved. A writer states its change as a function of the live manifest and
+is rebased: an added segment goes behind those added meanwhile, and a rebuild or a compaction
+carries over the segments that were added since it began. Only replacements of the same
+table conflict (``Moved``). Readers keep the manifest they began with: what a newer one
+no longer names is deleted only ``RETAIN_SECONDS`` later, and so are folders that no manifest ever named (``vacuum``).
+
+Whoever replaces tables may hold a lease: files with growing tokens, each created only if it isn't there.
+The token of the last holder stands in the manifest and is compared in the same commit, so
+a holder that was taken for dead and replaced can't swap any more (``TakenOver``).
 """
 
 from __future__ import annotations
 
 import json
+import random
 import time
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +45,31 @@ MAPPING_VERSION = 2
 RETAIN_SECONDS = 3600.0
 
 
+#: Times that a commit is tried on newer manifests, and that a compaction is done again.
+ATTEMPTS, COMPACTIONS = 100, 3
+
+
 class Moved(RuntimeError):
     """Another writer has swapped the manifest meanwhile."""
 
 
+class Rival(RuntimeError):
+    """Another process that replaces tables is alive."""
+
+
+class TakenOver(RuntimeError):
+    """The lease has gone to another holder."""
+
+
+@dataclass(frozen=True)
+class Lease:
+    """The right to replace tables, until a later token is given."""
+
+    scope: str
+    token: int
+    owner: str
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str, config: EngineConfig, retain: float = RETAIN_SECONDS):
         self.spark, self.path, self.config, self.retain = spark, path.rstrip("/"), config, retain
@@ -54,10 +87,18 @@ class Index:
 
     def manifest(self) -> dict:
         """The live manifest, that of the largest number; an empty one before the first."""
-        numbers = self._numbers()
-        if not numbers:
-            return {"version": 0, "mapping": MAPPING_VERSION, "tables": {}, "postings": None, "created_at": None, "retired": []}
-        stream = self._fs.open(self._at(self._file(numbers[-1])))
+        while True:
+            numbers = self._numbers()
+            if not numbers:
+                return {"version": 0, "mapping": MAPPING_VERSION, "tables": {}, "postings": None, "created_at": None, "retired": []}
+            try:
+                return self._read(self._file(numbers[-1]))
+            except Py4JJavaError:
+                if self._numbers()[-1] == numbers[-1]:  # else it was replaced and deleted while it was looked up
+                    raise
+
+    def _read(self, path: str) -> dict:
+        stream = self._fs.open(self._at(path))
         try:
             return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
@@ -83,7 +124,67 @@ class Index:
             self._fs.delete(self._at(self._file(number)), False)
         return new
 
-    def _create(self, path: str, data: bytes) -> None:
+    def commit(self, change: Callable[[dict], dict | None], lease: Lease | None = None) -> dict:
+        """Swaps in what ``change`` makes of the live manifest (None: nothing is to be done), again on a newer one if another writer was first."""
+        for attempt in range(ATTEMPTS):
+            before = self.manifest()
+            if lease and before.get("fences", {}).get(lease.scope) != lease.token:
+                raise TakenOver(f"the lease on {lease.scope} has gone from {lease.owner} to another holder")
+            new = change(before)
+            if new is None:
+                return before
+            try:
+                return self.swap(new, before["version"])
+            except Moved:
+                time.sleep(random.uniform(0, min(1.0, 0.01 * 2 ** min(attempt, 7))))
+        raise Moved(f"other writers were first {ATTEMPTS} times")
+
+    # Leases.
+
+    def _lease(self, scope: str, token: int, kind: str) -> str:
+        return f"{self.path}/leases/{'all' if scope == '*' else scope}/{token:010}.{kind}"
+
+    def _tokens(self, scope: str) -> list[int]:
+        at = self._at(self._lease(scope, 0, "json")).getParent()
+        return sorted(int(n[:-5]) for f in self._fs.listStatus(at) if (n := f.getPath().getName()).endswith(".json")) if self._fs.exists(at) else []
+
+    def acquire(self, scope: str, owner: str, now: datetime, stale_seconds: float = 1800) -> Lease:
+        """A lease with the next token. While the last holder's is neither released nor ``stale_seconds`` without a sign of life, it is refused (``Rival``)."""
+        last = max(self._tokens(scope), default=0)
+        if last:
+            seen = self._read(self._lease(scope, last, "seen" if self._fs.exists(self._at(self._lease(scope, last, "seen"))) else "json"))
+            if not seen["released"] and datetime.fromisoformat(seen["at"]) >= now - timedelta(seconds=stale_seconds):
+                raise Rival(f"{seen['owner']} holds the lease on {scope}")
+        lease = Lease(scope, last + 1, owner)
+        try:
+            self._create(self._lease(scope, lease.token, "json"), self._sign(lease, now))
+        except Moved as error:
+            raise Rival(f"another process has just taken the lease on {scope}") from error
+
+        def fence(before: dict) -> dict | None:
+            if before.get("fences", {}).get(scope, 0) > lease.token:
+                raise TakenOver(f"the lease on {scope} has gone from {owner} to another holder")
+            return {**before, "fences": {**before.get("fences", {}), scope: lease.token}}
+
+        self.commit(fence)
+        return lease
+
+    @staticmethod
+    def _sign(lease: Lease, now: datetime, released: bool = False) -> bytes:
+        return json.dumps({"owner": lease.owner, "at": now.isoformat(), "released": released}).encode()
+
+    def renew(self, lease: Lease, now: datetime) -> None:
+        """A sign of life."""
+        self._put(self._lease(lease.scope, lease.token, "seen"), self._sign(lease, now))
+
+    def release(self, lease: Lease, now: datetime) -> None:
+        self._put(self._lease(lease.scope, lease.token, "seen"), self._sign(lease, now, True))
+
+    def _put(self, path: str, data: bytes) -> None:
+        """A file with all its content in place of another."""
+        self._create(path, data, replace=True)
+
+    def _create(self, path: str, data: bytes, replace: bool = False) -> None:
         """A file with all its content, or an error if there is one already."""
         draft, file = self._at(f"{self.path}/drafts/{uuid.uuid4().hex}"), self._at(path)
         out = self._fs.create(draft, False)
@@ -91,9 +192,12 @@ class Index:
         out.close()
         self._fs.mkdirs(file.getParent())
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        kind = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(kind, int(replace))
+        if replace:
+            options[0] = kind.OVERWRITE
         try:
-            context.rename(draft, file, none)  # refuses a target that exists
+            context.rename(draft, file, options)  # refuses a target that exists, unless it is to be replaced
         except Exception as error:
             self._fs.delete(draft, False)
             if self._fs.exists(file):
@@ -194,42 +298,126 @@ class Index:
         path_statistics(documents, list(self.config.tables)).write.parquet(f"{base}/statistics")
         return base
 
-    def rebuild(self, built: dict[str, DataFrame], created_at: str | None = None) -> dict:
-        """A new generation of all tables, swapped in when it is complete."""
-        before = self.manifest()
-        tables = {name: {"base": self._write(documents, name), "segments": []} for name, documents in built.items()}
-        return self.swap({"tables": tables, "postings": self._postings(tables), "created_at": created_at}, before["version"])
+    def _discard(self, *paths: str | None) -> None:
+        for path in filter(None, paths):
+            self._fs.delete(self._at(path), True)
+
+    def draft(self) -> Draft:
+        """Begins a new generation of tables."""
+        return Draft(self)
 
-    def apply(self, table: str, writes: DataFrame | None = None, deleted: DataFrame | None = None) -> dict:
-        """A batch of one table as a new segment: versioned writes (with ``seq``), then deletes (document_id)."""
+    def rebuild(self, built: dict[str, DataFrame], created_at: str | None = None, lease: Lease | None = None) -> dict:
+        """A new generation of all tables, swapped in when it is complete; segments that were added meanwhile stay."""
+        draft = self.draft()
+        try:
+            for name, documents in built.items():
+                draft.add(name, documents)
+            return draft.finish(created_at, lease)
+        except Exception:
+            draft.discard()
+            raise
+
+    def apply(self, table: str, writes: DataFrame | None = None, deleted: DataFrame | None = None, once: tuple[str, int] | None = None) -> dict:
+        """A batch of one table as a new segment: versioned writes (with ``seq``), then deletes (document_id).
+
+        ``once`` (the name of a row of batches, the number of this one) is committed with the segment: a batch whose number isn't
+        above the last one committed under its name changes nothing.
+        """
         before = self.manifest()
-        if writes is None and deleted is None:
+        done = lambda manifest: once is not None and manifest.get("batches", {}).get(once[0], -1) >= once[1]
+        if writes is None and deleted is None or done(before):
             return before
         segment = {
             "writes": None if writes is None else self._write(writes, f"{table}/writes"),
             "deletes": None if deleted is None else self._write(deleted.select("document_id").distinct(), f"{table}/deletes"),
         }
-        entry = before["tables"].get(table, {"base": None, "segments": []})
-        if not entry["base"] and not entry["segments"] and writes is None:
-            return before
-        tables = {**before["tables"], table: {**entry, "segments": [*entry["segments"], segment]}}
-        return self.swap({**before, "tables": tables}, before["version"])
+        used = False
+
+        def add(before: dict) -> dict | None:
+            nonlocal used
+            entry = before["tables"].get(table, {"base": None, "segments": []})
+            used = not done(before) and bool(entry["base"] or entry["segments"] or writes is not None)
+            if not used:
+                return None
+            batches = {**before.get("batches", {}), **({once[0]: once[1]} if once else {})}
+            return {**before, "batches": batches, "tables": {**before["tables"], table: {**entry, "segments": [*entry["segments"], segment]}}}
+
+        try:
+            return self.commit(add)
+        except Exception:
+            used = False
+            raise
+        finally:
+            if not used:
+                self._discard(*segment.values())
 
     def segments(self) -> dict[str, int]:
         """How many segments each table has; many of them make reading slow and compaction due."""
         return {name: len(entry["segments"]) for name, entry in self.manifest()["tables"].items()}
 
-    def compact(self) -> dict:
-        """New bases without segments, and postings that are exact again. Segments that are added meanwhile make it fail, not vanish."""
-        before = self.manifest()
-        tables = {name: {"base": self._write(self._live(entry), name), "segments": []} if entry["segments"] else entry for name, entry in before["tables"].items()}
-        return self.swap({**before, "tables": tables, "postings": self._postings(tables) if tables else None}, before["version"])
+    def compact(self, lease: Lease | None = None) -> dict:
+        """New bases without the segments there are now, and postings that are exact again. Segments added meanwhile stay behind them; if a table was replaced meanwhile, all is done again."""
+        for _ in range(COMPACTIONS):
+            begun, made = self.manifest(), []
+
+            def base(name: str, entry: dict) -> dict:
+                if not entry["segments"]:
+                    return entry
+                made.append(self._write(self._live(entry), name))
+                return {"base": made[-1], "segments": []}
+
+            def replace(before: dict) -> dict:
+                now = {}
+                for name, entry in before["tables"].items():
+                    old = begun["tables"].get(name)
+                    if old is None:  # new since then
+                        now[name] = entry
+                        continue
+                    n = len(old["segments"])
+                    if entry["base"] != old["base"] or entry["segments"][:n] != old["segments"]:
+                        raise Moved(f"{name} was replaced meanwhile")
+                    now[name] = {**tables[name], "segments": entry["segments"][n:]}
+                if set(begun["tables"]) - set(now):
+                    raise Moved("a table was dropped meanwhile")
+                return {**before, "tables": now, "postings": postings}
+
+            postings = None
+            try:
+                tables = {name: base(name, entry) for name, entry in begun["tables"].items()}
+                postings = self._postings(tables) if tables else None
+                return self.commit(replace, lease)
+            except Moved:
+                self._discard(*made, postings)
+            except Exception:
+                self._discard(*made, postings)
+                raise
+        raise Moved(f"tables were replaced during each of {COMPACTIONS} compactions")
+
+    def vacuum(self) -> list[str]:
+        """Deletes folders that no manifest names and nobody has written to for ``retain`` seconds: what processes that died have left. Returns their paths."""
+        manifest, gone = self.manifest(), []
+        kept = {self._at(p).toUri().getPath() for p in (*self._paths(manifest), *(r["path"] for r in manifest["retired"]))}
+        for pattern in ("tables/*/*", "tables/*/writes/*", "tables/*/deletes/*", "postings/*", "drafts/*"):
+            for found in self._fs.globStatus(self._at(f"{self.path}/{pattern}")) or []:
+                path = found.getPath()
+                place = path.toUri().getPath()
+                if place in kept or any(k.startswith(f"{place}/") for k in kept) or pattern == "tables/*/*" and path.getName() in ("writes", "deletes"):
+                    continue
+                if self._last_written(path) <= time.time() - self.retain:
+                    self._fs.delete(path, True)
+                    gone.append(place)
+        return gone
+
+    def _last_written(self, path) -> float:
+        """When the newest file of a folder was written."""
+        newest, files = self._fs.getFileStatus(path).getModificationTime(), self._fs.listFiles(path, True)
+        while files.hasNext():
+            newest = max(newest, files.next().getModificationTime())
+        return newest / 1000
 
     def drop_table(self, table: str) -> dict:
         """Without a table. Searches scan until the next compaction."""
-        before = self.manifest()
-        tables = {k: v for k, v in before["tables"].items() if k != table}
-        return self.swap({**before, "tables": tables, "postings": None}, before["version"])
+        return self.commit(lambda before: {**before, "tables": {k: v for k, v in before["tables"].items() if k != table}, "postings": None})
 
     def schema_differences(self) -> dict[str, list[str]]:
         """Per stored table what of its stored layout isn't that of documents built now: columns that are missing, added or of another type."""
@@ -241,3 +429,33 @@ class Index:
             if wrong:
                 out[name] = wrong
         return out
+
+
+class Draft:
+    """A generation of tables that is being written beside the live one."""
+
+    def __init__(self, index: Index):
+        self.index, self.begun, self.tables, self.postings = index, index.manifest(), {}, None
+
+    def add(self, name: str, documents: DataFrame) -> None:
+        self.tables[name] = {"base": self.index._write(documents, name), "segments": []}
+
+    def finish(self, created_at: str | None = None, lease: Lease | None = None) -> dict:
+        """Swaps the tables in. A table's segments that were added since the beginning stay behind its new base; tables that are new since then stay as they are."""
+        self.postings = self.index._postings(self.tables)
+
+        def replace(before: dict) -> dict:
+            now = {}
+            for name, entry in self.tables.items():
+                old, live = (m["tables"].get(name, {"base": None, "segments": []}) for m in (self.begun, before))
+                if live["base"] != old["base"]:
+                    raise Moved(f"{name} was replaced meanwhile")
+                now[name] = {**entry, "segments": [s for s in live["segments"] if s not in old["segments"]]}
+            new = {n: e for n, e in before["tables"].items() if n not in self.begun["tables"] and n not in now}
+            return {**before, "tables": now | new, "postings": self.postings, "created_at": created_at}
+
+        return self.index.commit(replace, lease)
+
+    def discard(self) -> None:
+        """Deletes what was written."""
+        self.index._discard(*(e["base"] for e in self.tables.values()), self.postings)

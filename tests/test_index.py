@@ -10,7 +10,7 @@ from lodestar.operators import admin, maintain, processes
 from lodestar.operators import query as Q
 from lodestar.operators.documents import build_documents
 from lodestar.plans.config import DocumentsChoice, EngineConfig, FieldConfig, TableConfig
-from lodestar.sources.index import Index, Moved
+from lodestar.sources.index import Index, Moved, Rival, TakenOver
 from lodestar.streaming.changes import ChangeHandler, IndexPublisher, Source, follow, last_changes
 
 PEOPLE = TableConfig("people", "id", (FieldConfig("name", weight=3), FieldConfig("city")), timestamp="changed")
@@ -112,6 +112,112 @@ def test_two_writers_of_one_version(spark, index):
         other.swap(stale, stale["version"])
 
 
+def one(spark, i, name, v, seq=0):
+    return docs(spark, [(i, name, "x", v)]).withColumn("seq", F.lit(seq).cast("long"))
+
+
+class Busy(Index):
+    """Another writer comes in between the writing and the commit."""
+
+    meanwhile = staticmethod(lambda: None)
+
+    def _postings(self, tables):
+        path = super()._postings(tables)
+        self.meanwhile()
+        return path
+
+
+def test_rebuild_and_compact_end_under_live_writes(spark, index):
+    busy = Busy(spark, index.path, CONFIG)
+
+    def meanwhile():
+        index.apply("people", one(spark, 7, "Late", 1))
+        index.apply("people", deleted=spark.createDataFrame([("people:2",)], "document_id string"))
+
+    busy.meanwhile = meanwhile
+    busy.rebuild({"people": docs(spark, [(1, "Stella", "Bern", 10), (2, "Stone", "Bonn", 10)])})
+    assert names(index) == {"people:1": "Stella", "people:7": "Late"} and index.segments() == {"people": 2}
+    assert {r.document_id for r in index.search("late").collect()} == {"people:7"}
+    busy.meanwhile = lambda: index.apply("people", one(spark, 1, "Newer", 99))
+    busy.compact()
+    assert names(index) == {"people:1": "Newer", "people:7": "Late"} and index.segments() == {"people": 1}
+    busy.meanwhile = lambda: index.apply("places", build_documents(spark.createDataFrame([(4, "Hill")], "id int, name string"), PLACES).withColumn("seq", F.lit(0).cast("long")))
+    busy.compact()
+    assert names(index) == {"people:1": "Newer", "people:7": "Late", "places:4": "Hill"}
+
+
+def test_replacements_of_a_table_conflict_and_leave_no_files(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "index"), CONFIG, retain=0.0)
+    index.rebuild({"people": docs(spark, [(1, "Ada", "Bern", 10)])})
+    busy = Busy(spark, index.path, CONFIG, retain=0.0)
+    busy.meanwhile = lambda: index.rebuild({"people": docs(spark, [(1, "Eva", "Bern", 10)])})
+    with pytest.raises(Moved):
+        busy.rebuild({"people": docs(spark, [(1, "Ida", "Bern", 10)])})
+    assert names(index) == {"people:1": "Eva"}
+    index.apply("people", one(spark, 2, "Two", 1))
+    turns = []
+
+    def once():
+        if not turns:
+            turns.append(1)
+            index.rebuild({"people": docs(spark, [(1, "Uta", "Bern", 10)])})
+            index.apply("people", one(spark, 3, "Three", 1))
+
+    busy.meanwhile = once
+    busy.compact()  # the second turn succeeds
+    assert names(index) == {"people:1": "Uta", "people:3": "Three"} and index.segments() == {"people": 0}
+    lost = index._write(docs(spark, [(9, "Lost", "x", 1)]), "people")  # a process that died here
+    assert index.vacuum() == [lost] and not os.path.exists(lost)
+    assert names(index) == {"people:1": "Uta", "people:3": "Three"} and index.search("three").count() == 1
+
+
+def test_many_writers_lose_nothing(spark, index):
+    import concurrent.futures
+
+    def write(k):
+        Index(spark, index.path, CONFIG).apply("people", one(spark, 100 + k, f"Writer{k}", 1))
+
+    with concurrent.futures.ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, range(12)))
+    assert {f"people:{100 + k}" for k in range(12)} <= set(names(index)) and index.segments()["people"] == 12
+
+
+def test_a_batch_is_committed_once(spark, index):
+    index.apply("people", one(spark, 5, "Five", 1), once=("stream", 3))
+    before = index.manifest()
+    index.apply("people", one(spark, 5, "Five", 1), once=("stream", 3))
+    index.apply("people", one(spark, 6, "Six", 1), once=("stream", 2))
+    assert index.manifest() == before and "people:6" not in names(index)
+    index.apply("people", one(spark, 6, "Six", 1), once=("stream", 4))
+    index.compact()
+    assert index.manifest()["batches"] == {"stream": 4} and "people:6" in names(index)
+
+
+def test_a_lease_fences_its_former_holder(spark, index):
+    at = lambda minute: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
+    first = index.acquire("*", "first", at(0))
+    with pytest.raises(Rival):
+        index.acquire("*", "second", at(29))
+    index.renew(first, at(20))
+    with pytest.raises(Rival):
+        index.acquire("*", "second", at(49))
+    draft = index.draft()
+    draft.add("people", docs(spark, [(1, "First", "x", 1)]))
+    other = Index(spark, index.path, CONFIG)
+    second = other.acquire("*", "second", at(51))
+    assert second.token == first.token + 1
+    with pytest.raises(TakenOver):
+        draft.finish(lease=first)
+    draft.discard()
+    other.rebuild({"people": docs(spark, [(1, "Second", "x", 1)])}, lease=second)
+    index.apply("people", one(spark, 8, "Stream", 1))  # writers of segments hold no lease
+    assert names(index) == {"people:1": "Second", "people:8": "Stream"}
+    other.release(second, at(52))
+    assert index.acquire("*", "third", at(52)).token == second.token + 1
+    with pytest.raises(TakenOver):
+        other.compact(lease=second)
+
+
 def test_schema_of_a_stored_index(spark, index):
     assert index.schema_differences() == {}
     index.rebuild({"people": docs(spark, [(1, "Ada", "Bern", 10)]).drop("subtitle").withColumn("version", F.lit("x"))})
