@@ -291,7 +291,7 @@ def _documents(keep_groups: bool):
             whole = ";".join(map(texts.__getitem__, mine.tolist()))
             shas.append(hashlib.sha256(whole.encode()).hexdigest())
             groups.append(whole if keep_groups else None)
-            n_docs[np.unique(of_unit.of(np.unique(of_word.of(np.unique(mine)))))] += 1
+            n_docs[np.unique(of_unit.of(of_word.of(np.unique(mine))))] += 1
         held = n_docs > 0
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         return pa.table({
