@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import maintain as M
 from ..operators.documents import build_documents
-from ..plans.config import EngineConfig, FieldConfig, TableConfig
+from ..plans.config import EngineConfig, FieldConfig, Role, TableConfig
 from ..sources.index import Index
 from .registry import NOW, load, query, scratch_folder
 
@@ -305,18 +305,100 @@ def rebuild_runs(spark, sf_dir):
     rebuild(index, sources, ledger, _at, lambda: none)
 
     def stopping():
-        mine = ledger.runs().where("status = 'RUNNING' and heartbeat is null").orderBy(F.desc("start_time")).first()
+        mine = ledger.runs().where("status = 'RUNNING'").orderBy(F.desc("start_time")).first()
         ledger.cancel(mine.run_id, _at())
         return load(spark, sf_dir, "nation")
 
     for broken in ({**sources, "nation": Source(NATIONS, stopping)}, {"nation": Source(NATIONS, lambda: load(spark, sf_dir, "no_such_table"))}):
         try:
-            rebuild(index, broken, ledger, _at, lambda: none)
+            rebuild(index, broken, ledger, _at, lambda: none, every=3600)
         except (Cancelled, AnalysisException):
             pass
     return ledger.runs().select("status", "processed", "indexed", "errors")
 
 
+_SUPPLIER_ID = "'supplier:' || CAST(s_suppkey AS VARCHAR)"
+#: Suppliers after a batch that renames every third one and deletes every fifth.
+_CHANGED_SQL = f"SELECT {_SUPPLIER_ID} AS document_id, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' || s_name ELSE s_name END AS record_label FROM supplier WHERE s_suppkey % 5 <> 0"
+
+
+def _under_changes(spark, sf_dir):
+    """An index of suppliers, and one in whose replacements a batch comes in between the writing and the commit."""
+    titled = TableConfig("supplier", "s_suppkey", (FieldConfig("s_name", role=Role.TITLE),))
+    index, _ = _process(spark, titled)
+    rows = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    built = build_documents(rows, titled)
+    index.rebuild({"supplier": built})
+
+    class Busy(Index):
+        def _postings(self, tables):
+            path = super()._postings(tables)
+            renamed = build_documents(rows.where("s_suppkey % 3 = 0").withColumn("s_name", F.concat(F.lit("new "), "s_name")), titled)
+            index.apply("supplier", renamed.withColumn("seq", F.lit(0).cast("long")), built.where("cast(record_id as long) % 5 = 0"))
+            return path
+
+    return index, Busy(spark, index.path, index.config), built
+
+
+@query("rebuild_under_changes", f"SELECT document_id, record_label, CAST(1 AS BIGINT) AS segments FROM ({_CHANGED_SQL}) x")
+def rebuild_under_changes(spark, sf_dir):
+    """A rebuild of all suppliers that ends while a batch is applied, which isn't lost."""
+    index, busy, built = _under_changes(spark, sf_dir)
+    busy.rebuild({"supplier": built})
+    return index.documents().select("document_id", "record_label", F.lit(index.segments()["supplier"]).cast("long").alias("segments"))
+
+
+@query("compact_under_changes", f"SELECT document_id, record_label, CAST(1 AS BIGINT) AS segments FROM (SELECT {_SUPPLIER_ID} AS document_id, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' || s_name WHEN s_suppkey % 2 = 0 THEN 'old ' || s_name ELSE s_name END AS record_label FROM supplier WHERE s_suppkey % 5 <> 0) x")
+def compact_under_changes(spark, sf_dir):
+    """A compaction of a segment that ends while another is added."""
+    index, busy, built = _under_changes(spark, sf_dir)
+    index.apply("supplier", built.where("cast(record_id as long) % 2 = 0").withColumns({"record_label": F.concat(F.lit("old "), "record_label"), "seq": F.lit(0).cast("long")}))
+    busy.compact()
+    return index.documents().select("document_id", "record_label", F.lit(index.segments()["supplier"]).cast("long").alias("segments"))
+
+
+@query("rebuild_takeover", "SELECT 'second' AS owner, CAST(2 AS BIGINT) AS token, CAST(count(*) AS BIGINT) AS documents, 'taken over' AS first FROM customer")
+def rebuild_takeover(spark, sf_dir):
+    """A rebuild of all customers that was taken for dead and can't swap in what it has written, as another has taken its place."""
+    from ..sources.index import TakenOver
+
+    table = TableConfig("customer", "c_custkey", (FieldConfig("c_name"),))
+    index, _ = _process(spark, table)
+    built = build_documents(load(spark, sf_dir, "customer"), table)
+    first, draft, told = index.acquire("*", "first", _at(-60)), index.draft(), "swapped"
+    draft.add("customer", built.where("cast(record_id as long) % 2 = 0"))
+    second = index.acquire("*", "second", _at())
+    index.rebuild({"customer": built}, lease=second)
+    try:
+        draft.finish(lease=first)
+    except TakenOver:
+        draft.discard()
+        told = "taken over"
+    return index.documents().agg(F.lit(second.owner).alias("owner"), F.lit(second.token).cast("long").alias("token"), F.count("*").alias("documents"), F.lit(told).alias("first"))
+
+
+_BAD = "CASE WHEN event_id % 97 = 3 THEN 'ts is no timestamp' WHEN event_id % 89 = 5 THEN 'larger than 4096 bytes' END"
+
+
+@query(
+    "failed_documents",
+    f"WITH e AS (SELECT {_BAD} AS cause, CAST(event_id AS VARCHAR) AS id FROM events) SELECT cause, CAST(count(*) AS BIGINT) AS n, min(id) AS first_id FROM e WHERE cause IS NOT NULL GROUP BY cause UNION ALL SELECT 'indexed', CAST(count(*) AS BIGINT), min(id) FROM e WHERE cause IS NULL UNION ALL SELECT 'counted', CAST(count(*) AS BIGINT), NULL FROM e WHERE cause IS NOT NULL",
+)
+def failed_documents(spark, sf_dir):
+    """A pull of all events, of which some have no readable time and some are too large: the others are indexed, these are kept with their causes."""
+    from ..operators.processes import Source, pull_all
+
+    table = TableConfig("events", "event_id", (FieldConfig("event_type"),), timestamp="ts")
+    index, ledger = _process(spark, table)
+    key = F.col("event_id")
+    rows = load(spark, sf_dir, "events").select("event_id", F.when(key % 97 == 3, "soon").otherwise(F.col("ts").cast("string")).alias("ts"), F.when(key % 89 == 5, F.expr("repeat(event_type, 2000)")).otherwise(F.col("event_type")).alias("event_type"))
+    due = spark.createDataFrame([("events", None, None)], "table_name string, timestamp_field string, last_pull timestamp")
+    told = pull_all(index, due, {"events": Source(table, lambda: rows)}, ledger, _at(), max_bytes=4096)
+    kept = ledger.rejected().groupBy("cause").agg(F.count("*").alias("n"), F.min("record_id").alias("first_id"))
+    indexed = index.documents().agg(F.lit("indexed").alias("cause"), F.count("*").alias("n"), F.min("record_id").alias("first_id"))
+    return kept.union(indexed).union(told.select(F.lit("counted"), "errors", F.lit(None).cast("string")))
+
+
 @query(
     "delete_drain",
     f"SELECT 'documents' AS what, CAST(count(*) AS BIGINT) AS n FROM customer UNION ALL SELECT 'events', CAST(count(*) AS BIGINT) FROM ({EVENTS_SQL}) e WHERE status <> 'AWAITING_REINDEX' OR event_id > 5000",

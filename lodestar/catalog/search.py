@@ -204,7 +204,7 @@ def suggest_groups(spark, sf_dir):
 @query("provider_search", ranked_sql("nation_1", NAMES, TEXT + CUSTOMER_CLAUSES + SUPPLIER_CLAUSES, ["customer", "supplier"]) + f", x AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY score DESC, rid) AS r0 FROM hits), y AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY score DESC, rid) AS rk FROM x WHERE r0 <= 24 AND (st <> 'customer' OR {_LOCK})) SELECT st AS source_table, rid AS record_id, score, CAST(rk AS INTEGER) AS rank FROM y WHERE rk <= 6")
 def provider_search(spark, sf_dir):
     """A host's record search: four times the limit is fetched per table before locks apply."""
-    provider = search.Provider(documents_of(spark, sf_dir, *ALL), EngineConfig(tables=tuple(ALL)), clock=lambda: 0.0)
+    provider = search.Provider(documents_of(spark, sf_dir, *ALL), EngineConfig(tables=tuple(ALL)), clock=lambda: 0.0, limit_seconds=None)
     return provider.search("nation_1", ["customer", "supplier", "orders"], 6, locks(spark, sf_dir)).select("source_table", "record_id", "score", "rank")
 
 

@@ -84,8 +84,8 @@ def _label(table: TableConfig, labels, config: EngineConfig) -> Column:
     return F.format_string(table.label_format, *parts)
 
 
-def build_documents(rows: DataFrame, table: TableConfig, labels: Mapping[str, Label] | None = None, config: EngineConfig = EngineConfig(), now: Column | None = None) -> DataFrame:
-    """The documents of a table's rows. ``now`` is the time of indexing (the query's time if left out)."""
+def build_documents(rows: DataFrame, table: TableConfig, labels: Mapping[str, Label] | None = None, config: EngineConfig = EngineConfig(), now: Column | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The documents of a table's rows. ``now`` is the time of indexing (the query's time if left out). Columns ``carried`` are kept as they are."""
     rows = with_labels(rows, labels)
     fields = table.indexed_fields
     by = {a: [f for f in fields if f.resolved_analyzer is a] for a in Analyzer}
@@ -111,9 +111,32 @@ def build_documents(rows: DataFrame, table: TableConfig, labels: Mapping[str, La
         F.when(subtitle != "", subtitle).alias("subtitle"),
         _null_if_empty(display).alias("display_values"),
         version.alias("version"),
+        *carried,
     )
 
 
+#: Bytes of the largest document that a batch takes, and of what stands before one in a bulk request.
+BULK_BYTES, BULK_HEADER = 5 << 20, 128
+
+
+def checked_documents(rows: DataFrame, table: TableConfig, labels: Mapping[str, Label] | None = None, config: EngineConfig = EngineConfig(), now: Column | None = None, max_bytes: int = BULK_BYTES) -> DataFrame:
+    """Documents with a column ``cause``: why one can't be indexed, null if it can. All from one pass, and no row makes the others fail.
+
+    A timestamp that can't be read gives a document without a version, and that is its cause; so is a size beyond ``max_bytes``.
+    """
+    unread = F.lit(False)
+    if table.timestamp:
+        read = F.col(table.timestamp).try_cast("timestamp")
+        unread = F.col(table.timestamp).isNotNull() & read.isNull()
+        rows = rows.withColumns({"__unread": unread, table.timestamp: read})
+    else:
+        rows = rows.withColumn("__unread", unread)
+    built = build_documents(rows, table, labels, config, now, ("__unread",))
+    size = F.octet_length(F.to_json(F.struct(*[c for c in built.columns if c != "__unread"]))) + BULK_HEADER
+    cause = F.when(F.col("__unread"), F.lit(f"{table.timestamp} is no timestamp")).when(size > max_bytes, F.lit(f"larger than {max_bytes} bytes"))
+    return built.withColumn("cause", cause).drop("__unread")
+
+
 def union_documents(parts: list[DataFrame]) -> DataFrame:
     """All rows; a column that an older layout lacks is null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -146,4 +169,4 @@ def without_protected(documents: DataFrame, table: TableConfig) -> DataFrame:
 
 def estimated_bytes(documents: DataFrame) -> DataFrame:
     """Bytes that a document takes in a bulk request: its JSON and a header."""
-    return documents.select("document_id", (F.octet_length(F.to_json(F.struct("*"))) + 128).cast("long").alias("bytes"))
+    return documents.select("document_id", (F.octet_length(F.to_json(F.struct("*"))) + BULK_HEADER).cast("long").alias("bytes"))

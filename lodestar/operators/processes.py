@@ -2,26 +2,31 @@
 
 Each is a row of Spark jobs, one or a few for each configured table; the loops on the driver are over tables, never over
 records. Runs are kept in a ledger, an append-only table of what happened to them, from which their state is
-folded: a heartbeat, a cancellation or an outcome is one more row, and rows of several drivers don't collide.
+folded: a cancellation or an outcome is one more row, and rows of several drivers don't collide. While a job of a run
+writes, a watch gives signs of life (a file for each run, replaced each time) and looks for a cancellation, which stops the job.
+Documents that can't be indexed go to a table of their own, with causes; the others of their batch are indexed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.config import TableConfig
-from ..sources.index import Index
-from .documents import Label, build_documents
+from ..sources.index import Index, Rival
+from .documents import BULK_BYTES, Label, checked_documents
 from .maintain import bulk_outcomes, captured_delete_split, changed_since, live_runs
+from .watch import Interrupted, Watch
 
 EVENT = "run_id string, table_name string, run_type string, what string, at timestamp, processed long, indexed long, skipped long, errors long, first_error string"
 OUTCOMES = ("COMPLETED", "FAILED", "CANCELLED")
+REJECTED = "run_id string, table_name string, record_id string, cause string, at timestamp"
 
 
 class Cancelled(RuntimeError):
@@ -32,10 +37,6 @@ class Cancelled(RuntimeError):
         self.counts = counts
 
 
-class Rival(RuntimeError):
-    """Another rebuild of the table is alive."""
-
-
 @dataclass
 class Counts:
     processed: int = 0
@@ -45,8 +46,11 @@ class Counts:
     first_error: str | None = None
 
     def failed(self, error: Exception, n: int = 1) -> None:
+        self.refused(f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:4000], n)
+
+    def refused(self, cause: str | None, n: int) -> None:
         self.errors += n
-        self.first_error = self.first_error or f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:4000]
+        self.first_error = self.first_error or cause
 
 
 @dataclass
@@ -73,26 +77,61 @@ class Ledger:
         self._add(run, table, kind, "STARTED", at)
         return run
 
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
     def beat(self, run: str, at: datetime) -> None:
-        self._add(run, None, None, "HEARTBEAT", at)
+        """A sign of life in place of the last one: nothing grows with the time that a run takes."""
+        row = json.dumps({"run_id": run, "what": "HEARTBEAT", "at": at.isoformat()})
+        file = self._at(f"{self.path}_beats/{run}.json")
+        out = file.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(file, True)
+        out.write(bytearray(row.encode()))
+        out.close()
 
     def cancel(self, run: str, at: datetime) -> None:
         self._add(run, None, None, "CANCEL", at)
+        mark = self._at(f"{self.path}_cancelled/{run}")
+        mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, True).close()
+
+    def reject(self, run: str, documents: DataFrame, at: datetime) -> None:
+        """Keeps what a run couldn't index: documents with their ``cause``."""
+        rows = documents.select(F.lit(run).alias("run_id"), F.col("source_table").alias("table_name"), "record_id", "cause", F.lit(at).cast("timestamp").alias("at"))
+        rows.write.mode("append").parquet(f"{self.path}_rejected")
+
+    def rejected(self) -> DataFrame:
+        return self._stored(f"{self.path}_rejected", REJECTED)
+
+    def _stored(self, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+        at = self._at(path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).format(kind).load(path)
 
     def end(self, run: str, outcome: str, at: datetime, counts: Counts) -> None:
         self._add(run, None, None, outcome, at, counts)
 
     def events(self) -> DataFrame:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], EVENT)
-        return self.spark.read.schema(EVENT).parquet(self.path)
+        beats = self._stored(f"{self.path}_beats", "run_id string, what string, at timestamp", "json").where("at is not null")
+        return self._stored(self.path, EVENT).unionByName(beats, allowMissingColumns=True)
 
     def runs(self) -> DataFrame:
         return run_states(self.events())
 
     def is_cancelled(self, run: str) -> bool:
-        return not self.events().where((F.col("run_id") == run) & (F.col("what") == "CANCEL")).isEmpty()
+        """From a file of its own, so that a watch can ask often."""
+        mark = self._at(f"{self.path}_cancelled/{run}")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+
+    def compact(self) -> None:
+        """The rows so far in one file in place of one for each, and the signs of life of runs that are over deleted."""
+        rows = self._stored(self.path, EVENT)
+        names = [r[0] for r in rows.select(F.input_file_name()).distinct().collect()]  # a name for each event since the last time
+        if len(names) > 1:
+            rows.coalesce(1).write.mode("append").parquet(self.path)
+        over = [r.run_id for r in rows.where(F.col("what").isin(*OUTCOMES)).select("run_id").distinct().collect()]
+        for path in [*(names if len(names) > 1 else []), *(f"{self.path}_beats/{run}.json" for run in over)]:
+            at = self._at(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, False)
 
 
 def run_states(events: DataFrame) -> DataFrame:
@@ -115,67 +154,99 @@ def run_states(events: DataFrame) -> DataFrame:
 PULLED = "table_name string, status string, processed long, indexed long, skipped long, errors long, first_error string, last_pull timestamp"
 
 
-def pull_all(index: Index, due: DataFrame, sources: dict[str, Source], ledger: Ledger, now: datetime, overlap_seconds: int = 300) -> DataFrame:
-    """Pulls each due table (table_name, timestamp_field, last_pull). A table that fails doesn't stop the others, and only
-    those without errors get ``now`` as their watermark. Returns a row per due table."""
+def pull_all(index: Index, due: DataFrame, sources: dict[str, Source], ledger: Ledger, now: datetime, overlap_seconds: int = 300, max_bytes: int = BULK_BYTES) -> DataFrame:
+    """Pulls each due table (table_name, timestamp_field, last_pull). A table that fails doesn't stop the others, nor does a
+    document its batch; only tables without errors get ``now`` as their watermark. Returns a row per due table."""
     spark, out = index.spark, []
     for row in due.select("table_name", "timestamp_field", "last_pull").orderBy("table_name").collect():  # a row per table
-        run, counts = ledger.start(row.table_name, "PULL", now), Counts()
+        run, counts, broken = ledger.start(row.table_name, "PULL", now), Counts(), False
         try:
             source = sources[row.table_name]
             rows = changed_since(source.rows(), row.timestamp_field, row.last_pull, overlap_seconds)
             # Whether a write is older than what is stored is seen from the version, so the order within a pull doesn't matter.
-            writes = build_documents(rows, source.config, source.labels).withColumn("seq", F.lit(0).cast("long")).persist()
+            checked = checked_documents(rows, source.config, source.labels, max_bytes=max_bytes).withColumn("seq", F.lit(0).cast("long")).persist()
             try:
-                counts.processed = writes.count()
-                if counts.processed:
+                bad = F.col("cause").isNotNull()
+                told = checked.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.min_by(F.when(bad, F.concat_ws(": ", "document_id", "cause")), F.when(bad, F.col("document_id"))).alias("first")).first()
+                counts.processed = told.n
+                if told.bad:
+                    ledger.reject(run, checked.where(bad), now)
+                    counts.refused(told.first, told.bad)
+                if told.n > told.bad:
+                    writes = checked.where(~bad).drop("cause")
                     stored = index.documents()
-                    told = bulk_outcomes(stored.where(F.col("source_table") == row.table_name), writes) if stored is not None else writes.groupBy(F.lit("indexed").alias("outcome")).agg(F.count("*").alias("n"))
-                    found = {r.outcome: r.n for r in told.collect()}
+                    found = bulk_outcomes(stored.where(F.col("source_table") == row.table_name), writes) if stored is not None else writes.groupBy(F.lit("indexed").alias("outcome")).agg(F.count("*").alias("n"))
+                    outcomes = {r.outcome: r.n for r in found.collect()}
                     index.apply(row.table_name, writes)
-                    counts.indexed, counts.skipped = found.get("indexed", 0), found.get("skipped", 0)
+                    counts.indexed, counts.skipped = outcomes.get("indexed", 0), outcomes.get("skipped", 0)
             finally:
-                writes.unpersist()
+                checked.unpersist()
         except Exception as error:  # recorded with its cause
             counts.failed(error)
-        status = "FAILED" if counts.errors else "COMPLETED"
+            broken = True
+        status = "FAILED" if broken else "COMPLETED"
         ledger.end(run, status, now, counts)
         out.append((row.table_name, status, counts.processed, counts.indexed, counts.skipped, counts.errors, counts.first_error, row.last_pull if counts.errors else now))
     return spark.createDataFrame(out, PULLED)
 
 
-def rebuild(index: Index, sources: dict[str, Source], ledger: Ledger, now: Callable[[], datetime], events: Callable[[], DataFrame], stale_minutes: int = 30) -> tuple[DataFrame, DataFrame]:
+#: Seconds between looks at a running job: a sign of life each time, and whether it is to stop.
+LOOK_SECONDS = 2.0
+
+
+def rebuild(index: Index, sources: dict[str, Source], ledger: Ledger, now: Callable[[], datetime], events: Callable[[], DataFrame], stale_minutes: int = 30, max_bytes: int = BULK_BYTES, every: float = LOOK_SECONDS) -> tuple[DataFrame, DataFrame]:
     """Builds all tables anew beside the live index and swaps them in; then drains the deletes captured meanwhile.
 
-    A table with another live rebuild stops it before it begins (``Rival``); a dead rival doesn't. Between tables a heartbeat is
-    written and a cancellation looked for (``Cancelled``; the live index stays). ``events`` are the failed-event rows, read
-    after the swap. Returns the run's row and the events that are left.
+    It holds the index's lease for replacing tables; another live rebuild stops it before it begins (``Rival``), a dead one is taken
+    over and can't swap any more. While a table is written, signs of life are given and a cancellation stops the job
+    (``Cancelled``; the live index stays, and what was written is deleted). Each source is read once. A table that fails stops the
+    whole, as half an index can't be swapped in; a document that can't be indexed doesn't. ``events`` are the
+    failed-event rows, read after the swap. Returns the run's row and the events that are left.
     """
     begun = now()
     rivals = live_runs(ledger.runs(), F.lit(begun), stale_minutes).where(F.col("alive") & F.col("table_name").isin(*sources, "*"))
     if not rivals.isEmpty():
         raise Rival(f"a rebuild of {rivals.first().table_name} is running")
-    run, counts, built = ledger.start("*", "FULL", begun), Counts(), {}
+    lease = index.acquire("*", uuid.uuid4().hex, begun, stale_minutes * 60)
+    run, counts, draft = ledger.start("*", "FULL", begun), Counts(), index.draft()
+
+    def look() -> str | None:
+        ledger.beat(run, now())
+        index.renew(lease, now())
+        return "cancelled" if ledger.is_cancelled(run) else None
+
     try:
         for name, source in sorted(sources.items()):
-            if ledger.is_cancelled(run):
+            if look():
                 raise Cancelled(counts)
-            built[name] = build_documents(source.rows(), source.config, source.labels, now=F.lit(begun))
-            counts.processed += source.rows().count()
-            ledger.beat(run, now())
-        if ledger.is_cancelled(run):
+            seen = Observation()
+            bad = F.col("cause").isNotNull()
+            rows = F.count("*").alias("rows"), F.count_if(bad).alias("bad"), F.min(F.when(bad, F.concat_ws(": ", "document_id", "cause"))).alias("first")
+            with Watch(index.spark, look, every):
+                checked = checked_documents(source.rows(), source.config, source.labels, now=F.lit(begun), max_bytes=max_bytes).observe(seen, *rows)
+                draft.add(name, checked.where(~F.coalesce(bad, F.lit(False))).drop("cause"))
+            told = seen.get
+            counts.processed += told["rows"]
+            if told["bad"]:  # few, and read once more only then
+                ledger.reject(run, checked_documents(source.rows(), source.config, source.labels, now=F.lit(begun), max_bytes=max_bytes).where(bad), begun)
+                counts.refused(told["first"], told["bad"])
+        if look():
             raise Cancelled(counts)
-        index.rebuild(built, created_at=begun.isoformat())
-        counts.indexed = index.documents().count()
-        counts.skipped = counts.processed - counts.indexed  # rows without a key
+        with Watch(index.spark, look, every):
+            draft.finish(begun.isoformat(), lease)
+        counts.indexed = counts.processed - counts.errors
         left = drain_deletes(index, events(), {n: s.rows().select(F.col(s.config.key).cast("string").alias("record_id")) for n, s in sources.items()})
-    except Cancelled as stop:
-        ledger.end(run, "CANCELLED", now(), stop.counts)
-        raise
+    except (Cancelled, Interrupted) as stop:
+        draft.discard()
+        ledger.end(run, "CANCELLED", now(), counts)
+        raise stop if isinstance(stop, Cancelled) else Cancelled(counts) from stop
     except Exception as error:
+        draft.discard()
         counts.failed(error)
         ledger.end(run, "FAILED", now(), counts)
         raise
+    finally:
+        index.release(lease, now())
     ledger.end(run, "COMPLETED", now(), counts)
     return ledger.runs().where(F.col("run_id") == run), left
 

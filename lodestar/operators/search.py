@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.config import EngineConfig, TableConfig
 from .query import Plan, normalize_term, order, plan, score
+from .watch import Watch
 
 SUGGEST_GROUPS, MAX_SUGGEST_GROUPS = 8, 20
 SUGGEST_ITEMS, MAX_SUGGEST_ITEMS = 5, 10
@@ -176,23 +177,35 @@ def suggest(hits: DataFrame, items: int | None = None, groups: int | None = None
     return placed.where(F.col("position") <= groups).select("source_table", "position", "has_more", (F.col("n") > groups).alias("truncated"), "items")
 
 
+#: Seconds that a host's record search may take.
+RECORD_SEARCH_SECONDS = 2.5
+
+
 class Provider:
-    """Record search for a host: it claims tables, and steps back for a while after a failure."""
+    """Record search for a host: it claims tables, and steps back for a while after a failure.
+
+    ``source`` is a stored index, which answers from its postings, or a DataFrame of documents. A search that takes longer than
+    ``limit_seconds`` (None: as long as it takes) is interrupted, which is a failure.
+    """
 
-    def __init__(self, documents: DataFrame, config: EngineConfig, clock, backoff_seconds: float = 30.0):
-        self.documents, self.config, self.clock, self.backoff, self.until = documents, config, clock, backoff_seconds, float("-inf")
+    def __init__(self, source, config: EngineConfig, clock, backoff_seconds: float = 30.0, limit_seconds: float | None = RECORD_SEARCH_SECONDS):
+        self.source, self.config, self.clock, self.backoff, self.until = source, config, clock, backoff_seconds, float("-inf")
+        self.limit_seconds = limit_seconds
 
     def claims(self, table: str) -> bool:
         found = self.config.table(table)
         return found is not None and found.enabled and found.searchable and self.clock() >= self.until
 
     def search(self, term: str, tables: list[str], limit: int, locks: Mapping[str, DataFrame] | None = None) -> DataFrame:
-        """The best readable hits of each claimed table. A failure is raised, and no table is claimed for a while."""
+        """The best readable hits of each claimed table: at most ``limit`` rows for each, computed once. A failure is raised, and no table is claimed for a while."""
         claimed = [t for t in map(self.config.table, tables) if t is not None and self.claims(t.name)]
         try:
             asked = min(self.config.max_search_limit, PROVIDER_FACTOR * limit)
-            hits = ranked_per_table(score(self.documents, plan(term, claimed), claimed), asked)
-            return ranked_per_table(accessible(hits.drop("rank"), locks or {}), limit)
+            hits = ranked_per_table(search_hits(self.source, plan(term, claimed), claimed), asked)
+            found = ranked_per_table(accessible(hits.drop("rank"), locks or {}), limit)
+            with Watch(found.sparkSession, limit=self.limit_seconds):
+                rows = found.collect()  # bounded by limit and tables
+            return found.sparkSession.createDataFrame(rows, found.schema)
         except Exception:
             self.until = self.clock() + self.backoff
             raise

@@ -2,6 +2,8 @@
 
 import datetime
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import admin, maintain, processes
 from lodestar.operators import query as Q
 from lodestar.operators.documents import build_documents
+from lodestar.operators.watch import Interrupted, Watch
 from lodestar.plans.config import DocumentsChoice, EngineConfig, FieldConfig, TableConfig
 from lodestar.sources.index import Index, Moved, Rival, TakenOver
 from lodestar.streaming.changes import ChangeHandler, IndexPublisher, Source, follow, last_changes
@@ -422,3 +425,73 @@ def test_index_rows_come_from_priming_where_it_is_configured(spark):
     code = spark.createDataFrame([("a", True, 5, None), ("b", None, None, None), ("b", None, None, None)], "table_name string, enabled boolean, interval_minutes int, timestamp_field string")
     assert sorted((r.table_name, r.other, r.status) for r in admin.ensure_index_rows(rows, code).collect()) == [("a", 1, None), ("b", None, "ACTIVE")]
     assert admin.ensure_index_rows(rows, code, configured=True).count() == 1
+
+
+def slow(spark, seconds=60):
+    """Rows that take their time, on half of the cores."""
+    return people(spark, [(i, f"N{i}", "x", 1) for i in range(8)]).coalesce(2).where(F.udf(lambda _: time.sleep(seconds) or True, "boolean")("id"))
+
+
+def test_a_running_rebuild_gives_signs_of_life_and_is_stopped(spark, index, tmp_path):
+    ledger, clock = processes.Ledger(spark, str(tmp_path / "runs")), [datetime.datetime(2024, 2, 1)]
+
+    def now():
+        clock[0] += datetime.timedelta(seconds=1)
+        return clock[0]
+
+    none = spark.createDataFrame([], "event_id long, table_name string, record_id string, status string")
+    seen, other = [], spark.sparkContext.statusTracker()
+
+    def cancel():
+        while len(seen) < 2:  # while the table is written
+            time.sleep(0.5)
+            run = ledger.runs().first()
+            if run and other.getActiveStageIds() and run.heartbeat not in seen:
+                seen.append(run.heartbeat)
+        ledger.cancel(ledger.runs().first().run_id, now())
+
+    before, files = index.manifest(), sum(map(len, (f for _, _, f in os.walk(index.path + "/tables"))))
+    thread = threading.Thread(target=cancel, daemon=True)
+    thread.start()
+    began = time.monotonic()
+    with pytest.raises(processes.Cancelled):
+        processes.rebuild(index, {"people": Source(PEOPLE, lambda: slow(spark))}, ledger, now, lambda: none, every=0.2)
+    thread.join()
+    assert time.monotonic() - began < 45 and len(set(seen)) == 2
+    after = index.manifest()
+    assert after["tables"] == before["tables"] and sum(map(len, (f for _, _, f in os.walk(index.path + "/tables")))) == files
+    assert [r.status for r in ledger.runs().collect()] == ["CANCELLED"]
+    assert processes.rebuild(index, {"people": Source(PEOPLE, lambda: people(spark, [(1, "Ada", "x", 1)]))}, ledger, now, lambda: none)[0].first().status == "COMPLETED"
+    n = ledger.runs().count()
+    ledger.compact()
+    assert ledger.runs().count() == n and sum(f.endswith(".parquet") for f in os.listdir(ledger.path)) == 1 and not os.listdir(ledger.path + "_beats")
+
+
+def test_a_watch_stops_its_own_jobs_only(spark):
+    with Watch(spark, limit=60):
+        assert spark.range(10).count() == 10
+    results = []
+    thread = threading.Thread(target=lambda: results.append(slow(spark, 0.5).count()))
+    thread.start()
+    with pytest.raises(Interrupted) as stopped:
+        with Watch(spark, limit=0.5):
+            slow(spark).count()
+    thread.join()
+    assert results == [8] and "0.5 seconds" in stopped.value.reason
+    with pytest.raises(ValueError):  # errors of the block are its own
+        with Watch(spark):
+            raise ValueError
+
+
+def test_documents_that_fail_are_kept_with_their_causes(spark, index, tmp_path):
+    ledger, now = processes.Ledger(spark, str(tmp_path / "runs")), datetime.datetime(2024, 2, 1)
+    rows = spark.createDataFrame([(1, "Good", "x", "2024-01-05"), (2, "Bad time", "x", "soon"), (3, "Big " * 999, "x", None), (None, "No key", "x", None), (4, "Fine", None, None)], "id int, name string, city string, changed string")
+    due = spark.createDataFrame([("people", None, None)], "table_name string, timestamp_field string, last_pull timestamp")
+    row = processes.pull_all(index, due, {"people": Source(PEOPLE, lambda: rows)}, ledger, now, max_bytes=2000).first()
+    assert (row.status, row.processed, row.indexed, row.errors, row.first_error, row.last_pull) == ("COMPLETED", 4, 2, 2, "people:2: changed is no timestamp", None)
+    assert {(r.record_id, r.cause) for r in ledger.rejected().collect()} == {("2", "changed is no timestamp"), ("3", "larger than 2000 bytes")}
+    assert {"people:1", "people:4"} <= set(names(index)) and names(index)["people:1"] == "Good"
+    none = spark.createDataFrame([], "event_id long, table_name string, record_id string, status string")
+    run, _ = processes.rebuild(index, {"people": Source(PEOPLE, lambda: rows)}, ledger, lambda: now, lambda: none, max_bytes=2000)
+    assert run.select("status", "processed", "indexed", "errors").first() == ("COMPLETED", 4, 2, 2)
+    assert set(names(index)) == {"people:1", "people:4"} and ledger.rejected().count() == 4

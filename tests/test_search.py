@@ -1,5 +1,7 @@
 """Search pages, locks, budgets, suggestions, the provider."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from lodestar.operators import diagnose, search
 from lodestar.operators import query as Q
 from lodestar.operators.documents import build_documents, union_documents
 from lodestar.operators.postings import build_postings, path_statistics, score_postings
+from lodestar.operators.watch import Interrupted
 from lodestar.plans.config import Analyzer, EngineConfig, FieldConfig, Role, TableConfig
 
 PRODUCT = TableConfig("product", "id", (FieldConfig("name", weight=3, role=Role.TITLE), FieldConfig("description"), FieldConfig("sku", role=Role.EXACT, weight=2), FieldConfig("notes", analyzer=Analyzer.ENGLISH, in_snippet=False)))
@@ -131,9 +134,14 @@ def test_suggestions(docs):
 
 def test_provider_steps_back_after_a_failure(docs):
     now = [0.0]
-    provider = search.Provider(docs, CONFIG, clock=lambda: now[0])
+    provider = search.Provider(docs, CONFIG, clock=lambda: now[0], limit_seconds=None)
     assert provider.claims("product") and not provider.claims("nope")
     assert {r.record_id for r in provider.search("blue", ["product"], 5).collect()} == {"1", "2"}
+    slow = search.Provider(docs.where(F.udf(lambda _: time.sleep(60) or True, "boolean")("record_id")), CONFIG, clock=lambda: now[0], limit_seconds=1.0)
+    began = time.monotonic()
+    with pytest.raises(Interrupted):
+        slow.search("stone", ["product"], 5)
+    assert time.monotonic() - began < 20 and not slow.claims("product") and provider.claims("product")
     broken = search.Provider(docs.drop("searchable_text"), CONFIG, clock=lambda: now[0])
     with pytest.raises(Exception):
         broken.search("blue", ["product"], 5)
