@@ -61,14 +61,14 @@ def backlog_counts(spark, sf_dir):
     return D.backlog(events(spark, sf_dir))
 
 
-@query("status_rollup", f"SELECT CAST(count(*) AS BIGINT) AS tables, CAST(count(*) FILTER (WHERE status = 'ACTIVE') AS BIGINT) AS active, CAST(count(*) FILTER (WHERE status IN ('PENDING_BUILD', 'BUILDING', 'REBUILDING')) AS BIGINT) AS building, bool_or(status = 'NEEDS_REINDEX' OR coalesce(last_run LIKE '%FAILED', false)) AS degraded, CAST(epoch_ms(max(greatest(last_pull, last_build))) AS BIGINT) AS latest FROM ({INDEX_ROWS}) r")
+@query("status_rollup", f"SELECT CAST(count(*) AS BIGINT) AS tables, CAST(count(*) FILTER (WHERE status = 'ACTIVE') AS BIGINT) AS active, CAST(count(*) FILTER (WHERE status IN ('PENDING_BUILD', 'BUILDING', 'REBUILDING')) AS BIGINT) AS building, bool_or(status = 'NEEDS_REINDEX' OR coalesce(last_run LIKE '%FAILED', false)) AS degraded, CAST(epoch_ms(max(greatest(last_pull, last_build))) AS BIGINT) AS latest FROM (SELECT * FROM ({INDEX_ROWS}) i ORDER BY table_name LIMIT 100) r")
 def status_rollup(spark, sf_dir):
-    return D.status_rollup(values(spark, INDEX_ROWS)).withColumn("latest", F.unix_millis("latest"))
+    return D.status_rollup(values(spark, sf_dir, INDEX_ROWS)).withColumn("latest", F.unix_millis("latest"))
 
 
 @query("health_levels", f"SELECT table_name, CASE WHEN NOT enabled THEN 'DISABLED' WHEN status IN ('PENDING_BUILD', 'BUILDING', 'REBUILDING') THEN 'BUILDING' WHEN status = 'NEEDS_REINDEX' THEN 'DEGRADED' ELSE 'HEALTHY' END AS health FROM ({INDEX_ROWS}) r")
 def health_levels(spark, sf_dir):
-    return D.table_health(values(spark, INDEX_ROWS))
+    return D.table_health(values(spark, sf_dir, INDEX_ROWS))
 
 
 @query("backlog_health", f"SELECT false AS paused, pending, exhausted, CASE WHEN pending > 100 OR exhausted > 0 OR truncated THEN 'DEGRADED' ELSE 'HEALTHY' END AS health FROM ({_BACKLOG}) b")
@@ -76,17 +76,20 @@ def backlog_health(spark, sf_dir):
     return D.backlog_health(spark.range(1).select(F.lit(False).alias("paused")), D.backlog(events(spark, sf_dir)))
 
 
-@query("home_text", "SELECT 'Building 2 table(s).' AS text")
+@query("home_text", f"SELECT 'Building ' || count(*) || ' table(s).' AS text FROM ({INDEX_ROWS}) r WHERE status IN ('PENDING_BUILD', 'BUILDING', 'REBUILDING')")
 def home_text(spark, sf_dir):
-    return D.home_text(spark.range(1).select(F.lit(False).alias("paused")), values(spark, INDEX_ROWS))
+    return D.home_text(spark.range(1).select(F.lit(False).alias("paused")), values(spark, sf_dir, INDEX_ROWS))
 
 
-PATHS = "SELECT * FROM (VALUES ('part', true, true, false, true, false, 2), ('customer', true, false, false, true, false, 1), ('supplier', true, true, true, true, false, 0), ('orders', false, false, false, true, false, 3), ('events', true, true, false, false, false, 1), ('documents', true, true, false, true, true, 1)) AS t(table_name, configured, enabled, key_protected, readable, in_backoff, host_fields)"
+PATHS = "SELECT * FROM (VALUES ('part', true, true, false, true, false, 2), ('customer', true, false, false, true, false, 1), ('supplier', true, true, true, true, false, 0), ('orders', false, false, false, true, false, 3), ('events', true, true, false, false, false, 1), ('documents', true, true, false, true, true, 1)) AS t(table_name, configured, enabled, key_protected, readable, in_backoff, host_fields) UNION ALL SELECT 't' || c_custkey, c_custkey % 2 = 0, c_custkey % 3 > 0, c_custkey % 5 = 0, c_custkey % 7 > 0, c_custkey % 11 = 0, CAST(c_custkey % 4 AS INTEGER) FROM customer"
 
 
-@query("path_diagnosis", "SELECT * FROM (VALUES ('part', 'index', 'indexed'), ('customer', 'host', 'disabled'), ('supplier', 'none', 'key is protected'), ('orders', 'host', 'not indexed'), ('events', 'none', 'not readable'), ('documents', 'host', 'search failed a moment ago')) AS t(table_name, searched_by, reason)")
+_WHY_NOT = "CASE WHEN NOT readable THEN 'not readable' WHEN NOT configured THEN 'not indexed' WHEN key_protected THEN 'key is protected' WHEN NOT enabled THEN 'disabled' WHEN in_backoff THEN 'search failed a moment ago' END"
+
+
+@query("path_diagnosis", f"SELECT table_name, CASE WHEN {_WHY_NOT} IS NULL THEN 'index' WHEN readable AND host_fields > 0 THEN 'host' ELSE 'none' END AS searched_by, coalesce({_WHY_NOT}, 'indexed') AS reason FROM ({PATHS}) p")
 def path_diagnosis(spark, sf_dir):
-    return search.path_diagnosis(spark.sql(PATHS))
+    return search.path_diagnosis(values(spark, sf_dir, PATHS))
 
 
 @query("documents_per_table", "SELECT 'part' AS source_table, CAST(count(*) AS BIGINT) AS n FROM part UNION ALL SELECT 'customer', CAST(count(*) AS BIGINT) FROM customer UNION ALL SELECT 'supplier', CAST(count(*) AS BIGINT) FROM supplier")

@@ -13,23 +13,28 @@ from ..plans.config import EngineConfig, FieldConfig, Role, TableConfig
 from ..sources.index import Index
 from .registry import NOW, load, query, scratch_folder
 
-# Literal tables, the same text for both engines.
-INDEX_ROWS = f"""SELECT table_name, enabled, interval_minutes, CAST(last_pull AS TIMESTAMP) AS last_pull, CAST(last_build AS TIMESTAMP) AS last_build, status, document_count, last_run FROM (VALUES
+# A few named tables with the odd cases, and one for each customer; the same text for both engines.
+INDEX_ROWS = f"""SELECT table_name, enabled, interval_minutes, CAST(last_pull AS TIMESTAMP) AS last_pull, CAST(last_build AS TIMESTAMP) AS last_build, status, document_count, last_run FROM (SELECT * FROM (VALUES
  ('part', true, 5, '2024-01-19 23:50:00', '2024-01-02 00:00:00', 'ACTIVE', 2000, 'PULL COMPLETE'),
  ('customer', true, 60, '2024-01-19 23:30:00', '2023-12-01 00:00:00', 'ACTIVE', 1500, 'FULL FAILED'),
  ('supplier', true, NULL, '2024-01-10 00:00:00', NULL, 'NEEDS_REINDEX', 100, NULL),
  ('orders', false, 5, NULL, NULL, 'ACTIVE', 0, NULL),
  ('events', true, 5, NULL, NULL, 'PENDING_BUILD', NULL, 'PULL COMPLETE'),
  ('documents', true, 5, '2024-01-19 23:59:00', '2024-01-05 00:00:00', 'REBUILDING', 0, 'PULL FAILED')
-) AS t(table_name, enabled, interval_minutes, last_pull, last_build, status, document_count, last_run)"""
+) AS v(table_name, enabled, interval_minutes, last_pull, last_build, status, document_count, last_run)
+ UNION ALL SELECT 't' || c_custkey, c_custkey % 7 <> 0, CASE WHEN c_custkey % 9 > 0 THEN CAST(c_custkey % 60 AS INTEGER) END, CASE c_custkey % 4 WHEN 0 THEN '2024-01-19 23:30:00' WHEN 1 THEN '2024-01-19 23:58:00' WHEN 2 THEN '2024-01-10 00:00:00' END,
+ CASE c_custkey % 5 WHEN 0 THEN '2024-01-02 00:00:00' WHEN 1 THEN '2023-11-30 00:00:00' WHEN 2 THEN '2024-01-18 00:00:00' END, CASE c_custkey % 6 WHEN 0 THEN 'REBUILDING' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'NEEDS_REINDEX' WHEN 3 THEN 'PENDING_BUILD' ELSE 'ACTIVE' END,
+ CASE WHEN c_custkey % 8 > 0 THEN CAST(c_custkey % 8 - 1 AS INTEGER) END, CASE c_custkey % 10 WHEN 0 THEN 'PULL FAILED' WHEN 1 THEN NULL ELSE 'PULL COMPLETE' END FROM customer) AS t"""
 
-RUNS = """SELECT run_id, table_name, run_type, status, CAST(start_time AS TIMESTAMP) AS start_time, CAST(heartbeat AS TIMESTAMP) AS heartbeat FROM (VALUES
+RUNS = """SELECT run_id, table_name, run_type, status, CAST(start_time AS TIMESTAMP) AS start_time, CAST(heartbeat AS TIMESTAMP) AS heartbeat FROM (SELECT * FROM (VALUES
  (1, 'documents', 'FULL', 'RUNNING', '2024-01-19 22:00:00', '2024-01-19 22:10:00'),
  (2, 'documents', 'FULL', 'RUNNING', '2024-01-19 21:00:00', NULL),
  (3, 'part', 'FULL', 'RUNNING', '2024-01-19 20:00:00', '2024-01-19 23:45:00'),
  (4, 'part', 'FULL', 'COMPLETE', '2024-01-18 20:00:00', '2024-01-18 23:45:00'),
  (5, 'customer', 'PULL', 'RUNNING', '2024-01-19 23:55:00', NULL)
-) AS t(run_id, table_name, run_type, status, start_time, heartbeat)"""
+) AS v(run_id, table_name, run_type, status, start_time, heartbeat)
+ UNION ALL SELECT CAST(1000 + c_custkey AS INTEGER), 't' || c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'PULL' ELSE 'FULL' END, CASE c_custkey % 4 WHEN 0 THEN 'COMPLETE' ELSE 'RUNNING' END, CASE WHEN c_custkey % 3 = 0 THEN '2024-01-19 23:40:00' ELSE '2024-01-08 22:00:00' END, CASE c_custkey % 7 WHEN 0 THEN '2024-01-19 23:45:00' WHEN 1 THEN '2024-01-19 22:10:00' END FROM customer
+ UNION ALL SELECT CAST(1000000 + c_custkey AS INTEGER), 't' || c_custkey, 'FULL', 'RUNNING', '2024-01-19 21:00:00', CASE WHEN c_custkey % 12 = 0 THEN '2024-01-19 23:50:00' END FROM customer WHERE c_custkey % 6 = 0) AS t"""
 
 #: Failed events made from the event stream: customers by user id, some beyond any customer.
 EVENTS = """SELECT event_id, 'customer' AS table_name, CAST(user_id * 12 AS {s}) AS record_id, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'INDEX' END AS action, CAST(event_id % 12 AS INTEGER) AS attempts,
@@ -37,7 +42,8 @@ EVENTS = """SELECT event_id, 'customer' AS table_name, CAST(user_id * 12 AS {s})
 EVENTS_SQL = EVENTS.format(s="VARCHAR")
 
 
-def values(spark, sql: str):
+def values(spark, sf_dir, sql: str):
+    load(spark, sf_dir, "customer").createOrReplaceTempView("customer")
     return spark.sql(sql)
 
 
@@ -99,7 +105,7 @@ def pull_filter(spark, sf_dir):
 
 @query("pull_due", f"SELECT table_name FROM ({INDEX_ROWS}) r WHERE enabled AND (last_pull IS NULL OR interval_minutes IS NULL OR last_pull + interval_minutes * INTERVAL 1 MINUTE < TIMESTAMP '{NOW}')")
 def pull_due(spark, sf_dir):
-    return M.pull_due(values(spark, INDEX_ROWS), now()).select("table_name")
+    return M.pull_due(values(spark, sf_dir, INDEX_ROWS), now()).select("table_name")
 
 
 @query("keyset_page", "SELECT p_partkey, p_name FROM part WHERE p_partkey > 100 ORDER BY p_partkey LIMIT 50")
@@ -143,7 +149,7 @@ def reconcile_stale(spark, sf_dir):
 
 @query("orphan_tables", f"WITH {_LABEL_DOCS} SELECT source_table, CAST(count(*) AS BIGINT) AS n FROM d WHERE source_table NOT IN (SELECT table_name FROM ({INDEX_ROWS}) r) GROUP BY source_table")
 def orphan_tables(spark, sf_dir):
-    return M.orphan_tables(label_documents(spark, sf_dir), values(spark, INDEX_ROWS)).groupBy("source_table").agg(F.count("*").alias("n"))
+    return M.orphan_tables(label_documents(spark, sf_dir), values(spark, sf_dir, INDEX_ROWS)).groupBy("source_table").agg(F.count("*").alias("n"))
 
 
 def document_ids(spark, sf_dir):
@@ -215,27 +221,31 @@ _SEEN = "greatest(start_time, coalesce(heartbeat, start_time))"
 
 @query("dead_run_liveness", f"SELECT table_name, bool_or({_SEEN} >= TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE) AS alive, CAST(count(*) AS BIGINT) AS n FROM ({RUNS}) r WHERE status = 'RUNNING' AND run_type = 'FULL' GROUP BY table_name")
 def dead_run_liveness(spark, sf_dir):
-    return M.live_runs(values(spark, RUNS), now()).select("table_name", "alive", "n")
+    return M.live_runs(values(spark, sf_dir, RUNS), now()).select("table_name", "alive", "n")
 
 
 @query("earliest_start", f"SELECT table_name, CAST(epoch_ms(min(start_time)) AS BIGINT) AS earliest, CAST(epoch_ms(max({_SEEN})) AS BIGINT) AS seen FROM ({RUNS}) r WHERE status = 'RUNNING' AND run_type = 'FULL' GROUP BY table_name")
 def earliest_start(spark, sf_dir):
-    return M.live_runs(values(spark, RUNS), now()).select("table_name", F.unix_millis("earliest_start").alias("earliest"), F.unix_millis("last_seen").alias("seen"))
+    return M.live_runs(values(spark, sf_dir, RUNS), now()).select("table_name", F.unix_millis("earliest_start").alias("earliest"), F.unix_millis("last_seen").alias("seen"))
 
 
-@query("dead_run_recovery", f"SELECT table_name, CASE WHEN table_name = 'documents' THEN 'ACTIVE' ELSE status END AS status, CAST(epoch_ms(CASE WHEN table_name = 'documents' THEN TIMESTAMP '2024-01-19 21:00:00' ELSE last_pull END) AS BIGINT) AS last_pull FROM ({INDEX_ROWS}) r")
+@query(
+    "dead_run_recovery",
+    f"""WITH d AS (SELECT table_name, min(start_time) AS begun FROM ({RUNS}) r WHERE status = 'RUNNING' AND run_type = 'FULL' GROUP BY table_name HAVING NOT bool_or(coalesce({_SEEN} >= TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE, false)))
+SELECT r.table_name, CASE WHEN status = 'REBUILDING' AND begun IS NOT NULL THEN 'ACTIVE' ELSE status END AS status, CAST(epoch_ms(CASE WHEN status = 'REBUILDING' AND begun IS NOT NULL THEN least(last_pull, begun) ELSE last_pull END) AS BIGINT) AS last_pull FROM ({INDEX_ROWS}) r LEFT JOIN d ON d.table_name = r.table_name""",
+)
 def dead_run_recovery(spark, sf_dir):
-    return M.recover_dead(values(spark, INDEX_ROWS), M.live_runs(values(spark, RUNS), now())).select("table_name", "status", F.unix_millis("last_pull").alias("last_pull"))
+    return M.recover_dead(values(spark, sf_dir, INDEX_ROWS), M.live_runs(values(spark, sf_dir, RUNS), now())).select("table_name", "status", F.unix_millis("last_pull").alias("last_pull"))
 
 
 @query("queue_builds", f"SELECT table_name FROM ({INDEX_ROWS}) r WHERE enabled AND status NOT IN ('PENDING_BUILD', 'BUILDING', 'REBUILDING') AND (last_pull IS NOT NULL AND (last_build IS NULL OR last_build < TIMESTAMP '2024-01-01 00:00:00'))")
 def queue_builds(spark, sf_dir):
-    return M.queue_builds(values(spark, INDEX_ROWS), F.lit("2024-01-01 00:00:00").cast("timestamp"), False)
+    return M.queue_builds(values(spark, sf_dir, INDEX_ROWS), F.lit("2024-01-01 00:00:00").cast("timestamp"), False)
 
 
 @query("queue_builds_empty_index", f"SELECT table_name FROM ({INDEX_ROWS}) r WHERE enabled AND status NOT IN ('PENDING_BUILD', 'BUILDING', 'REBUILDING') AND ((last_pull IS NOT NULL AND (last_build IS NULL OR last_build < TIMESTAMP '2000-01-01 00:00:00')) OR coalesce(document_count, 0) > 0)")
 def queue_builds_empty_index(spark, sf_dir):
-    return M.queue_builds(values(spark, INDEX_ROWS), F.lit("2000-01-01 00:00:00").cast("timestamp"), True)
+    return M.queue_builds(values(spark, sf_dir, INDEX_ROWS), F.lit("2000-01-01 00:00:00").cast("timestamp"), True)
 
 
 @query("run_purge", f"SELECT event_id FROM events WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 10 DAY ORDER BY ts LIMIT 500")
