@@ -17,6 +17,9 @@ Spark reaches will do. A file holds ``FILE_BYTES`` of records, or one longer rec
 Null payloads are empty and null urls are written without a target. Null page ids
 come after all others. Payloads below ``min_bytes`` stay responses. Records without a payload
 digest or page id are kept.
+
+Foreign archives: names of headers in any case, repeated and unknown ones and dates of capture are kept. Payloads of
+responses are always digested by SHA-1; a digest of another kind in their header isn't checked and stays there.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -56,11 +60,23 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def record(kind: str, fields: dict[str, object], block: bytes, content_type: str) -> bytes:
-    """A record of WARC 1.1 without its ending; fields that are None are left out."""
-    now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    head = {"WARC-Type": kind, "WARC-Date": now, **fields, "WARC-Block-Digest": f"sha1:{digest(block)}", "Content-Type": content_type, "Content-Length": len(block)}
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None) + "\r\n").encode() + block
+class Head(list):
+    """Header lines (name, value) of a record, in order; names may come again and their case doesn't matter."""
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return next((v for n, v in self if n.lower() == name.lower()), default)
+
+    def without(self, *names: str) -> Head:
+        gone = {n.lower() for n in names}
+        return Head((n, v) for n, v in self if n.lower() not in gone)
+
+
+def record(kind: str, fields: Head, block: bytes) -> bytes:
+    """A record of WARC 1.1 without its ending: ``fields`` as they are, with the date of now if they have none, and a fresh type, block digest and length. Fields that are None are left out."""
+    rest = fields.without("WARC-Type", "WARC-Block-Digest", "Content-Length")
+    dated = Head([] if rest.get("WARC-Date") else [("WARC-Date", datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))])
+    head = [("WARC-Type", kind), *dated, *rest, ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Length", len(block))]
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None) + "\r\n").encode() + block
 
 
 def _http(length: int) -> bytes:
@@ -71,25 +87,35 @@ def _new_id() -> str:
     return f"<urn:uuid:{uuid.uuid4()}>"
 
 
-def _fields(page: int | None, url: str | None, said: str, record_id: str) -> dict[str, object]:
-    return {"WARC-Record-ID": record_id, "WARC-Target-URI": quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else None, "WARC-Payload-Digest": f"sha1:{said}", "X-Page-Id": page}
-
-
 def response(page: int | None, url: str | None, payload: bytes, record_id: str) -> bytes:
-    return record("response", _fields(page, url, digest(payload), record_id), _http(len(payload)) + payload, "application/http; msgtype=response")
+    uri = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else None
+    fields = [("WARC-Record-ID", record_id), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Page-Id", page), ("Content-Type", "application/http; msgtype=response")]
+    return record("response", Head(fields), _http(len(payload)) + payload)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive, in order."""
+def parse(content: bytes) -> Iterator[tuple[Head, bytes]]:
+    """Headers and block of each record of an archive, in order. A line that begins with a blank goes on with the one before."""
     with gzip.GzipFile(fileobj=io.BytesIO(content)) as stream:
         while line := stream.readline():
             if not line.strip():
                 continue
-            head: dict[str, str] = {}
-            while (line := stream.readline()) not in (b"\r\n", b""):
-                name, _, value = line.decode().partition(":")
-                head[name] = value.strip()
-            yield head, stream.read(int(head["Content-Length"]))
+            head = Head()
+            while (line := stream.readline()).strip(b"\r\n"):
+                text = line.decode("utf-8", "replace")
+                if text[0] in " \t" and head:
+                    head[-1] = (head[-1][0], f"{head[-1][1]} {text.strip()}")
+                    continue
+                name, _, value = text.partition(":")
+                head.append((name.strip(), value.strip()))
+            yield head, stream.read(int(head.get("Content-Length", "0")))
+
+
+def _sha1(said: str | None) -> str | None:
+    """The digest of a payload as this module writes it, if it is one of SHA-1 (bare or named); others as they are."""
+    if not said:
+        return None
+    name, _, value = said.rpartition(":")
+    return value.upper() if name.lower() in ("", "sha1") else said
 
 
 #: Parts of a task that are written side by side, without a sort.
@@ -150,27 +176,27 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-HEADERS = "path string, seq int, record_id string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to_id string"
+HEADERS = "path string, seq int, record_id string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to_id string, date string, target_uri string"
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             rows = []
             for seq, (head, block) in enumerate(parse(content.as_buffer())):
-                kind = head["WARC-Type"]
+                kind = head.get("WARC-Type", "")
                 if kind == "warcinfo":
                     continue
-                said, size, page = head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, None, head.get("X-Page-Id")
+                said, size, page = _sha1(head.get("WARC-Payload-Digest")), None, head.get("X-Page-Id", "")
                 if kind == "response":
                     payload = block.partition(END)[2]
                     found, size = digest(payload), len(payload)
-                    if said not in (None, found):
+                    if said and ":" not in said and said != found:
                         raise ValueError(f"{path}: record {seq} says payload digest {said}, its payload has {found}")
                     said = found
-                rows.append((path, seq, head.get("WARC-Record-ID"), None if page is None else int(page), kind, size, said, head.get("WARC-Refers-To")))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=[c.split()[0] for c in HEADERS.split(", ")])
+                rows.append((path, seq, head.get("WARC-Record-ID"), int(page) if re.fullmatch("-?[0-9]{1,18}", page) else None, kind, size, said, head.get("WARC-Refers-To"), head.get("WARC-Date"), head.get("WARC-Target-URI")))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=[c.split()[0] for c in HEADERS.split(", ")])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -178,36 +204,38 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(_headers, HEADERS)
 
 
-_KEPT = ("WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Profile", "WARC-Concurrent-To", "WARC-IP-Address", "X-Page-Id")
+#: What a revisit says of the response that it refers to.
+_REFERS = ("WARC-Refers-To", "WARC-Refers-To-Date", "WARC-Refers-To-Target-URI")
 
 
-def _rewritten(content: pa.Buffer, changed: dict[int, str]) -> Iterator[bytes]:
-    """The records of an archive with fresh headers; those that ``changed`` names are revisits of the record it gives."""
-    yield record("warcinfo", {"WARC-Record-ID": _new_id()}, b"software: lodestar\r\nformat: WARC File Format 1.1\r\n", "application/warc-fields")
+def _rewritten(content: pa.Buffer, changed: dict[int, tuple]) -> Iterator[bytes]:
+    """The records of an archive with fresh block digests and lengths, and all their other headers, dates of capture too; those that ``changed`` names are revisits of the record it gives (id, date, target)."""
+    yield record("warcinfo", Head([("WARC-Record-ID", _new_id()), ("Content-Type", "application/warc-fields")]), b"software: lodestar\r\nformat: WARC File Format 1.1\r\n")
     for seq, (head, block) in enumerate(parse(content)):
-        if head["WARC-Type"] == "warcinfo":
+        kind = head.get("WARC-Type", "")
+        if kind == "warcinfo":
             continue
-        fields, kind = {k: head[k] for k in _KEPT if k in head}, head["WARC-Type"]
         if seq in changed:
             said = head.get("WARC-Payload-Digest") or f"sha1:{digest(block.partition(END)[2])}"
-            fields |= {"WARC-Payload-Digest": said, "WARC-Refers-To": changed[seq], "WARC-Profile": PROFILE}
+            kept = head.without("WARC-Payload-Digest", "WARC-Profile", *_REFERS)
+            head = Head([*kept, ("WARC-Payload-Digest", said), ("WARC-Profile", PROFILE), *zip(_REFERS, changed[seq])])
             kind, block = "revisit", block.partition(END)[0] + END
-        yield record(kind, fields, block, head.get("Content-Type", "application/octet-stream"))
+        yield record(kind, head, block)
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     archives = ((content.as_buffer(), changed) for batch in batches for content, changed in zip(batch.column(0), batch.column(1).to_pylist()))
-    yield from _parts(data for content, changed in archives for data in _rewritten(content, {c["seq"]: c["to"] for c in changed or []}))
+    yield from _parts(data for content, changed in archives for data in _rewritten(content, {c["seq"]: (c["to"], c["date"], c["uri"]) for c in changed or []}))
 
 
 def resolve(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> str:
     """Deduplicated archives of those below ``source``, written below ``target``."""
     heads = Scratch(spark, "heads").write(read_archives(spark, source))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "seq", "record_id")
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "seq", "record_id", "date", "target_uri")
     firsts = heads.where("record_type = 'response'").groupBy("payload_digest").agg(F.min(order).alias("first"))
     repeated = heads.where(f"record_type = 'revisit' OR record_type = 'response' AND payload_bytes >= {int(min_bytes)}").join(firsts, "payload_digest")
     # Only records that change are gathered, those of an archive in one list.
-    changed = repeated.where("NOT (path = first.path AND seq = first.seq)").groupBy("path").agg(F.collect_list(F.struct("seq", F.col("first.record_id").alias("to"))).alias("changed"))
+    changed = repeated.where("NOT (path = first.path AND seq = first.seq)").groupBy("path").agg(F.collect_list(F.struct("seq", F.col("first.record_id").alias("to"), F.col("first.date").alias("date"), F.col("first.target_uri").alias("uri"))).alias("changed"))
     return _write(_files(spark, source).join(changed, "path", "left").select("content", "changed").mapInArrow(_rewrite, RECORD), target)
 
 
