@@ -6,11 +6,11 @@ language gets several centroids by spherical k-means; a text takes the language
 of the centroid of largest cosine. It is rejected (``rejected``) if that cosine
 is below the language's threshold for texts of its length: ``REJECT`` times the
 ``QUANTILE`` of the cosines of training texts in the same band of lengths, each compared
-with centroids that leave it out. Bands with few training texts take in their neighbours.
+with centroids that leave it out. The quantile of a band is drawn toward that of shorter texts, the more the fewer training texts it has.
 
-The model is fitted on a bounded sample: for each of the ``MAX_LANGUAGES`` languages with
-the most labelled texts the ``PER_LANGUAGE`` texts with the smallest hash of id and text (a repeated
-row counts once); of each the whole text is used. Prediction reads every whole text.
+The model is fitted on a bounded sample: for each language the ``PER_LANGUAGE`` labelled
+texts with the smallest hash of id and text (a repeated row counts once); of each the whole text is used. All languages
+are learned; the model is 64 KB for each. Prediction reads every whole text.
 
 Texts that are null or have no letter (a character of a Unicode category L) get ``und`` with score 0 and are
 rejected; so does everything if there is nothing to learn from. Rows with null
@@ -33,7 +33,8 @@ from .scratch import Scratch, load
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 1000
-MAX_LANGUAGES = 1024
+#: Languages whose centroids are compared at once.
+SHARD = 1024
 CENTROIDS = 4
 #: A text is rejected below this share of this quantile of its language's training texts of like length.
 REJECT = 0.5
@@ -41,8 +42,8 @@ QUANTILE = 0.02
 #: Bands of lengths: the first has fewer than SHORT letters, each next one ends at twice as many, the last has no end.
 BANDS = 6
 SHORT = 20
-#: A band of fewer training texts takes in shorter ones, then longer ones.
-LEAST_BAND = 20
+#: The quantile of a band is drawn toward that of shorter texts by the weight of so many texts.
+SHRINK = 20
 UNKNOWN = "und"
 #: Parts in which the sample of a language is ranked first.
 _PARTS = 64
@@ -127,14 +128,13 @@ def _left_out(x: np.ndarray, centres: np.ndarray, best: np.ndarray) -> np.ndarra
 
 
 def _thresholds(cosine: np.ndarray, bands: np.ndarray) -> list[float]:
-    """A threshold for each band; 0 if no text is long enough to tell."""
-    out = []
+    """A threshold for each band: its quantile, drawn toward that of the next shorter band, and that of the shortest toward that of all."""
+    out, near = [], float(np.quantile(cosine, QUANTILE))
     for b in range(BANDS):
-        low, high = b, b
-        while ((bands >= low) & (bands <= high)).sum() < LEAST_BAND and (low > 0 or high < BANDS - 1):
-            low, high = (low - 1, high) if low > 0 else (low, high + 1)
-        of = cosine[(bands >= low) & (bands <= high)]
-        out.append(REJECT * float(np.quantile(of, QUANTILE)) if len(of) else 0.0)
+        of = cosine[bands == b]
+        if len(of):
+            near = (len(of) * float(np.quantile(of, QUANTILE)) + SHRINK * near) / (len(of) + SHRINK)
+        out.append(REJECT * near)
     return out
 
 
@@ -162,14 +162,12 @@ def fit(labelled: DataFrame) -> Model | None:
     """A model from ``labelled`` (doc_id, text, lang); None if it has no usable row."""
     usable = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     scratch = Scratch(labelled.sparkSession, "langid")
-    counted = scratch.write(usable.groupBy("lang").agg(F.count("*").alias("n")))
-    if counted.isEmpty():
+    if usable.isEmpty():
         return None
-    learned = scratch.write(counted.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang"))
     # The sample is chosen by hashes alone: within parts of a language first, so that no task sees all of a hot one.
     keyed = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("__key"))
     least = lambda rows, *by: rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("lang", *by).orderBy("__key"))).where(f"rank <= {PER_LANGUAGE}").drop("rank")
-    parts = keyed.select("lang", "__key").join(learned, "lang").withColumn("part", F.expr(f"pmod(__key, {_PARTS})"))
+    parts = keyed.select("lang", "__key").withColumn("part", F.expr(f"pmod(__key, {_PARTS})"))
     chosen = scratch.write(least(scratch.write(least(parts, "part").distinct())).select("lang", "__key"))
     sample = keyed.join(chosen, ["lang", "__key"], "left_semi").dropDuplicates(["lang", "__key"])
     rows = scratch.write(sample.select("lang", "text").mapInArrow(_vectors, "lang string, band int, at binary, n binary"))
@@ -191,7 +189,7 @@ _ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected",
 
 
 def predictor(spark: SparkSession, model: Model | None):
-    """A column function: text to (lang, score, rejected). The model has at most MAX_LANGUAGES * CENTROIDS * DIMENSIONS floats (64 MB)."""
+    """A column function: text to (lang, score, rejected). The model has CENTROIDS * DIMENSIONS floats (64 KB) for each language, however many texts there are."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -206,9 +204,13 @@ def predictor(spark: SparkSession, model: Model | None):
                     out += [(UNKNOWN, 0.0, True)] * len(part)
                     continue
                 x = weighted(np.array([grams(t) if t is not None else np.zeros(DIMENSIONS, np.int64) for t in part]), m.idf)
-                cosine = x @ m.centroids.T
-                best = cosine.argmax(axis=1)
-                for t, b, c in zip(part, best, cosine[np.arange(len(part)), best]):
+                best, top = np.zeros(len(part), np.int64), np.full(len(part), -np.inf)
+                for first in range(0, len(m.centroids), SHARD * CENTROIDS):
+                    cosine = x @ m.centroids[first : first + SHARD * CENTROIDS].T
+                    here = cosine.argmax(axis=1)
+                    better = cosine[np.arange(len(part)), here] > top
+                    best[better], top[better] = here[better] + first, cosine[np.arange(len(part)), here][better]
+                for t, b, c in zip(part, best, top):
                     if t is None:
                         out.append((UNKNOWN, 0.0, True))
                         continue
