@@ -4,8 +4,8 @@ Base detectors find emails, IP addresses, card numbers (Luhn) and phone
 numbers; their spans always stay. Beside them, high-recall generators propose
 overlapping spans: anything like a mail address, four numbers in a row, groups of
 digits and parts of such rows, long mixed tokens. All are linear in the text and
-have no upper length. Boosted trees score each candidate by its format and its
-context, and each kind has a threshold calibrated for ``PRECISION`` on held-back
+have no upper length, and so is the test whether a base span touches a candidate. Boosted
+trees alone score each candidate by its format (its checksum and the like are features, no filter) and its context, and each kind has a threshold calibrated for ``PRECISION`` on held-back
 candidates. Candidates above it, best first and clear of base and better
 spans, are added.
 
@@ -240,8 +240,21 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
-def _touched(a: int, b: int, base: list[tuple[str, int, int]]) -> bool:
-    return any(a < e and s < b for _, s, e in base)
+class Covered:
+    """Where spans are, as a row of stretches apart from each other; asking takes one search in it."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts, self.ends = [], []
+        for _, a, b in sorted(spans, key=lambda s: s[1:]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        at = bisect.bisect_right(self.ends, a)
+        return at < len(self.starts) and self.starts[at] < b
 
 
 def planted(surroundings: list[tuple[str, str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -322,9 +335,9 @@ def planted(surroundings: list[tuple[str, str]] | None = None) -> tuple[np.ndarr
             text = f"{before}{quote}{span}{quote}{rng.choice(['', '', '.', ',']) if not quote else ''}{after}"
             at = len(before) + len(quote)
             truth = alone or tell and told
-            base = base_spans(text)
+            base = Covered(base_spans(text))
             for kind, a, b in candidates(text):
-                if not _touched(a, b, base):
+                if not base.touches(a, b):
                     x.append(describe(text, kind, a, b))
                     y.append(truth and kind == KINDS[list(telling).index(make)] and (a, b) == (at, at + len(span)))
     return np.array(x, np.float64), np.array(y, float)
@@ -386,9 +399,9 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (at := text.find(" ", zlib.crc32(text.encode()) % (len(text) + 1))) >= 0:
                 near = text[max(0, at + 1 - BEFORE) : at + 1], text[at : at + AFTER]
                 offer(_AROUND, "\0".join(near), lambda: (None, *near))
-            base = base_spans(text)
+            base = Covered(base_spans(text))
             for kind, a, b in candidates(text):
-                if not _touched(a, b, base) and not evidence(text, kind, a, b):
+                if not base.touches(a, b) and not evidence(text, kind, a, b):
                     near = f"{kind} {text[max(0, a - BEFORE) : a]}\0{text[a:b]}\0{text[b : b + AFTER]}"
                     offer(KINDS.index(kind), near, lambda: (np.array(describe(text, kind, a, b), "<f4").tobytes(), None, None))
     for kind, mine in kept.items():
@@ -427,8 +440,9 @@ def _scored(model: Model, texts: list[str], base: list[list[tuple[str, int, int]
             part.clear()
 
     for i, text in enumerate(texts):
+        covered = Covered(base[i])
         for kind, a, b in candidates(text):
-            if kind in model.thresholds and valid(kind, text[a:b]) and not _touched(a, b, base[i]):
+            if kind in model.thresholds and not covered.touches(a, b):
                 of.append(i)
                 spans.append((kind, a, b))
                 x.append(describe(text, kind, a, b))
