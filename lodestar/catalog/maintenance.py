@@ -118,9 +118,8 @@ def edge_sample(spark, sf_dir):
     return M.edges(load(spark, sf_dir, "part"), "p_partkey", 25).select("p_partkey")
 
 
-@query("hash_sample")
+@query("hash_sample", "SELECT p_partkey FROM part ORDER BY md5('0:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 50")
 def hash_sample(spark, sf_dir):
-    """Spark's hash has no counterpart in SQL; tests check size and repeatability."""
     return M.hash_sample(load(spark, sf_dir, "part"), "p_partkey", 50).select("p_partkey")
 
 
@@ -387,6 +386,19 @@ def rebuild_takeover(spark, sf_dir):
     return index.documents().agg(F.lit(second.owner).alias("owner"), F.lit(second.token).cast("long").alias("token"), F.count("*").alias("documents"), F.lit(told).alias("first"))
 
 
+@query(
+    "mapping_differences",
+    "SELECT 'part' AS table_name, * FROM (VALUES ('p_type', 'PREFIX in the snippet', 'WORD'), ('p_brand', 'PREFIX in the snippet', 'PREFIX in the snippet with label'), ('p_size', NULL, 'PREFIX in the snippet'), ('p_name', 'PREFIX in the snippet', NULL)) AS t(field_name, stored, configured), (SELECT CAST(count(*) AS BIGINT) AS documents FROM part) n",
+)
+def mapping_differences(spark, sf_dir):
+    """A stored index of parts, opened with fields that are analyzed, placed or named in another way."""
+    before = TableConfig("part", "p_partkey", (FieldConfig("p_name"), FieldConfig("p_type"), FieldConfig("p_brand", weight=3)))
+    index, _ = _process(spark, before)
+    index.rebuild({"part": build_documents(load(spark, sf_dir, "part"), before)})
+    after = TableConfig("part", "p_partkey", (FieldConfig("p_type", role=Role.KEYWORD), FieldConfig("p_brand", include_label=True), FieldConfig("p_size")))
+    return Index(spark, index.path, EngineConfig(tables=(after,))).mapping_differences().join(index.count().withColumnsRenamed({"source_table": "table_name", "count": "documents"}), "table_name")
+
+
 _BAD = "CASE WHEN event_id % 97 = 3 THEN 'ts is no timestamp' WHEN event_id % 89 = 5 THEN 'larger than 4096 bytes' END"
 
 

@@ -53,6 +53,10 @@ class Moved(RuntimeError):
     """Another writer has swapped the manifest meanwhile."""
 
 
+class MappingChanged(RuntimeError):
+    """A stored table was built with other fields than it is searched by; a rebuild mends it."""
+
+
 class Rival(RuntimeError):
     """Another process that replaces tables is alive."""
 
@@ -210,9 +214,27 @@ class Index:
         segments = [p for t in tables for s in t["segments"] for p in (s["writes"], s["deletes"])]
         return {p for p in (*(t["base"] for t in tables), *segments, manifest["postings"]) if p}
 
+    def _mapping(self, name: str) -> dict[str, str] | None:
+        """How the configured fields of a table are analyzed and placed, which its documents and postings follow; None for tables that aren't configured. Weights are no part of it."""
+        table = self.config.table(name)
+        return table and {f.name: f.resolved_analyzer.name + " in the snippet" * f.snippet + " with label" * f.include_label for f in table.indexed_fields}
+
+    def _differing(self, manifest: dict) -> list[tuple[str, str, str | None, str | None]]:
+        out = []
+        for name, entry in sorted(manifest["tables"].items()):
+            stored, now = entry.get("fields"), self._mapping(name)
+            if stored is not None and now is not None:
+                out += [(name, f, stored.get(f), now.get(f)) for f in sorted({*stored, *now}) if stored.get(f) != now.get(f)]
+        return out
+
+    def mapping_differences(self) -> DataFrame:
+        """Fields that stored tables were built with in another way than they are configured now: table_name, field_name, stored, configured (null: not at all)."""
+        return self.spark.createDataFrame(self._differing(self.manifest()), "table_name string, field_name string, stored string, configured string")
+
     def needs_rebuild(self) -> bool:
-        """Whether the live index was written by an older layout."""
-        return self.manifest()["mapping"] < MAPPING_VERSION
+        """Whether the live index was written by an older layout or with other fields."""
+        manifest = self.manifest()
+        return manifest["mapping"] < MAPPING_VERSION or bool(self._differing(manifest))
 
     def exists(self) -> bool:
         return bool(self.manifest()["tables"])
@@ -269,8 +291,10 @@ class Index:
         return self.documents().groupBy("source_table").count()
 
     def hits(self, query: Plan, tables: list[TableConfig]) -> DataFrame:
-        """Ranked hits of a plan: from the bases' postings and a scan of the segments, or by a scan of all where there are no postings."""
+        """Ranked hits of a plan: from the bases' postings and a scan of the segments, or by a scan of all where there are no postings. Tables whose stored fields are others are refused (``MappingChanged``), as their clauses would match nothing."""
         manifest = self.manifest()
+        if wrong := sorted({d[0] for d in self._differing(manifest)} & {t.name for t in tables}):
+            raise MappingChanged(f"{', '.join(wrong)}: stored with other fields than configured")
         if not manifest["postings"]:
             return score(self.documents(manifest), query, tables)
         entries = manifest["tables"].values()
@@ -335,7 +359,7 @@ class Index:
 
         def add(before: dict) -> dict | None:
             nonlocal used
-            entry = before["tables"].get(table, {"base": None, "segments": []})
+            entry = before["tables"].get(table, {"base": None, "segments": [], "fields": self._mapping(table)})
             used = not done(before) and bool(entry["base"] or entry["segments"] or writes is not None)
             if not used:
                 return None
@@ -364,7 +388,7 @@ class Index:
                 if not entry["segments"]:
                     return entry
                 made.append(self._write(self._live(entry), name))
-                return {"base": made[-1], "segments": []}
+                return {**entry, "base": made[-1], "segments": []}
 
             def replace(before: dict) -> dict:
                 now = {}
@@ -438,7 +462,7 @@ class Draft:
         self.index, self.begun, self.tables, self.postings = index, index.manifest(), {}, None
 
     def add(self, name: str, documents: DataFrame) -> None:
-        self.tables[name] = {"base": self.index._write(documents, name), "segments": []}
+        self.tables[name] = {"base": self.index._write(documents, name), "segments": [], "fields": self.index._mapping(name)}
 
     def finish(self, created_at: str | None = None, lease: Lease | None = None) -> dict:
         """Swaps the tables in. A table's segments that were added since the beginning stay behind its new base; tables that are new since then stay as they are."""

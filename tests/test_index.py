@@ -12,8 +12,8 @@ from lodestar.operators import admin, maintain, processes
 from lodestar.operators import query as Q
 from lodestar.operators.documents import build_documents
 from lodestar.operators.watch import Interrupted, Watch
-from lodestar.plans.config import DocumentsChoice, EngineConfig, FieldConfig, TableConfig
-from lodestar.sources.index import Index, Moved, Rival, TakenOver
+from lodestar.plans.config import Analyzer, DocumentsChoice, EngineConfig, FieldConfig, TableConfig
+from lodestar.sources.index import Index, MappingChanged, Moved, Rival, TakenOver
 from lodestar.streaming.changes import ChangeHandler, IndexPublisher, Source, follow, last_changes
 
 PEOPLE = TableConfig("people", "id", (FieldConfig("name", weight=3), FieldConfig("city")), timestamp="changed")
@@ -221,6 +221,19 @@ def test_a_lease_fences_its_former_holder(spark, index):
         other.compact(lease=second)
 
 
+def test_fields_of_a_stored_index_are_known(spark, index):
+    assert index.mapping_differences().count() == 0 and not index.needs_rebuild()
+    heavier = Index(spark, index.path, EngineConfig(tables=(TableConfig("people", "id", (FieldConfig("name", weight=9), FieldConfig("city")), timestamp="changed"), PLACES)))
+    assert not heavier.needs_rebuild() and heavier.search("stone").count() == 2
+    other = Index(spark, index.path, EngineConfig(tables=(TableConfig("people", "id", (FieldConfig("name", analyzer=Analyzer.WORD),), timestamp="changed"), PLACES)))
+    assert other.needs_rebuild() and {(r.field_name, r.stored, r.configured) for r in other.mapping_differences().collect()} == {("name", "PREFIX in the snippet", "WORD in the snippet"), ("city", "PREFIX in the snippet", None)}
+    with pytest.raises(MappingChanged):
+        other.search("stone")
+    assert other.search("stone", ["places"]).count() == 1  # this table's fields are as they were
+    other.rebuild({"people": docs(spark, [(1, "Stone", "Bern", 10)])})
+    assert not other.needs_rebuild() and other.search("stone").count() == 1
+
+
 def test_schema_of_a_stored_index(spark, index):
     assert index.schema_differences() == {}
     index.rebuild({"people": docs(spark, [(1, "Ada", "Bern", 10)]).drop("subtitle").withColumn("version", F.lit("x"))})
