@@ -5,8 +5,10 @@ or DELETE. Each micro-batch keeps the last change of each record, reads the
 current source rows of those records (not the rows as they were when the change
 was made), and applies one batch of writes and deletes per table. Delivery is at
 least once; applying a batch again changes nothing, since writes are versioned
-and deletes are by id. What can't be applied is recorded for replay and does
-not stop the stream.
+and deletes are by id. A handler with a ``stream`` name also commits each batch's number with
+its segment, so that a batch that comes again after a crash adds no segment; the name goes
+with the checkpoint (a new checkpoint, which counts from 0, needs a new name). What
+can't be applied is recorded for replay and does not stop the stream.
 """
 
 from __future__ import annotations
@@ -37,11 +39,11 @@ class IndexPublisher:
 
     index: Index
 
-    def publish(self, table: str, writes: DataFrame | None, deleted: DataFrame | None) -> None:
+    def publish(self, table: str, writes: DataFrame | None, deleted: DataFrame | None, once: tuple[str, int] | None = None) -> None:
         if writes is not None and not writes.isEmpty():
-            self.index.apply(table, writes)
+            self.index.apply(table, writes, once=once)
         if deleted is not None and not deleted.isEmpty():
-            self.index.apply(table, deleted=deleted)
+            self.index.apply(table, deleted=deleted, once=once)
 
     def close(self) -> None:
         pass
@@ -73,6 +75,7 @@ class ChangeHandler:
     record_failures: Callable[[DataFrame], None]
     paused: Callable[[], bool] = lambda: False
     rebuilding: Callable[[], set[str]] = set
+    stream: str | None = None
 
     def __call__(self, changes: DataFrame, batch: int) -> None:
         changes = changes.persist()
@@ -93,8 +96,9 @@ class ChangeHandler:
                     continue
                 # Each half for itself: a failure of one doesn't undo or repeat the other.
                 for half, ids in (("writes", writes.select("document_id")), ("deleted", deleted)):
+                    once = {"once": (f"{self.stream}/{name}/{half}", batch)} if self.stream else {}
                     try:
-                        self.publisher.publish(name, **{"writes": None, "deleted": None, half: writes if half == "writes" else deleted})
+                        self.publisher.publish(name, **{"writes": None, "deleted": None, half: writes if half == "writes" else deleted}, **once)
                     except Exception as error:
                         theirs = mine.join(ids.select(record_id_of("document_id").alias("record_id")), "record_id", "left_semi")
                         self.record_failures(self._events(theirs, "PENDING", error))

@@ -508,3 +508,14 @@ def test_documents_that_fail_are_kept_with_their_causes(spark, index, tmp_path):
     run, _ = processes.rebuild(index, {"people": Source(PEOPLE, lambda: rows)}, ledger, lambda: now, lambda: none, max_bytes=2000)
     assert run.select("status", "processed", "indexed", "errors").first() == ("COMPLETED", 4, 2, 2)
     assert set(names(index)) == {"people:1", "people:4"} and ledger.rejected().count() == 4
+
+
+def test_a_micro_batch_that_comes_again_adds_no_segment(spark, index):
+    handler = ChangeHandler({"people": Source(PEOPLE, lambda: people(spark, [(1, "Changed", "x", 50)]))}, IndexPublisher(index), lambda failed: pytest.fail("nothing fails here"), stream="changes")
+    batch = spark.createDataFrame([(1, "people", "1", "UPDATE"), (2, "people", "2", "DELETE")], "seq long, table_name string, record_id string, action string")
+    handler(batch, 0)
+    before = index.manifest()
+    handler(batch, 0)
+    assert index.manifest() == before and index.segments()["people"] == 2 and names(index) == {"people:1": "Changed", "places:1": "Stone house"}
+    handler(batch, 1)
+    assert index.segments()["people"] == 4
