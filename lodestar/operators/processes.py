@@ -225,7 +225,7 @@ def rebuild(index: Index, sources: dict[str, Source], ledger: Ledger, now: Calla
             with Watch(index.spark, look, every):
                 checked = checked_documents(source.rows(), source.config, source.labels, now=F.lit(begun), max_bytes=max_bytes).observe(seen, *rows)
                 draft.add(name, checked.where(~F.coalesce(bad, F.lit(False))).drop("cause"))
-            told = seen.get
+            told = {"rows": 0, "bad": 0, "first": None, **seen.get}  # Spark may see that there is nothing to read
             counts.processed += told["rows"]
             if told["bad"]:  # few, and read once more only then
                 ledger.reject(run, checked_documents(source.rows(), source.config, source.labels, now=F.lit(begun), max_bytes=max_bytes).where(bad), begun)

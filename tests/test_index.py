@@ -519,3 +519,10 @@ def test_a_micro_batch_that_comes_again_adds_no_segment(spark, index):
     assert index.manifest() == before and index.segments()["people"] == 2 and names(index) == {"people:1": "Changed", "places:1": "Stone house"}
     handler(batch, 1)
     assert index.segments()["people"] == 4
+
+
+def test_a_rebuild_of_nothing(spark, index, tmp_path):
+    ledger, now = processes.Ledger(spark, str(tmp_path / "runs")), datetime.datetime(2024, 2, 1)
+    none = spark.createDataFrame([], "event_id long, table_name string, record_id string, status string")
+    run, _ = processes.rebuild(index, {"people": Source(PEOPLE, lambda: people(spark, []))}, ledger, lambda: now, lambda: none)
+    assert run.select("status", "processed", "indexed", "errors").first() == ("COMPLETED", 0, 0, 0) and names(index) == {}
