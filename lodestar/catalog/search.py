@@ -11,9 +11,11 @@ from ..functions import text as T
 from ..functions.highlight import highlight_ranges, highlight_snippet
 from ..operators import diagnose, postings, search
 from ..operators import query as Q
+from ..operators.documents import build_documents
 from ..functions.stemming import STOP_WORDS
 from ..plans.config import Analyzer, EngineConfig, FieldConfig, Role, TableConfig
-from .registry import CONFIG, CUSTOMER, CUSTOMER_CLAUSES, PART, PART_CLAUSES, SUPPLIER, SUPPLIER_CLAUSES, TEXT, TEXTS, TEXTS_CLAUSES, WHOLE, WORD_SQL, documents_of, load, query, ranked_sql, stored_index
+from ..sources.index import Index
+from .registry import CONFIG, CUSTOMER, CUSTOMER_CLAUSES, PART, PART_CLAUSES, SUPPLIER, SUPPLIER_CLAUSES, TEXT, TEXTS, TEXTS_CLAUSES, WHOLE, WORD_SQL, documents_of, load, query, ranked_sql, scratch_folder, stored_index
 
 ALL = [PART, CUSTOMER, SUPPLIER]
 ENGLISH_TEXTS = TableConfig("documents", "doc_id", (FieldConfig("text", analyzer=Analyzer.ENGLISH, in_snippet=False), FieldConfig("source")))
@@ -281,6 +283,44 @@ def index_locked_page(spark, sf_dir):
     return shown(search.execute(index, search.Request("thin", limit=20, offset=10), index.config, locks={"documents": readable}).rows)
 
 
+_CHANGED = "(SELECT doc_id, source, lang, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || ' thin the end' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3) d"
+
+
+@query("index_scores_under_changes", ranked_sql("thin the", ["documents"], TEXT + TEXTS_CLAUSES).replace("FROM documents", f"FROM {_CHANGED}") + _SHOWN)
+def index_scores_under_changes(spark, sf_dir):
+    """Statistics and scores of a stored index whose documents are replaced and deleted by later batches: those of the live documents, without a compaction."""
+    rows, config = load(spark, sf_dir, "documents"), EngineConfig(tables=(TEXTS,), max_field_length=WHOLE)
+    index = Index(spark, f"{scratch_folder(spark)}/index", config)
+    index.rebuild({"documents": documents_of(spark, sf_dir, TEXTS)})
+    longer = rows.where("doc_id % 5 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" thin the end")))
+    index.apply("documents", build_documents(longer, TEXTS, config=config).withColumn("seq", F.lit(0).cast("long")))
+    index.apply("documents", deleted=rows.where("doc_id % 7 = 3").select(F.concat(F.lit("documents:"), "doc_id").alias("document_id")))
+    return shown(index.search("thin the"))
+
+
+@query("index_without_table", ranked_sql("nation_1", ["part", "supplier"], TEXT + PART_CLAUSES + SUPPLIER_CLAUSES) + _SHOWN)
+def index_without_table(spark, sf_dir):
+    """A table is dropped from a stored index: the others are searched from the same postings, by statistics without it."""
+    index = Index(spark, f"{scratch_folder(spark)}/index", EngineConfig(tables=tuple(ALL), max_field_length=WHOLE))
+    index.rebuild({t.name: documents_of(spark, sf_dir, t) for t in ALL})
+    index.drop_table("customer")
+    return shown(index.search("nation_1", ["part", "supplier"]))
+
+
+# Values of parts are shorter than a fragment, so whole values are shown.
+@query(
+    "highlight_fields",
+    ranked_sql("small wid", ["part"], TEXT + PART_CLAUSES)
+    + f", best AS (SELECT * FROM hits{_BEST} LIMIT 50), f AS (SELECT rid, path, v, len(list_filter(regexp_extract_all(lower(v), '{WORD_SQL}'), lambda w: starts_with(w, 'small') OR starts_with(w, 'wid'))) AS n FROM fv WHERE path <> 'searchable_text') SELECT f.rid AS record_id, f.path AS field, f.v AS fragment, CAST(f.n AS INTEGER) AS n_ranges FROM f JOIN best USING (rid) WHERE f.n > 0",
+)
+def highlighted_fields(spark, sf_dir):
+    """Of each field of the best hits that has a word of the term one fragment, whichever clause matched."""
+    docs, config = documents_of(spark, sf_dir, PART), EngineConfig(tables=(PART,))
+    best = search.execute(docs, search.Request("small wid", limit=50), config).rows
+    found = search.highlighted(best, docs, "small wid", [PART]).select("record_id", F.explode("highlights").alias("h"))
+    return found.select("record_id", "h.field", "h.fragment", F.size("h.ranges").alias("n_ranges"))
+
+
 # Names and types of parts are shorter than a fragment, so the whole text is shown.
 @query("highlight_snippet", "SELECT 'part:' || CAST(p_partkey AS VARCHAR) AS document_id, regexp_replace(p_name || ' ' || p_type, '\\b(wid[a-z0-9]*)', '<em>\\1</em>', 'gi') AS snippet FROM part WHERE contains(p_name || ' ' || p_type, 'widget')")
 def highlight_snippets(spark, sf_dir):

@@ -16,6 +16,7 @@ FRAGMENT = 160
 _WORD = regex.compile(WORD_REGEX, regex.V1)
 
 RANGES = "array<struct<start:int,end:int>>"
+FIELD_FRAGMENTS = f"array<struct<field:string,fragment:string,ranges:{RANGES}>>"
 _ARROW_RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -101,3 +102,16 @@ def highlight_snippet(text: Column | str, tokens: list[str], before: str = "<em>
         return pa.array(out, pa.string())
 
     return F.arrow_udf(run, "string")(col(text))
+
+
+def highlight_fields(values: Column, tokens: list[str], size: int = FRAGMENT) -> Column:
+    """Of each value of a map in which a token begins a word one fragment and the ranges in it, as FIELD_FRAGMENTS by field name; none for a null map."""
+
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for entries in column.to_pylist():
+            found = [(name, fragment(value or "", tokens, size)) for name, value in sorted(entries or ())]
+            out.append([{"field": name, "fragment": f[0], "ranges": [{"start": a, "end": b} for a, b in f[1]]} for name, f in found if f])
+        return pa.array(out, pa.list_(pa.struct([("field", pa.string()), ("fragment", pa.string()), ("ranges", _ARROW_RANGES)])))
+
+    return F.arrow_udf(run, FIELD_FRAGMENTS)(values)

@@ -4,7 +4,8 @@ A posting is (path, word, document, tf, dl). A query reads only the words it may
 match: equality or a prefix range, both of which reach the Parquet scan, where
 the sorting lets row groups be skipped. Words, not grams, are stored; a prefix
 is a range of words. Statistics per path are stored beside them, so a query
-never scans the index to learn N or mean lengths.
+never scans the index to learn N or mean lengths. So are the lengths of each document: they are
+what is taken off the statistics for documents that were replaced or deleted since.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.stemming import english_words
 from ..plans.config import Analyzer, TableConfig
-from .query import HIT, Path, Plan, clauses_scored, statistics, with_allowed_text
+from .query import HIT, Path, Plan, clauses_scored, with_allowed_text
 
 SCHEMA = "path string, word string, document_id string, source_table string, record_id string, record_label string, tf int, dl int"
 
@@ -65,12 +66,25 @@ def _counted(sorted_words: Column) -> Column:
     return F.transform(F.array(sorted_words), of)[0]
 
 
+def document_lengths(documents: DataFrame, tables: list[TableConfig]) -> DataFrame:
+    """Per document the lengths of its paths that have words: document_id, source_table, lengths."""
+    lists = F.array(*[F.struct(F.lit(path_name(p)).alias("path"), F.size(_words(p)).alias("dl")) for p in paths_of(tables)])
+    return with_allowed_text(documents, tables).select("document_id", "source_table", F.filter(lists, lambda p: p["dl"] > 0).alias("lengths"))
+
+
+def lengths_summed(lengths: DataFrame) -> DataFrame:
+    """Per path: documents that have it (n), and the sum of their lengths (total)."""
+    return lengths.select(F.explode("lengths").alias("p")).groupBy("p.path").agg(F.count("*").alias("n"), F.sum(F.col("p.dl").cast("long")).alias("total"))
+
+
 def path_statistics(documents: DataFrame, tables: list[TableConfig]) -> DataFrame:
-    """Per path: documents that have it, and their mean length."""
-    paths = paths_of(tables)
-    lists = F.array(*[F.struct(F.lit(path_name(p)).alias("path"), F.size(_words(p)).alias("dl")) for p in paths])
-    each = with_allowed_text(documents, tables).select(F.explode(lists).alias("p")).where("p.dl > 0")
-    return each.groupBy("p.path").agg(F.count("*").alias("n"), F.avg("p.dl").alias("average"))
+    """The sums of all paths of documents."""
+    return lengths_summed(document_lengths(documents, tables))
+
+
+def without(stats: DataFrame, gone: DataFrame) -> DataFrame:
+    """Sums per path less those of documents that no longer count."""
+    return stats.join(gone.withColumnsRenamed({"n": "__n", "total": "__total"}), "path", "left").select("path", (F.col("n") - F.coalesce("__n", F.lit(0))).alias("n"), (F.col("total") - F.coalesce("__total", F.lit(0))).alias("total"))
 
 
 def _range(path: Path, token: str) -> Column:
@@ -86,7 +100,8 @@ def score_postings(postings: DataFrame, stats: DataFrame, query: Plan, tables: l
     """The hits of ``query.score``, from stored postings and statistics.
 
     ``changed`` are documents that aren't in the postings and are scanned; ``touched`` (document_id) names the documents
-    whose postings no longer count. Both are small beside the postings. Statistics are of postings and changed documents.
+    whose postings no longer count, and ``stats`` are sums without them. Both are small beside the postings. Scores are those
+    of a scan of the documents that count.
     """
     empty = "array<struct<clause:string,score:double>>"
     if not query.clauses:
@@ -102,22 +117,23 @@ def score_postings(postings: DataFrame, stats: DataFrame, query: Plan, tables: l
     shaped = found.select(*HIT, *[F.struct(F.array(*numbers[i]).cast("array<int>").alias("tf"), F.col(f"dl{i}").alias("dl")).alias(f"p{i}") for i in range(len(paths))])
     # Small numbers, a row for each path of the configuration.
     known = {r.path: r for r in stats.where(F.col("path").isin(*map(path_name, paths))).collect()}
-    n = [known[path_name(p)].n if path_name(p) in known else 0 for p in paths]
-    mean = [float(known[path_name(p)].average) if path_name(p) in known else 0.0 for p in paths]
-    live = shaped if touched is None else shaped.join(touched, "document_id", "left_anti").select(shaped.columns)
-    total = statistics(shaped, paths, query.term)
-    if changed is None:
-        constants = {f"n{i}": F.lit(n[i]) for i in range(len(paths))} | {f"avg{i}": F.lit(mean[i] or 1.0) for i in range(len(paths))}
-        total = total.withColumns(constants)
-    else:
+    live = (shaped if touched is None else shaped.join(touched, "document_id", "left_anti").select(shaped.columns)).withColumn("__new", F.lit(False))
+    if changed is not None:
         more = with_allowed_text(changed, list(tables)).select(*HIT, *[p.measured(query.term).alias(f"p{i}") for i, p in enumerate(paths)])
-        live = live.unionByName(more)
-        extra = statistics(more, paths, query.term)
-        both = total.select([F.col(c).alias(f"a_{c}") for c in total.columns]).crossJoin(extra)  # one row each
-        of = lambda i: F.greatest(F.lit(n[i]) + F.col(f"n{i}"), F.lit(1))
-        total = both.select(
-            *[(F.lit(n[i]) + F.col(f"n{i}")).alias(f"n{i}") for i in range(len(paths))],
-            *[((F.lit(n[i] * mean[i]) + F.coalesce(F.col(f"n{i}") * F.col(f"avg{i}"), F.lit(0.0))) / of(i)).alias(f"avg{i}") for i in range(len(paths))],
-            *[(F.col(f"a_{c}") + F.col(c)).alias(c) for c in extra.columns if c.startswith("df")],
-        )
+        live = live.unionByName(more.withColumn("__new", F.lit(True)))
+    total = _statistics_of_all(live, paths, [len(tokens[p]) for p in paths], known)
     return clauses_scored(live.where(F.col("source_table").isin(*query.tables)).crossJoin(F.broadcast(total)), query, HIT)  # one row
+
+
+def _statistics_of_all(live: DataFrame, paths: list[Path], n_tokens: list[int], known: dict) -> DataFrame:
+    """One row as ``statistics`` gives it. Of the documents with postings ``live`` has only those with a token: their numbers and lengths are ``known``; of the new ones it has all."""
+    aggregates, columns = [], []
+    for i, path in enumerate(paths):
+        n, length = (known[path_name(path)].n, known[path_name(path)].total) if path_name(path) in known else (0, 0)
+        new = F.col("__new") & (F.col(f"p{i}.dl") > 0)
+        aggregates += [F.count_if(new).alias(f"n{i}"), F.coalesce(F.sum(F.when(new, F.col(f"p{i}.dl"))), F.lit(0)).alias(f"sum{i}")]
+        aggregates += [F.count_if(F.col(f"p{i}.tf")[j] > 0).alias(f"df{i}_{j}") for j in range(n_tokens[i])]
+        of_all, mean = F.lit(n) + F.col(f"n{i}"), (F.lit(length) + F.col(f"sum{i}")) / F.greatest(F.lit(n) + F.col(f"n{i}"), F.lit(1))
+        # A path that no document has is never scored.
+        columns += [of_all.alias(f"n{i}"), F.when(mean > 0, mean).otherwise(F.lit(1.0)).alias(f"avg{i}"), *(F.col(f"df{i}_{j}") for j in range(n_tokens[i]))]
+    return live.agg(*aggregates).select(*columns)

@@ -1,6 +1,7 @@
 """Search orchestration: pages, per-table results, record locks, suggestions, the search provider.
 
-Hits come ranked from one plan, over documents or a stored index. Locks are semi-joins
+Hits come ranked from one plan, over documents or a stored index, which a page evaluates once: its rows
+are few and are fetched with it, and its total is counted while they are sought. Locks are semi-joins
 with the readable rows. Totals and flags are exact within the best ``window`` hits
 (10,000; a part of it for each of several locked tables), beyond which a total is a lower bound.
 """
@@ -11,11 +12,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.highlight import FIELD_FRAGMENTS, FRAGMENT, highlight_fields
 from ..plans.config import EngineConfig, TableConfig
-from .query import Plan, normalize_term, order, plan, score
+from .query import Plan, normalize_term, order, plan, score, tokenize
 from .watch import Watch
 
 SUGGEST_GROUPS, MAX_SUGGEST_GROUPS = 8, 20
@@ -100,12 +102,30 @@ def table_window(n_tables: int, per_table: int, config: EngineConfig, single_pas
     return least if single_pass else max(config.window // n_tables, least)
 
 
+def fetched(shown: DataFrame) -> DataFrame:
+    """A page as rows that are there, so that nothing is evaluated again; ``shown`` is bounded by the search limit."""
+    return shown.sparkSession.createDataFrame(shown.collect(), shown.schema)
+
+
+def open_page(hits: DataFrame, limit: int, offset: int, config: EngineConfig) -> Page:
+    """A page of all hits. They are counted in the job that finds the page."""
+    seen = Observation()
+    rows = fetched(page(hits.observe(seen, F.count("*").alias("n")), limit, offset))
+    n = seen.get["n"]
+    total = min(n, config.window)
+    return Page(rows, total, n > config.window, offset + limit < total)
+
+
 def locked_page(hits: DataFrame, locks: Mapping[str, DataFrame], limit: int, offset: int, config: EngineConfig) -> Page:
-    """A page of the accessible ones of the best ``window`` hits."""
-    seen = hits.limit(config.window + 1).count()
-    free = accessible(hits.orderBy(*order()).limit(config.window), locks)
-    total, floor = free.count(), seen > config.window
-    return Page(page(free, limit, offset), total, floor, total > offset + limit or floor)
+    """A page of the accessible ones of the best ``window`` hits, which are kept while they are looked at."""
+    best = hits.orderBy(*order()).limit(config.window + 1).persist()
+    try:
+        floor = best.count() > config.window
+        free = accessible(best.orderBy(*order()).limit(config.window), locks)
+        total = free.count()
+        return Page(fetched(page(free, limit, offset)), total, floor, total > offset + limit or floor)
+    finally:
+        best.unpersist()
 
 
 def search_hits(source, query: Plan, tables: list[TableConfig]) -> DataFrame:
@@ -116,15 +136,15 @@ def search_hits(source, query: Plan, tables: list[TableConfig]) -> DataFrame:
 def execute(source, request: Request, config: EngineConfig, readable: set[str] | None = None, locks: Mapping[str, DataFrame] | None = None) -> Page:
     """One search over all of ``source``: a DataFrame of documents, or a stored index, which answers from its postings."""
     bounds, tables, locks = check(request, config), allowed_tables(request, config, readable), locks or {}
-    hits = search_hits(source, plan("" if bounds.empty else bounds.term, tables), tables)
-    if bounds.empty or not tables:
+    asked = plan("" if bounds.empty else bounds.term, tables)
+    hits = search_hits(source, asked, tables)
+    if not asked.clauses:
         return Page(hits.limit(0), 0, False, False)
     if bounds.per_table is not None:
         return _per_table(hits, bounds, tables, locks, config, request.single_pass)
     if locks:
         return locked_page(hits, locks, bounds.limit, bounds.offset, config)
-    total, floor = bounded_total(hits, config)
-    return Page(page(hits, bounds.limit, bounds.offset), total, floor, bounds.offset + bounds.limit < total)
+    return open_page(hits, bounds.limit, bounds.offset, config)
 
 
 def _cases(values: Mapping[str, int]):
@@ -150,6 +170,17 @@ def _per_table(hits: DataFrame, bounds: Bounds, tables: list[TableConfig], locks
     return Page(rows, sum(totals.values()), any(floors.values()), more)
 
 
+def highlighted(found: DataFrame, documents: DataFrame, term: str, tables: list[TableConfig], size: int = FRAGMENT) -> DataFrame:
+    """Hits of a page with ``highlights``: of each field whose value has a word that the term's tokens begin, one fragment with the places of the hits in it, by field name.
+
+    Any field counts, whichever clause matched; protected fields don't. ``found`` is a page, so the documents are read once, to join it.
+    """
+    hidden = reduce(lambda c, t: c.when(F.col("source_table") == t.name, F.array(*map(F.lit, sorted(t.protected)))), (t for t in tables if t.protected), F.when(F.lit(False), F.array().cast("array<string>")))
+    values = F.map_filter("field_values", lambda k, _: ~F.coalesce(F.array_contains(hidden, k), F.lit(False)))
+    shown = documents.join(F.broadcast(found.select("document_id")), "document_id", "left_semi").select("document_id", highlight_fields(values, tokenize(normalize_term(term)), size).alias("highlights"))
+    return found.join(shown, "document_id", "left").select(*found.columns, F.coalesce("highlights", F.array().cast(FIELD_FRAGMENTS)).alias("highlights"))
+
+
 def results(hits: DataFrame, tables: list[TableConfig], labels: Mapping[str, str] | None = None) -> DataFrame:
     """Hits as results: the table's label, the record's label or else the table's name."""
     shown = reduce(lambda c, kv: c.when(F.col("source_table") == kv[0], kv[1]), (labels or {}).items(), F.when(F.lit(False), "")) if labels else F.lit(None).cast("string")

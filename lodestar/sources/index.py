@@ -5,8 +5,8 @@ small folder of writes and one of deletes and touches nothing else. Readers reso
 them (the last delete and the newest version of a document count) for the documents
 that segments name; the base's other documents pass through without a shuffle.
 ``compact`` writes a new base. Postings belong to the bases; a search reads them and scans the
-segments' documents only. Its statistics are those of bases and segments together, in which a
-replaced document counts until the next compaction, as in any segmented index.
+segments' documents only. Its statistics are those of the live documents: what replaced and deleted documents, and
+dropped tables, have in the stored sums is taken off, once for a manifest and from narrow rows of lengths.
 
 A manifest is a file of the next number that is created only if it isn't there, so of two
 writers one is told that it has moved. A writer states its change as a function of the live manifest and
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..operators.documents import empty_documents, union_documents
 from ..operators.maintain import resolve_versions
-from ..operators.postings import build_postings, path_statistics, score_postings
+from ..operators.postings import build_postings, document_lengths, lengths_summed, score_postings, without
 from ..operators.query import Plan, plan, score
 from ..plans.config import EngineConfig, TableConfig
 
@@ -77,7 +77,7 @@ class Lease:
 class Index:
     def __init__(self, spark: SparkSession, path: str, config: EngineConfig, retain: float = RETAIN_SECONDS):
         self.spark, self.path, self.config, self.retain = spark, path.rstrip("/"), config, retain
-        self._jvm = spark._jvm
+        self._jvm, self._net = spark._jvm, (None, None)
         self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, path: str):
@@ -295,13 +295,32 @@ class Index:
         manifest = self.manifest()
         if wrong := sorted({d[0] for d in self._differing(manifest)} & {t.name for t in tables}):
             raise MappingChanged(f"{', '.join(wrong)}: stored with other fields than configured")
-        if not manifest["postings"]:
-            return score(self.documents(manifest), query, tables)
-        entries = manifest["tables"].values()
-        changed = [c for c in map(self._changed, entries) if c is not None]
-        touched = [t for t in map(self._touched, entries) if t is not None]
-        words, statistics = (self.spark.read.parquet(f"{manifest['postings']}/{part}") for part in ("words", "statistics"))
-        return score_postings(words, statistics, query, tables, union_documents(changed) if changed else None, reduce(DataFrame.union, touched) if touched else None)
+        postings, dropped = manifest["postings"], manifest.get("dropped", [])
+        if not postings or not self._fs.exists(self._at(f"{postings}/lengths")):  # none, or of an older layout
+            found = self.documents(manifest)
+            return score(empty_documents(self.spark) if found is None else found, query, tables)
+        changed = [c for c in map(self._changed, manifest["tables"].values()) if c is not None]
+        words = self.spark.read.parquet(f"{postings}/words").where(~F.col("source_table").isin(*dropped))
+        return score_postings(words, self._statistics(manifest), query, tables, union_documents(changed) if changed else None, self._all_touched(manifest))
+
+    def _all_touched(self, manifest: dict) -> DataFrame | None:
+        touched = [t for t in map(self._touched, manifest["tables"].values()) if t is not None]
+        return reduce(DataFrame.union, touched) if touched else None
+
+    def _statistics(self, manifest: dict) -> DataFrame:
+        """The stored sums of the paths without those of documents whose postings no longer count. They are kept for the next search of the same manifest: a row for each path."""
+        postings, dropped, touched = manifest["postings"], manifest.get("dropped", []), self._all_touched(manifest)
+        stored = self.spark.read.parquet(f"{postings}/statistics")
+        if touched is None and not dropped:
+            return stored
+        key = (postings, tuple(dropped), json.dumps([e["segments"] for _, e in sorted(manifest["tables"].items())]))
+        if self._net[0] != key:
+            lengths, of_dropped = self.spark.read.parquet(f"{postings}/lengths"), F.col("source_table").isin(*dropped)
+            gone = [lengths.where(of_dropped)]
+            if touched is not None:
+                gone.append(lengths.where(~of_dropped).join(touched, "document_id", "left_semi"))
+            self._net = key, without(stored, lengths_summed(union_documents(gone))).collect()
+        return self.spark.createDataFrame(self._net[1], stored.schema)
 
     def search(self, term: str, tables: list[str] | None = None) -> DataFrame:
         """Ranked hits of a term."""
@@ -319,7 +338,8 @@ class Index:
         base = f"{self.path}/postings/{uuid.uuid4().hex}"
         documents = self.documents({"tables": tables})
         build_postings(documents, list(self.config.tables)).write.parquet(f"{base}/words")
-        path_statistics(documents, list(self.config.tables)).write.parquet(f"{base}/statistics")
+        document_lengths(documents, list(self.config.tables)).write.parquet(f"{base}/lengths")
+        lengths_summed(self.spark.read.parquet(f"{base}/lengths")).coalesce(1).write.parquet(f"{base}/statistics")
         return base
 
     def _discard(self, *paths: str | None) -> None:
@@ -395,6 +415,8 @@ class Index:
                 for name, entry in before["tables"].items():
                     old = begun["tables"].get(name)
                     if old is None:  # new since then
+                        if entry["base"]:
+                            raise Moved(f"{name} was built meanwhile and isn't in these postings")
                         now[name] = entry
                         continue
                     n = len(old["segments"])
@@ -403,7 +425,7 @@ class Index:
                     now[name] = {**tables[name], "segments": entry["segments"][n:]}
                 if set(begun["tables"]) - set(now):
                     raise Moved("a table was dropped meanwhile")
-                return {**before, "tables": now, "postings": postings}
+                return {**before, "tables": now, "postings": postings, "dropped": []}
 
             postings = None
             try:
@@ -440,8 +462,15 @@ class Index:
         return newest / 1000
 
     def drop_table(self, table: str) -> dict:
-        """Without a table. Searches scan until the next compaction."""
-        return self.commit(lambda before: {**before, "tables": {k: v for k, v in before["tables"].items() if k != table}, "postings": None})
+        """Without a table. Its postings no longer count and go with the next compaction; searches of the others go on from postings."""
+
+        def drop(before: dict) -> dict | None:
+            if table not in before["tables"]:
+                return None
+            dropped = sorted({*before.get("dropped", []), table}) if before["postings"] else []
+            return {**before, "tables": {k: v for k, v in before["tables"].items() if k != table}, "dropped": dropped}
+
+        return self.commit(drop)
 
     def schema_differences(self) -> dict[str, list[str]]:
         """Per stored table what of its stored layout isn't that of documents built now: columns that are missing, added or of another type."""
@@ -476,7 +505,9 @@ class Draft:
                     raise Moved(f"{name} was replaced meanwhile")
                 now[name] = {**entry, "segments": [s for s in live["segments"] if s not in old["segments"]]}
             new = {n: e for n, e in before["tables"].items() if n not in self.begun["tables"] and n not in now}
-            return {**before, "tables": now | new, "postings": self.postings, "created_at": created_at}
+            if built := sorted(n for n, e in new.items() if e["base"]):
+                raise Moved(f"{', '.join(built)}: built meanwhile and not in these postings")
+            return {**before, "tables": now | new, "postings": self.postings, "dropped": [], "created_at": created_at}
 
         return self.index.commit(replace, lease)
 

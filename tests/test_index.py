@@ -83,6 +83,55 @@ def test_a_batch_writes_one_small_segment(spark, index):
     assert index.segments() == {"people": 0, "places": 0} and {(r.document_id, r.score) for r in index.hits(query, tables).collect()} == scanned
 
 
+def same_as_a_scan(index, *terms):
+    """The index's hits and scores, which are those of a scan of its live documents."""
+    tables, out = list(CONFIG.tables), []
+    for term in terms:
+        hits = {(r.document_id, r.score) for r in index.search(term).collect()}
+        assert hits == {(r.document_id, r.score) for r in Q.score(index.documents(), Q.plan(term, tables), tables).collect()}, term
+        out.append(len(hits))
+    return out
+
+
+def test_scores_are_those_of_the_live_documents(spark, index):
+    """Replaced, deleted and added documents, writes that are skipped and dropped tables: no compaction is needed."""
+    terms = ("stone", "ulm")
+    assert same_as_a_scan(index, "stone", "stone house") == [2, 1]
+    index.apply("people", docs(spark, [(1, "Stone of many words in a long name", "Stonetown", 20), (2, "Old", "x", 5), (3, "Stonewall", "Ulm", 1)]).withColumn("seq", F.lit(1).cast("long")))
+    assert same_as_a_scan(index, *terms)[0] == 4
+    index.apply("people", deleted=spark.createDataFrame([("people:1",), ("people:99",)], "document_id string"))
+    assert same_as_a_scan(index, *terms)[0] == 3
+    index.drop_table("places")
+    postings = index.manifest()["postings"]
+    assert postings and index.manifest()["dropped"] == ["places"] and same_as_a_scan(index, *terms) == [2, 1]
+    index.drop_table("nowhere")
+    again = build_documents(spark.createDataFrame([(1, "Stone hut"), (2, None)], "id int, name string"), PLACES)
+    index.apply("places", again.withColumn("seq", F.lit(1).cast("long")))
+    assert same_as_a_scan(index, *terms)[0] == 3
+    before = {(r.document_id, r.score) for r in index.search("stone").collect()}
+    index.compact()
+    now = index.manifest()
+    assert now["dropped"] == [] and now["postings"] != postings and same_as_a_scan(index, *terms)[0] == 3
+    assert before == {(r.document_id, r.score) for r in index.search("stone").collect()}
+    index.drop_table("people"), index.drop_table("places")
+    assert index.search("stone").count() == 0
+
+
+def test_postings_of_an_older_layout_are_not_read(spark, index):
+    index._discard(index.manifest()["postings"] + "/lengths")
+    assert same_as_a_scan(index, "stone") == [2]
+
+
+def test_a_table_built_meanwhile_is_not_left_without_postings(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"), CONFIG)
+    draft = index.draft()
+    draft.add("people", docs(spark, [(1, "Ada", "Bern", 10)]))
+    index.rebuild({"places": build_documents(spark.createDataFrame([(1, "Stone")], "id int, name string"), PLACES)})
+    with pytest.raises(Moved):
+        draft.finish()
+    assert index.search("stone").count() == 1
+
+
 def test_deleted_documents_come_back_with_any_version(spark, index):
     one = lambda name, v: docs(spark, [(1, name, "x", v)]).withColumn("seq", F.lit(0).cast("long"))
     index.apply("people", one("Old", 1))

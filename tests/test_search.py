@@ -79,6 +79,35 @@ def test_pages(docs):
     assert one.has_more and not two.has_more and one.total == two.total == 4
 
 
+def test_a_page_is_evaluated_once(spark, docs):
+    """Its rows are there: nothing of the index is read again."""
+    rows = search.execute(docs, search.Request("widget", limit=2), CONFIG).rows
+    assert "InMemoryTableScan" not in rows._jdf.queryExecution().toString() and [r.record_id for r in rows.collect()]
+    none = search.execute(docs, search.Request("zzzz"), CONFIG)
+    assert (none.total, none.has_more, none.rows.count()) == (0, False, 0)
+    for term in ("!!", ""):
+        empty = search.execute(docs, search.Request(term), EngineConfig(tables=CONFIG.tables, min_term=1))
+        assert (empty.total, empty.has_more, empty.rows.count()) == (0, False, 0)
+    assert search.execute(docs.limit(0), search.Request("widget"), CONFIG).total == 0
+    past = search.execute(docs, search.Request("widget", offset=50), CONFIG)
+    assert past.total == 4 and not past.has_more and past.rows.count() == 0
+
+
+def test_fields_of_hits_are_highlighted(spark):
+    long = "x" * 300 + " blue " + "word " * 60
+    closed = TableConfig("closed", "id", (FieldConfig("name"), FieldConfig("secret"), FieldConfig("notes", in_snippet=False)), protected=frozenset({"secret"}))
+    rows = spark.createDataFrame([(1, "Blue and BLUEST", "blue", long), (2, "red", None, "comes in blue and green"), (3, "red", "blue", None)], "id int, name string, secret string, notes string")
+    docs = build_documents(rows, closed)
+    page = docs.select("document_id", "record_id").where("record_id <> '4'")
+    found = {r.record_id: {h.field: (h.fragment, [(x.start, x.end) for x in h.ranges]) for h in r.highlights} for r in search.highlighted(page, docs, " blue ", [closed]).collect()}
+    assert found["1"]["name"] == ("Blue and BLUEST", [(0, 4), (9, 15)]) and set(found["1"]) == {"name", "notes"}
+    piece, ranges = found["1"]["notes"]
+    assert len(piece) <= 160 and [piece[a:b] for a, b in ranges] == ["blue"]
+    assert found["2"] == {"notes": ("comes in blue and green", [(9, 13)])} and found["3"] == {}
+    assert search.highlighted(page, docs.limit(0), "blue", [closed]).where("size(highlights) = 0").count() == 3
+    assert search.highlighted(page, docs, "!", []).where("size(highlights) = 0").count() == 3
+
+
 def test_requests_are_bounded():
     bounds = search.check(search.Request("  x  "), CONFIG)
     assert bounds.empty and bounds.term == "x"
