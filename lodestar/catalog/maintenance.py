@@ -399,6 +399,40 @@ def mapping_differences(spark, sf_dir):
     return Index(spark, index.path, EngineConfig(tables=(after,))).mapping_differences().join(index.count().withColumnsRenamed({"source_table": "table_name", "count": "documents"}), "table_name")
 
 
+@query(
+    "mapping_extended",
+    "SELECT 'part:' || CAST(p_partkey AS VARCHAR) AS document_id, CAST(2 AS BIGINT) AS postings, CAST(0 AS BIGINT) AS differences FROM part WHERE list_contains(string_split(lower(p_brand), ' '), 'brand#13') OR list_contains(regexp_extract_all(lower(p_brand), '[a-z]+|[0-9]+'), '13')",
+)
+def mapping_extended(spark, sf_dir):
+    """A stored index of all parts that takes in the brand as a field of its own; only the new field's postings are written, and a search finds stored parts by it."""
+    before = TableConfig("part", "p_partkey", (FieldConfig("p_name"), FieldConfig("p_type")))
+    after = TableConfig("part", "p_partkey", (*before.fields, FieldConfig("p_brand", role=Role.KEYWORD)))
+    rows = load(spark, sf_dir, "part")
+    index, _ = _process(spark, before)
+    index.rebuild({"part": build_documents(rows, before)})
+    index = Index(spark, index.path, EngineConfig(tables=(after,)))
+    stored = index.extend(build_documents(rows, after), "part")["tables"]["part"]
+    return index.search("13").select("document_id", F.lit(len(stored["postings"])).cast("long").alias("postings"), F.lit(index.mapping_differences().count()).cast("long").alias("differences"))
+
+
+@query(
+    "segments_merged",
+    "WITH e AS (SELECT user_id, event_id, event_type, event_id % 12 AS batch FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY batch DESC, event_id DESC) AS k FROM e) SELECT 'user:' || CAST(user_id AS VARCHAR) AS document_id, event_type AS record_label, true AS fewer FROM r WHERE k = 1 AND NOT (batch < 11 AND user_id % 7 = 3)",
+)
+def segments_merged(spark, sf_dir):
+    """All events as twelve batches of writes of their users, of which the last deletes some users that it doesn't write; merged as they come."""
+    table = TableConfig("user", "user_id", (FieldConfig("event_type", role=Role.TITLE),))
+    index, _ = _process(spark, table)
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    for k in range(12):
+        batch = rows.where(F.col("event_id") % 12 == k)
+        writes = build_documents(batch.withColumnRenamed("event_id", "seq"), table, carried=("seq",))
+        deletes = build_documents(rows.where("user_id % 7 = 3").join(batch, "user_id", "left_anti"), table) if k == 11 else None
+        index.apply("user", writes, deletes)
+        index.merge_segments("user")
+    return index.documents().select("document_id", "record_label", F.lit(index.segments()["user"] < 12).alias("fewer"))
+
+
 _BAD = "CASE WHEN event_id % 97 = 3 THEN 'ts is no timestamp' WHEN event_id % 89 = 5 THEN 'larger than 4096 bytes' END"
 
 

@@ -43,9 +43,9 @@ def _words(path: Path) -> Column:
     return F.filter(words, lambda w: F.length(w) >= T.MIN_GRAM) if path.analyzer is Analyzer.PREFIX else words
 
 
-def build_postings(documents: DataFrame, tables: list[TableConfig]) -> DataFrame:
-    """The postings of all paths, range-partitioned and sorted by path and word."""
-    paths = paths_of(tables)
+def build_postings(documents: DataFrame, tables: list[TableConfig], paths: list[Path] | None = None) -> DataFrame:
+    """The postings of ``paths`` (left out: of all), range-partitioned and sorted by path and word."""
+    paths = paths_of(tables) if paths is None else paths
     lists = F.array(*[F.struct(F.lit(path_name(p)).alias("path"), _words(p).alias("words")) for p in paths])
     each = with_allowed_text(documents, tables).select(*HIT, F.explode(lists).alias("p")).where(F.size("p.words") > 0)
     # Counted within each document's sorted words, so the only shuffle is the one by range. The document is part of the
@@ -66,9 +66,10 @@ def _counted(sorted_words: Column) -> Column:
     return F.transform(F.array(sorted_words), of)[0]
 
 
-def document_lengths(documents: DataFrame, tables: list[TableConfig]) -> DataFrame:
-    """Per document the lengths of its paths that have words: document_id, source_table, lengths."""
-    lists = F.array(*[F.struct(F.lit(path_name(p)).alias("path"), F.size(_words(p)).alias("dl")) for p in paths_of(tables)])
+def document_lengths(documents: DataFrame, tables: list[TableConfig], paths: list[Path] | None = None) -> DataFrame:
+    """Per document the lengths of its paths (left out: of all) that have words: document_id, source_table, lengths."""
+    paths = paths_of(tables) if paths is None else paths
+    lists = F.array(*[F.struct(F.lit(path_name(p)).alias("path"), F.size(_words(p)).alias("dl")) for p in paths])
     return with_allowed_text(documents, tables).select("document_id", "source_table", F.filter(lists, lambda p: p["dl"] > 0).alias("lengths"))
 
 

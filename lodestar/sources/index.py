@@ -4,9 +4,14 @@ A table has a base, a folder of documents, and segments: each applied batch adds
 small folder of writes and one of deletes and touches nothing else. Readers resolve
 them (the last delete and the newest version of a document count) for the documents
 that segments name; the base's other documents pass through without a shuffle.
-``compact`` writes a new base. Postings belong to the bases; a search reads them and scans the
-segments' documents only. Its statistics are those of the live documents: what replaced and deleted documents, and
-dropped tables, have in the stored sums is taken off, once for a manifest and from narrow rows of lengths.
+``merge_segments`` folds small segments into larger ones as they add up, so that of a long row of batches few are left and
+each is written a few times; ``compact`` writes a new base. Postings belong to a table's base and are replaced with it, so the
+work of one table never rewrites another's; a search reads them and scans the segments' documents only, and all
+documents of a table that has no postings. Its statistics are those of the live documents: what replaced and
+deleted documents have in the stored sums is taken off, once for a manifest and from narrow rows of lengths.
+
+``extend`` adds fields outside the snippet to a stored table: their values and postings are written beside the base,
+which stays as it is until the next compaction takes them in.
 
 A manifest is a file of the next number that is created only if it isn't there, so of two
 writers one is told that it has moved. A writer states its change as a function of the live manifest and
@@ -32,21 +37,29 @@ from datetime import datetime, timedelta
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.documents import empty_documents, union_documents
+from ..operators.documents import MAPS, empty_documents, union_documents
 from ..operators.maintain import resolve_versions
-from ..operators.postings import build_postings, document_lengths, lengths_summed, score_postings, without
-from ..operators.query import Plan, plan, score
-from ..plans.config import EngineConfig, TableConfig
+from ..operators.postings import SCHEMA, build_postings, document_lengths, lengths_summed, score_postings, without
+from ..operators.query import HIT, Path, Plan, plan, score
+from ..plans.config import EngineConfig, Role, TableConfig
 
-MAPPING_VERSION = 2
+MAPPING_VERSION = 3
 RETAIN_SECONDS = 3600.0
 
 
 #: Times that a commit is tried on newer manifests, and that a compaction is done again.
 ATTEMPTS, COMPACTIONS = 100, 3
+#: A segment is merged with those behind it once they hold this many times its bytes.
+GROWTH = 4
+#: Seconds after which a replacement of tables that merges wait for is taken for dead.
+HOLD_SECONDS = 86400.0
+#: Roles of fields that only their own clauses look into; others are part of what a stored document shows.
+OWN_ROLES = (Role.BODY, Role.KEYWORD, Role.EXACT)
+LENGTHS = "document_id string, source_table string, lengths array<struct<path:string,dl:int>>"
+STATISTICS = "path string, n long, total long"
 
 
 class Moved(RuntimeError):
@@ -94,7 +107,7 @@ class Index:
         while True:
             numbers = self._numbers()
             if not numbers:
-                return {"version": 0, "mapping": MAPPING_VERSION, "tables": {}, "postings": None, "created_at": None, "retired": []}
+                return {"version": 0, "mapping": MAPPING_VERSION, "tables": {}, "created_at": None, "retired": []}
             try:
                 return self._read(self._file(numbers[-1]))
             except Py4JJavaError:
@@ -211,8 +224,11 @@ class Index:
     @staticmethod
     def _paths(manifest: dict) -> set[str]:
         tables = manifest["tables"].values()
-        segments = [p for t in tables for s in t["segments"] for p in (s["writes"], s["deletes"])]
-        return {p for p in (*(t["base"] for t in tables), *segments, manifest["postings"]) if p}
+        segments = [s for t in tables for s in t["segments"]]
+        parts = [p for s in segments for p in (s["writes"], s["deletes"], s.get("first"))]
+        added = [p for e in (*tables, *segments) for p in e.get("added", [])]
+        postings = [p for t in tables for p in t.get("postings", [])]
+        return {p for p in (*(t["base"] for t in tables), *parts, *added, *postings, manifest.get("postings")) if p}
 
     def _mapping(self, name: str) -> dict[str, str] | None:
         """How the configured fields of a table are analyzed and placed, which its documents and postings follow; None for tables that aren't configured. Weights are no part of it."""
@@ -241,40 +257,58 @@ class Index:
 
     # Reading.
 
-    def _segments(self, entry: dict) -> tuple[DataFrame | None, DataFrame | None]:
-        """All writes of a table's segments with their place (segment, seq), and per deleted document the last segment that deleted it."""
-        numbered = [(i, s) for i, s in enumerate(entry["segments"])]
-        writes = [self.spark.read.parquet(s["writes"]).withColumn("__segment", F.lit(i)) for i, s in numbered if s["writes"]]
-        deletes = [self.spark.read.parquet(s["deletes"]).withColumn("__segment", F.lit(i)) for i, s in numbered if s["deletes"]]
+    def _part(self, path: str, owner: dict) -> DataFrame:
+        """Stored documents with the values of fields that were added to the table since they were written (``owner["added"]``)."""
+        rows = self.spark.read.parquet(path)
+        for added in owner.get("added", []):
+            values = self.spark.read.parquet(added).select("document_id", *[F.col(m).alias(f"__{m}") for m in MAPS.values()])
+            rows = rows.join(values, "document_id", "left").withColumns({m: self._with_added(m) for m in MAPS.values()}).drop(*(f"__{m}" for m in MAPS.values()))
+        return rows
+
+    @staticmethod
+    def _with_added(name: str) -> Column:
+        """A map of values with the entries that were added to it; a document's own entry counts."""
+        own, more = F.col(name), F.col(f"__{name}")
+        both = F.map_concat(own, F.map_filter(more, lambda k, _: ~F.array_contains(F.map_keys(own), k)))
+        return F.when(more.isNull(), own).when(own.isNull(), more).otherwise(both)
+
+    def _segments(self, segments: list[dict]) -> tuple[DataFrame | None, DataFrame | None]:
+        """All writes of segments with their place (__segment, seq), and per deleted document the place of the last delete, which holds for the writes up to it."""
+        writes = [self._part(s["writes"], s).withColumn("__segment", F.lit(2 * i + 1)) for i, s in enumerate(segments) if s["writes"]]
+        deletes = [self.spark.read.parquet(s[kind]).withColumn("__segment", F.lit(2 * i + late)) for i, s in enumerate(segments) for kind, late in (("first", 0), ("deletes", 1)) if s.get(kind)]
         gone = union_documents(deletes).groupBy("document_id").agg(F.max("__segment").alias("__gone")) if deletes else None
         return (union_documents(writes) if writes else None), gone
 
     def _touched(self, entry: dict) -> DataFrame | None:
         """Ids that the segments of a table name."""
-        writes, gone = self._segments(entry)
-        parts = [f.select("document_id") for f in (writes, gone) if f is not None]
-        return reduce(DataFrame.union, parts).distinct() if parts else None
+        ids = [s[kind] for s in entry["segments"] for kind in ("first", "writes", "deletes") if s.get(kind)]
+        return reduce(DataFrame.union, [self.spark.read.parquet(p).select("document_id") for p in ids]).distinct() if ids else None
+
+    @staticmethod
+    def _not_deleted(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+        return rows if gone is None else rows.join(gone, "document_id", "left").where("__gone is null or __segment > __gone").drop("__gone")
+
+    @staticmethod
+    def _last(rows: DataFrame) -> DataFrame:
+        """One order over all segments: a batch's own order within it."""
+        return resolve_versions(rows.withColumn("seq", F.struct("__segment", "seq")).drop("__segment")).drop("seq")
 
     def _changed(self, entry: dict) -> DataFrame | None:
         """The live documents among those that the segments of a table name; versions are compared with the base's."""
-        writes, gone = self._segments(entry)
+        writes, gone = self._segments(entry["segments"])
         if writes is None:
             return None
         rows = writes
         if entry["base"]:
-            base = self.spark.read.parquet(entry["base"]).join(self._touched(entry), "document_id", "left_semi")
+            base = self._part(entry["base"], entry).join(self._touched(entry), "document_id", "left_semi")
             rows = base.withColumns({"seq": F.lit(-1).cast("long"), "__segment": F.lit(-1)}).unionByName(writes, allowMissingColumns=True)
-        if gone is not None:
-            rows = rows.join(gone, "document_id", "left").where("__gone is null or __segment > __gone").drop("__gone")
-        # One order over all segments: a batch's own order within it.
-        placed = rows.withColumn("seq", F.struct("__segment", "seq")).drop("__segment")
-        return resolve_versions(placed).drop("seq")
+        return self._last(self._not_deleted(rows, gone))
 
     def _live(self, entry: dict) -> DataFrame:
         changed, touched = self._changed(entry), self._touched(entry)
         if not entry["base"]:
             return changed
-        base = self.spark.read.parquet(entry["base"])
+        base = self._part(entry["base"], entry)
         kept = base if touched is None else base.join(touched, "document_id", "left_anti")
         return kept if changed is None else kept.unionByName(changed, allowMissingColumns=True)
 
@@ -295,32 +329,38 @@ class Index:
         manifest = self.manifest()
         if wrong := sorted({d[0] for d in self._differing(manifest)} & {t.name for t in tables}):
             raise MappingChanged(f"{', '.join(wrong)}: stored with other fields than configured")
-        postings, dropped = manifest["postings"], manifest.get("dropped", [])
-        if not postings or not self._fs.exists(self._at(f"{postings}/lengths")):  # none, or of an older layout
+        entries = list(manifest["tables"].values())
+        stored = [e for e in entries if self._has_postings(e)]
+        if not stored:
             found = self.documents(manifest)
             return score(empty_documents(self.spark) if found is None else found, query, tables)
-        changed = [c for c in map(self._changed, manifest["tables"].values()) if c is not None]
-        words = self.spark.read.parquet(f"{postings}/words").where(~F.col("source_table").isin(*dropped))
-        return score_postings(words, self._statistics(manifest), query, tables, union_documents(changed) if changed else None, self._all_touched(manifest))
+        scanned = [c for c in (self._changed(e) if e in stored else self._live(e) for e in entries) if c is not None]
+        words = self._postings_of(stored, "words", SCHEMA)
+        return score_postings(words, self._statistics(stored), query, tables, union_documents(scanned) if scanned else None, self._all_touched(stored))
+
+    def _has_postings(self, entry: dict) -> bool:
+        """Whether postings of this layout are stored for a table's base."""
+        runs = entry.get("postings", [])
+        return bool(runs) and all(self._fs.exists(self._at(f"{r}/lengths")) for r in runs)
+
+    def _postings_of(self, entries: list[dict], kind: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{r}/{kind}" for e in entries for r in e["postings"]])
 
-    def _all_touched(self, manifest: dict) -> DataFrame | None:
-        touched = [t for t in map(self._touched, manifest["tables"].values()) if t is not None]
+    def _all_touched(self, entries: list[dict]) -> DataFrame | None:
+        touched = [t for t in map(self._touched, entries) if t is not None]
         return reduce(DataFrame.union, touched) if touched else None
 
-    def _statistics(self, manifest: dict) -> DataFrame:
-        """The stored sums of the paths without those of documents whose postings no longer count. They are kept for the next search of the same manifest: a row for each path."""
-        postings, dropped, touched = manifest["postings"], manifest.get("dropped", []), self._all_touched(manifest)
-        stored = self.spark.read.parquet(f"{postings}/statistics")
-        if touched is None and not dropped:
-            return stored
-        key = (postings, tuple(dropped), json.dumps([e["segments"] for _, e in sorted(manifest["tables"].items())]))
+    def _statistics(self, entries: list[dict]) -> DataFrame:
+        """The stored sums of the paths without those of documents whose postings no longer count. They are kept for the next search of the same tables: a row for each path."""
+        key = json.dumps([[e["postings"], e["segments"]] for e in entries])
         if self._net[0] != key:
-            lengths, of_dropped = self.spark.read.parquet(f"{postings}/lengths"), F.col("source_table").isin(*dropped)
-            gone = [lengths.where(of_dropped)]
+            sums = self._postings_of(entries, "statistics", STATISTICS).groupBy("path").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+            touched = self._all_touched(entries)
             if touched is not None:
-                gone.append(lengths.where(~of_dropped).join(touched, "document_id", "left_semi"))
-            self._net = key, without(stored, lengths_summed(union_documents(gone))).collect()
-        return self.spark.createDataFrame(self._net[1], stored.schema)
+                gone = self._postings_of(entries, "lengths", LENGTHS).join(touched, "document_id", "left_semi")
+                sums = without(sums, lengths_summed(gone))
+            self._net = key, sums.collect()
+        return self.spark.createDataFrame(self._net[1], STATISTICS)
 
     def search(self, term: str, tables: list[str] | None = None) -> DataFrame:
         """Ranked hits of a term."""
@@ -335,17 +375,33 @@ class Index:
         return path
 
     def _postings(self, tables: dict[str, dict]) -> str:
+        """Postings of the live documents of tables, as new files."""
+        return self._write_postings(self.documents({"tables": tables}))
+
+    def _write_postings(self, documents: DataFrame, paths: list[Path] | None = None) -> str:
         base = f"{self.path}/postings/{uuid.uuid4().hex}"
-        documents = self.documents({"tables": tables})
-        build_postings(documents, list(self.config.tables)).write.parquet(f"{base}/words")
-        document_lengths(documents, list(self.config.tables)).write.parquet(f"{base}/lengths")
-        lengths_summed(self.spark.read.parquet(f"{base}/lengths")).coalesce(1).write.parquet(f"{base}/statistics")
+        build_postings(documents, list(self.config.tables), paths).write.parquet(f"{base}/words")
+        document_lengths(documents, list(self.config.tables), paths).write.parquet(f"{base}/lengths")
+        lengths_summed(self.spark.read.schema(LENGTHS).parquet(f"{base}/lengths")).coalesce(1).write.parquet(f"{base}/statistics")
         return base
 
+    def _bytes(self, *paths: str | None) -> int:
+        return sum(self._fs.getContentSummary(self._at(p)).getLength() for p in paths if p)
+
     def _discard(self, *paths: str | None) -> None:
         for path in filter(None, paths):
             self._fs.delete(self._at(path), True)
 
+    def _hold(self) -> str:
+        """While this file is there, the segments that there are now aren't merged, so that a replacement of their table doesn't meet others at its end."""
+        path = f"{self.path}/holds/{uuid.uuid4().hex}.json"
+        self._create(path, b"{}")
+        return path
+
+    def _held(self) -> bool:
+        at = self._at(f"{self.path}/holds")
+        return self._fs.exists(at) and any(f.getModificationTime() / 1000 > time.time() - HOLD_SECONDS for f in self._fs.listStatus(at))
+
     def draft(self) -> Draft:
         """Begins a new generation of tables."""
         return Draft(self)
@@ -375,7 +431,8 @@ class Index:
             "writes": None if writes is None else self._write(writes, f"{table}/writes"),
             "deletes": None if deleted is None else self._write(deleted.select("document_id").distinct(), f"{table}/deletes"),
         }
-        used = False
+        paths, used = tuple(segment.values()), False
+        segment["bytes"] = self._bytes(*paths)
 
         def add(before: dict) -> dict | None:
             nonlocal used
@@ -393,61 +450,161 @@ class Index:
             raise
         finally:
             if not used:
-                self._discard(*segment.values())
+                self._discard(*paths)
 
     def segments(self) -> dict[str, int]:
         """How many segments each table has; many of them make reading slow and compaction due."""
         return {name: len(entry["segments"]) for name, entry in self.manifest()["tables"].items()}
 
-    def compact(self, lease: Lease | None = None) -> dict:
-        """New bases without the segments there are now, and postings that are exact again. Segments added meanwhile stay behind them; if a table was replaced meanwhile, all is done again."""
-        for _ in range(COMPACTIONS):
-            begun, made = self.manifest(), []
+    def merge_segments(self, table: str, lease: Lease | None = None) -> dict:
+        """Folds a table's newest segments into one where those behind a segment hold ``GROWTH`` times its bytes.
 
-            def base(name: str, entry: dict) -> dict:
-                if not entry["segments"]:
-                    return entry
-                made.append(self._write(self._live(entry), name))
-                return {**entry, "base": made[-1], "segments": []}
+        Whatever is merged becomes several times larger, so a row of n batches leaves some log n segments and writes each batch
+        some log n times, and neither the base nor its postings are read. A merged segment deletes first and writes then: it
+        holds the last write of each document, and takes the stored one away where a write without a version has replaced it.
+        While a rebuild, a compaction or an extension is under way, nothing is merged.
+        """
+        for _ in range(COMPACTIONS):
+            begun = self.manifest()
+            if self._held():
+                return begun
+            entry = begun["tables"].get(table, {"segments": []})
+            segments = entry["segments"]
+            size = [s.get("bytes", 0) for s in segments]
+            at = next((i for i in range(len(segments) - 1) if sum(size[i + 1 :]) >= GROWTH * size[i]), None)
+            if at is None:
+                return begun
+            # Rows of segments with other added fields are extended by other files; only those that are alike are merged.
+            while at < len(segments) and segments[at].get("added") != segments[-1].get("added"):
+                at += 1
+            old = segments[at:]
+            if len(old) < 2:
+                return begun
+            writes, gone = self._segments([{**s, "added": []} for s in old])
+            first = [gone.select("document_id")] if gone is not None else []
+            if writes is not None:
+                first.append(writes.where("version is null").select("document_id"))
+            new = {
+                "writes": None if writes is None else self._write(self._last(self._not_deleted(writes, gone)).withColumn("seq", F.lit(0).cast("long")), f"{table}/writes"),
+                "deletes": None,
+                "first": self._write(reduce(DataFrame.union, first).distinct(), f"{table}/deletes"),
+            }
+            paths = tuple(new.values())
+            new |= {"bytes": self._bytes(*paths)} | ({"added": old[0]["added"]} if "added" in old[0] else {})
 
             def replace(before: dict) -> dict:
-                now = {}
-                for name, entry in before["tables"].items():
-                    old = begun["tables"].get(name)
-                    if old is None:  # new since then
-                        if entry["base"]:
-                            raise Moved(f"{name} was built meanwhile and isn't in these postings")
-                        now[name] = entry
-                        continue
-                    n = len(old["segments"])
-                    if entry["base"] != old["base"] or entry["segments"][:n] != old["segments"]:
-                        raise Moved(f"{name} was replaced meanwhile")
-                    now[name] = {**tables[name], "segments": entry["segments"][n:]}
-                if set(begun["tables"]) - set(now):
-                    raise Moved("a table was dropped meanwhile")
-                return {**before, "tables": now, "postings": postings, "dropped": []}
-
-            postings = None
+                now = before["tables"].get(table, {"base": None, "segments": []})
+                if now["base"] != entry["base"] or now["segments"][at : len(segments)] != old:
+                    raise Moved(f"{table} was replaced or compacted meanwhile")
+                return {**before, "tables": {**before["tables"], table: {**now, "segments": [*now["segments"][:at], new, *now["segments"][len(segments) :]]}}}
+
             try:
-                tables = {name: base(name, entry) for name, entry in begun["tables"].items()}
-                postings = self._postings(tables) if tables else None
                 return self.commit(replace, lease)
             except Moved:
-                self._discard(*made, postings)
+                self._discard(*paths)
+            except Exception:
+                self._discard(*paths)
+                raise
+        raise Moved(f"{table} was replaced during each of {COMPACTIONS} merges")
+
+    def compact(self, lease: Lease | None = None, tables: list[str] | None = None) -> dict:
+        """New bases and postings for tables that have segments or added fields. Each table is committed by itself and no other is read or written. Segments added meanwhile stay behind; if a table was replaced meanwhile, it is done again."""
+        hold = self._hold()
+        try:
+            for name in sorted(self.manifest()["tables"]) if tables is None else tables:
+                self._compact(name, lease)
+            return self.commit(lambda _: None, lease)
+        finally:
+            self._discard(hold)
+
+    def _compact(self, table: str, lease: Lease | None) -> None:
+        for _ in range(COMPACTIONS):
+            old, base, postings = self.manifest()["tables"].get(table), None, None
+            if old is None or not (old["segments"] or old.get("added") or (old["base"] and not self._has_postings(old))):
+                return
+
+            def replace(before: dict) -> dict:
+                now, n = before["tables"].get(table), len(old["segments"])
+                if now is None:
+                    raise Moved(f"{table} was dropped meanwhile")
+                if now["base"] != old["base"] or now.get("added") != old.get("added") or now["segments"][:n] != old["segments"]:
+                    raise Moved(f"{table} was replaced meanwhile")
+                return {**before, "tables": {**before["tables"], table: {**new, "fields": now.get("fields"), "segments": now["segments"][n:]}}}
+
+            try:
+                base = self._write(self._live(old), table)
+                postings = self._postings({table: {"base": base, "segments": []}})
+                new = {"base": base, "postings": [postings]}
+                self.commit(replace, lease)
+                return
+            except Moved:
+                self._discard(base, postings)
             except Exception:
-                self._discard(*made, postings)
+                self._discard(base, postings)
                 raise
-        raise Moved(f"tables were replaced during each of {COMPACTIONS} compactions")
+        raise Moved(f"{table} was replaced during each of {COMPACTIONS} compactions")
+
+    def extend(self, documents: DataFrame, table: str, lease: Lease | None = None) -> dict:
+        """Adds the configured fields that a stored table lacks, from documents of its rows as they are built now. Only the new fields' values and postings are written.
+
+        The fields must be searched by their own clauses alone: one that is part of the snippet or of what a hit shows needs a
+        rebuild, and so does any other difference (``MappingChanged``). Documents that segments bring later have the fields
+        already. Documents whose rows are gone keep none.
+        """
+        hold = self._hold()
+        try:
+            return self._extend(documents, table, lease)
+        finally:
+            self._discard(hold)
+
+    def _extend(self, documents: DataFrame, table: str, lease: Lease | None) -> dict:
+        config = self.config.table(table)
+        for _ in range(COMPACTIONS):
+            entry = self.manifest()["tables"][table]
+            stored, now = entry.get("fields") or {}, self._mapping(table) or {}
+            new = [f for f in config.indexed_fields if f.name not in stored] if config else []
+            if {**now, **stored} != now or any(f.snippet or f.role not in OWN_ROLES for f in new):
+                raise MappingChanged(f"{table}: fields were changed or removed, or added to what all tables are searched by or a hit shows")
+            if not new:
+                return self.manifest()
+            names = [f.name for f in new]
+            only = {m: F.map_filter(m, lambda k, _: k.isin(*names)) for m in MAPS.values()}
+            held = reduce(lambda a, b: a | b, [F.coalesce(F.size(m) > 0, F.lit(False)) for m in MAPS.values()])
+            values = postings = None
+            try:
+                values = self._write(documents.select("document_id", *[c.alias(m) for m, c in only.items()]).where(held), f"{table}/added")
+                if entry["base"]:
+                    hits = self.spark.read.parquet(entry["base"]).select(*HIT)
+                    found = hits.join(self.spark.read.parquet(values), "document_id").withColumn("searchable_text", F.lit(None).cast("string"))
+                    postings = self._write_postings(found, [Path(f.name, f.resolved_analyzer) for f in new])
+
+                def add(before: dict) -> dict:
+                    live, n = before["tables"].get(table), len(entry["segments"])
+                    if live is None or live["base"] != entry["base"] or live.get("fields") != entry.get("fields") or live["segments"][:n] != entry["segments"]:
+                        raise Moved(f"{table} was replaced meanwhile")
+                    older = [{**s, "added": [*s.get("added", []), values]} for s in live["segments"][:n]]
+                    grown = {**live, "fields": now, "segments": [*older, *live["segments"][n:]]}
+                    if entry["base"]:
+                        grown |= {"added": [*live.get("added", []), values], "postings": [*live.get("postings", []), postings] if live.get("postings") else []}
+                    return {**before, "tables": {**before["tables"], table: grown}}
+
+                return self.commit(add, lease)
+            except Moved:
+                self._discard(values, postings)
+            except Exception:
+                self._discard(values, postings)
+                raise
+        raise Moved(f"{table} was replaced during each of {COMPACTIONS} extensions")
 
     def vacuum(self) -> list[str]:
         """Deletes folders that no manifest names and nobody has written to for ``retain`` seconds: what processes that died have left. Returns their paths."""
         manifest, gone = self.manifest(), []
         kept = {self._at(p).toUri().getPath() for p in (*self._paths(manifest), *(r["path"] for r in manifest["retired"]))}
-        for pattern in ("tables/*/*", "tables/*/writes/*", "tables/*/deletes/*", "postings/*", "drafts/*"):
+        for pattern in ("tables/*/*", "tables/*/writes/*", "tables/*/deletes/*", "tables/*/added/*", "postings/*", "drafts/*"):
             for found in self._fs.globStatus(self._at(f"{self.path}/{pattern}")) or []:
                 path = found.getPath()
                 place = path.toUri().getPath()
-                if place in kept or any(k.startswith(f"{place}/") for k in kept) or pattern == "tables/*/*" and path.getName() in ("writes", "deletes"):
+                if place in kept or any(k.startswith(f"{place}/") for k in kept) or pattern == "tables/*/*" and path.getName() in ("writes", "deletes", "added"):
                     continue
                 if self._last_written(path) <= time.time() - self.retain:
                     self._fs.delete(path, True)
@@ -462,13 +619,12 @@ class Index:
         return newest / 1000
 
     def drop_table(self, table: str) -> dict:
-        """Without a table. Its postings no longer count and go with the next compaction; searches of the others go on from postings."""
+        """Without a table and its postings; the others' stay as they are."""
 
         def drop(before: dict) -> dict | None:
             if table not in before["tables"]:
                 return None
-            dropped = sorted({*before.get("dropped", []), table}) if before["postings"] else []
-            return {**before, "tables": {k: v for k, v in before["tables"].items() if k != table}, "dropped": dropped}
+            return {**before, "tables": {k: v for k, v in before["tables"].items() if k != table}}
 
         return self.commit(drop)
 
@@ -488,29 +644,41 @@ class Draft:
     """A generation of tables that is being written beside the live one."""
 
     def __init__(self, index: Index):
-        self.index, self.begun, self.tables, self.postings = index, index.manifest(), {}, None
+        self.index, self.hold, self.tables = index, index._hold(), {}
+        self.begun = index.manifest()
 
     def add(self, name: str, documents: DataFrame) -> None:
-        self.tables[name] = {"base": self.index._write(documents, name), "segments": [], "fields": self.index._mapping(name)}
+        self.tables[name] = {"base": self.index._write(documents, name), "segments": [], "fields": self.index._mapping(name), "postings": []}
 
     def finish(self, created_at: str | None = None, lease: Lease | None = None) -> dict:
         """Swaps the tables in. A table's segments that were added since the beginning stay behind its new base; tables that are new since then stay as they are."""
-        self.postings = self.index._postings(self.tables)
+        try:
+            for name, entry in self.tables.items():
+                entry["postings"] = [self.index._postings({name: {"base": entry["base"], "segments": []}})]
+            return self._swapped(created_at, lease)
+        finally:
+            self.index._discard(self.hold)
 
+    def _swapped(self, created_at: str | None, lease: Lease | None) -> dict:
         def replace(before: dict) -> dict:
             now = {}
             for name, entry in self.tables.items():
                 old, live = (m["tables"].get(name, {"base": None, "segments": []}) for m in (self.begun, before))
                 if live["base"] != old["base"]:
                     raise Moved(f"{name} was replaced meanwhile")
-                now[name] = {**entry, "segments": [s for s in live["segments"] if s not in old["segments"]]}
+                now[name] = {**entry, "segments": self._later(name, old["segments"], live["segments"])}
             new = {n: e for n, e in before["tables"].items() if n not in self.begun["tables"] and n not in now}
-            if built := sorted(n for n, e in new.items() if e["base"]):
-                raise Moved(f"{', '.join(built)}: built meanwhile and not in these postings")
-            return {**before, "tables": now | new, "postings": self.postings, "dropped": [], "created_at": created_at}
+            return {**{k: v for k, v in before.items() if k not in ("postings", "dropped")}, "tables": now | new, "created_at": created_at}
 
         return self.index.commit(replace, lease)
 
+    @staticmethod
+    def _later(name: str, old: list[dict], live: list[dict]) -> list[dict]:
+        """Segments that were added since the beginning."""
+        if live[: len(old)] == old:
+            return live[len(old) :]
+        raise Moved(f"segments of {name} were merged meanwhile")
+
     def discard(self) -> None:
         """Deletes what was written."""
-        self.index._discard(*(e["base"] for e in self.tables.values()), self.postings)
+        self.index._discard(self.hold, *(e["base"] for e in self.tables.values()), *(p for e in self.tables.values() for p in e["postings"]))
