@@ -433,6 +433,55 @@ def segments_merged(spark, sf_dir):
     return index.documents().select("document_id", "record_label", F.lit(index.segments()["user"] < 12).alias("fewer"))
 
 
+@query(
+    "index_row_bookkeeping",
+    f"""WITH r AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN 'FULL' ELSE 'PULL' END || ' ' || CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS last_run, CASE WHEN event_type = 'error' THEN 'at ' || CAST(event_id AS VARCHAR) END AS last_error FROM events WHERE event_id % 4 <> 1),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, last_run DESC, last_error DESC NULLS LAST) AS k FROM r),
+s AS (SELECT ts, last_run FROM (SELECT ts, 'FULL COMPLETED' AS last_run FROM events WHERE event_id % 400 = 1) x ORDER BY ts DESC LIMIT 1)
+SELECT 't' || CAST(c_custkey AS VARCHAR) AS table_name, CASE WHEN s.ts > coalesce(a.ts, TIMESTAMP '1900-01-01') THEN s.last_run ELSE a.last_run END AS last_run, CASE WHEN s.ts > coalesce(a.ts, TIMESTAMP '1900-01-01') THEN NULL ELSE a.last_error END AS last_error, c_custkey % 2 = 0 AS owner_edited
+FROM customer JOIN s ON true LEFT JOIN a ON a.user_id = c_custkey AND a.k = 1""",
+)
+def index_row_bookkeeping(spark, sf_dir):
+    """Runs of many tables, of which some haven't ended and some are over all tables, as the events tell them, booked in a row for each customer's table."""
+    from ..operators import admin
+    from ..operators.processes import run_changes
+
+    key, error = F.col("event_id"), F.col("event_type") == "error"
+    every = key % 400 == 1
+    runs = load(spark, sf_dir, "events").select(
+        F.when(every, "*").otherwise(F.concat(F.lit("t"), F.col("user_id").cast("string"))).alias("table_name"),
+        F.when(every | (key % 3 == 0), "FULL").otherwise("PULL").alias("run_type"),
+        F.when(every, "COMPLETED").when(key % 4 == 1, "RUNNING").when(error, "FAILED").otherwise("COMPLETED").alias("status"),
+        F.col("ts").alias("end_time"),
+        F.when(error & ~every, F.concat(F.lit("at "), key.cast("string"))).alias("first_error"),
+    )
+    number = F.col("c_custkey")
+    rows = load(spark, sf_dir, "customer").select(F.concat(F.lit("t"), number.cast("string")).alias("table_name"), F.lit(None).cast("string").alias("last_run"), F.lit(None).cast("string").alias("last_error"), (number % 2 == 0).alias("owner_edited"))
+    return admin.update_index_rows(rows, run_changes(runs, rows))
+
+
+@query(
+    "validation_saved",
+    """SELECT 'customer' AS table_name, CAST(1 + 1 + 100 + least(100, a.n) AS BIGINT) AS checks, CAST(0 AS BIGINT) AS warn_count, CAST(1 + e.n AS BIGINT) AS fail_count, 'FAIL' AS level
+FROM (SELECT count(*) AS n FROM customer WHERE c_custkey % 5 <> 0) a, (SELECT count(*) AS n FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS low, row_number() OVER (ORDER BY c_custkey DESC) AS high FROM customer) x WHERE (low <= 50 OR high <= 50) AND c_custkey % 5 = 0) e
+UNION ALL SELECT 'nation', CAST(2 + 2 * count(*) AS BIGINT), 0, 0, 'OK' FROM nation UNION ALL SELECT 'region', 1, 0, 1, 'FAIL'""",
+)
+def validation_saved(spark, sf_dir):
+    """A stored index without every fifth customer and without regions, validated twice; the newest kept findings of each table."""
+    from ..operators.processes import Source
+    from ..operators.validate import Reports, validate
+
+    customers, regions = TableConfig("customer", "c_custkey", (FieldConfig("c_name"),)), TableConfig("region", "r_regionkey", (FieldConfig("r_name"),))
+    index, _ = _process(spark, customers, NATIONS, regions)
+    read = lambda name: load(spark, sf_dir, name)
+    index.rebuild({"customer": build_documents(read("customer").where("c_custkey % 5 <> 0"), customers), "nation": build_documents(read("nation"), NATIONS)})
+    sources = {t.name: Source(t, lambda t=t: read(t.name)) for t in (customers, NATIONS, regions)}
+    reports = Reports(spark, f"{scratch_folder(spark)}/reports")
+    reports.save(validate(index, {"nation": sources["nation"]}), 100, _at(-9), _at(-8))
+    reports.save(validate(index, sources), 100, _at(-2), _at(-1))
+    return reports.newest().select("table_name", "checks", "warn_count", "fail_count", "level")
+
+
 _BAD = "CASE WHEN event_id % 97 = 3 THEN 'ts is no timestamp' WHEN event_id % 89 = 5 THEN 'larger than 4096 bytes' END"
 
 

@@ -115,6 +115,19 @@ def ensure_index_rows(index_rows: DataFrame, code_tables: DataFrame, configured:
     return index_rows.unionByName(rows, allowMissingColumns=True)
 
 
+def update_index_rows(index_rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Index rows with the bookkeeping of ``changes`` (table_name, at, and columns of theirs), which marks nothing as edited.
+
+    Of a table's changes the newest counts (of equal times the largest values) with all its values, nulls too. Changes of
+    tables without a row, and columns that rows don't have, count nowhere.
+    """
+    new = [c for c in changes.columns if c in index_rows.columns and c != "table_name"]
+    values = F.struct(*[F.col(c).cast(index_rows.schema[c].dataType).alias(c) for c in new])
+    last = changes.groupBy("table_name").agg(F.max_by(values, F.struct("at", values)).alias("__new"))
+    with_new = index_rows.join(last, "table_name", "left")
+    return with_new.select(*[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in index_rows.columns])
+
+
 def count_errors(index_rows: DataFrame, failed: DataFrame) -> DataFrame:
     """Index rows with their tables' failed events (a row each, table_name) added to ``real_time_errors``; others' events count nowhere."""
     new = failed.groupBy("table_name").agg(F.count("*").alias("__n"))

@@ -151,6 +151,19 @@ def run_states(events: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of an error that an index row keeps.
+ERROR_LENGTH = 4000
+
+
+def run_changes(runs: DataFrame, index_rows: DataFrame) -> DataFrame:
+    """What the last run that ended of each table leaves in its index row (``admin.update_index_rows``): its kind and status, and its first error or none. A run over ``*`` is one of every table."""
+    told = [F.col("end_time").alias("at"), F.concat_ws(" ", "run_type", "status").alias("last_run"), F.substring("first_error", 1, ERROR_LENGTH).alias("last_error")]
+    ended = runs.where(F.col("status").isin(*OUTCOMES))
+    of_all = ended.where("table_name = '*'").select(*told).agg(F.max_by(F.struct("*"), F.struct("*")).alias("r")).where("r is not null").select("r.*")
+    each = index_rows.select("table_name").crossJoin(F.broadcast(of_all))  # one row
+    return ended.where("table_name <> '*'").select("table_name", *told).unionByName(each)
+
+
 PULLED = "table_name string, status string, processed long, indexed long, skipped long, errors long, first_error string, last_pull timestamp"
 
 

@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import admin, maintain, processes
+from lodestar.operators import admin, maintain, processes, validate
 from lodestar.operators import query as Q
 from lodestar.operators.documents import build_documents
 from lodestar.operators.watch import Interrupted, Watch
@@ -674,3 +674,37 @@ def test_added_fields_are_written_alone(spark, index):
     shown = EngineConfig(tables=(TableConfig("people", "id", (*grown.fields, FieldConfig("town")), timestamp="changed"), PLACES))
     with pytest.raises(MappingChanged):
         Index(spark, index.path, shown).extend(build_documents(rows.withColumn("town", F.lit("x")), shown.tables[0]), "people")
+
+
+def test_bookkeeping_of_index_rows(spark):
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    rows = spark.createDataFrame([("a", "x", "old", True), ("b", None, None, None), ("c", "y", "kept", False)], "table_name string, last_run string, last_error string, owner_edited boolean")
+    runs = spark.createDataFrame(
+        [("a", "PULL", "FAILED", at(1), "E" * 5000), ("a", "PULL", "COMPLETED", at(2), None), ("b", "FULL", "CANCELLED", at(9), "stopped"), ("c", "PULL", "RUNNING", None, None), ("gone", "PULL", "FAILED", at(3), "x")],
+        "table_name string, run_type string, status string, end_time timestamp, first_error string",
+    )
+    booked = lambda r: {tuple(x) for x in admin.update_index_rows(rows, processes.run_changes(r, rows)).collect()}
+    assert booked(runs) == {("a", "PULL COMPLETED", None, True), ("b", "FULL CANCELLED", "stopped", None), ("c", "y", "kept", False)}
+    assert {len(r.last_error) for r in processes.run_changes(runs, rows).where("last_error like 'E%'").collect()} == {4000}
+    all_tables = runs.union(spark.createDataFrame([("*", "FULL", "COMPLETED", at(5), None)], runs.schema))
+    assert {(t, r) for t, r, _, _ in booked(all_tables)} == {("a", "FULL COMPLETED"), ("b", "FULL CANCELLED"), ("c", "FULL COMPLETED")}
+    assert booked(runs.limit(0)) == {tuple(r) for r in rows.collect()}
+
+
+def test_validation_is_kept(spark, index, tmp_path):
+    rows = people(spark, [(1, "Stella", "Bern", 10), (2, "Stone II", "Bonn", 10), (4, "Missing", "x", 1), (None, "No key", "x", 1)])
+    sources = {"people": Source(PEOPLE, lambda: rows), "places": Source(PLACES, lambda: spark.createDataFrame([], "id int, name string"))}
+    found = validate.validate(index, sources, sample=10)
+    bad = {(r.table_name, r.kind, r.subject, r.level) for r in found.where("level <> 'OK'").collect()}
+    assert bad == {("people", "count", "2 of 3", "WARN"), ("people", "record", "people:2: STALE", "FAIL"), ("people", "record", "people:4: MISSING", "FAIL"), ("places", "count", "1 of 0", "WARN"), ("places", "document", "places:1", "FAIL")}
+    reports, at = validate.Reports(spark, str(tmp_path / "reports")), datetime.datetime(2024, 1, 1)
+    first = reports.save(found, 10, at, at + datetime.timedelta(minutes=1), user="ann")
+    row = reports.runs().first()
+    assert (row.status, row.table_names, row.summary, row.user_name, row.report_id) == ("FAIL", "people,places", "FAIL: 2 table(s), 3 failed check(s), 2 warning(s).", "ann", first)
+    assert reports.findings(first).count() == found.count()
+    fine = {"people": Source(PEOPLE, lambda: people(spark, [(1, "Stella", "Bern", 10), (2, "Stone", "Bonn", 10)]))}
+    reports.save(validate.validate(index, fine), 100, at, at + datetime.timedelta(minutes=2))
+    assert {(r.table_name, r.level) for r in reports.newest().collect()} == {("people", "OK"), ("places", "FAIL")} and reports.runs().where("status = 'PASS'").count() == 1
+    other = Index(spark, index.path, EngineConfig(tables=(TableConfig("people", "id", (FieldConfig("name", analyzer=Analyzer.WORD), FieldConfig("city")), timestamp="changed"), PLACES)))
+    assert [r.subject for r in validate.validate(other, fine).where("kind = 'field'").collect()] == ["name"]
+    assert [tuple(r) for r in validate.validate(Index(spark, str(tmp_path / "none"), CONFIG), fine).collect()] == [("people", "stored", None, "FAIL")]
