@@ -609,6 +609,10 @@ class Index:
                 if self._last_written(path) <= time.time() - self.retain:
                     self._fs.delete(path, True)
                     gone.append(place)
+        for found in self._fs.globStatus(self._at(f"{self.path}/holds/*")) or []:
+            if found.getModificationTime() / 1000 <= time.time() - HOLD_SECONDS:
+                self._fs.delete(found.getPath(), False)
+                gone.append(found.getPath().toUri().getPath())
         return gone
 
     def _last_written(self, path) -> float:
