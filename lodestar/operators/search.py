@@ -3,7 +3,8 @@
 Hits come ranked from one plan, over documents or a stored index, which a page evaluates once: its rows
 are few and are fetched with it, and its total is counted while they are sought. Locks are semi-joins
 with the readable rows. Totals and flags are exact within the best ``window`` hits
-(10,000; a part of it for each of several locked tables), beyond which a total is a lower bound.
+(10,000; a part of it for each of several locked tables), beyond which a total is a lower bound. A ``whole`` request
+for a page of locked tables looks at all hits: its total is exact, and only the flag tells that there are more hits than the window.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ class Request:
     offset: int = 0
     per_table: int | None = None
     single_pass: bool = False
+    whole: bool = False
 
 
 @dataclass(frozen=True)
@@ -128,6 +130,18 @@ def locked_page(hits: DataFrame, locks: Mapping[str, DataFrame], limit: int, off
         best.unpersist()
 
 
+def whole_locked_page(hits: DataFrame, locks: Mapping[str, DataFrame], limit: int, offset: int, config: EngineConfig) -> Page:
+    """A page of all accessible hits, with their exact total. The hits are kept, on disk too, while they are looked at."""
+    kept = hits.persist()
+    try:
+        floor = kept.count() > config.window
+        free = accessible(kept, locks)
+        total = free.count()
+        return Page(fetched(page(free, limit, offset)), total, floor, total > offset + limit)
+    finally:
+        kept.unpersist()
+
+
 def search_hits(source, query: Plan, tables: list[TableConfig]) -> DataFrame:
     """Ranked hits of documents or of a stored index."""
     return score(source, query, tables) if isinstance(source, DataFrame) else source.hits(query, tables)
@@ -143,7 +157,7 @@ def execute(source, request: Request, config: EngineConfig, readable: set[str] |
     if bounds.per_table is not None:
         return _per_table(hits, bounds, tables, locks, config, request.single_pass)
     if locks:
-        return locked_page(hits, locks, bounds.limit, bounds.offset, config)
+        return (whole_locked_page if request.whole else locked_page)(hits, locks, bounds.limit, bounds.offset, config)
     return open_page(hits, bounds.limit, bounds.offset, config)
 
 

@@ -152,6 +152,15 @@ def test_windows_of_locked_tables(spark, docs):
     assert [r.record_id for r in page.rows.where("source_table = 'product'").collect()] in (["2", "3"], ["3", "2"])
 
 
+def test_whole_locked_pages_count_beyond_the_window(spark, docs):
+    tight = EngineConfig(tables=CONFIG.tables, window=2)
+    locks = {"product": spark.createDataFrame([("2",), ("3",)], "record_id string")}
+    page = search.execute(docs, search.Request("widget", limit=2, whole=True), tight, locks=locks)
+    assert (page.total, page.lower_bound, page.has_more, page.rows.count()) == (3, True, True, 2)
+    page = search.execute(docs, search.Request("widget", limit=2, whole=True), CONFIG, locks=locks)
+    assert (page.total, page.lower_bound, page.has_more) == (3, False, True)
+
+
 def test_suggestions(docs):
     tables = list(CONFIG.tables)
     hits = Q.score(docs, Q.plan("widget", tables), tables)
