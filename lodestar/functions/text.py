@@ -26,10 +26,14 @@ def word_pattern(letter: str) -> str:
     return rf"_*+{part}(?:_*+{part})*+_*+|[\p{{IsHan}}\p{{IsHiragana}}]\p{{M}}*+"
 
 
-WORD = word_pattern(r"[a-z[\p{L}\p{M}\p{Nl}&&[^\p{IsHan}\p{IsHiragana}]]]")
+# Below U+2E80 there are no ideographs and no Hiragana, so that most characters need no look at their script.
+WORD = word_pattern(r"[a-z[\p{L}\p{M}\p{Nl}&&[\x00-\u2E7F[^\p{IsHan}\p{IsHiragana}]]]]").replace("|[\\p{IsHan}", r"|(?![\x00-\u2E7F])[\p{IsHan}")
 #: The same for Python's module regex (version 1 of its syntax).
 WORD_REGEX = word_pattern(r"[a-z[[\p{L}\p{M}\p{Nl}]--[\p{IsHan}\p{IsHiragana}]]]")
-BLANK = r"[ \t\n\x0B\f\r]+"
+#: Blanks that aren't one space already, so that most of a text is left as it is.
+BLANK = r"[\t\n\x0B\f\r][ \t\n\x0B\f\r]*+| [ \t\n\x0B\f\r]++"
+SHOWN = r"[^ \t\n\x0B\f\r]"
+EDGE = "".join(map(chr, range(0x21)))
 #: Prefix lengths that the index side of the prefix analyzer holds.
 MIN_GRAM, MAX_GRAM = 2, 20
 #: Longer exact values aren't indexed.
@@ -42,7 +46,7 @@ def col(value: Column | str) -> Column:
 
 def normalize(value: Column | str) -> Column:
     """Trimmed of all characters up to U+0020, blanks collapsed to one space; null is empty, case is kept."""
-    trimmed = F.regexp_replace(F.coalesce(col(value), F.lit("")), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    trimmed = F.btrim(F.coalesce(col(value), F.lit("")), F.lit(EDGE))
     return F.regexp_replace(trimmed, BLANK, " ")
 
 
@@ -65,6 +69,11 @@ def grams(tokens: Column) -> Column:
     )
 
 
+def gram_count(tokens: Column) -> Column:
+    """How many ``grams`` there are, from the lengths of the words; none is formed."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda n, w: n + F.greatest(F.least(F.length(w), F.lit(MAX_GRAM)) - MIN_GRAM + 1, F.lit(0)))
+
+
 def prefix_possible(token: str) -> bool:
     """Whether a query token can match any prefix at all."""
     return MIN_GRAM <= len(token) <= MAX_GRAM
@@ -92,7 +101,7 @@ def token_check(tokens: Column, token: str) -> Column:
 def display_value(value: Column | str, label: Column | str | None = None, max_length: int = 10_000) -> Column:
     """The label if there is one, else the value as text; blank is null; cut at ``max_length``."""
     shown = col(value).cast("string") if label is None else F.coalesce(col(label), col(value).cast("string"))
-    return F.when(F.trim(F.regexp_replace(shown, BLANK, " ")) != "", F.substring(shown, 1, max_length))
+    return F.when(shown.rlike(SHOWN), F.substring(shown, 1, max_length))
 
 
 def redact(text: Column | str, term: str, mark: str = "[term]") -> Column:

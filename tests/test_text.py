@@ -120,3 +120,29 @@ def test_token_offsets(spark):
     found = one(spark, highlight.token_offsets(F.lit(text)))
     assert [(t.position, t.token, text[t.start : t.end].lower()) for t in found] == [(i, w, w) for i, w in enumerate(["élan", "3.14", "don't"])]
     assert one(spark, highlight.token_offsets(F.lit("abc def"), 3))[-1].token == "abc"
+
+
+def test_gram_count_is_the_number_of_grams(spark):
+    texts = ["a ab abc", "x" * 25, "", None, "日本 ひらがな 1,000 don't _a_"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.gram_count(T.words("t")).alias("n"), F.size(T.grams(T.words("t"))).alias("m")).collect()
+    assert [r.n for r in rows] == [r.m for r in rows] and rows[0].n == 3 and rows[1].n == 19
+
+
+def test_normalize_trims_before_a_line_separator_only_at_the_end(spark):
+    assert one(spark, T.normalize(F.lit("\x01 a  b\t c \n\nd e \x1f"))) == "a b c d e"
+    assert one(spark, T.normalize(F.lit("a \u0085"))) == "a \u0085"
+    assert one(spark, T.display_value(F.lit(" \t\n"))) is None and one(spark, T.display_value(F.lit(" x"))) == " x"
+
+
+def test_stems_of_batches_keep_rows_apart():
+    import pyarrow as pa
+
+    column = pa.array([["x"], ["the", "licensed", "the"], None, [], ["the"], ["licensing", "to", "licenses"]], pa.list_(pa.string()))
+    assert stemming._stems(column).to_pylist() == [["x"], ["licens"], [], [], [], ["licens", "licens"]]
+    assert stemming._stems(column.slice(1, 3)).to_pylist() == [["licens"], [], []]
+
+
+def test_words_begin_with_the_start_of_their_stem():
+    ends = {s for s, _ in stemming.STEP_2} | {s for s, _ in stemming.STEP_3} | set(stemming.STEP_4) | {"", "s", "ies", "sses", "ed", "ing", "y", "ability", "ization", "fulness", "ously", "ied", "atings", "e"}
+    words = [a + m + e for a in ("ab", "rel", "conflat", "hop", "f", "tr", "sky", "nat") for m in ("", "at", "iv", "al", "bl", "iz", "ll", "tt") for e in ends]
+    assert all(w.startswith(stemming.stem_start(stemming.stem(w))) for w in words)
