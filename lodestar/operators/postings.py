@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.stemming import english_words
 from ..plans.config import Analyzer, TableConfig
-from .query import HIT, Path, Plan, clauses_scored, with_allowed_text
+from .query import HIT, Path, Plan, clauses_scored, measured, valued, with_allowed_text
 
 SCHEMA = "path string, word string, document_id string, source_table string, record_id string, record_label string, tf int, dl int"
 
@@ -120,7 +120,7 @@ def score_postings(postings: DataFrame, stats: DataFrame, query: Plan, tables: l
     known = {r.path: r for r in stats.where(F.col("path").isin(*map(path_name, paths))).collect()}
     live = (shaped if touched is None else shaped.join(touched, "document_id", "left_anti").select(shaped.columns)).withColumn("__new", F.lit(False))
     if changed is not None:
-        more = with_allowed_text(changed, list(tables)).select(*HIT, *[p.measured(query.term).alias(f"p{i}") for i, p in enumerate(paths)])
+        more = measured(valued(with_allowed_text(changed, list(tables)), HIT, paths), HIT, paths, query.term)
         live = live.unionByName(more.withColumn("__new", F.lit(True)))
     total = _statistics_of_all(live, paths, [len(tokens[p]) for p in paths], known)
     return clauses_scored(live.where(F.col("source_table").isin(*query.tables)).crossJoin(F.broadcast(total)), query, HIT)  # one row

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.stemming import english, english_words
+from ..functions.stemming import STOP_WORDS, english, stem_start, stems
 from ..plans.config import Analyzer, EngineConfig, FieldConfig, TableConfig
 from .documents import MAPS, allowed_snippet
 
@@ -61,22 +61,51 @@ class Path:
             return F.col(self.name)
         return F.col(MAPS[self.analyzer])[self.name]
 
-    def measured(self, term: str) -> Column:
-        """Counts of each token (tf) and length (dl) of the path in a document."""
+    def counted(self, value: Column, term: str) -> Column:
+        """Counts of each token (tf) and length (dl) of a value of the path. By the ENGLISH analyzer the words that may have a
+        token as their stem stand in place of the counts (``near``): only those go to Python."""
         if self.analyzer is Analyzer.EXACT:
-            hit = F.coalesce((self.value() == T.normalize(F.lit(term.lower()))).cast("int"), F.lit(0))
-            return F.struct(F.array(hit).alias("tf"), self.value().isNotNull().cast("int").alias("dl"))
-        words = english_words(self.value()) if self.analyzer is Analyzer.ENGLISH else T.words(self.value())
-        prefix = self.analyzer is Analyzer.PREFIX
-        count = T.prefix_count if prefix else T.equal_count
+            hit = F.coalesce((value == T.normalize(F.lit(term.lower()))).cast("int"), F.lit(0))
+            return F.struct(F.array(hit).alias("tf"), value.isNotNull().cast("int").alias("dl"))
         tokens = self.tokens(term)
 
         def of(w: Column) -> Column:
+            if self.analyzer is Analyzer.ENGLISH:
+                near = F.filter(w, lambda x: reduce(lambda a, b: a | b, [x.startswith(stem_start(t)) for t in tokens], F.lit(False)))
+                return F.struct(near.alias("near"), F.size(F.filter(w, lambda x: ~x.isin(*sorted(STOP_WORDS)))).alias("dl"))
+            prefix = self.analyzer is Analyzer.PREFIX
+            count = T.prefix_count if prefix else T.equal_count
             long = F.filter(w, lambda x: F.length(x) >= T.MIN_GRAM) if prefix else w
             return F.struct(F.array(*[count(w, t) for t in tokens]).alias("tf"), F.size(long).alias("dl"))
 
         # The words are bound once, whatever the number of tokens.
-        return F.transform(F.array(words), of)[0]
+        return F.transform(F.array(T.words(value)), of)[0]
+
+    def finished(self, counts: Column, term: str) -> Column:
+        """``counted`` with the counts of stems."""
+        if self.analyzer is not Analyzer.ENGLISH:
+            return counts
+        tokens, empty = self.tokens(term), F.array().cast("array<int>")
+        tf = F.transform(F.array(stems(counts["near"])), lambda w: F.array(*[T.equal_count(w, t) for t in tokens]))[0] if tokens else empty
+        return F.struct(tf.alias("tf"), counts["dl"].alias("dl"))
+
+
+def once(rows: DataFrame, keep, found: dict[str, Column]) -> DataFrame:
+    """``keep`` and further columns, each computed once for a row: Spark copies what a projection computes into the filters and
+    aggregates above it, but nothing through ``inline``."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))))
+
+
+def measured(values: DataFrame, keep, paths: list[Path], term: str) -> DataFrame:
+    """``keep`` and per path the counts p0, p1, ... of rows with the values v0, v1, ... of paths (``valued``)."""
+    rows = once(values, keep, {f"p{i}": p.counted(F.col(f"v{i}"), term) for i, p in enumerate(paths)})
+    if not any(p.analyzer is Analyzer.ENGLISH for p in paths):
+        return rows
+    return once(rows, keep, {f"p{i}": p.finished(F.col(f"p{i}"), term) for i, p in enumerate(paths)})
+
+
+def valued(documents: DataFrame, keep, paths: list[Path]) -> DataFrame:
+    return once(documents, keep, {f"v{i}": p.value() for i, p in enumerate(paths)})
 
 
 @dataclass
@@ -168,9 +197,10 @@ def _may_match(query: Plan) -> Column:
     """A cheap condition that all matches fulfil: a required path's text holds every token as a part."""
 
     def of(path: Path) -> Column:
+        value = F.col(f"v{query.paths.index(path)}")
         if path.analyzer in (Analyzer.ENGLISH, Analyzer.EXACT):
-            return path.value().isNotNull()
-        text = F.lower(path.value())
+            return value.isNotNull()
+        text = F.lower(value)
         return reduce(lambda a, b: a & b, [F.contains(text, F.lit(t)) for t in path.tokens(query.term)])
 
     return reduce(lambda a, b: a | b, [F.coalesce(of(p), F.lit(False)) for p in dict.fromkeys(c.path for c in query.clauses if c.required)])
@@ -187,10 +217,10 @@ def score(documents: DataFrame, query: Plan, tables: list[TableConfig], keep: tu
         return documents.where(F.lit(False)).select(*columns, F.lit(0.0).alias("score"), F.array().cast(empty).alias("contributions"))
     paths = query.paths
     whole = with_allowed_text(documents, tables)
-    counts = [p.measured(query.term).alias(f"p{i}") for i, p in enumerate(paths)]
     # Only documents that can match are cut into words again.
-    maybe = whole.where(F.col("source_table").isin(*query.tables)).where(_may_match(query)).select(*columns, *counts)
-    scored = maybe.crossJoin(F.broadcast(statistics(whole.select(*counts), paths, query.term)))  # one row
+    maybe = valued(whole.where(F.col("source_table").isin(*query.tables)), columns, paths).where(_may_match(query))
+    total = statistics(measured(valued(whole, (), paths), (), paths, query.term), paths, query.term)
+    scored = measured(maybe, columns, paths, query.term).crossJoin(F.broadcast(total))  # one row
     return clauses_scored(scored, query, tuple(columns))
 
 

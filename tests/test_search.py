@@ -234,3 +234,11 @@ def test_playground(spark, docs):
 
 def test_names_are_split_once():
     assert diagnose.split_names(" part, customer\n part\torders,,") == ["part", "customer", "orders"] and diagnose.split_names(None) == []
+
+
+def test_texts_are_cut_into_words_once_for_matches_and_once_for_statistics(docs):
+    tables = list(CONFIG.tables)
+    asked = Q.plan("small widget", tables)
+    cut = Q.score(docs, asked, tables)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    words = sum(p.analyzer is not Analyzer.EXACT for p in asked.paths)
+    assert cut == 2 * words
