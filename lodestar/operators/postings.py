@@ -1,4 +1,4 @@
-"""Postings: searchable words of the index, stored once and sorted by word.
+"""Postings: searchable words of the index, stored once and sorted by word within each file.
 
 A posting is (path, word, document, tf, dl). A query reads only the words it may
 match: equality or a prefix range, both of which reach the Parquet scan, where
@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.stemming import english_words
+from ..functions.stemming import STOP_WORDS, english_words
 from ..plans.config import Analyzer, TableConfig
-from .query import HIT, Path, Plan, clauses_scored, measured, valued, with_allowed_text
+from .query import HIT, Path, Plan, clauses_scored, measured, once, valued, with_allowed_text
 
 SCHEMA = "path string, word string, document_id string, source_table string, record_id string, record_label string, tf int, dl int"
+LENGTHS = "array<struct<path:string,dl:int>>"
 
 
 def path_name(path: Path) -> str:
@@ -34,25 +35,40 @@ def paths_of(tables: list[TableConfig]) -> list[Path]:
     return list(dict.fromkeys([*found, *(Path(f.name, f.resolved_analyzer) for t in tables for f in t.indexed_fields)]))
 
 
-def _words(path: Path) -> Column:
+def _words(path: Path, value: Column) -> Column:
     if path.analyzer is Analyzer.EXACT:
-        return F.when(path.value().isNotNull(), F.array(path.value())).otherwise(F.array().cast("array<string>"))
+        return F.when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>"))
     if path.analyzer is Analyzer.ENGLISH:
-        return english_words(path.value())
-    words = T.words(path.value())
+        return english_words(value)
+    words = T.words(value)
     return F.filter(words, lambda w: F.length(w) >= T.MIN_GRAM) if path.analyzer is Analyzer.PREFIX else words
 
 
+def _values(documents: DataFrame, tables: list[TableConfig], paths: list[Path]) -> DataFrame:
+    """Per document its paths that have a value: HIT, ps (path, words)."""
+    rows = valued(with_allowed_text(documents, tables), HIT, paths)
+    lists = F.array(*[F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(path_name(p)).alias("path"), _words(p, F.col(f"v{i}")).alias("words"))) for i, p in enumerate(paths)])
+    return once(rows, HIT, {"ps": F.filter(F.array_compact(lists), lambda p: F.size(p["words"]) > 0)})
+
+
 def build_postings(documents: DataFrame, tables: list[TableConfig], paths: list[Path] | None = None) -> DataFrame:
-    """The postings of ``paths`` (left out: of all), range-partitioned and sorted by path and word."""
-    paths = paths_of(tables) if paths is None else paths
-    lists = F.array(*[F.struct(F.lit(path_name(p)).alias("path"), _words(p).alias("words")) for p in paths])
-    each = with_allowed_text(documents, tables).select(*HIT, F.explode(lists).alias("p")).where(F.size("p.words") > 0)
-    # Counted within each document's sorted words, so the only shuffle is the one by range. The document is part of the
-    # range, so that the commonest word is split over tasks and files too.
+    """The postings of ``paths`` (left out: of all). Each task's are sorted by path and word, so each of its files is read by word ranges; nothing is shuffled."""
+    each = _values(documents, tables, paths_of(tables) if paths is None else paths).select(*HIT, F.explode("ps").alias("p"))
+    # Counted within each document's sorted words.
     rows = each.select("p.path", F.size("p.words").alias("dl"), *HIT, F.explode(_counted(F.sort_array("p.words"))).alias("w"))
     found = rows.select("path", "w.word", *HIT, "w.tf", "dl")
-    return found.repartitionByRange("path", "word", "document_id").sortWithinPartitions("path", "word", "document_id")
+    return found.sortWithinPartitions("path", "word", "document_id")
+
+
+def postings_and_lengths(documents: DataFrame, tables: list[TableConfig], paths: list[Path] | None = None) -> DataFrame:
+    """``build_postings`` (kind 0) and ``document_lengths`` (kind 1) from one cut into words; sorted by kind, path and word within each task."""
+    found = _values(documents, tables, paths_of(tables) if paths is None else paths)
+    lengths = F.transform("ps", lambda p: F.struct(p["path"].alias("path"), F.size(p["words"]).alias("dl")))
+    whole = F.struct(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("path"), F.array().cast("array<string>").alias("words"), lengths.alias("lengths"))
+    words = F.transform("ps", lambda p: F.struct(F.lit(0).alias("kind"), p["path"].alias("path"), p["words"].alias("words"), F.lit(None).cast(LENGTHS).alias("lengths")))
+    each = found.select(*HIT, F.explode(F.concat(words, F.array(whole))).alias("p"))
+    rows = each.select("p.kind", "p.path", F.size("p.words").alias("dl"), "p.lengths", *HIT, F.explode_outer(F.when(F.col("p.kind") == 0, _counted(F.sort_array("p.words")))).alias("w"))
+    return rows.select("kind", "path", "w.word", *HIT, "w.tf", "dl", "lengths").sortWithinPartitions("kind", "path", "word", "document_id")
 
 
 def _counted(sorted_words: Column) -> Column:
@@ -66,11 +82,19 @@ def _counted(sorted_words: Column) -> Column:
     return F.transform(F.array(sorted_words), of)[0]
 
 
+def _length(path: Path, value: Column) -> Column:
+    """How many words ``_words`` gives; stems needn't be known."""
+    if path.analyzer is Analyzer.ENGLISH:
+        return F.size(F.filter(T.words(value), lambda w: ~w.isin(*sorted(STOP_WORDS))))
+    return F.size(_words(path, value))
+
+
 def document_lengths(documents: DataFrame, tables: list[TableConfig], paths: list[Path] | None = None) -> DataFrame:
     """Per document the lengths of its paths (left out: of all) that have words: document_id, source_table, lengths."""
     paths = paths_of(tables) if paths is None else paths
-    lists = F.array(*[F.struct(F.lit(path_name(p)).alias("path"), F.size(_words(p)).alias("dl")) for p in paths])
-    return with_allowed_text(documents, tables).select("document_id", "source_table", F.filter(lists, lambda p: p["dl"] > 0).alias("lengths"))
+    rows, keep = valued(with_allowed_text(documents, tables), ("document_id", "source_table"), paths), ("document_id", "source_table")
+    lists = F.array(*[F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(path_name(p)).alias("path"), _length(p, F.col(f"v{i}")).alias("dl"))) for i, p in enumerate(paths)])
+    return once(rows, keep, {"lengths": F.filter(F.array_compact(lists), lambda p: p["dl"] > 0)})
 
 
 def lengths_summed(lengths: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..operators.documents import MAPS, empty_documents, union_documents
 from ..operators.maintain import resolve_versions
-from ..operators.postings import SCHEMA, build_postings, document_lengths, lengths_summed, score_postings, without
+from ..operators.postings import SCHEMA, lengths_summed, postings_and_lengths, score_postings, without
 from ..operators.query import HIT, Path, Plan, plan, score
 from ..plans.config import EngineConfig, Role, TableConfig
 
@@ -380,8 +380,10 @@ class Index:
 
     def _write_postings(self, documents: DataFrame, paths: list[Path] | None = None) -> str:
         base = f"{self.path}/postings/{uuid.uuid4().hex}"
-        build_postings(documents, list(self.config.tables), paths).write.parquet(f"{base}/words")
-        document_lengths(documents, list(self.config.tables), paths).write.parquet(f"{base}/lengths")
+        postings_and_lengths(documents, list(self.config.tables), paths).write.partitionBy("kind").parquet(f"{base}/both")
+        for kind, name in enumerate(("words", "lengths")):  # a kind without rows has no folder
+            if not self._fs.rename(self._at(f"{base}/both/kind={kind}"), self._at(f"{base}/{name}")):
+                self._fs.mkdirs(self._at(f"{base}/{name}"))
         lengths_summed(self.spark.read.schema(LENGTHS).parquet(f"{base}/lengths")).coalesce(1).write.parquet(f"{base}/statistics")
         return base
 

@@ -242,3 +242,8 @@ def test_texts_are_cut_into_words_once_for_matches_and_once_for_statistics(docs)
     cut = Q.score(docs, asked, tables)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
     words = sum(p.analyzer is not Analyzer.EXACT for p in asked.paths)
     assert cut == 2 * words
+
+
+def test_postings_are_sorted_within_tasks_without_a_shuffle(docs):
+    plan = build_postings(docs, list(CONFIG.tables))._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [path" in plan and "rangepartitioning" not in plan
