@@ -382,8 +382,10 @@ class Index:
         base = f"{self.path}/postings/{uuid.uuid4().hex}"
         postings_and_lengths(documents, list(self.config.tables), paths).write.partitionBy("kind").parquet(f"{base}/both")
         for kind, name in enumerate(("words", "lengths")):  # a kind without rows has no folder
-            if not self._fs.rename(self._at(f"{base}/both/kind={kind}"), self._at(f"{base}/{name}")):
-                self._fs.mkdirs(self._at(f"{base}/{name}"))
+            written, place = self._at(f"{base}/both/kind={kind}"), self._at(f"{base}/{name}")
+            if not (self._fs.rename(written, place) if self._fs.exists(written) else self._fs.mkdirs(place)):
+                raise OSError(f"{base}/{name} could not be made")
+        self._discard(f"{base}/both")
         lengths_summed(self.spark.read.schema(LENGTHS).parquet(f"{base}/lengths")).coalesce(1).write.parquet(f"{base}/statistics")
         return base
 
