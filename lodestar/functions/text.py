@@ -101,7 +101,12 @@ def token_check(tokens: Column, token: str) -> Column:
 def display_value(value: Column | str, label: Column | str | None = None, max_length: int = 10_000) -> Column:
     """The label if there is one, else the value as text; blank is null; cut at ``max_length``."""
     shown = col(value).cast("string") if label is None else F.coalesce(col(label), col(value).cast("string"))
-    return F.when(shown.rlike(SHOWN), F.substring(shown, 1, max_length))
+    return F.when(shown.rlike(SHOWN), truncated(shown, max_length))
+
+
+def truncated(value: Column | str, max_length: int) -> Column:
+    """The first ``max_length`` characters, whatever they are: blanks stay, null is null."""
+    return F.substring(col(value), 1, max_length)
 
 
 def redact(text: Column | str, term: str, mark: str = "[term]") -> Column:

@@ -52,6 +52,14 @@ def test_query_equals_its_sql(spark, sf_dir, oracle, name):
         assert mine == pytest.approx(theirs, abs=1e-6) if any(isinstance(v, float) for v in mine) and all(isinstance(v, (int, float)) for v in mine) else all(a == b or (isinstance(a, float) and abs(a - b) < 1e-6) for a, b in zip(mine, theirs)), (mine, theirs)
 
 
+def test_cut_texts_equal_their_sql_whatever_they_hold(spark, tmp_path):
+    texts = [None, "", " ", " \t\n" * 50, " " * 120 + "x", "\u3000", "\x00" * 101, "e\u0301" * 60, "\U0001f468\u200d\U0001f469\u200d\U0001f467" * 30, "\r\n" * 60, "a" * 99, "a" * 100, "a" * 101, "\ufeffb", "\u0130\u00df" * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.shown for r in catalog.queries()["field_truncate"](spark, str(tmp_path)).collect()}
+    sql = catalog.oracle_sql()["field_truncate"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert found == dict(duckdb.execute(sql).fetchall()) and found[1] == "" and found[2] == " "
+
+
 def test_flagship_is_registered():
     assert catalog.FLAGSHIP in catalog.queries() and catalog.FLAGSHIP in catalog.oracle_sql()
 
