@@ -26,13 +26,15 @@ Texts that are null, empty or not given back by the joined bytes of one of the
 tokenizers (the character U+2581 is a space to pieces) have no tokens: zeros, and
 they count for no pair. Every row gives a row; rows with equal or null ids are
 documents of their own. A unit is as long as its text where that has no place to cut;
-its tokens are rows that Spark sorts and spills. The table of the highest count of
+its tokens are rows that Spark sorts and spills. A task holds one block at a time,
+which is a row (and a row group) of the tables. The table of the highest count of
 each A id is broadcast: it has at most a row for each entry of the vocabulary.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -60,6 +62,9 @@ _APART = "\n"
 #: Tables that are partitioned by unit needn't be shuffled once more for a join on unit and end.
 _BY_UNIT = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
+#: Whole texts go to Python so many at once.
+_FEW_TEXTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
+
 _loaded: dict[tuple[str, str], "Tokenizers"] = {}
 
 
@@ -153,7 +158,7 @@ def _blocks(a_path: str, b_path: str):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))):
                 mine = words(text) if text else []
                 docs.append(doc_id)
                 sizes.append(len(mine))
@@ -176,6 +181,7 @@ def _encoded(a_path: str, b_path: str):
     """Distinct units -> ids and lengths in bytes of their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core; each thread of the library's keeps memory of its own
         both = Tokenizers.of(a_path, b_path)
         a_size, b_size = (list(map(len, x)) for x in (both.a_bytes, both.b_bytes))
         for batch in batches:
@@ -245,9 +251,32 @@ class Lists:
 
     def sums(self, by_value: np.ndarray) -> np.ndarray:
         """For each list the sum of what its numbers stand for."""
-        total = np.concatenate([[0], np.cumsum(by_value[self.values])])
+        total = np.zeros(len(self.values) + 1, np.int64)
+        np.take(by_value, self.values, out=total[1:], mode="clip")  # in place; numbers are those of ``by_value``
+        np.cumsum(total, out=total)
         return total[self.ends] - total[self.starts]
 
+    def joined(self, texts: list[str]) -> list[str]:
+        """For each list the texts that its numbers stand for, put end to end; of few lists at once the numbers are Python's."""
+        out = []
+        for i in range(0, len(self.ends), _AT_ONCE):
+            ends = self.ends[i : i + _AT_ONCE]
+            first = self.starts[i]
+            mine = self.values[first : ends[-1]].tolist()
+            out += [texts[mine[a]] if b - a == 1 else ";".join(map(texts.__getitem__, mine[a:b])) for a, b in zip((self.starts[i : i + _AT_ONCE] - first).tolist(), (ends - first).tolist())]
+        return out
+
+
+def unit_texts(links: pa.ListArray, n_groups: np.ndarray) -> list[str]:
+    """The groups of each unit as text; the groups' own texts are held for few units at once."""
+    out = []
+    for i in range(0, len(links), _AT_ONCE):
+        every, at = group_texts(links.slice(i, _AT_ONCE).flatten().to_pylist()), 0
+        for n in n_groups[i : i + _AT_ONCE].tolist():
+            out.append(every[at] if n == 1 else ";".join(every[at : at + n]))
+            at += n
+    return out
+
 
 def _placed(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(size, np.int64)
@@ -270,20 +299,17 @@ def _documents(keep_groups: bool):
     def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
         block = blocks.to_pylist()[0]
         of_doc, of_word = _read(block)
+        block = block["block"]
         found = found.take(pa.array(np.argsort(found.column("at").to_numpy())))  # every unit of the block is here once
         column = found.column("links").combine_chunks()
         values = column.flatten().to_numpy()
         pairs, which = np.unique(values >> _PAIR_BITS, return_inverse=True)
-        of_unit = Lists(which.astype(np.int32), np.diff(column.offsets.to_numpy()))
+        of_unit, which = Lists(which.astype(np.int32), np.diff(column.offsets.to_numpy())), None
         numbers = Lists(np.arange(len(values), dtype=np.int32), of_unit.lengths)
         bad = of_doc.sums(of_word.sums((~found.column("same").to_numpy()).astype(np.int64))) > 0
         per_unit = {"n_a": numbers.sums(values >> 1 & 1), "n_b": numbers.sums(values & 1), "n_links": of_unit.lengths, "n_groups": found.column("n_groups").to_numpy().astype(np.int64)}
         counts = {c: np.where(bad, 0, of_doc.sums(of_word.sums(per_unit[c]))) for c in _COUNTS}
-        every = [g for i in range(0, len(column), _AT_ONCE) for g in group_texts(column.slice(i, _AT_ONCE).flatten().to_pylist())]
-        ends = np.cumsum(per_unit["n_groups"]).tolist()
-        texts = [every[b - 1] if n == 1 else ";".join(every[b - n : b]) for b, n in zip(ends, per_unit["n_groups"].tolist())]
-        mine = of_word.values.tolist()
-        texts = [texts[mine[a]] if b - a == 1 else ";".join(map(texts.__getitem__, mine[a:b])) for a, b in zip(of_word.starts.tolist(), of_word.ends.tolist())]
+        texts = of_word.joined(unit_texts(column, per_unit["n_groups"]))
         n_docs = np.zeros(len(pairs), np.int32)
         shas, groups = [], []
         for start, end, no in zip(of_doc.starts, of_doc.ends, bad):
@@ -299,7 +325,7 @@ def _documents(keep_groups: bool):
         held = n_docs > 0
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         return pa.table({
-            "block": pa.array([block["block"]], pa.int64()), "same": one((~bad).tolist(), pa.bool_()), **{c: one(v, pa.int64()) for c, v in counts.items()},
+            "block": pa.array([block], pa.int64()), "same": one((~bad).tolist(), pa.bool_()), **{c: one(v, pa.int64()) for c, v in counts.items()},
             "sha": one(shas, pa.string()), "groups": one(groups, pa.string()), "pairs": one(pairs[held], pa.int64()), "n_docs": one(n_docs[held], pa.int32()),
         })
 
@@ -336,7 +362,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False,
     ``a_path`` is the path of a byte-level BPE .json, ``b_path`` that of a piece .model; both are on every executor.
     """
     scratch = Scratch(docs.sparkSession, "alignment")
-    blocks = scratch.write(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_blocks(a_path, b_path), _BLOCKS))
+    blocks = scratch.write(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_blocks(a_path, b_path), _BLOCKS), conf=_FEW_TEXTS, long_rows=True)
     held = blocks.select("block", F.posexplode("vocab").alias("at", "unit"))
     encoded = held.select("unit").distinct().mapInArrow(_encoded(a_path, b_path), "unit string, a array<int>, b array<int>, a_size array<int>, b_size array<int>, same boolean")
     tokens = scratch.write(encoded.withColumn("u", F.monotonically_increasing_id()))
@@ -346,7 +372,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False,
     # Units that one of the tokenizers doesn't give back have no tokens and so no row of their own.
     of_block = places.join(found, "u", "left").select("block", "at", "same", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce("links", F.array().cast("array<long>")).alias("links"))
     slim = blocks.select("block", F.size("vocab").alias("size"), "doc_id", "sizes", "ids", "n_units", "units")
-    documents = scratch.write(slim.drop("size", "doc_id").groupBy("block").cogroup(of_block.groupBy("block")).applyInArrow(_documents(keep_groups), _DOCUMENTS))
+    documents = scratch.write(slim.drop("size", "doc_id").groupBy("block").cogroup(of_block.groupBy("block")).applyInArrow(_documents(keep_groups), _DOCUMENTS), long_rows=True)
     counts = scratch.write(pair_counts(documents, scratch))
     pairs = found.select("u", F.explode("links").alias("link")).select("u", F.shiftright("link", _PAIR_BITS).alias("pair"))
     by_unit = pairs.join(counts, "pair").groupBy("u").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))

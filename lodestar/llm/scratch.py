@@ -42,8 +42,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, new_path(spark, name), 0
 
-    def write(self, df: DataFrame, codec: str = "zstd", conf: dict[str, str] | None = None) -> DataFrame:
-        """The rows of ``df``, written once, planned with the settings ``conf``; shuffle files of the writing job are freed when it ends."""
+    def write(self, df: DataFrame, codec: str = "zstd", conf: dict[str, str] | None = None, long_rows: bool = False) -> DataFrame:
+        """The rows of ``df``, written once, planned with the settings ``conf``; shuffle files of the writing job are freed when it ends.
+
+        ``long_rows``: rows of many MB. Each gets a row group, as a writer holds a group (100 rows at least) and a reader decodes up to 4096 rows of one at once.
+        """
         self.n += 1
         path = f"{self.root}/{self.n}"
         now = {CLEANUP: "true", **(conf or {})}
@@ -51,7 +54,8 @@ class Scratch:
         for key, value in now.items():
             self.spark.conf.set(key, value)
         try:
-            df.write.option("compression", codec).parquet(path)
+            writer = df.write.option("compression", codec)
+            (writer.option("parquet.block.row.count.limit", 1) if long_rows else writer).parquet(path)
         finally:
             for key, value in before.items():
                 self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)

@@ -95,3 +95,51 @@ def test_links_of_long_units_are_not_paired(spark):
     tokens = spark.createDataFrame([(7, [1] * n, [2] * n, [2] * n, [3] + [2] * (n - 2) + [1])], "u long, a array<int>, b array<int>, a_size array<int>, b_size array<int>")
     row = alignment.aligned_units(tokens).collect()[0]
     assert (row.n_groups, len(row.links)) == (1, 2 * n - 1)
+
+
+def test_blocks_are_row_groups(spark, tmp_path, monkeypatch, paths):
+    """Rows of many MB are written and read one by one, however many a task makes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from lodestar.llm.scratch import Scratch
+
+    monkeypatch.setattr(Scratch, "drop", lambda self, *tables: None)
+    written, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, *args, **kw: written.append(write(self, *args, **kw)) or written[-1])
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 0)  # a block for each document; tasks of a local session are forked from here
+    docs = spark.createDataFrame([(i, f"text {i} of it") for i in range(40)], "doc_id long, text string").coalesce(1)
+    assert alignment.align(docs, *paths).count() == 40
+    of_blocks = [t for t in written if {"vocab", "pairs"} & set(t.columns) and "block" in t.columns]
+    assert len(of_blocks) == 2
+    for table in of_blocks:
+        files = glob.glob(f"{table._lodestar_path.removeprefix('file:')}/*.parquet")
+        groups = [pq.ParquetFile(f).metadata for f in files]
+        assert sum(m.num_rows for m in groups) == table.count() > 0
+        assert all(m.num_row_groups == m.num_rows for m in groups)
+
+
+def test_groups_of_a_block_take_little_memory():
+    """Of the texts of the groups few are held at once: the peak is a small multiple of the block's units."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, per_unit = 40_000, 12
+    link = lambda i: (((i % 50_000) << 30) + i % 30_000 << 2) + 3
+    links = pa.array([[link(i * per_unit + k) for k in range(per_unit)] for i in range(n)], pa.list_(pa.int64()))
+    found = pa.table({"at": pa.array(np.arange(n, dtype=np.int32)), "same": pa.array([True] * n), "n_groups": pa.array([per_unit] * n, pa.int64()), "links": links})
+    words = np.arange(n, dtype=np.int32)
+    block = pa.table({"block": [7], "sizes": pa.array([[n // 100] * 100], pa.list_(pa.int32())), "ids": [alignment._pack([words])], "n_units": [alignment._pack([np.ones(n, np.int32)])], "units": [alignment._pack([words])]})
+    texts = sum(len(f"{(i * per_unit + k) % 50_000}|{(i * per_unit + k) % 30_000};") for i in range(n) for k in range(per_unit))
+    run = alignment._documents(False)
+    tracemalloc.start()
+    try:
+        out = run(block, found)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.column("n_groups").to_pylist() == [[n // 100 * per_unit] * 100]
+    assert peak < 8 * texts, (peak, texts)
