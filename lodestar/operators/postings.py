@@ -1,4 +1,4 @@
-"""Postings: searchable words of the index, stored once and sorted by word within each file.
+"""Postings: searchable words of the index, stored once and sorted by word (then path) within each file.
 
 A posting is (path, word, document, tf, dl). A query reads only the words it may
 match: equality or a prefix range, both of which reach the Parquet scan, where
@@ -61,14 +61,18 @@ def build_postings(documents: DataFrame, tables: list[TableConfig], paths: list[
 
 
 def postings_and_lengths(documents: DataFrame, tables: list[TableConfig], paths: list[Path] | None = None) -> DataFrame:
-    """``build_postings`` (kind 0) and ``document_lengths`` (kind 1) from one cut into words; sorted by kind, path and word within each task."""
-    found = _values(documents, tables, paths_of(tables) if paths is None else paths)
-    lengths = F.transform("ps", lambda p: F.struct(p["path"].alias("path"), F.size(p["words"]).alias("dl")))
-    whole = F.struct(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("path"), F.array().cast("array<string>").alias("words"), lengths.alias("lengths"))
-    words = F.transform("ps", lambda p: F.struct(F.lit(0).alias("kind"), p["path"].alias("path"), p["words"].alias("words"), F.lit(None).cast(LENGTHS).alias("lengths")))
-    each = found.select(*HIT, F.explode(F.concat(words, F.array(whole))).alias("p"))
-    rows = each.select("p.kind", "p.path", F.size("p.words").alias("dl"), "p.lengths", *HIT, F.explode_outer(F.when(F.col("p.kind") == 0, _counted(F.sort_array("p.words")))).alias("w"))
-    return rows.select("kind", "path", "w.word", *HIT, "w.tf", "dl", "lengths").sortWithinPartitions("kind", "path", "word", "document_id")
+    """``build_postings`` (kind 0) and ``document_lengths`` (kind 1) from one cut into words, sorted by word and path within each task.
+
+    Words come first in the order: Spark compares their first bytes without looking at the rows. Documents of a word stay in their order.
+    """
+    words = F.transform("ps", lambda p: F.struct(p["path"].alias("path"), F.size(p["words"]).alias("dl"), _counted(F.sort_array(p["words"])).alias("found"), F.lit(None).cast(LENGTHS).alias("lengths")))
+    found = once(_values(documents, tables, paths_of(tables) if paths is None else paths), HIT, {"ps": words})
+    lengths = F.transform("ps", lambda p: F.struct(p["path"].alias("path"), p["dl"].alias("dl")))
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("tf")))
+    whole = F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("dl"), nothing.alias("found"), lengths.alias("lengths"))
+    each = found.select(*HIT, F.explode(F.concat("ps", F.array(whole))).alias("p"))
+    rows = each.select("p.path", "p.dl", "p.lengths", *HIT, F.explode("p.found").alias("w"))
+    return rows.select(F.col("path").isNull().cast("int").alias("kind"), "path", "w.word", *HIT, "w.tf", "dl", "lengths").sortWithinPartitions("word", "path")
 
 
 def _counted(sorted_words: Column) -> Column:

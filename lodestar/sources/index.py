@@ -60,6 +60,9 @@ HOLD_SECONDS = 86400.0
 OWN_ROLES = (Role.BODY, Role.KEYWORD, Role.EXACT)
 LENGTHS = "document_id string, source_table string, lengths array<struct<path:string,dl:int>>"
 STATISTICS = "path string, n long, total long"
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+#: Bytes of a row group of stored documents. Each may go to a task of its own, whose words are sorted.
+GROUP_BYTES = 16 << 20
 
 
 class Moved(RuntimeError):
@@ -371,7 +374,7 @@ class Index:
 
     def _write(self, documents: DataFrame, table: str) -> str:
         path = f"{self.path}/tables/{table}/{uuid.uuid4().hex}"
-        documents.write.parquet(path)
+        documents.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
         return path
 
     def _postings(self, tables: dict[str, dict]) -> str:
@@ -380,7 +383,12 @@ class Index:
 
     def _write_postings(self, documents: DataFrame, paths: list[Path] | None = None) -> str:
         base = f"{self.path}/postings/{uuid.uuid4().hex}"
-        postings_and_lengths(documents, list(self.config.tables), paths).write.partitionBy("kind").parquet(f"{base}/both")
+        before = self.spark.conf.get(WRITERS, None)
+        self.spark.conf.set(WRITERS, "4")  # both kinds' files are open at once; else, and where there are as many kinds, Spark sorts all rows by kind
+        try:
+            postings_and_lengths(documents, list(self.config.tables), paths).write.partitionBy("kind").parquet(f"{base}/both")
+        finally:
+            self.spark.conf.unset(WRITERS) if before is None else self.spark.conf.set(WRITERS, before)
         for kind, name in enumerate(("words", "lengths")):  # a kind without rows has no folder
             written, place = self._at(f"{base}/both/kind={kind}"), self._at(f"{base}/{name}")
             if not (self._fs.rename(written, place) if self._fs.exists(written) else self._fs.mkdirs(place)):

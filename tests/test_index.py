@@ -708,3 +708,34 @@ def test_validation_is_kept(spark, index, tmp_path):
     other = Index(spark, index.path, EngineConfig(tables=(TableConfig("people", "id", (FieldConfig("name", analyzer=Analyzer.WORD), FieldConfig("city")), timestamp="changed"), PLACES)))
     assert [r.subject for r in validate.validate(other, fine).where("kind = 'field'").collect()] == ["name"]
     assert [tuple(r) for r in validate.validate(Index(spark, str(tmp_path / "none"), CONFIG), fine).collect()] == [("people", "stored", None, "FAIL")]
+
+
+def test_words_come_first_in_the_files_of_postings(spark, tmp_path):
+    """Sorted once, by word and then path; a document without words has its row of lengths all the same."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = [(i, f"Zoe {'abc'[i % 3]}x of m{i} ab {'x ' * (i % 4)}", "Bern" if i % 2 else "an", i) for i in range(60)] + [(60, "?", "!", 1), (61, None, None, 1)]
+    index = Index(spark, str(tmp_path / "words"), CONFIG)
+    index.rebuild({"people": docs(spark, rows).coalesce(1)})
+    folder = index.manifest()["tables"]["people"]["postings"][0]
+    files = [pq.ParquetFile(f).read().to_pylist() for f in glob.glob(f"{folder}/words/*.parquet")]
+    found = [(r["word"], r["path"]) for rows in files for r in rows]
+    assert len(files) == 1 and found == sorted(found) and len({p for _, p in found}) == 3
+    lengths = [r for f in glob.glob(f"{folder}/lengths/*.parquet") for r in pq.ParquetFile(f).read().to_pylist()]
+    assert len(lengths) == 62 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    by = {r["document_id"]: {p["path"]: p["dl"] for p in r["lengths"]} for r in lengths}
+    assert by["people:60"] == by["people:61"] == {} and by["people:3"] == {"searchable_text|PREFIX": 6, "name|PREFIX": 5, "city|PREFIX": 1}
+    assert {r["tf"] for rows in files for r in rows if r["word"] == "ab"} == {1}
+
+
+def test_a_base_has_row_groups_for_many_tasks(spark, index):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    texts = spark.range(0, 4000, 1, 1).select(F.col("id").alias("document_id"), F.concat(*[F.sha2((F.col("id") * 200 + i).cast("string"), 512) for i in range(100)]).alias("text"))
+    path = index._write(texts, "people")
+    found = [pq.ParquetFile(f).metadata.num_row_groups for f in glob.glob(f"{path}/*.parquet")]
+    assert len(found) == 1 and found[0] > 1
